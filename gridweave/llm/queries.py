@@ -4,23 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from gridweave.llm.bpe import encode_digests
 from gridweave.llm.common import table
 from gridweave.llm.ngram_join import ngram_join
+from gridweave.llm.packing import pack
 from gridweave.llm.quality import quality_report
 
 
+def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op4_bpe_automaton, op7_quality_rules, op9_best_fit_packing, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
