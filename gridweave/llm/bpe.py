@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gridweave.llm.common import small_batches
+from gridweave.llm.common import lean, small_batches
 
 #: Words and transitions that a worker keeps.
 CACHE = 200_000
@@ -201,6 +201,7 @@ class Codec:
 def encode_documents(docs: DataFrame, file: str) -> DataFrame:
     """Adds ``ids`` (array of int) and ``decoded`` to ``docs(text, ...)``; null text counts as empty
     and gives no ids and empty decoded text. Columns called so before are replaced."""
+    lean(docs)
     docs = docs.drop("ids", "decoded")
     schema = docs.schema.add("ids", "array<int>").add("decoded", "string")
 
@@ -222,6 +223,7 @@ def encode_digests(docs: DataFrame, file: str) -> DataFrame:
     Null and empty texts have no tokens and the digests of the empty string. Repeated rows stay;
     other columns are ignored; an empty table gives an empty table.
     """
+    lean(docs)
     kinds = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):

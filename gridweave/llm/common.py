@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch: whole texts are long, and both sides hold a batch or two.
+BATCH_ROWS = 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,6 +43,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """Bounds the Arrow batches that Python operators on ``df`` get."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table made by ``stored`` once nothing reads it any more."""
     path = getattr(df, "_gridweave_path", None)
@@ -51,7 +64,7 @@ def dropped(df: DataFrame) -> None:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; the cache is bounded, its values do not depend on it."""
 
-    limit = 200_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -26,6 +26,7 @@ from gridweave.llm.common import (
     WordHashes,
     connected_components,
     dropped,
+    lean,
     shingle_hashes,
     small_batches,
     stored,
@@ -329,6 +330,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     are ignored; an empty table gives an empty table. ``n_links`` counts the verified links that a
     document's class took part in while components were joined, not all pairs of copies.
     """
+    lean(docs)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = stored(_sets(docs, width, percent, False), "sets")

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import small_batches, stored
+from gridweave.llm.common import lean, small_batches, stored
 
 CAPACITY = 1024
 #: Sequences that a packing group should fill.
@@ -154,6 +154,7 @@ def pack(docs: DataFrame, file: str, end_id: int, capacity: int = CAPACITY) -> D
     Null and empty texts are one piece of the end token; repeated rows are packed each; other columns
     are ignored; an empty table gives an empty table. Equal lengths are taken in order of (doc_id, piece).
     """
+    lean(docs)
     cut = stored(tokenised_pieces(docs, file, end_id, capacity).withColumn("piece", F.col("piece").cast("int")), "pieces")
     total = cut.where(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // (capacity * GROUP_SEQUENCES)))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridweave.llm.common import small_batches, text_bytes
+from gridweave.llm.common import lean, small_batches, text_bytes
 
 #: Most rows that the cost and selectivity sample holds.
 SAMPLE_ROWS = 1000
@@ -162,6 +162,7 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_row
     table; repeated rows each get their own verdict; other columns pass through (a column already
     called ``rejected_by`` is replaced).
     """
+    lean(docs)
     names = plan_cascade(docs, rules, sample_rows)
     chain = tuple(next(r for r in rules if r.name == n) for n in names)
     docs = docs.drop("rejected_by")
@@ -184,6 +185,7 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
     Null or empty text has zero words, so base_failed. The measures are needed whole here, so only
     the rules beyond them are spared by the cascade.
     """
+    lean(docs)
     names = plan_cascade(docs, rules, sample_rows)
     chain = tuple(next(r for r in rules if r.name == n) for n in names)
     kinds = [("doc_id", pa.int64())] + [
