@@ -13,6 +13,7 @@ from gridweave.llm.ngram_join import ngram_join
 from gridweave.llm.packing import pack
 from gridweave.llm.pii import personal_data_digests
 from gridweave.llm.quality import quality_report
+from gridweave.llm.secrets import secret_digests
 
 
 def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_secret_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -36,7 +41,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_weak_supervision, op4_bpe_automaton, op7_quality_rules, op9_best_fit_packing, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_pii_weak_supervision, op4_bpe_automaton, op6_secret_grammars, op7_quality_rules, op9_best_fit_packing, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
