@@ -75,9 +75,9 @@ class Automaton:
         key = state * self.width + token
         known = self.arcs.get(key)
         if known is None:
-            if len(self.arcs) > 5 * CACHE:
-                self.arcs.clear()
-            known = self.arcs[key] = self._has_arc(state, token)
+            known = self._has_arc(state, token)
+            if len(self.arcs) < 2 * CACHE:
+                self.arcs[key] = known
         return known
 
     def _has_arc(self, state: int, token: int) -> bool:
@@ -179,8 +179,6 @@ class Codec:
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, the ids in decimal, the decoded text), word by word from what is kept."""
         kept, n, ids, labels = self.kept, 0, [], []
-        if len(kept) > CACHE:
-            kept.clear()
         for part in self.segments(text):
             if part in self.special:
                 n += 1
@@ -191,7 +189,9 @@ class Codec:
                 known = kept.get(word)
                 if known is None:
                     got = self.ids(word)
-                    known = kept[word] = (len(got), " ".join(map(str, got)), self.decode(got))
+                    known = (len(got), " ".join(map(str, got)), self.decode(got))
+                    if len(kept) < CACHE:  # common words come early
+                        kept[word] = known
                 n += known[0]
                 ids.append(known[1])
                 labels.append(known[2])

@@ -67,9 +67,9 @@ class WordHashes(dict):
     limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(self) < self.limit:  # common words come early
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
