@@ -227,7 +227,7 @@ def _sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, spark_schema)
 
 
-def _blocks(rows: DataFrame, percent: int, tile: int, parts: int) -> DataFrame:
+def blocks_of(rows: DataFrame, percent: int, tile: int, parts: int) -> DataFrame:
     """(block, doc_id) of blocks that hold two or more documents of compatible size.
 
     A partition has all rows of its hashes. Equal member lists become one block; a block larger
@@ -282,7 +282,7 @@ def _blocks(rows: DataFrame, percent: int, tile: int, parts: int) -> DataFrame:
     return rows.repartition(parts, "token").mapInArrow(run, "block long, doc_id long")
 
 
-def _per_block(rows: DataFrame, payload: str, links) -> DataFrame:
+def linked_in_blocks(rows: DataFrame, payload: str, links) -> DataFrame:
     """Applies ``links(sizes, payloads)`` to every block; (a, b) document ids of its forest.
 
     Blocks come one after another in a sorted partition, so a task holds one block at a time.
@@ -339,12 +339,12 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     )
     reps = base.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     index = reps.select(F.explode("prefix").alias("token"), "doc_id", "n")
-    blocks = stored(_blocks(index, percent, tile, parts), "blocks")
+    blocks = stored(blocks_of(index, percent, tile, parts), "blocks")
 
     def by_bitmap(sizes, raws):
         return tree_links(sizes, np.frombuffer(b"".join(raws), np.uint64).reshape(len(raws), -1), percent)
 
-    maybe = _per_block(
+    maybe = linked_in_blocks(
         blocks.join(base.select("doc_id", "n", "bits"), "doc_id").repartition(parts, "block"), "bits", by_bitmap
     )
     maybe = stored(maybe.distinct(), "maybe")
@@ -357,7 +357,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     tiled = _tiled(groups, base, tile, percent, parts)
     texts = docs.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     full = _sets(texts, width, percent, True)
-    links = stored(_per_block(tiled.join(full, "doc_id").repartition(parts, "block"), "tokens", by_set).distinct(), "links")
+    links = stored(linked_in_blocks(tiled.join(full, "doc_id").repartition(parts, "block"), "tokens", by_set).distinct(), "links")
     comps = stored(connected_components(links), "comps")
     counted = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
     keyed = (

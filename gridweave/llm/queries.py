@@ -7,10 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from gridweave.llm.ann import nearest
 from gridweave.llm.bpe import encode_digests
 from gridweave.llm.common import table
+from gridweave.llm.licenses import license_notices
 from gridweave.llm.ngram_join import ngram_join
 from gridweave.llm.packing import pack
+from gridweave.llm.paragraphs import paragraph_duplicates
 from gridweave.llm.pii import personal_data_digests
 from gridweave.llm.quality import quality_report
 from gridweave.llm.secrets import secret_digests
@@ -20,10 +23,18 @@ def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
@@ -32,6 +43,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op8_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_notices(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -41,7 +56,20 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_weak_supervision, op4_bpe_automaton, op6_secret_grammars, op7_quality_rules, op9_best_fit_packing, op10_ngram_jaccard)}
+    return {f.__name__: f for f in REGISTERED}
+
+
+REGISTERED = (
+    op1_pii_weak_supervision,
+    op3_one_bit_codes,
+    op4_bpe_automaton,
+    op5_paragraph_minhash,
+    op6_secret_grammars,
+    op7_quality_rules,
+    op8_license_dice,
+    op9_best_fit_packing,
+    op10_ngram_jaccard,
+)
 
 
 def oracle_sql() -> dict[str, str]:
