@@ -243,8 +243,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     found = stored(candidate_secrets(docs), "secrets")
     base = found.select(F.explode("base").alias("s")).select("s.kind", "s.value")
     labelled = {k: _sampled(base.where(F.col("kind") == k).select("value")) for k in KINDS}
-    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("value"))
-    ordinary = [r.value for r in words.where("length(value) between 12 and 40").limit(SAMPLE).collect()]
+    share = min(1.0, SAMPLE / max(1, found.count()))
+    words = docs.sample(fraction=share, seed=11).select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("value"))
+    ordinary = _sampled(words.where("length(value) between 12 and 40"))
     detector = Detector(labelled, ordinary)
 
     def kinds_of(batches):
