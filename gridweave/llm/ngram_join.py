@@ -9,8 +9,8 @@
    drops node pairs whose largest possible overlap is too small. Large blocks are cut into
    tiles, searched pair by pair, so that no task holds a whole hot block's bitmaps. What is
    left is a spanning forest of pairs that may be similar.
-4. Its components get the documents' full sets and are verified exactly; a component larger than
-   ``tile`` is again cut into tile pairs.
+4. Its components get the documents' full sets and are verified exactly; a component with more
+   than ``SET_TOKENS`` shingles is again cut into tile pairs.
 5. Verified links give the final components.
 """
 
@@ -34,7 +34,9 @@ from gridweave.llm.common import (
 )
 
 BITS = 2048
+#: Documents of a block's bitmaps that a task holds at once, and shingles of a component's sets.
 TILE = 2048
+SET_TOKENS = 1_000_000
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -165,12 +167,15 @@ def set_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     if n < 2 or not sizes.sum():
         return []
     tokens, inv = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(inv, kind="stable")
-    holders, starts = owner[order], np.r_[0, np.cumsum(np.bincount(inv, minlength=len(tokens)))]
-    bounds = np.r_[0, np.cumsum(sizes)]
+    held = np.bincount(inv, minlength=len(tokens))
+    del tokens
+    inv = inv.astype(np.int32)
+    shared_by = held[inv] > 1  # the others are in no intersection
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)[shared_by]
+    inv = inv[shared_by]
+    holders, starts = owner[np.argsort(inv, kind="stable")], np.r_[0, np.cumsum(np.where(held > 1, held, 0))]
+    bounds = np.searchsorted(owner, np.arange(n + 1))
     unseen, out = np.ones(n, bool), []
-    lists = [holders[starts[t] : starts[t + 1]] for t in range(len(tokens))] if len(tokens) < 2_000_000 else None
     for first in range(n):
         if not unseen[first]:
             continue
@@ -182,8 +187,9 @@ def set_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             if not (unseen & (sizes >= low) & (sizes <= high)).any():
                 continue
             mine = inv[bounds[x] : bounds[x + 1]]
-            with_x = [lists[t] if lists else holders[starts[t] : starts[t + 1]] for t in mine.tolist()]
-            shared = np.bincount(np.concatenate(with_x), minlength=n)
+            long = starts[mine + 1] - starts[mine]
+            at = np.repeat(starts[mine] - np.r_[0, np.cumsum(long)[:-1]], long) + np.arange(long.sum()) if len(mine) else mine
+            shared = np.bincount(holders[at], minlength=n)
             hit = unseen & ((100 + percent) * shared >= percent * (sizes + sizes[x]))
             for y in np.nonzero(hit)[0].tolist():
                 out.append((x, y))
@@ -354,7 +360,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     def by_set(sizes, raws):
         return set_links([np.frombuffer(r, np.uint64) for r in raws], percent)
 
-    tiled = _tiled(groups, base, tile, percent, parts)
+    tiled = _tiled(groups, base, SET_TOKENS)
     texts = docs.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     full = _sets(texts, width, percent, True)
     links = stored(linked_in_blocks(tiled.join(full, "doc_id").repartition(parts, "block"), "tokens", by_set).distinct(), "links")
@@ -373,21 +379,17 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     )
 
 
-def _tiled(groups: DataFrame, base: DataFrame, tile: int, percent: int, parts: int) -> DataFrame:
-    """(block, doc_id): small groups whole, larger ones as pairs of size-ordered tiles.
+def _tiled(groups: DataFrame, base: DataFrame, most: int) -> DataFrame:
+    """(block, doc_id): small groups whole, larger ones as pairs of tiles.
 
-    A document of a large group goes to each tile pair that its tile is part of; tiles are ranges of
-    sizes, split further by hash where one size holds more than a tile.
+    A group with more than ``most`` shingles is dealt to tiles by hash; a document goes to every pair of tiles
+    that its own is part of, so any two documents of a group meet in a block.
     """
     sized = groups.join(base.select(F.col("doc_id").alias("node"), "n"), "node")
-    counts = groups.groupBy("component").agg(F.count("*").alias("m"))
-    large = counts.where(F.col("m") > tile)
-    small = sized.join(counts.where(F.col("m") <= tile), "component").select(F.xxhash64("component").alias("block"), F.col("node").alias("doc_id"))
-    k = F.ceil(F.col("m") / tile)
-    mine = F.pmod(F.xxhash64("node"), k)
-    big = (
-        sized.join(large, "component")
-        .withColumn("k", k)
+    tiles = sized.groupBy("component").agg(F.ceil(F.sum("n") / most).alias("k"))
+    mine = F.pmod(F.xxhash64("node"), F.col("k"))
+    return (
+        sized.join(tiles, "component")
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
         .select(
@@ -395,4 +397,3 @@ def _tiled(groups: DataFrame, base: DataFrame, tile: int, percent: int, parts: i
             F.col("node").alias("doc_id"),
         )
     )
-    return small.union(big)
