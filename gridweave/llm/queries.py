@@ -11,6 +11,7 @@ from gridweave.llm.ann import nearest
 from gridweave.llm.bpe import encode_digests
 from gridweave.llm.common import table
 from gridweave.llm.licenses import license_notices
+from gridweave.llm.lm import score_documents
 from gridweave.llm.ngram_join import ngram_join
 from gridweave.llm.packing import pack
 from gridweave.llm.paragraphs import paragraph_duplicates
@@ -23,6 +24,10 @@ def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 REGISTERED = (
     op1_pii_weak_supervision,
+    op2_recurrent_lm,
     op3_one_bit_codes,
     op4_bpe_automaton,
     op5_paragraph_minhash,
