@@ -59,7 +59,7 @@ def token_hash(word: bytes) -> int:
 
 def held_out(doc_id) -> bool:
     """Whether a document is kept from training."""
-    return zlib.crc32(str(doc_id).encode()) % 7 == 2
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
 class Tokens(dict):
@@ -436,7 +436,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return scored.join(rare, "row", "left").select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).alias("held_out"),
+        (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2).alias("held_out"),
         "n_tokens",
         plus("n_known", "n").alias("n_known"),
         F.lit(sums.n).cast("bigint").alias("train_tokens"),
