@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gridweave.llm.common import lean, small_batches, text_bytes
 
@@ -166,7 +167,7 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_row
     names = plan_cascade(docs, rules, sample_rows)
     chain = tuple(next(r for r in rules if r.name == n) for n in names)
     docs = docs.drop("rejected_by")
-    schema = docs.schema.add("rejected_by", "string", True)
+    schema = StructType([*docs.schema.fields, StructField("rejected_by", StringType())])
 
     def run(batches):
         for b in small_batches(batches):
