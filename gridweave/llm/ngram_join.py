@@ -2,8 +2,10 @@
 
 1. Every whole text becomes a set of 64-bit shingle hashes. Equal sets collapse to one
    representative (their links are certain).
-2. A representative is indexed under the smallest hashes of its set: two sets whose Jaccard
-   similarity reaches t share one of the ``n - ceil(t n) + 1`` smallest hashes of both, so no link is lost.
+2. A representative is indexed under the first tokens of its set: in any fixed order of all tokens, two sets
+   whose Jaccard similarity reaches t share one of the first ``n - ceil(t n) + 1`` tokens of both, so no
+   link is lost. The order is by hash, but with tokens last that many documents would be indexed under (a bounded
+   table): passages that many documents share then bring no documents together.
 3. Documents that share a hash form a block. Blocks are searched with signature trees: leaves
    hold token bitmaps and sizes, inner nodes their OR and size range; a dual traversal from the root pair
    drops node pairs whose largest possible overlap is too small. Large blocks are cut into
@@ -37,6 +39,8 @@ BITS = 2048
 #: Documents of a block's bitmaps that a task holds at once, and shingles of a component's sets.
 TILE = 2048
 SET_TOKENS = 1_000_000
+#: A token is common from so many indexed documents on; most common tokens that the order puts last.
+COMMON_FROM, COMMON_TOKENS = 3, 500_000
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -205,32 +209,56 @@ def tiles_of(n: int, low: np.ndarray, tile: int, percent: int) -> list[tuple[int
     return [(a, b) for a in range(k) for b in range(a, k) if 100 * high[a] >= percent * low[b * tile]]
 
 
-def _sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
-    """doc_id, n, set key (16 bytes) and, of ``whole``, the set, else its prefix and bitmap."""
-    kinds = [("doc_id", pa.int64()), ("n", pa.int64())]
-    kinds += [("tokens", pa.binary())] if whole else [("key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())]
-    out = pa.schema(kinds)
+def in_order(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """A sorted set's tokens in index order: by hash, common ones (sorted array) last."""
+    if not len(common):
+        return tokens
+    place = np.searchsorted(common, tokens)
+    place[place == len(common)] = 0
+    last = common[place] == tokens
+    return np.concatenate((tokens[~last], tokens[last])) if last.any() else tokens
 
-    def run(batches):
-        import xxhash
 
+def _mapped(docs: DataFrame, width: int, schema: str, kinds: list, row) -> DataFrame:
+    """doc_id, n and what ``row(set)`` gives of each text's shingle set."""
+    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), *kinds])
+
+    def run(batches):
         hashes = WordHashes()
         for b in small_batches(batches):
-            rows = []
-            for raw in text_bytes(b.column("text")):
-                s = shingle_set(raw, width, hashes)
-                n = len(s)
-                if whole:
-                    rows.append((n, s.tobytes()))
-                else:
-                    p = n - needed(n, percent) + 1 if n else 0
-                    rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), s[:p].view(np.int64), bitmap(s).tobytes()))
-            arrays = [b.column("doc_id").cast(pa.int64())]
-            arrays += [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds[1:])]
+            sets = [shingle_set(raw, width, hashes) for raw in text_bytes(b.column("text"))]
+            rows = [row(s) for s in sets]
+            arrays = [b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            arrays += [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
-    spark_schema = "doc_id long, n long, " + ("tokens binary" if whole else "key binary, prefix array<long>, bits binary")
-    return docs.select("doc_id", "text").mapInArrow(run, spark_schema)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n long, {schema}")
+
+
+def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The set's key (16 bytes) and a little more of its smallest hashes than the index takes."""
+
+    def row(s):
+        import xxhash
+
+        p = len(s) - needed(len(s), percent) + 1 if len(s) else 0
+        return xxhash.xxh3_128_digest(s.tobytes()), s[: p + p // 2 + 1].view(np.int64)
+
+    return _mapped(docs, width, "key binary, early array<long>", [("key", pa.binary()), ("early", pa.list_(pa.int64()))], row)
+
+
+def _index(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
+    """The tokens that a document is indexed under and its bitmap. ``common``: broadcast sorted array."""
+
+    def row(s):
+        p = len(s) - needed(len(s), percent) + 1 if len(s) else 0
+        return in_order(s, common.value)[:p].view(np.int64), bitmap(s).tobytes()
+
+    return _mapped(docs, width, "prefix array<long>, bits binary", [("prefix", pa.list_(pa.int64())), ("bits", pa.binary())], row)
+
+
+def _whole_sets(docs: DataFrame, width: int) -> DataFrame:
+    return _mapped(docs, width, "tokens binary", [("tokens", pa.binary())], lambda s: (s.tobytes(),))
 
 
 def blocks_of(rows: DataFrame, percent: int, tile: int, parts: int) -> DataFrame:
@@ -339,19 +367,23 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     lean(docs)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = stored(_sets(docs, width, percent, False), "sets")
+    base = stored(_keys(docs, width, percent), "sets")
     classes = stored(
         base.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
-    reps = base.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    index = reps.select(F.explode("prefix").alias("token"), "doc_id", "n")
-    blocks = stored(blocks_of(index, percent, tile, parts), "blocks")
+    rep_ids = classes.select(F.col("rep").alias("doc_id"))
+    early = base.select("doc_id", F.explode("early").alias("token")).join(rep_ids, "doc_id", "left_semi")
+    often = early.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= COMMON_FROM)
+    often = often.orderBy(F.desc("df"), "token").limit(COMMON_TOKENS).select("token").toArrow().column(0).to_numpy()
+    common = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
+    index = stored(_index(docs, width, percent, common).where("n > 0").join(rep_ids, "doc_id", "left_semi"), "index")
+    blocks = stored(blocks_of(index.select(F.explode("prefix").alias("token"), "doc_id", "n"), percent, tile, parts), "blocks")
 
     def by_bitmap(sizes, raws):
         return tree_links(sizes, np.frombuffer(b"".join(raws), np.uint64).reshape(len(raws), -1), percent)
 
     maybe = linked_in_blocks(
-        blocks.join(base.select("doc_id", "n", "bits"), "doc_id").repartition(parts, "block"), "bits", by_bitmap
+        blocks.join(index.select("doc_id", "n", "bits"), "doc_id").repartition(parts, "block"), "bits", by_bitmap
     )
     maybe = stored(maybe.distinct(), "maybe")
     groups = stored(connected_components(maybe), "groups")
@@ -362,7 +394,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
 
     tiled = _tiled(groups, base, SET_TOKENS)
     texts = docs.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    full = _sets(texts, width, percent, True)
+    full = _whole_sets(texts, width)
     links = stored(linked_in_blocks(tiled.join(full, "doc_id").repartition(parts, "block"), "tokens", by_set).distinct(), "links")
     comps = stored(connected_components(links), "comps")
     counted = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
