@@ -64,7 +64,7 @@ def dropped(df: DataFrame) -> None:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; the cache is bounded, its values do not depend on it."""
 
-    limit = 100_000
+    limit = 300_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)

@@ -33,7 +33,7 @@ HEAD, CLASS_WORDS, TAIL, HIDDEN = 2048, 32, 16, 16
 SEGMENT, SEGMENT_EVERY, STEPS = 64, 1024, 32
 ROUNDS, BATCH, RATE = 3, 64, 0.01
 MOST_SHARDS, SEGMENTS_PER_SHARD = 48, 6000
-LANES = 512
+LANES = 256
 #: Tokens of texts that a scoring task holds at once (but always a whole text).
 HOLD = 3_000_000
 END = (1 << 62) | 3
@@ -65,7 +65,7 @@ def held_out(doc_id) -> bool:
 class Tokens(dict):
     """word -> number; bounded, so that what is kept never changes a value."""
 
-    def __init__(self, number, limit: int = 150_000):
+    def __init__(self, number, limit: int = 400_000):
         super().__init__()
         self.number, self.limit = number, limit
 
@@ -181,12 +181,12 @@ class Model:
         """
         n = len(targets)
         cls = np.where(targets < HEAD, targets // CLASS_WORDS, targets - HEAD + _CLASSES)
-        logits = states @ self.wc + self.bc
-        logits -= logits.max(axis=1, keepdims=True)
+        # logits are clipped where exp() of float32 would leave its range; sums are products with ones
+        logits = np.clip(states @ self.wc + self.bc, -80, 80)
         at = np.arange(n)
         own = logits[at, cls]
         np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
+        total = logits @ np.ones(logits.shape[1], logits.dtype)
         out = own - np.log(total)
         if grads is not None:
             logits /= total[:, None]
@@ -203,13 +203,12 @@ class Model:
                 continue
             rows = order[a:b]
             s = states[rows]
-            inner = s @ self.ww[c] + self.bw[c]
-            inner -= inner.max(axis=1, keepdims=True)
+            inner = np.clip(s @ self.ww[c] + self.bw[c], -80, 80)
             w = targets[rows] % CLASS_WORDS
             k = np.arange(b - a)
             own = inner[k, w]
             np.exp(inner, out=inner)
-            total = inner.sum(axis=1)
+            total = inner @ np.ones(CLASS_WORDS, inner.dtype)
             out[rows] += own - np.log(total)
             if grads is not None:
                 inner /= total[:, None]
