@@ -113,7 +113,7 @@ def _paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches):
         hashes = SentenceHashes()
         for b in small_batches(batches):
-            w_at, w_key, l_at, l_words, l_key, l_n, l_bands, w_count, l_count = ([] for _ in range(9))
+            w_at, w_key, l_at, l_words, parts, w_count, l_count = ([] for _ in range(7))
             for raw in text_bytes(b.column("text")):
                 words, starts = line_words(raw)
                 h = hashes.of(words)
@@ -125,17 +125,19 @@ def _paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 long = sizes >= WINDOW
                 a, size = starts[:-1][long], sizes[long]
                 l_count.append(len(a))
-                if not len(a):
-                    continue
-                s = shingle_hashes(h & ~np.uint64(1), SHINGLE)
-                parts = [s[x : x + n - SHINGLE + 1] for x, n in zip(a.tolist(), size.tolist(), strict=True)]
-                cuts = np.r_[0, np.cumsum([len(p) for p in parts])[:-1]].astype(np.int64)
+                if len(a):
+                    s = shingle_hashes(h & ~np.uint64(1), SHINGLE)
+                    parts += [s[x : x + n - SHINGLE + 1] for x, n in zip(a.tolist(), size.tolist(), strict=True)]
+                    l_at.append(a)
+                    l_words.append(size)
+            l_key, l_n, l_bands = [], [], []
+            if parts:  # all lines of the batch at once
+                long = np.fromiter(map(len, parts), np.int64, len(parts))
+                cuts = np.r_[0, np.cumsum(long)[:-1]]
                 flat = np.concatenate(parts)
-                order = mixed(flat + np.arange(len(flat), dtype=np.uint64) - np.repeat(cuts, [len(p) for p in parts]).astype(np.uint64))
-                l_key.append(mixed(np.add.reduceat(order, cuts) + size.astype(np.uint64)))
-                l_at.append(a)
-                l_words.append(size)
-                l_n.append(np.array([len(np.unique(p)) for p in parts], np.int64))
+                order = mixed(flat + (np.arange(len(flat)) - np.repeat(cuts, long)).astype(np.uint64))
+                l_key.append(mixed(np.add.reduceat(order, cuts) + long.astype(np.uint64)))
+                l_n.append(np.fromiter((len(np.unique(p)) for p in parts), np.int64, len(parts)))
                 l_bands.append(minhash_bands(flat, cuts, bands, rows))
             cat = lambda parts, t: np.concatenate(parts).astype(t) if parts else np.zeros(0, t)
             as_long = lambda parts: pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
