@@ -18,7 +18,7 @@ import json
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from gridweave.llm.common import lean, small_batches
 
@@ -204,7 +204,7 @@ def encode_documents(docs: DataFrame, file: str) -> DataFrame:
     and gives no ids and empty decoded text. Columns called so before are replaced."""
     lean(docs)
     docs = docs.drop("ids", "decoded")
-    schema = StructType([*docs.schema.fields]).add("ids", "array<int>").add("decoded", "string")
+    schema = StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType())).add("decoded", StringType())
 
     def run(batches):
         codec = Codec(file)

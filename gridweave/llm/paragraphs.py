@@ -252,18 +252,19 @@ def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with repeated paragraphs cut out of their texts; a text left without words goes.
 
     Other columns pass through but ``n_chars``, which follows the text. Texts without removals, null and
-    empty ones included, are unchanged. doc_id must be unique.
+    empty ones included, are unchanged. Repeated rows are cut alike; rows that share an id must share their text.
     """
     names = docs.columns
-    runs = removal_runs(docs, percent).select("doc_id", "runs")
-    joined = docs.join(runs, "doc_id", "left").select(*names, "runs")
+    mark = "_gridweave_runs"
+    runs = removal_runs(docs, percent).select("doc_id", F.col("runs").alias(mark))
+    joined = docs.join(runs, "doc_id", "left").select(*names, mark)
 
     def run(batches):
         import re
 
         word = re.compile(rb"[^\x20\x09-\x0d]+")
         for b in small_batches(batches):
-            cut, new = b.column("runs").to_pylist(), []
+            cut, new = b.column(mark).to_pylist(), []
             texts = b.column("text").to_pylist()
             for text, spans in zip(texts, cut, strict=True):
                 if not spans:
@@ -273,6 +274,8 @@ def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 places = [m.span() for m in word.finditer(raw)]
                 out, at = [], 0
                 for s in spans:
+                    if s["end"] > len(places):
+                        break  # another text under the same id
                     out.append(raw[at : places[s["at"]][0]])
                     at = places[s["end"] - 1][1]
                 out.append(raw[at:])

@@ -282,11 +282,13 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret span of its texts replaced by ``[secret]``; doc_id must be unique.
+    """``docs`` with every secret span of its texts replaced by ``[secret]``.
 
-    ``n_chars``, if there, follows the text. Rows without secrets are unchanged, null texts included.
+    ``n_chars``, if there, follows the text. Rows without secrets are unchanged, null texts included. Repeated rows are
+    blanked alike; rows that share an id must share their text.
     """
-    hit = find_secrets(docs).where(F.size("spans") > 0).select("doc_id", "spans")
+    mark = "_gridweave_spans"
+    hit = find_secrets(docs).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias(mark)).dropDuplicates(["doc_id"])
 
     def step(acc: Column, s: Column) -> Column:
         start = F.greatest(s["start"], acc["at"])
@@ -295,9 +297,9 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"), acc["text"].alias("text"))
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"), F.col("text").alias("text"))
-    clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substr(a["text"], (a["at"] + 1).cast("int"))))
+    clean = F.aggregate(mark, start, step, lambda a: F.concat(a["out"], F.substr(a["text"], (a["at"] + 1).cast("int"))))
     names = docs.columns
-    out = docs.join(hit, "doc_id", "left").withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
+    out = docs.join(hit, "doc_id", "left").withColumn("text", F.when(F.col(mark).isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(mark).isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(*names)
