@@ -11,7 +11,8 @@
    drops node pairs whose largest possible overlap is too small. Large blocks are cut into
    tiles, searched pair by pair, so that no task holds a whole hot block's bitmaps. What is
    left is a spanning forest of pairs that may be similar.
-4. Its components get the documents' full sets and are verified exactly; a component with more
+   Its components are searched once more, each document once, with bitmaps as wide as large sets need.
+4. The components that remain get the documents' full sets and are verified exactly; a component with more
    than ``SET_TOKENS`` shingles is again cut into tile pairs.
 5. Verified links give the final components.
 """
@@ -58,8 +59,18 @@ def needed(n, percent: int):
     return -(-percent * n // 100)
 
 
+def wide(n: int) -> int:
+    """Bits of the bitmap of a set of n shingles that does not crowd: a power of two from 2 n on, ``BITS`` at least."""
+    return max(BITS, 1 << (2 * n - 1).bit_length()) if n else BITS
+
+
+def folded(raw: bytes, words: int) -> np.ndarray:
+    """A bitmap's parts OR-combined into ``words`` 64-bit words, as if it had been made that small."""
+    return np.bitwise_or.reduce(np.frombuffer(raw, np.uint64).reshape(-1, words), axis=0)
+
+
 def bitmap(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Token bitmap as unsigned 64-bit words."""
+    """Token bitmap as unsigned 64-bit words; ``bits`` is a power of two."""
     out = np.zeros(bits, np.uint8)
     out[(tokens >> np.uint64(20)).astype(np.int64) % bits] = 1
     return np.packbits(out).view(np.uint64)
@@ -248,13 +259,18 @@ def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _index(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
-    """The tokens that a document is indexed under and its bitmap. ``common``: broadcast sorted array."""
+    """The tokens that a document is indexed under, its bitmap and the wider one of a large set.
+
+    ``common``: broadcast sorted array.
+    """
 
     def row(s):
-        p = len(s) - needed(len(s), percent) + 1 if len(s) else 0
-        return in_order(s, common.value)[:p].view(np.int64), bitmap(s).tobytes()
+        n = len(s)
+        p = n - needed(n, percent) + 1 if n else 0
+        return in_order(s, common.value)[:p].view(np.int64), bitmap(s).tobytes(), bitmap(s, wide(n)).tobytes() if wide(n) > BITS else None
 
-    return _mapped(docs, width, "prefix array<long>, bits binary", [("prefix", pa.list_(pa.int64())), ("bits", pa.binary())], row)
+    kinds = [("prefix", pa.list_(pa.int64())), ("bits", pa.binary()), ("wide", pa.binary())]
+    return _mapped(docs, width, "prefix array<long>, bits binary, wide binary", kinds, row)
 
 
 def _whole_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -385,9 +401,17 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     maybe = linked_in_blocks(
         blocks.join(index.select("doc_id", "n", "bits"), "doc_id").repartition(parts, "block"), "bits", by_bitmap
     )
-    maybe = stored(maybe.distinct(), "maybe")
-    groups = stored(connected_components(maybe), "groups")
+    rough = stored(connected_components(stored(maybe.distinct(), "maybe")), "rough")
     dropped(blocks)
+    # large sets crowd the blocks' bitmaps: what they brought together is searched again with bitmaps of their size
+    wider = index.select("doc_id", "n", F.coalesce("wide", "bits").alias("wide"))
+    again = _tiled(rough, index, SET_TOKENS).join(wider, "doc_id").repartition(parts, "block")
+
+    def by_wide_bitmap(sizes, raws):
+        words = min(map(len, raws)) // 8
+        return tree_links(sizes, np.stack([folded(r, words) for r in raws]), percent)
+
+    groups = stored(connected_components(stored(linked_in_blocks(again, "wide", by_wide_bitmap).distinct(), "likely")), "groups")
 
     def by_set(sizes, raws):
         return set_links([np.frombuffer(r, np.uint64) for r in raws], percent)
