@@ -61,6 +61,30 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Tables:
+    """The scratch tables of one operator: dropped together once its result is written."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def kept(self, table: DataFrame) -> DataFrame:
+        self.made.append(table)
+        return table
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        return self.kept(stored(df, label))
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables or self.made:
+            dropped(t)
+        self.made = [t for t in self.made if tables and all(t is not x for x in tables)]
+
+    def result(self, df: DataFrame, label: str) -> DataFrame:
+        out = stored(df, label)
+        self.drop()
+        return out
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; the cache is bounded, its values do not depend on it."""
 
@@ -137,7 +161,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the smallest reachable id.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join, over tables in
-    the shared folder, until a round changes nothing. Isolated nodes (a = b only) are dropped.
+    the shared folder, until a round changes nothing. Isolated nodes (a = b only) are dropped. The result is such a table.
     """
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -163,6 +187,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after == seen:
             break
         seen = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+    nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    ).distinct()
+    )
+    out = stored(nodes.distinct(), "components")
+    dropped(now)
+    return out

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import lean, small_batches, stored, text_bytes
+from gridweave.llm.common import Tables, lean, small_batches, text_bytes
 
 #: Most frequent tokens whose counts every worker has.
 TABLE = 1 << 18
@@ -375,8 +375,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     lean(docs)
     spark = docs.sparkSession
-    got = stored(_gathered(docs), "gathered")
-    counts = stored(got.where("token is not null").groupBy("token").agg(F.sum("n").alias("c")), "counts")
+    t = Tables()
+    got = t.stored(_gathered(docs), "gathered")
+    counts = t.stored(got.where("token is not null").groupBy("token").agg(F.sum("n").alias("c")), "counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "token").limit(TABLE).toArrow()
     tokens, c = top.column("token").to_numpy(), top.column("c").to_numpy()
@@ -389,6 +390,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     tail_n -= np.bincount(tails[:HEAD], c[:HEAD], TAIL)
     tail_v -= np.bincount(tails[:HEAD], minlength=TAIL)
     model = _trained(got.where("segment is not null").select("segment"), tokens, tails, Model(c[:HEAD], tail_n))
+    t.drop(got)
     share = np.log10(tail_n + tail_v + 1)
     given = spark.sparkContext.broadcast((tokens, np.log10(c + 1.0), tails, model, share))
     out = pa.schema(
@@ -429,11 +431,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
         if rows:
             yield done()
 
-    scored = stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>").withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = t.stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>").withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("rare").alias("token")).join(counts, "token").groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("c") + 1.0)).alias("s"))
     every = log10(sums.n + sums.v + 1)
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return scored.join(rare, "row", "left").select(
+    out = scored.join(rare, "row", "left").select(
         "doc_id",
         (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2).alias("held_out"),
         "n_tokens",
@@ -442,3 +444,4 @@ def score_documents(docs: DataFrame) -> DataFrame:
         (F.col("base") + F.coalesce("s", F.lit(0.0)) - F.col("n_tokens") * every).alias("base_score"),
         (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
     )
+    return t.result(out, "scores")

@@ -26,13 +26,12 @@ from pyspark.sql import functions as F
 
 from gridweave.llm.common import (
     Forest,
+    Tables,
     WordHashes,
     connected_components,
-    dropped,
     lean,
     shingle_hashes,
     small_batches,
-    stored,
     text_bytes,
 )
 
@@ -381,10 +380,10 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     document's class took part in while components were joined, not all pairs of copies.
     """
     lean(docs)
-    spark = docs.sparkSession
+    spark, t = docs.sparkSession, Tables()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = stored(_keys(docs, width, percent), "sets")
-    classes = stored(
+    base = t.stored(_keys(docs, width, percent), "sets")
+    classes = t.stored(
         base.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
     rep_ids = classes.select(F.col("rep").alias("doc_id"))
@@ -392,8 +391,8 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     often = early.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= COMMON_FROM)
     often = often.orderBy(F.desc("df"), "token").limit(COMMON_TOKENS).select("token").toArrow().column(0).to_numpy()
     common = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
-    index = stored(_index(docs, width, percent, common).where("n > 0").join(rep_ids, "doc_id", "left_semi"), "index")
-    blocks = stored(blocks_of(index.select(F.explode("prefix").alias("token"), "doc_id", "n"), percent, tile, parts), "blocks")
+    index = t.stored(_index(docs, width, percent, common).where("n > 0").join(rep_ids, "doc_id", "left_semi"), "index")
+    blocks = t.stored(blocks_of(index.select(F.explode("prefix").alias("token"), "doc_id", "n"), percent, tile, parts), "blocks")
 
     def by_bitmap(sizes, raws):
         return tree_links(sizes, np.frombuffer(b"".join(raws), np.uint64).reshape(len(raws), -1), percent)
@@ -401,8 +400,8 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     maybe = linked_in_blocks(
         blocks.join(index.select("doc_id", "n", "bits"), "doc_id").repartition(parts, "block"), "bits", by_bitmap
     )
-    rough = stored(connected_components(stored(maybe.distinct(), "maybe")), "rough")
-    dropped(blocks)
+    rough = t.kept(connected_components(t.stored(maybe.distinct(), "maybe")))
+    t.drop(blocks)
     # large sets crowd the blocks' bitmaps: what they brought together is searched again with bitmaps of their size
     wider = index.select("doc_id", "n", F.coalesce("wide", "bits").alias("wide"))
     again = _tiled(rough, index, SET_TOKENS).join(wider, "doc_id").repartition(parts, "block")
@@ -411,7 +410,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
         words = min(map(len, raws)) // 8
         return tree_links(sizes, np.stack([folded(r, words) for r in raws]), percent)
 
-    groups = stored(connected_components(stored(linked_in_blocks(again, "wide", by_wide_bitmap).distinct(), "likely")), "groups")
+    groups = t.kept(connected_components(t.stored(linked_in_blocks(again, "wide", by_wide_bitmap).distinct(), "likely")))
 
     def by_set(sizes, raws):
         return set_links([np.frombuffer(r, np.uint64) for r in raws], percent)
@@ -419,20 +418,21 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     tiled = _tiled(groups, base, SET_TOKENS)
     texts = docs.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     full = _whole_sets(texts, width)
-    links = stored(linked_in_blocks(tiled.join(full, "doc_id").repartition(parts, "block"), "tokens", by_set).distinct(), "links")
-    comps = stored(connected_components(links), "comps")
+    links = t.stored(linked_in_blocks(tiled.join(full, "doc_id").repartition(parts, "block"), "tokens", by_set).distinct(), "links")
+    comps = t.kept(connected_components(links))
     counted = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
     keyed = (
         classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
         .join(counted, "rep", "left")
         .select("key", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
     )
-    return base.join(keyed, "key", "left").select(
+    out = base.join(keyed, "key", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("links") + F.col("copies") - 1).otherwise(F.lit(0)).alias("n_links"),
     )
+    return t.result(out, "ngram-join")
 
 
 def _tiled(groups: DataFrame, base: DataFrame, most: int) -> DataFrame:

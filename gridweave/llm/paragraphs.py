@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import WordHashes, connected_components, lean, mixed, shingle_hashes, small_batches, stored, text_bytes
+from gridweave.llm.common import Tables, WordHashes, connected_components, lean, mixed, shingle_hashes, small_batches, text_bytes
 from gridweave.llm.ngram_join import blocks_of, linked_in_blocks, set_links
 
 #: Words of an embedded paragraph and fewest words of a compared line.
@@ -179,15 +179,15 @@ def _line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     return texts.select("text", "want").mapInArrow(run, "key long, raw binary")
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, percent: int, tile: int) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, percent: int, tile: int, t: Tables) -> DataFrame:
     """(node, component) of line keys that are linked to another key: candidates by bands, verified exactly."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "at", "words", "n", "bands")).alias("p"))
-    first = stored(first.select("key", "p.*"), "line-keys")
+    first = t.stored(first.select("key", "p.*"), "line-keys")
     index = first.select(F.explode("bands").alias("token"), F.col("key").alias("doc_id"), "n")
-    blocks = stored(blocks_of(index, percent, tile, parts), "line-blocks")
+    blocks = t.stored(blocks_of(index, percent, tile, parts), "line-blocks")
     wanted = first.select("key", "doc_id", "at", "words", "n").join(blocks.select(F.col("doc_id").alias("key")), "key", "left_semi")
-    wanted = stored(wanted, "line-places")
+    wanted = t.stored(wanted, "line-places")
     raws = _line_texts(docs, wanted)
     payload = raws.join(wanted.select("key", "n"), "key").withColumnRenamed("key", "doc_id")
 
@@ -197,7 +197,9 @@ def near_lines(docs: DataFrame, lines: DataFrame, percent: int, tile: int) -> Da
         return set_links(sets, percent)
 
     links = linked_in_blocks(blocks.join(payload, "doc_id").repartition(parts, "block"), "raw", verified)
-    return connected_components(stored(links.distinct(), "line-links"))
+    near = t.kept(connected_components(t.stored(links.distinct(), "line-links")))
+    t.drop(first, blocks, wanted)
+    return near
 
 
 def paragraph_duplicates(docs: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
@@ -209,9 +211,10 @@ def paragraph_duplicates(docs: DataFrame, percent: int = PERCENT, tile: int = TI
     """
     lean(docs)
     bands, rows = tuned_bands(percent)
-    base = stored(_paragraphs(docs, bands, rows), "paragraphs")
+    t = Tables()
+    base = t.stored(_paragraphs(docs, bands, rows), "paragraphs")
     lines = base.select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.*")
-    near = near_lines(docs, lines, percent, tile)
+    near = near_lines(docs, lines, percent, tile, t)
     # one id for each set of linked lines; unlinked keys stand for themselves
     placed = lines.select("doc_id", "at", "words", "key").join(near.withColumnRenamed("node", "key"), "key", "left")
     placed = placed.select("doc_id", "at", "words", F.coalesce("component", "key").alias("component"))
@@ -221,7 +224,7 @@ def paragraph_duplicates(docs: DataFrame, percent: int = PERCENT, tile: int = TI
         sets = units.groupBy("component").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last")).where("kept_in <> last").drop("last")
         return units.join(sets, "component").where("doc_id <> kept_in").select("doc_id", "at", "words", "kept_in", "component", F.lit(kind).alias("kind"))
 
-    return removals(placed, "line").union(removals(windows, "embedded"))
+    return t.result(removals(placed, "line").union(removals(windows, "embedded")), "removals")
 
 
 def _merged(spans: Column) -> Column:
