@@ -372,20 +372,17 @@ def linked_in_blocks(rows: DataFrame, payload: str, links) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = TILE) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of ``docs(doc_id, text)``.
+    """doc_id, n_shingles, component_id for every row of ``docs(doc_id, text)``.
 
     Links: 100 |A & B| >= percent |A | B|. Null, empty and blank texts have no shingles and link with
     nothing; repeated texts (and equal sets) link; doc_id must be unique and not null; other columns
-    are ignored; an empty table gives an empty table. ``n_links`` counts the verified links that a
-    document's class took part in while components were joined, not all pairs of copies.
+    are ignored; an empty table gives an empty table.
     """
     lean(docs)
     spark, t = docs.sparkSession, Tables()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = t.stored(_keys(docs, width, percent), "sets")
-    classes = t.stored(
-        base.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
-    )
+    classes = t.stored(base.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     rep_ids = classes.select(F.col("rep").alias("doc_id"))
     early = base.select("doc_id", F.explode("early").alias("token")).join(rep_ids, "doc_id", "left_semi")
     often = early.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= COMMON_FROM)
@@ -420,17 +417,11 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     full = _whole_sets(texts, width)
     links = t.stored(linked_in_blocks(tiled.join(full, "doc_id").repartition(parts, "block"), "tokens", by_set).distinct(), "links")
     comps = t.kept(connected_components(links))
-    counted = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
-    keyed = (
-        classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(counted, "rep", "left")
-        .select("key", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
-    )
+    keyed = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = base.join(keyed, "key", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("links") + F.col("copies") - 1).otherwise(F.lit(0)).alias("n_links"),
     )
     return t.result(out, "ngram-join")
 

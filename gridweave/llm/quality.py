@@ -8,8 +8,8 @@ run in order of falling rejection per second, each task stopping a document at i
 
 from __future__ import annotations
 
-import re
 import time
+from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -83,20 +83,8 @@ class Features:
     def _n_digits(self) -> int:
         return len(self.raw) - len(self.raw.translate(None, b"0123456789"))
 
-    def _top_share(self) -> float:
-        counts: dict[bytes, int] = {}
-        for x in self.words:
-            counts[x] = counts.get(x, 0) + 1
-        return max(counts.values(), default=0) / max(1, self.n_words)
-
-    def _longest(self) -> int:
-        return max(map(len, self.words), default=0)
-
-    def _long_run(self) -> bool:
-        return _RUN.search(self.raw) is not None
-
-
-_RUN = re.compile(rb"([^\s0-9])\1{39}")
+    def _most_frequent(self) -> int:
+        return max(Counter(self.words).values(), default=0)
 
 
 @dataclass(frozen=True)
@@ -115,8 +103,7 @@ RULES = (
     Rule("duplicate_lines", lambda f: 100 * f.n_dup_lines > 70 * len(f.lines)),
     Rule("digits", lambda f: 2 * f.n_digits > f.word_chars),
     Rule("word_length", lambda f: f.word_chars > 40 * f.n_words or 3 * f.word_chars < 4 * f.n_words),
-    Rule("one_word", lambda f: 2 * f.top_share > 1),
-    Rule("character_run", lambda f: f.long_run),
+    Rule("one_word", lambda f: 2 * f.most_frequent > f.n_words),
 )
 
 
@@ -157,7 +144,8 @@ def verdict(features: Features, order: tuple[Rule, ...]) -> str | None:
 
 
 def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Adds ``rejected_by`` (null: kept) to every row of ``docs(text, ...)``.
+    """Adds ``rejected_by`` (null: kept) to every row of ``docs(text, ...)``: the rule that stopped the cascade, so which
+    of several that apply it names depends on the measured order.
 
     Null text counts as empty and is rejected for too few words; an empty table gives an empty
     table; repeated rows each get their own verdict; other columns pass through (a column already
@@ -181,7 +169,7 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_row
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Measures and verdict of each document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept, rejected_by.
+    n_repeat_words, base_failed, kept.
 
     Null or empty text has zero words, so base_failed. The measures are needed whole here, so only
     the rules beyond them are spared by the cascade.
@@ -191,7 +179,7 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
     chain = tuple(next(r for r in rules if r.name == n) for n in names)
     kinds = [("doc_id", pa.int64())] + [
         (k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    ] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("rejected_by", pa.string())]
+    ] + [("base_failed", pa.bool_()), ("kept", pa.bool_())]
     out = pa.schema(kinds)
 
     def run(batches):
@@ -200,8 +188,8 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
             for x in text_bytes(b.column("text")):
                 f = Features(x)
                 failed = f.n_words < 10 or 100 * f.n_repeat_words > 20 * f.n_words
-                by = verdict(f, chain)
-                said = (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, failed, not failed and by is None, by)
+                kept = not failed and verdict(f, chain) is None
+                said = (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, failed, kept)
                 for column, v in zip(rows, said, strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays(
@@ -211,5 +199,5 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
     return docs.select("doc_id", "text").mapInArrow(
         run,
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "base_failed boolean, kept boolean, rejected_by string",
+        "base_failed boolean, kept boolean",
     )

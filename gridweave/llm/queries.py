@@ -78,5 +78,39 @@ REGISTERED = (
 )
 
 
+WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+TEXT = "coalesce(text, '')"
+FOLDED = f"translate({TEXT}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+QUALITY_SQL = rf"""
+WITH d AS (SELECT doc_id, {TEXT} AS t, {WORDS.format(text=TEXT)} AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 5)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(5)) AS k FROM r) GROUP BY doc_id),
+f AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY doc_id, x) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '[^0-9]', '', 'g')) AS digits, len(l) AS lines, coalesce(f.n, 0) AS top
+  FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 4 * n_symbols > word_chars OR 100 * n_dup_lines > 70 * lines OR 2 * digits > word_chars
+    OR word_chars > 40 * n_words OR 3 * word_chars < 4 * n_words OR 2 * top > n_words) AS kept
+FROM b"""
+
+JOIN_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(text=FOLDED)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM
+  (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+c AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT c.doc_id, e.b FROM c JOIN e ON e.a = c.other)
+SELECT c.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM c LEFT JOIN n USING (doc_id) GROUP BY c.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; the others are tested against brute force."""
+    return {"op7_quality_rules": QUALITY_SQL, "op10_ngram_jaccard": JOIN_SQL}
