@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Rows of an Arrow batch: whole texts are long, and both sides hold a batch or two.
 BATCH_ROWS = 512
 
@@ -44,7 +46,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """Bounds the Arrow batches that Python operators on ``df`` get."""
+    """Bounds the Arrow batches that Python operators on ``df`` get, and lets workers import this package."""
+    env = df.sparkSession.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if HOME not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([HOME, *paths])
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(df.sparkSession.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
@@ -85,6 +91,30 @@ class Tables:
         return out
 
 
+def most_frequent(counts: DataFrame, token: str, count: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """About the ``most`` most frequent tokens of ``counts`` and their counts, by falling count, then token.
+
+    A histogram of the counts, of a few thousand rows at most, tells from which count on tokens are taken; of those at the
+    limit a share is taken by hash. So only what is taken goes to the driver, and nothing is sorted in one task.
+    """
+    c = F.col(count)
+    level = F.when(c < 4096, c).otherwise((4096 + F.floor(F.log2(c) * 16)).cast("bigint"))
+    rows = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.level)
+    taken, last, share = 0, None, 0.0
+    for r in rows:
+        last, share = r.level, min(1.0, (most - taken) / r.n)
+        if share < 1:
+            break
+        taken += r.n
+    if last is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    picked = F.pmod(F.xxhash64(token), F.lit(1_000_000)) < int(share * 1_000_000)
+    top = counts.where((level > last) | ((level == last) & picked)).select(token, count).toArrow()
+    tokens, n = top.column(0).to_numpy(), top.column(1).to_numpy()
+    order = np.lexsort((tokens, -n))
+    return tokens[order], n[order]
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; the cache is bounded, its values do not depend on it."""
 

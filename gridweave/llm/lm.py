@@ -24,9 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Tables, lean, small_batches, text_bytes
+from gridweave.llm.common import Tables, lean, most_frequent, small_batches, text_bytes
 
-#: Most frequent tokens whose counts every worker has.
+#: Most frequent tokens (about so many) whose counts every worker has.
 TABLE = 1 << 18
 HEAD, CLASS_WORDS, TAIL, HIDDEN = 2048, 32, 16, 16
 #: Tokens of a training segment; tokens of a text for each segment; tokens of a window of backpropagation.
@@ -379,8 +379,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     got = t.stored(_gathered(docs), "gathered")
     counts = t.stored(got.where("token is not null").groupBy("token").agg(F.sum("n").alias("c")), "counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(TABLE).toArrow()
-    tokens, c = top.column("token").to_numpy(), top.column("c").to_numpy()
+    tokens, c = most_frequent(counts, "token", "c", TABLE)
     tails = tokens & 15
     # tail classes: all tokens that are not head tokens
     per_class = counts.groupBy(F.col("token").bitwiseAND(15).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()

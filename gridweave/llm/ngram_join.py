@@ -30,6 +30,7 @@ from gridweave.llm.common import (
     WordHashes,
     connected_components,
     lean,
+    most_frequent,
     shingle_hashes,
     small_batches,
     text_bytes,
@@ -385,9 +386,8 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     classes = t.stored(base.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     rep_ids = classes.select(F.col("rep").alias("doc_id"))
     early = base.select("doc_id", F.explode("early").alias("token")).join(rep_ids, "doc_id", "left_semi")
-    often = early.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= COMMON_FROM)
-    often = often.orderBy(F.desc("df"), "token").limit(COMMON_TOKENS).select("token").toArrow().column(0).to_numpy()
-    common = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
+    often = t.stored(early.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= COMMON_FROM), "often")
+    common = spark.sparkContext.broadcast(np.sort(most_frequent(often, "token", "df", COMMON_TOKENS)[0].view(np.uint64)))
     index = t.stored(_index(docs, width, percent, common).where("n > 0").join(rep_ids, "doc_id", "left_semi"), "index")
     blocks = t.stored(blocks_of(index.select(F.explode("prefix").alias("token"), "doc_id", "n"), percent, tile, parts), "blocks")
 

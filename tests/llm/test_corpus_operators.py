@@ -11,7 +11,7 @@ import pytest
 
 from gridweave.llm import ann, lm, ngram_join, paragraphs
 from gridweave.llm import queries as Q
-from gridweave.llm.common import Forest, connected_components, table
+from gridweave.llm.common import Forest, connected_components, most_frequent, table
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,6 +124,13 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_most_frequent(spark):
+    df = spark.createDataFrame([(k, 10_000 // (k + 1)) for k in range(2000)], "token long, c long")
+    tokens, n = most_frequent(df, "token", "c", 100)
+    assert 80 <= len(tokens) <= 120 and set(range(60)) <= set(tokens.tolist()) and list(n) == sorted(n, reverse=True)
+    assert len(most_frequent(df, "token", "c", 5000)[0]) == 2000 and len(most_frequent(df.where("false"), "token", "c", 5)[0]) == 0
+
+
 # --- paragraphs ------------------------------------------------------------------------------------------------
 
 
