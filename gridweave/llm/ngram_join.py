@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of documents over word shingles, with signature trees.
 
-1. Every whole text becomes a set of 64-bit shingle hashes. Equal sets collapse to one
-   representative (their links are certain).
+1. Every whole text becomes a set of 64-bit shingle hashes. Of equal sets only one representative, the
+   smallest document, goes on (their links are certain).
 2. A representative is indexed under the first tokens of its set: in any fixed order of all tokens, two sets
    whose Jaccard similarity reaches t share one of the first ``n - ceil(t n) + 1`` tokens of both, so no
    link is lost. The order is by hash, but with tokens last that many documents would be indexed under (a bounded
@@ -246,20 +246,27 @@ def _mapped(docs: DataFrame, width: int, schema: str, kinds: list, row) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n long, {schema}")
 
 
+def _key(s: np.ndarray) -> tuple[bytes, int]:
+    """A set's key of 16 bytes, and half of it as a number."""
+    import xxhash
+
+    key = xxhash.xxh3_128_digest(s.tobytes())
+    return key, int.from_bytes(key[:8], "little", signed=True)
+
+
 def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The set's key (16 bytes) and a little more of its smallest hashes than the index takes."""
+    """The set's key (16 bytes), half of it as ``half`` and a little more of its smallest hashes than the index takes."""
 
     def row(s):
-        import xxhash
-
         p = len(s) - needed(len(s), percent) + 1 if len(s) else 0
-        return xxhash.xxh3_128_digest(s.tobytes()), s[: p + p // 2 + 1].view(np.int64)
+        return *_key(s), s[: p + p // 8 + 1].view(np.int64)
 
-    return _mapped(docs, width, "key binary, early array<long>", [("key", pa.binary()), ("early", pa.list_(pa.int64()))], row)
+    kinds = [("key", pa.binary()), ("half", pa.int64()), ("early", pa.list_(pa.int64()))]
+    return _mapped(docs, width, "key binary, half long, early array<long>", kinds, row)
 
 
 def _index(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
-    """The tokens that a document is indexed under, its bitmap and the wider one of a large set.
+    """Half of the set's key, the tokens that it is indexed under, its bitmap and the wider one of a large set.
 
     ``common``: broadcast sorted array.
     """
@@ -267,10 +274,11 @@ def _index(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
     def row(s):
         n = len(s)
         p = n - needed(n, percent) + 1 if n else 0
-        return in_order(s, common.value)[:p].view(np.int64), bitmap(s).tobytes(), bitmap(s, wide(n)).tobytes() if wide(n) > BITS else None
+        large = bitmap(s, wide(n)).tobytes() if wide(n) > BITS else None
+        return _key(s)[1], in_order(s, common.value)[:p].view(np.int64), bitmap(s).tobytes(), large
 
-    kinds = [("prefix", pa.list_(pa.int64())), ("bits", pa.binary()), ("wide", pa.binary())]
-    return _mapped(docs, width, "prefix array<long>, bits binary, wide binary", kinds, row)
+    kinds = [("half", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary()), ("wide", pa.binary())]
+    return _mapped(docs, width, "half long, prefix array<long>, bits binary, wide binary", kinds, row)
 
 
 def _whole_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -280,21 +288,24 @@ def _whole_sets(docs: DataFrame, width: int) -> DataFrame:
 def blocks_of(rows: DataFrame, percent: int, tile: int, parts: int) -> DataFrame:
     """(block, doc_id) of blocks that hold two or more documents of compatible size.
 
-    A partition has all rows of its hashes. Equal member lists become one block; a block larger
-    than ``tile`` becomes one block for each pair of tiles.
+    ``rows`` has token, doc_id, n and, optionally, half: of equal sets, which share all their tokens, only the smallest
+    doc_id goes on. A partition has all rows of its tokens. Equal member lists become one block; a block larger than ``tile``
+    becomes one block for each pair of tiles.
     """
 
     def run(batches):
         import xxhash
 
-        token, doc, size = [], [], []
-        for b in batches:
-            token.append(b.column(0).to_numpy())
-            doc.append(b.column(1).to_numpy())
-            size.append(b.column(2).to_numpy())
-        if not token:
+        columns = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not columns:
             return
-        token, doc, size = map(np.concatenate, (token, doc, size))
+        token, doc, size, *half = (np.concatenate(c) for c in zip(*columns, strict=True))
+        if half:
+            order = np.lexsort((doc, half[0], size, token))
+            token, doc, size, half = token[order], doc[order], size[order], half[0][order]
+            copy = (token[1:] == token[:-1]) & (size[1:] == size[:-1]) & (half[1:] == half[:-1])
+            first = np.r_[True, ~copy]
+            token, doc, size = token[first], doc[first], size[first]
         order = np.lexsort((doc, size, token))
         token, doc, size = token[order], doc[order], size[order]
         # a row stays only if a neighbour of its hash has a compatible size
@@ -376,20 +387,20 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     """doc_id, n_shingles, component_id for every row of ``docs(doc_id, text)``.
 
     Links: 100 |A & B| >= percent |A | B|. Null, empty and blank texts have no shingles and link with
-    nothing; repeated texts (and equal sets) link; doc_id must be unique and not null; other columns
+    nothing; repeated texts (and equal sets) link; a null doc_id has a null component; other columns
     are ignored; an empty table gives an empty table.
     """
     lean(docs)
     spark, t = docs.sparkSession, Tables()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = t.stored(_keys(docs, width, percent), "sets")
-    classes = t.stored(base.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    rep_ids = classes.select(F.col("rep").alias("doc_id"))
-    early = base.select("doc_id", F.explode("early").alias("token")).join(rep_ids, "doc_id", "left_semi")
-    often = t.stored(early.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= COMMON_FROM), "often")
+    # common tokens: held by three texts or more that are not all copies of one
+    early = base.select("half", F.explode("early").alias("token")).groupBy("token")
+    often = early.agg(F.count("*").alias("df"), F.min("half").alias("a"), F.max("half").alias("z"))
+    often = t.stored(often.where((F.col("df") >= COMMON_FROM) & (F.col("a") != F.col("z"))).select("token", "df"), "often")
     common = spark.sparkContext.broadcast(np.sort(most_frequent(often, "token", "df", COMMON_TOKENS)[0].view(np.uint64)))
-    index = t.stored(_index(docs, width, percent, common).where("n > 0").join(rep_ids, "doc_id", "left_semi"), "index")
-    blocks = t.stored(blocks_of(index.select(F.explode("prefix").alias("token"), "doc_id", "n"), percent, tile, parts), "blocks")
+    index = t.stored(_index(docs, width, percent, common).where("n > 0 and doc_id is not null"), "index")
+    blocks = t.stored(blocks_of(index.select(F.explode("prefix").alias("token"), "doc_id", "n", "half"), percent, tile, parts), "blocks")
 
     def by_bitmap(sizes, raws):
         return tree_links(sizes, np.frombuffer(b"".join(raws), np.uint64).reshape(len(raws), -1), percent)
@@ -417,6 +428,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     full = _whole_sets(texts, width)
     links = t.stored(linked_in_blocks(tiled.join(full, "doc_id").repartition(parts, "block"), "tokens", by_set).distinct(), "links")
     comps = t.kept(connected_components(links))
+    classes = base.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     keyed = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = base.join(keyed, "key", "left").select(
         "doc_id",

@@ -363,3 +363,24 @@ def test_size_bounds_prune_nothing_that_matches():
                     assert bool(said) == (every[0] >= match.threshold)
                     if said:
                         assert said[0][1] == every[0]
+
+
+def test_null_ids_do_not_crash(spark, docs_of, prose):
+    import corpus_pipeline
+    from gridweave.llm import lm, ngram_join, paragraphs
+
+    text = prose(9, 120)
+    df = docs_of([(None, text), (None, None), (1, text), (2, prose(10, 60)), (None, prose(11, 60))])
+    n = df.count()
+    for run in (
+        quality.quality_report, quality.quality_cascade, pii.personal_data_digests, secrets.secret_digests, lm.score_documents, ngram_join.ngram_join,
+        lambda d: bpe.encode_digests(d, WORD_FILE), secrets.redacted, licenses.license_notices, paragraphs.paragraph_duplicates,
+        paragraphs.without_duplicates, lambda d: packing.pack(d, BYTE_FILE, 2),
+    ):
+        rows = run(df).collect()
+        if run not in (licenses.license_notices, paragraphs.paragraph_duplicates, paragraphs.without_duplicates):
+            assert len(rows) == n
+    docs = df
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() >= 1
