@@ -23,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where it is unset: the warehouse on a cluster, a temporary folder
+    in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        root = spark.conf.get("spark.sql.warehouse.dir")  # shared, too
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="gridweave-")
         spark.sparkContext.setCheckpointDir(root)
