@@ -94,6 +94,24 @@ class Tables:
         return out
 
 
+def ids_of(df: DataFrame, label: str) -> DataFrame:
+    """The doc_ids of ``df``, once each, as a table: small files whose size the planner knows when it chooses a join."""
+    return stored(df.select("doc_id").where("doc_id is not null").distinct().sortWithinPartitions("doc_id"), label)
+
+
+def with_extra(docs: DataFrame, extra: DataFrame, column: str) -> DataFrame:
+    """``docs`` with ``column`` of ``extra(doc_id, column)``, null where a row has none.
+
+    Only rows that have it are joined: the others, found by their ids alone, keep their texts where they are as long as
+    the ids are few enough to broadcast; beyond that the planner shuffles.
+    """
+    extra = stored(extra.select("doc_id", column), "extra")
+    ids = ids_of(extra, "extra-ids")
+    found = docs.join(ids, "doc_id", "left_semi").join(extra, "doc_id").select(*docs.columns, column)
+    rest = docs.join(ids, "doc_id", "left_anti").select(*docs.columns, F.lit(None).cast(extra.schema[column].dataType).alias(column))
+    return found.union(rest)
+
+
 def most_frequent(counts: DataFrame, token: str, count: str, most: int) -> tuple[np.ndarray, np.ndarray]:
     """About the ``most`` most frequent tokens of ``counts`` and their counts, by falling count, then token.
 

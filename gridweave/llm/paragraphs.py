@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Tables, WordHashes, connected_components, lean, mixed, shingle_hashes, small_batches, text_bytes
+from gridweave.llm.common import Tables, WordHashes, connected_components, lean, mixed, shingle_hashes, small_batches, text_bytes, with_extra
 from gridweave.llm.ngram_join import blocks_of, linked_in_blocks, set_links
 
 #: Words of an embedded paragraph and fewest words of a compared line.
@@ -260,7 +260,7 @@ def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     names = docs.columns
     mark = "_gridweave_runs"
     runs = removal_runs(docs, percent).select("doc_id", F.col("runs").alias(mark))
-    joined = docs.join(runs, "doc_id", "left").select(*names, mark)
+    joined = with_extra(docs, runs, mark)
 
     def run(batches):
         import re

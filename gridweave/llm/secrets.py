@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import lean, stored
+from gridweave.llm.common import lean, stored, with_extra
 from gridweave.llm.spans import find_spans, joined, overlaps
 
 KINDS = ("assign", "access", "hex")
@@ -299,7 +299,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"), F.col("text").alias("text"))
     clean = F.aggregate(mark, start, step, lambda a: F.concat(a["out"], F.substr(a["text"], (a["at"] + 1).cast("int"))))
     names = docs.columns
-    out = docs.join(hit, "doc_id", "left").withColumn("text", F.when(F.col(mark).isNotNull(), clean).otherwise(F.col("text")))
+    out = with_extra(docs, hit, mark).withColumn("text", F.when(F.col(mark).isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col(mark).isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(*names)
