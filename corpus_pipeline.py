@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm.common import stored, table
+from gridweave.llm.common import ids_of, stored, table
 from gridweave.llm.ngram_join import ngram_join
 from gridweave.llm.packing import pack
 from gridweave.llm.paragraphs import without_duplicates
@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document (smallest id) of each group of linked documents."""
-    kept = ngram_join(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    gone = ids_of(ngram_join(docs).where("doc_id <> component_id"), "near-duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
