@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gridweave import dtypes as dt
 from gridweave.dtypes import DType
-from gridweave.errors import ConversionFractional, ConversionInvalid, ConversionOverflow, InvalidParameter, UnsupportedDtype
+from gridweave.errors import ConversionFractional, ConversionOverflow, InvalidParameter, UnsupportedDtype
 from gridweave.functions.scalar import Scalar, half_away
 
 Element = Callable[[Column], Column]
@@ -71,6 +71,14 @@ class Transform:
             return F.struct((out if bad is None else F.when(bad, tensor).otherwise(out)).alias("tensor"), error.alias("error"))
         return out if bad is None else F.when(bad, F.raise_error("Overflow")).otherwise(out)
 
+    def element(self, x: Column, dtype: DType) -> Column:
+        """The transform of a plain number column, for data in long form; a bad element raises. Not for F16 and BF16."""
+        r = self.resolve(dtype)
+        if r.half is not None:
+            raise UnsupportedDtype
+        out = x if r.each is None else r.each(x)
+        return out if r.bad is None else F.when(r.bad(x), F.raise_error("Overflow")).otherwise(out)
+
 
 def half_map(fn: Callable[[np.ndarray], np.ndarray], dtype: DType):
     """Arrow-batched map of array<float> columns in a half precision type."""
@@ -278,8 +286,3 @@ class _One(Transform):
 
     def resolve(self, dtype: DType) -> Resolved:
         return self.resolved
-
-
-__all__ = [
-    "Add", "AddOverflow", "Chain", "Clamp", "ClampOverflow", "ConversionInvalid", "Custom", "IntRounding", "Resolved", "Scale", "Standardize", "Transform",
-]

@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.operators.layout import total_elements
 from gridweave.plans import flow
 from gridweave.plans.flow import StreamOptions
 
@@ -81,7 +80,3 @@ def stream_batches(
 
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def batch_bytes(shape, dtype) -> int:
-    return total_elements(shape) * dtype.size

@@ -123,3 +123,12 @@ def test_wrapping_matches_numpy(spark):
             with np.errstate(over="ignore"):
                 want = (np.array(x, kind) + np.array(v).astype(kind)).tolist()
             assert run(spark, x, dtype, Add(v, AddOverflow.WRAP)) == want
+
+
+def test_elements_in_long_form(spark):
+    df = spark.createDataFrame([(100,), (7,)], "x tinyint")
+    assert [r.y for r in df.select(Add(20).element(F.col("x"), dt.I8).alias("y")).collect()] == [120, 27]
+    with pytest.raises(Exception, match="Overflow"):
+        df.select(Add(100).element(F.col("x"), dt.I8)).collect()
+    with pytest.raises(UnsupportedDtype):
+        Add(1).element(F.col("x"), dt.F16)
