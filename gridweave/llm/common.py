@@ -139,7 +139,7 @@ def most_frequent(counts: DataFrame, token: str, count: str, most: int) -> tuple
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; the cache is bounded, its values do not depend on it."""
 
-    limit = 300_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)

@@ -65,7 +65,7 @@ def held_out(doc_id) -> bool:
 class Tokens(dict):
     """word -> number; bounded, so that what is kept never changes a value."""
 
-    def __init__(self, number, limit: int = 400_000):
+    def __init__(self, number, limit: int = 300_000):
         super().__init__()
         self.number, self.limit = number, limit
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Tables, WordHashes, connected_components, lean, mixed, shingle_hashes, small_batches, text_bytes, with_extra
+from gridweave.llm.common import Tables, WordHashes, connected_components, ids_of, lean, mixed, shingle_hashes, small_batches, text_bytes, with_extra
 from gridweave.llm.ngram_join import blocks_of, linked_in_blocks, set_links
 
 #: Words of an embedded paragraph and fewest words of a compared line.
@@ -164,7 +164,8 @@ def _paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 def _line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(key, raw) of the lines at ``places(key, doc_id, at, words)``, one place for each key."""
     per_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "words")).alias("want"))
-    texts = docs.select("doc_id", "text").join(per_doc, "doc_id")
+    # only the texts that hold such lines are moved
+    texts = docs.select("doc_id", "text").join(ids_of(places, "line-documents"), "doc_id", "left_semi").join(per_doc, "doc_id")
 
     def run(batches):
         for b in small_batches(batches):
