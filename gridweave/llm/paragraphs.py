@@ -5,8 +5,9 @@ Two kinds of paragraphs are compared across documents:
 * lines of at least ``WINDOW`` words, by MinHash signatures of their five-word shingles. The
   bands are tuned so that a pair at the similarity threshold meets with at least ``RECALL`` probability;
   colliding lines are joined and verified by the exact Jaccard similarity of their shingles;
-* embedded paragraphs: the ``WINDOW`` words from each sentence start on, wherever lines end. A passage that was
-  pasted into other text shares them with its copies, so equal ones are found by one hash.
+* embedded paragraphs: runs of words, wherever lines end. The ``WINDOW`` words from each line or sentence start and from
+  places chosen by their content (winnowing) are hashed; any run of ``GUARANTEED`` words holds such a window. Windows with
+  equal hashes are compared word by word and grown in both directions as long as an earlier document has the same words.
 
 Linked paragraphs form components; the first occurrence (smallest document, then place) stays and
 the other documents' occurrences are removals. Repeats within one document are left alone.
@@ -18,14 +19,18 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import Tables, WordHashes, connected_components, ids_of, lean, mixed, shingle_hashes, small_batches, text_bytes, with_extra
 from gridweave.llm.ngram_join import blocks_of, linked_in_blocks, set_links
 
-#: Words of an embedded paragraph and fewest words of a compared line.
+#: Words of a hashed window and fewest words of a compared line.
 WINDOW = 24
+#: Any shared run of so many words holds a window, so past its outermost windows it goes on for less than ``REACH`` + 1 words.
+GUARANTEED = 50
+REACH = GUARANTEED - WINDOW
 SHINGLE = 5
 PERCENT = 80
 RECALL = 0.99
@@ -67,24 +72,47 @@ def line_words(raw: bytes) -> tuple[list[bytes], np.ndarray]:
     return words, np.array([*starts, len(words)], np.int64)
 
 
-def embedded(h: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, hash) of the ``window`` words from each sentence or line start on, if so many follow.
-
-    Of equal embedded paragraphs in one text only the first is given.
-    """
+def embedded(h: np.ndarray, starts: np.ndarray, window: int = WINDOW, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, hash) of the ``window`` words from each sentence or line start on, if so many follow, and of the
+    smallest hash of every ``reach`` + 1 windows in a row, the first of equal ones."""
     n = len(h) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     begin = np.zeros(len(h), bool)
     begin[starts[:-1]] = True
     begin[1:] |= (h[:-1] & np.uint64(1)).astype(bool)
-    at = np.nonzero(begin[:n])[0]
     powers = np.cumprod(np.full(window, 0x9E3779B97F4A7C15, np.uint64))
-    keys = np.zeros(len(at), np.uint64)
+    keys = np.zeros(n, np.uint64)
     for k in range(window):
-        keys += h[at + k] * powers[k]
-    keys, first = np.unique(mixed(keys), return_index=True)
-    return at[first], keys
+        keys += h[k : k + n] * powers[k]
+    keys = mixed(keys)
+    if n > reach:
+        begin[np.arange(n - reach) + np.lib.stride_tricks.sliding_window_view(keys, reach + 1).argmin(axis=1)] = True
+    at = np.nonzero(begin[:n])[0]
+    return at, keys[at]
+
+
+class Earlier:
+    """Runs of words in order of their documents, as a tree that is unfolded only where runs part."""
+
+    def __init__(self):
+        self.root: dict = {}
+
+    def longest(self, words: list[bytes], doc: int) -> tuple[int, int | None]:
+        """Words at the start of ``words`` that a run of an earlier document shares and the first such document; keeps ``words``."""
+        node, shared, keeper = self.root, 0, None
+        for k, word in enumerate(words):
+            arc = node.get(word)
+            if arc is None:
+                node[word] = [doc, b" ".join(words[k + 1 :])]
+                break
+            if arc[0] < doc:
+                shared, keeper = k + 1, arc[0]
+            if isinstance(arc[1], bytes):
+                head, _, rest = arc[1].partition(b" ")
+                arc[1] = {head: [arc[0], rest]} if head else {}
+            node = arc[1]
+        return shared, keeper
 
 
 def minhash_bands(shingles: np.ndarray, cuts: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -180,6 +208,66 @@ def _line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     return texts.select("text", "want").mapInArrow(run, "key long, raw binary")
 
 
+def _short(word: bytes) -> bytes:
+    """A word as it is compared: a very long one by its digest."""
+    return word if len(word) <= 64 else b"\n" + xxhash.xxh3_128_digest(word).hex().encode()
+
+
+def grown_windows(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """Removals (doc_id, at, words, kept_in, component) by ``places(doc_id, at, key)`` of windows that several documents share.
+
+    Each window comes with ``REACH`` words on both sides. In order of documents it is compared, word by word, with all
+    earlier ones of its key, and grown on each side by what any of them shares.
+    """
+    per_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at")).alias("want"))
+    texts = docs.select("doc_id", "text").join(ids_of(places, "window-documents"), "doc_id", "left_semi").join(per_doc, "doc_id")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("raw", pa.binary())])
+
+    def around(batches):
+        for b in small_batches(batches, 16):
+            rows = []
+            for doc, raw, want in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")), b.column("want").to_pylist(), strict=True):
+                words = list(map(_short, raw.split()))
+                for x in want:
+                    at = x["at"]
+                    first = max(0, at - REACH)
+                    rows.append((x["key"], doc, at, at - first, b" ".join(words[first : at + WINDOW + REACH])))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    near = texts.select("doc_id", "text", "want").mapInArrow(around, "key long, doc_id long, at int, lead int, raw binary")
+    found = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("words", pa.int32()), ("kept_in", pa.int64()), ("component", pa.int64())])
+
+    def grown(batches):
+        now, same = None, {}
+        for b in batches:
+            rows = []
+            for key, doc, at, lead, raw in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if key != now:
+                    now, same = key, {}
+                words = raw.split(b" ")
+                window = b" ".join(words[lead : lead + WINDOW])
+                if window not in same:
+                    same[window] = (doc, Earlier(), Earlier())
+                first, before, after = same[window]
+                left, left_in = before.longest(words[:lead][::-1], doc)
+                right, right_in = after.longest(words[lead + WINDOW :], doc)
+                if first == doc:
+                    continue
+                if not left or not right or left_in == right_in:
+                    kept_in = left_in if left else right_in if right else first
+                    rows.append((doc, at - left, left + WINDOW + right, kept_in, key))
+                else:
+                    rows.append((doc, at - left, left + WINDOW, left_in, key))
+                    rows.append((doc, at, WINDOW + right, right_in, key))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, found, strict=True)], schema=found)
+
+    near = near.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "at")
+    return near.mapInArrow(grown, "doc_id long, at int, words int, kept_in long, component long").distinct()
+
+
 def near_lines(docs: DataFrame, lines: DataFrame, percent: int, tile: int, t: Tables) -> DataFrame:
     """(node, component) of line keys that are linked to another key: candidates by bands, verified exactly."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -219,13 +307,17 @@ def paragraph_duplicates(docs: DataFrame, percent: int = PERCENT, tile: int = TI
     # one id for each set of linked lines; unlinked keys stand for themselves
     placed = lines.select("doc_id", "at", "words", "key").join(near.withColumnRenamed("node", "key"), "key", "left")
     placed = placed.select("doc_id", "at", "words", F.coalesce("component", "key").alias("component"))
-    windows = base.select("doc_id", F.explode("windows").alias("x")).select("doc_id", "x.at", F.lit(WINDOW).alias("words"), F.col("x.key").alias("component"))
+    windows = base.select("doc_id", F.explode("windows").alias("x")).select("doc_id", "x.at", "x.key")
 
-    def removals(units: DataFrame, kind: str) -> DataFrame:
-        sets = units.groupBy("component").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last")).where("kept_in <> last").drop("last")
-        return units.join(sets, "component").where("doc_id <> kept_in").select("doc_id", "at", "words", "kept_in", "component", F.lit(kind).alias("kind"))
+    def shared(units: DataFrame, key: str) -> DataFrame:
+        sets = units.groupBy(key).agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last"))
+        return sets.where("kept_in <> last").drop("last")
 
-    return t.result(removals(placed, "line").union(removals(windows, "embedded")), "removals")
+    by_line = placed.join(shared(placed, "component"), "component").where("doc_id <> kept_in")
+    by_line = by_line.select("doc_id", "at", "words", "kept_in", "component", F.lit("line").alias("kind"))
+    places = t.stored(windows.join(shared(windows, "key").select("key"), "key"), "window-places")
+    by_window = grown_windows(docs, places).withColumn("kind", F.lit("embedded"))
+    return t.result(by_line.union(by_window), "removals")
 
 
 def _merged(spans: Column) -> Column:

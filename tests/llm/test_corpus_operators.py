@@ -176,6 +176,32 @@ def test_all_long_repeats_are_found(spark):
     assert len(hit - caught) <= 0.02 * len(hit)
 
 
+def test_pasted_passages_go_whole(spark, docs_of, prose):
+    plain = lambda seed, n: prose(seed, n).replace(".", "")
+    long, sentence = plain(700, 52), plain(701, 60)
+    rows = [(k, f"{plain(710 + k, 41 + k)} {long} {plain(730 + k, 33)}") for k in range(1, 5)]
+    rows += [(k, f"{plain(750 + k, 20 + k)}. {sentence} {plain(770 + k, 15)}") for k in range(5, 8)]
+    rows += [(8, f"{plain(790, 30)} {' '.join(sentence.split()[:45])} {plain(791, 20)}")]
+    by = {r.doc_id: r.text for r in paragraphs.without_duplicates(docs_of(rows)).collect()}
+    assert by[1] == rows[0][1] and by[5] == rows[4][1]
+    for k in (2, 3, 4):
+        assert by[k].split() == f"{plain(710 + k, 41 + k)} {plain(730 + k, 33)}".split()
+    for k in (6, 7):
+        assert by[k].split() == f"{plain(750 + k, 20 + k)}. {plain(770 + k, 15)}".split()
+
+
+def test_every_long_run_holds_a_window():
+    r = np.random.RandomState(4)
+    for _ in range(50):
+        run = r.randint(0, 2**62, paragraphs.GUARANTEED, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+        keys = []
+        for _ in range(2):
+            a, b = (r.randint(0, 2**62, r.randint(1, 90), dtype=np.int64).astype(np.uint64) * np.uint64(2) for _ in range(2))
+            at, key = paragraphs.embedded(np.concatenate((a, run, b)), np.array([0, len(a) + len(run) + len(b)]))
+            keys.append({int(k) for x, k in zip(at, key, strict=True) if len(a) <= x <= len(a) + paragraphs.REACH})
+        assert keys[0] & keys[1]
+
+
 def test_bands_reach_the_recall():
     bands, rows = paragraphs.tuned_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99 and bands <= paragraphs.MOST_BANDS
