@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document (smallest id) of each group of linked documents."""
-    gone = ids_of(ngram_join(docs).where("doc_id <> component_id"), "near-duplicates")
+    """The first document (smallest id) of each group of documents linked by a Jaccard similarity of five-word shingles from 0.8 on."""
+    gone = ids_of(ngram_join(docs, width=5, percent=80).where("doc_id <> component_id"), "near-duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

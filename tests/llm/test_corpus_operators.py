@@ -382,3 +382,20 @@ def test_pipeline_stages(spark):
     whole = corpus_pipeline.run(spark, SF).collect()
     key = lambda r: (r.doc_id, r.piece, r.length, r.ids_crc32)
     assert sorted(map(key, whole)) == sorted(map(key, last))
+
+
+def test_near_duplicates_stage(spark, docs_of, prose):
+    import corpus_pipeline
+
+    rows = near_copies(prose)
+    words = prose(60, 100).split()
+    changed = [*words[:50], "other", *words[51:]]
+    far = [*words[:20], "other", *words[21:50], "others", *words[51:80], "more", *words[81:]]
+    rows += [(2001, " ".join(words)), (2002, " ".join(changed)), (2003, " ".join(far))]
+    want = set(brute_components(rows, 80, 5)[0].values())
+    assert want != set(brute_components(rows)[0].values())
+    got = corpus_pipeline.near_duplicates(spark, docs_of(rows, clash=False), SF)
+    assert {r.doc_id for r in got.collect()} == want
+    docs = table(spark, SF, "documents")
+    comp, _ = brute_components([(r.doc_id, r.text) for r in docs.collect()], 80, 5)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == set(comp.values())
