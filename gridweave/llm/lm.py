@@ -1,12 +1,12 @@
 """Scoring of whole texts by a gated recurrent language model.
 
-1. One pass counts every token of all training documents and takes training segments from each of them (at least
-   one, more from longer texts). Counts are grouped by token; those of the ``TABLE`` most frequent tokens go to the workers (a
+1. One pass counts every token of all training documents. Counts are grouped by token; those of the ``TABLE`` most frequent tokens go to the workers (a
    fixed bound), the others stay distributed.
 2. The model predicts the class of the next token, then the token: the ``HEAD`` most frequent tokens are in
    classes of ``CLASS_WORDS`` with a softmax in each; all other tokens are in ``TAIL`` classes by their letters
    and last character, and share a class's probability by smoothed counts. It is trained by truncated
-   backpropagation in numpy on shards of the segments, and the shards' parameters are averaged after each round.
+   backpropagation in numpy on every window of every training text, in shards whose number grows with the input; a text's
+   state goes on from window to window. The shards' parameters are averaged after each round; each text is in one round.
 3. A pass scores every whole text. Texts run in parallel lanes, window after window; a lane's state goes on from window
    to window until its text ends. Counts of rare tokens are joined by a shuffle.
 
@@ -29,10 +29,11 @@ from gridweave.llm.common import Tables, lean, most_frequent, small_batches, tex
 #: Most frequent tokens (about so many) whose counts every worker has.
 TABLE = 1 << 18
 HEAD, CLASS_WORDS, TAIL, HIDDEN = 2048, 32, 16, 16
-#: Tokens of a training segment; tokens of a text for each segment; tokens of a window of backpropagation.
-SEGMENT, SEGMENT_EVERY, STEPS = 64, 1024, 32
+#: Tokens of a short sequence, two windows; tokens of a window of backpropagation.
+SEGMENT, STEPS = 64, 32
 ROUNDS, BATCH, RATE = 3, 64, 0.01
-MOST_SHARDS, SEGMENTS_PER_SHARD = 48, 6000
+#: Training tokens of a shard (over all rounds); training takes texts of more than ``LONG`` tokens first.
+SHARD_TOKENS, LONG = 1_000_000, 1024
 LANES = 256
 #: Tokens of texts that a scoring task holds at once (but always a whole text).
 HOLD = 3_000_000
@@ -83,43 +84,30 @@ class Tokens(dict):
         return out
 
 
-def segment_places(doc_id, n: int) -> list[int]:
-    """Where a text of n tokens gives training segments."""
-    room = max(1, n - SEGMENT + 1)
-    return [zlib.crc32(f"{doc_id}:{k}".encode()) % room for k in range(1 + n // SEGMENT_EVERY)]
-
-
 def _gathered(docs: DataFrame) -> DataFrame:
-    """Rows (token, n) with counts of a part of the training texts, and rows with a training segment (and the token before it)."""
-    out = pa.schema([("token", pa.int64()), ("n", pa.int64()), ("segment", pa.list_(pa.int64()))])
+    """Rows (token, n) with counts of a part of the training texts."""
+    out = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
     def counted(parts):
         tokens, n = np.unique(np.concatenate(parts), return_counts=True)
-        none = pa.nulls(len(tokens), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n), none], schema=out)
+        return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n)], schema=out)
 
     def run(batches):
         tokens, held, size = Tokens(token_hash), [], 0
         for b in small_batches(batches):
-            segments = []
             for doc, raw in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")), strict=True):
                 if held_out(doc):
                     continue
                 t = tokens.of(raw, END)
                 held.append(t)
                 size += len(t)
-                before = np.r_[END, t]
-                segments += [before[a : a + SEGMENT + 1] for a in segment_places(doc, len(t))]
-            if segments:
-                none = pa.nulls(len(segments), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(segments, pa.list_(pa.int64()))], schema=out)
             if size > 4_000_000:
                 yield counted(held)
                 held, size = [], 0
         if held:
             yield counted(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, n long, segment array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, n long")
 
 
 class Model:
@@ -249,31 +237,42 @@ class Model:
         return grads, states[-1], float(said.mean()) if len(said) else 0.0
 
 
-def train(model: Model, segments: list[np.ndarray], rate: float) -> tuple[Model, int]:
-    """One pass of truncated backpropagation (Adam) over segments of numbers, each with the token before it first."""
+def train(model: Model, texts: list[np.ndarray], rate: float) -> tuple[Model, int]:
+    """One pass of truncated backpropagation (Adam) over all windows of sequences of numbers, each with the token before it first.
+
+    Sequences run in ``BATCH`` lanes as in scoring: a lane's state goes on from window to window until its sequence ends.
+    """
     moment = [np.zeros_like(v) for v in model.values()]
     square = [np.zeros_like(v) for v in model.values()]
     step, seen = 0, 0
-    for a in range(0, len(segments), BATCH):
-        part = segments[a : a + BATCH]
-        ids, mask = np.zeros((SEGMENT + 1, len(part)), np.int64), np.zeros((SEGMENT, len(part)), bool)
-        for k, s in enumerate(part):
-            ids[: len(s), k] = s
-            mask[: len(s) - 1, k] = True
-        state = np.zeros((len(part), HIDDEN), np.float32)
-        for t in range(0, SEGMENT, STEPS):  # the state goes on, the gradient does not
-            m = mask[t : t + STEPS]
-            if not m.any():
-                break
-            grads, state, _ = model.gradients(state, ids[t : t + STEPS], ids[t + 1 : t + 1 + STEPS], m)
-            step += 1
-            seen += int(m.sum())
-            for v, m1, m2, name in zip(model.values(), moment, square, model.NAMES, strict=True):
-                g = np.clip(grads[name], -1, 1)
-                m1 += 0.1 * (g - m1)
-                m2 += 0.01 * (g * g - m2)
-                v -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
-    return model, seen
+    order = sorted(range(len(texts)), key=lambda k: -max(len(texts[k]), LONG))  # no long one is left alone at the end
+    lanes = max(1, min(BATCH, len(texts)))
+    doc, at, ahead = np.full(lanes, -1), np.zeros(lanes, np.int64), 0
+    state = np.zeros((lanes, HIDDEN), np.float32)
+    while True:
+        for k in range(len(doc)):
+            while (doc[k] < 0 or at[k] + 1 >= len(texts[doc[k]])) and ahead < len(order):
+                doc[k], at[k], state[k] = order[ahead], 0, 0
+                ahead += 1
+        live = np.array([d >= 0 and at[k] + 1 < len(texts[d]) for k, d in enumerate(doc)], bool)
+        if not live.any():
+            return model, seen
+        doc, at, state = doc[live], at[live], state[live]
+        ids, mask = np.zeros((STEPS + 1, len(doc)), np.int64), np.zeros((STEPS, len(doc)), bool)
+        for k, d in enumerate(doc):
+            piece = texts[d][at[k] : at[k] + STEPS + 1]
+            ids[: len(piece), k] = piece
+            mask[: len(piece) - 1, k] = True
+        at += STEPS
+        grads, state, _ = model.gradients(state, ids[:-1], ids[1:], mask)  # the state goes on, the gradient does not
+        state = state.copy()
+        step += 1
+        seen += int(mask.sum())
+        for v, m1, m2, name in zip(model.values(), moment, square, model.NAMES, strict=True):
+            g = np.clip(grads[name], -1, 1)
+            m1 += 0.1 * (g - m1)
+            m2 += 0.01 * (g * g - m2)
+            v -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
 
 
 class Lexicon:
@@ -328,43 +327,57 @@ def score_texts(model: Model, texts: list[np.ndarray], first: int, lanes: int =
         total += np.bincount(np.tile(doc, steps)[real], said, minlength=len(texts))
 
 
-def _trained(segments: DataFrame, tokens: np.ndarray, tails: np.ndarray, model: Model) -> Model:
-    """Rounds of training on shards; each segment is used in one round."""
-    spark = segments.sparkSession
-    count = segments.count()
-    shards = min(MOST_SHARDS, max(1, -(-count // SEGMENTS_PER_SHARD)))
-    lexicon = spark.sparkContext.broadcast((tokens, tails))
-    for number in range(ROUNDS if count else 0):
+def _trained(docs: DataFrame, tokens: np.ndarray, tails: np.ndarray, total: int, model: Model, t: Tables) -> tuple[Model, int]:
+    """Rounds of training on shards of all ``total`` training tokens, and the tokens seen; each text is used in one round."""
+    if not total:
+        return model, 0
+    shards = -(-total // SHARD_TOKENS)
+    given = docs.sparkSession.sparkContext.broadcast((tokens, tails))
+
+    def numbered(batches):
+        table, classes = given.value
+        lexicon = Lexicon(table)
+        end = lexicon.rank.get(END, -1 - END)
+        words = Tokens(lexicon.number)
+        for b in small_batches(batches):
+            rounds, texts = [], []
+            for doc, raw in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")), strict=True):
+                if not held_out(doc):
+                    n = inputs_of(words.of(raw, end), classes)
+                    rounds.append(zlib.crc32(f"{doc}:round".encode()) % ROUNDS)
+                    texts.append(np.r_[n[-1], n].astype("<i2").tobytes())
+            yield pa.RecordBatch.from_pydict({"round": pa.array(rounds, pa.int32()), "ids": pa.array(texts, pa.binary())})
+
+    texts = t.stored(docs.select("doc_id", "text").mapInArrow(numbered, "round int, ids binary"), "numbered")
+    seen = 0
+    for number in range(ROUNDS):
         now, rate = model, RATE * (1 - number / (ROUNDS + 1))
 
-        def shard(batches, now=now, rate=rate, number=number):
-            table, classes = lexicon.value
-            own = []
-            for b in batches:
-                for s in b.column(0):
-                    t = s.values.to_numpy()
-                    if int(t.sum()) % ROUNDS == number:
-                        own.append(_network(t, table, classes).astype(np.int16))
+        def shard(batches, now=now, rate=rate):
+            own = [np.frombuffer(x, "<i2") for b in batches for x in b.column(0).to_pylist()]
             if own:
-                got, seen = train(now, own, rate)
-                yield pa.RecordBatch.from_pydict({"weight": pa.array([seen], pa.int64()), "model": pa.array([got.packed()], pa.binary())})
+                got, weight = train(now, own, rate)
+                yield pa.RecordBatch.from_pydict({"weight": pa.array([weight], pa.int64()), "model": pa.array([got.packed()], pa.binary())})
 
-        total, weight = None, 0
-        for r in segments.repartition(shards).mapInArrow(shard, "weight long, model binary").toLocalIterator():
-            part = np.frombuffer(bytes(r.model), "<f4").astype(np.float64) * r.weight
-            total, weight = part if total is None else total + part, weight + r.weight
+        def summed(batches):
+            flat, weight = None, 0
+            for b in batches:
+                for w, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    part = np.frombuffer(m, "<f4").astype(np.float64) * w
+                    flat, weight = part if flat is None else flat + part, weight + w
+            if flat is not None:
+                yield pa.RecordBatch.from_pydict({"weight": pa.array([weight], pa.int64()), "model": pa.array([flat.tobytes()], pa.binary())})
+
+        own = texts.where(f"round = {number}").select("ids").repartition(shards)
+        models = t.stored(own.mapInArrow(shard, "weight long, model binary"), "models")
+        parts = models.coalesce(16).mapInArrow(summed, "weight long, model binary").collect()
+        weight = sum(r.weight for r in parts)
         if weight:
-            model.unpack(total / weight)
-    return model
-
-
-def _network(hashes: np.ndarray, table: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Network numbers of token hashes; only head tokens have their own."""
-    head = table[:HEAD]
-    order = np.argsort(head)
-    place = np.minimum(np.searchsorted(head[order], hashes), max(0, len(head) - 1))
-    rank = order[place]
-    return np.where(head[rank] == hashes, rank, HEAD + (hashes & 15))
+            model.unpack(sum(np.frombuffer(bytes(r.model), np.float64) for r in parts) / weight)
+        seen += weight
+        t.drop(models)
+    t.drop(texts)
+    return model, seen
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -377,7 +390,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     t = Tables()
     got = t.stored(_gathered(docs), "gathered")
-    counts = t.stored(got.where("token is not null").groupBy("token").agg(F.sum("n").alias("c")), "counts")
+    counts = t.stored(got.groupBy("token").agg(F.sum("n").alias("c")), "counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, c = most_frequent(counts, "token", "c", TABLE)
     tails = tokens & 15
@@ -388,8 +401,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         tail_n[r.k], tail_v[r.k] = r.n, r.v
     tail_n -= np.bincount(tails[:HEAD], c[:HEAD], TAIL)
     tail_v -= np.bincount(tails[:HEAD], minlength=TAIL)
-    model = _trained(got.where("segment is not null").select("segment"), tokens, tails, Model(c[:HEAD], tail_n))
     t.drop(got)
+    model, _ = _trained(docs, tokens, tails, sums.n, Model(c[:HEAD], tail_n), t)
     share = np.log10(tail_n + tail_v + 1)
     given = spark.sparkContext.broadcast((tokens, np.log10(c + 1.0), tails, model, share))
     out = pa.schema(

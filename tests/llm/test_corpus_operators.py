@@ -347,6 +347,24 @@ def test_training_raises_the_likelihood():
     assert lm.score_texts(m, segments[:20], 0).sum() > 0.7 * before and seen == 600 * lm.SEGMENT
 
 
+def test_training_sees_every_token_and_carries_the_state(spark, docs_of, prose, monkeypatch):
+    r = np.random.RandomState(3)
+    texts = [r.randint(0, lm.HEAD + lm.TAIL, n).astype(np.int16) for n in (2, 33, 34, 65, 400, 3000)]
+    states = []
+    gradients = lm.Model.gradients
+    monkeypatch.setattr(lm.Model, "gradients", lambda self, state, *a: (states.append(state), gradients(self, state, *a))[1])
+    _, seen = lm.train(lm.Model(np.ones(lm.HEAD), np.ones(lm.TAIL)), texts, lm.RATE)
+    assert seen == sum(len(t) - 1 for t in texts)
+    assert len(states) == -(-2999 // lm.STEPS) and all(s.any() for s in states[1:])
+    monkeypatch.undo()
+    rows = [(k, prose(k, 20 + 90 * k)) for k in range(30)] + [(90, None)]
+    trained = []
+    whole = lm._trained
+    monkeypatch.setattr(lm, "_trained", lambda *a: trained.append(whole(*a)) or trained[0])
+    (total,) = {r.train_tokens for r in lm.score_documents(docs_of(rows)).collect()}
+    assert trained[0][1] == total > 20_000
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------
 
 
