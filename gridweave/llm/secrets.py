@@ -1,6 +1,6 @@
 """Secrets by grammar inference over credential strings.
 
-Plain patterns give the base spans of every whole text and wide runs of token characters give the other
+Plain patterns give the base spans of every whole text and all long runs of token characters give the other
 candidates. The base values are labelled credentials: of each kind a bounded number of distinct values
 (by hash, so in no order of the input) is written as strings of character classes, put into a prefix tree with
 counts, and the tree's states are merged where a Hoeffding test finds their futures compatible. The
@@ -34,8 +34,10 @@ PATTERNS = {
     "hex": r"(?<![0-9a-f])[0-9a-f]{16,}+",
 }
 VALUE = r"""[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
-#: Other candidates: runs of token characters that hold a digit and a letter.
-RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,128}+(?![A-Za-z0-9+/_=-])"
+#: Fewest characters of a labelled value of each kind.
+LEAST = {"assign": 12, "access": 18, "hex": 16}
+#: Other candidates: all whole runs of token characters from the shortest labelled length on; the likelihood decides.
+RUN = rf"[A-Za-z0-9+/_=-]{{{min(LEAST.values())},}}+"
 
 
 def secret_value(kind: str, value: Column) -> Column:
@@ -45,7 +47,6 @@ def secret_value(kind: str, value: Column) -> Column:
 
 def candidate_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, base and other spans (kind, start, end, value) of every row; null text counts as empty."""
-    least = {"assign": 12, "access": 18, "hex": 16}
     text = F.col("text")
 
     def base(kind: str) -> Column:
@@ -55,7 +56,7 @@ def candidate_secrets(docs: DataFrame) -> DataFrame:
                 F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), secret_value(kind, s["value"]).alias("value")
             ),
         )
-        return F.filter(made, lambda s: F.length(s["value"]) >= least[kind])
+        return F.filter(made, lambda s: F.length(s["value"]) >= LEAST[kind])
 
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id", "text", F.concat(*(base(k) for k in KINDS)).alias("base")

@@ -316,6 +316,16 @@ def test_grammars_tell_formats_apart():
     assert len(d.kinds["access"].states) < 100
 
 
+def test_all_token_runs_are_candidates(spark, docs_of):
+    runs = ["a1" * 70, "Zq3" * 4, "correct-horse-battery", "0123456789" * 20, "x" * 12]
+    rows = [(k, f"é {run} too-short. {run}, end") for k, run in enumerate(runs)]
+    found = {r.doc_id: r for r in secrets.candidate_secrets(docs_of([*rows, (9, "elevenchars token=abcdefghijklm")])).collect()}
+    for k, run in enumerate(runs):
+        spans = {(s.start, s.end) for s in found[k].other} | {(s.start, s.end) for s in found[k].base}
+        assert spans == {(2, 2 + len(run)), (14 + len(run), 14 + 2 * len(run))}
+    assert not found[9].other and len(found[9].base) == 1
+
+
 def test_redacted(spark, docs_of, odd):
     df = docs_of([*odd, *HIDDEN[:2]])
     out = secrets.redacted(df)
