@@ -1,13 +1,16 @@
 """Licence notices by Dice similarity over word bigrams.
 
 Texts and templates are normalised alike: ASCII letters in lower case, ASCII punctuation as spaces. Word
-pairs of any template mark a text's words; marked stretches (gaps of up to ``GAP`` words) are segments. A
-segment is compared only with templates whose number of bigrams can still reach the threshold: with a segment of
-n and a template of m bigrams, Dice is at most 2 min(n, m) / (n + m).
+pairs of any template mark a text's words; marked stretches (gaps of up to ``GAP`` words) are segments. For each
+template windows slide over a segment, of the sizes that can still reach the threshold: with a window of n and a
+template of m bigrams, Dice is at most 2 min(n, m) / (n + m). The best windows that don't overlap are notices.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,6 +67,81 @@ TEMPLATES = {
     ),
 }
 
+#: Standard headers, and the whole texts of the short licences (fixed values).
+TEXTS = {
+    "apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
+        "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the '
+        "specific language governing permissions and limitations under the License.",
+    ),
+    "bsd-3-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior "
+        'written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS '
+        "OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR "
+        "A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+        "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+        "DAMAGE.",
+    ),
+    "gpl-2.0": (
+        (
+            "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+            "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+            "option) any later version."
+        ),
+        (
+            "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+            "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+            "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+            "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+            "General Public License for more details."
+        ),
+    ),
+    "gpl-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        "General Public License for more details.",
+    ),
+    "lgpl-2.1": (
+        (
+            "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+            "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at "
+            "your option) any later version."
+        ),
+        (
+            "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+            "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at "
+            "your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY "
+            "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+            "Lesser General Public License for more details."
+        ),
+    ),
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+        "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
+        "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
+    ),
+}
+ALL = {name: texts + TEXTS.get(name, ()) for name, texts in TEMPLATES.items()}
+
 _TABLE = bytes(
     c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256)
 )
@@ -79,7 +157,7 @@ def dice(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Matcher:
-    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD):
+    def __init__(self, templates: dict[str, tuple[str, ...]] = ALL, threshold: float = THRESHOLD):
         self.hashes, self.threshold = WordHashes(), threshold
         self.templates = sorted(
             ((len(g), name, g) for name, texts in templates.items() for t in texts if len(g := np.unique(self.bigrams(normalised(t.encode()))))),
@@ -101,19 +179,83 @@ class Matcher:
         cut = np.nonzero(np.diff(at) > GAP + 1)[0] + 1
         return [(int(p[0]), int(p[-1]) + 1) for p in np.split(at, cut)]
 
+    def best(self, own: np.ndarray) -> tuple[float, str] | None:
+        """(minus Dice, name) of the nearest template of a set of bigrams, if it reaches the threshold; ties to the first name."""
+        n, t = len(own), self.threshold
+        low, high = np.searchsorted(self.sizes, [n * t / (2 - t) - 1e-9, n * (2 - t) / t + 1e-9])
+        found = min(((-dice(own, g), name) for _, name, g in self.templates[low:high]), default=None)
+        return found if found and -found[0] >= t else None
+
+    def windows(self, grams: np.ndarray) -> list[tuple[int, float, str, int, int]]:
+        """(shared bigrams, Dice, licence, first, end) of each template's best windows of a stretch, none overlapping another of its own.
+
+        A window begins and ends with bigrams of the template; one with n distinct bigrams can reach the threshold only within the
+        size bounds, and only if it shares at least m t / (2 - t) of the template's m.
+        """
+        out, t = [], self.threshold
+        if len(grams) < self.sizes[0] * t / (2 - t) - 1e-9:
+            return out
+        order = np.argsort(grams, kind="stable")
+        before = np.full(len(grams), -1)  # where each bigram stood last
+        again = grams[order[1:]] == grams[order[:-1]]
+        before[order[1:][again]] = order[:-1][again]
+        for m, name, g in self.templates:
+            least = max(1, int(np.ceil(m * t / (2 - t) - 1e-9)))
+            most = int(m * (2 - t) / t + 1e-9)
+            if least > len(grams):
+                break  # the other templates are larger
+            ours = np.isin(grams, g)
+            if np.count_nonzero(ours) < least:
+                continue
+
+            def best(a: int, stop: int, m=m, most=most, ours=ours):
+                """The best window from a on that ends before ``stop``: of equal ones the longest."""
+                new = before[a:stop] < a
+                n = np.cumsum(new)
+                z = int(np.searchsorted(n, most + 1))
+                shared = np.cumsum(new[:z] & ours[a : a + z])
+                rate = np.where(ours[a : a + z], 2 * shared / (n[:z] + m), 0)
+                k = int(len(rate) - 1 - rate[::-1].argmax())
+                return (-float(rate[k]), a, a + k + 1, int(shared[k]))
+
+            heap = [w for a in np.nonzero(ours)[0].tolist() if -(w := best(a, len(grams)))[0] >= t]
+            heapify(heap)
+            taken: list[tuple[int, int]] = []
+            while heap:
+                rate, a, z, shared = heappop(heap)
+                k = bisect(taken, (a, len(grams)))
+                if k and taken[k - 1][1] > a:
+                    continue
+                if k < len(taken) and taken[k][0] < z:  # what is left before the next one
+                    if -(w := best(a, taken[k][0]))[0] >= t:
+                        heappush(heap, w)
+                    continue
+                taken.insert(k, (a, z))
+                out.append((shared, -rate, name, a, z))
+        return out
+
     def __call__(self, raw: bytes) -> list[tuple[str, float, int, int]]:
-        """(licence, Dice, first word, words) of each segment that is a notice; ties to the first name."""
+        """(licence, Dice, first word, words) of the notices, in order.
+
+        Of the templates' windows over each marked stretch those that share most bigrams with theirs go first, then by Dice and name;
+        windows that overlap one before are dropped. A stretch that is a notice as a whole and holds no second one is given whole.
+        """
         grams = self.bigrams(normalised(raw))
         out = []
         for a, z in self.segments(grams):
-            own = np.unique(grams[a:z])
-            n, t = len(own), self.threshold
-            low, high = np.searchsorted(self.sizes, [n * t / (2 - t) - 1e-9, n * (2 - t) / t + 1e-9])
-            scored = [(-dice(own, g), name) for _, name, g in self.templates[low:high]]
-            if scored and -min(scored)[0] >= t:
-                score, name = min(scored)
-                out.append((name, -score, a, z - a + 1))
-        return out
+            found = self.windows(grams[a:z])
+            taken: list[tuple[int, int]] = []
+            hits = []
+            for _, score, name, x, y in sorted(found, key=lambda w: (-w[0], -w[1], w[2], w[3])):
+                k = bisect(taken, (x, z))
+                if (k and taken[k - 1][1] > x) or (k < len(taken) and taken[k][0] < y):
+                    continue
+                taken.insert(k, (x, y))
+                hits.append((name, score, a + x, y - x + 1))
+            if len(hits) < 2 and (whole := self.best(np.unique(grams[a:z]))):
+                hits = [(whole[1], -whole[0], a, z - a + 1)]
+            out += hits
+        return sorted(out, key=lambda w: w[2])
 
 
 def license_notices(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

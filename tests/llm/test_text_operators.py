@@ -354,6 +354,20 @@ def test_licences(spark, docs_of, odd, prose):
     assert licenses.license_notices(docs_of([])).count() == 0
 
 
+def test_notices_beside_other_marked_words():
+    match = licenses.Matcher()
+    mit, rights = "Released under the MIT License.", "All rights reserved."
+    said = lambda t: [(x[0], x[1]) for x in match(t.encode())]
+    assert said(f"This is one of the samples. {mit}") == [("mit", 1.0)]
+    assert said(f"Copyright 2020 X. {rights} {mit}") == [("all-rights-reserved", 1.0), ("mit", 1.0)]
+    assert said(f"{rights} you may {licenses.TEMPLATES['mpl-2.0'][0]} of the {mit}") == [("all-rights-reserved", 1.0), ("mpl-2.0", 1.0), ("mit", 1.0)]
+    assert said(f"{mit} " * 3) == [("mit", 1.0)] * 3
+    assert said("you may do this by the end of the day") == []
+    for name, texts in licenses.TEXTS.items():
+        for text in texts:
+            assert said(f"Lorem ipsum dolor sit amet. {text} Lorem ipsum.") == [(name, 1.0)]
+
+
 def test_size_bounds_prune_nothing_that_matches():
     match = licenses.Matcher()
     r = random.Random(8)
