@@ -208,11 +208,11 @@ class Forest:
         return True
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the smallest reachable id.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join, over tables in
-    the shared folder, until a round changes nothing. Isolated nodes (a = b only) are dropped. The result is such a table.
+    the shared folder, until a round changes nothing; more than ``rounds``, if given, are an error. Isolated nodes (a = b only) are dropped. The result is such a table.
     """
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -221,9 +221,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
     seen = state(now)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    done = 0
+    while seen[0]:
+        if done == rounds:
+            raise RuntimeError(f"components not settled after {rounds} rounds")
+        done += 1
         both = now.union(now.select("b", "a").toDF("a", "b"))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")

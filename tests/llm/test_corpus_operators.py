@@ -124,6 +124,13 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_never_end_unsettled(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected_components(edges, rounds=1)
+    assert {r.component for r in connected_components(edges).collect()} == {0}
+
+
 def test_most_frequent(spark):
     df = spark.createDataFrame([(k, 10_000 // (k + 1)) for k in range(2000)], "token long, c long")
     tokens, n = most_frequent(df, "token", "c", 100)
