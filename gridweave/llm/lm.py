@@ -16,6 +16,8 @@ Tokens are 63-bit hashes whose lowest four bits are the tail class.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
+from itertools import islice
 from math import log10
 
 import numpy as np
@@ -28,15 +30,17 @@ from gridweave.llm.common import Tables, lean, most_frequent, small_batches, tex
 
 #: Most frequent tokens (about so many) whose counts every worker has.
 TABLE = 1 << 18
-HEAD, CLASS_WORDS, TAIL, HIDDEN = 2048, 32, 16, 16
-#: Tokens of a short sequence, two windows; tokens of a window of backpropagation.
-SEGMENT, STEPS = 64, 32
-ROUNDS, BATCH, RATE = 3, 64, 0.01
-#: Training tokens of a shard (over all rounds); training takes texts of more than ``LONG`` tokens first.
-SHARD_TOKENS, LONG = 1_000_000, 1024
-LANES = 256
+HEAD, CLASS_WORDS, TAIL, HIDDEN = 1024, 32, 16, 16
+#: Tokens of a window of backpropagation; lanes that texts run in, in training and in scoring.
+STEPS, BATCH, LANES = 32, 128, 256
+ROUNDS, RATE = 3, 0.02
+#: Training tokens of a shard (over all rounds), as long as there are no more than ``MOST_SHARDS``: beyond that shards grow, not their number.
+#: Texts of more than ``LONG`` tokens train first.
+SHARD_TOKENS, MOST_SHARDS, LONG = 4_000_000, 1024, 1024
+#: Bounds of output weights and biases: with states in -1..1 no exponential of a logit leaves float32.
+WEIGHT, BIAS = 3.0, 30.0
 #: Tokens of texts that a scoring task holds at once (but always a whole text).
-HOLD = 3_000_000
+HOLD = 2_000_000
 END = (1 << 62) | 3
 
 _CLASSES = HEAD // CLASS_WORDS
@@ -131,6 +135,12 @@ class Model:
     def values(self) -> list[np.ndarray]:
         return [getattr(self, n) for n in self.NAMES]
 
+    def bounded(self) -> "Model":
+        for weights, bias in ((self.wc, self.bc), (self.ww, self.bw)):
+            np.clip(weights, -WEIGHT, WEIGHT, out=weights)
+            np.clip(bias, -BIAS, BIAS, out=bias)
+        return self
+
     def packed(self) -> bytes:
         return b"".join(v.astype("<f4").tobytes() for v in self.values())
 
@@ -169,8 +179,9 @@ class Model:
         """
         n = len(targets)
         cls = np.where(targets < HEAD, targets // CLASS_WORDS, targets - HEAD + _CLASSES)
-        # logits are clipped where exp() of float32 would leave its range; sums are products with ones
-        logits = np.clip(states @ self.wc + self.bc, -80, 80)
+        # no logit leaves the range of exp() in float32, as weights are bounded; sums are products with ones
+        logits = states @ self.wc
+        logits += self.bc
         at = np.arange(n)
         own = logits[at, cls]
         np.exp(logits, out=logits)
@@ -191,7 +202,8 @@ class Model:
                 continue
             rows = order[a:b]
             s = states[rows]
-            inner = np.clip(s @ self.ww[c] + self.bw[c], -80, 80)
+            inner = s @ self.ww[c]
+            inner += self.bw[c]
             w = targets[rows] % CLASS_WORDS
             k = np.arange(b - a)
             own = inner[k, w]
@@ -237,42 +249,46 @@ class Model:
         return grads, states[-1], float(said.mean()) if len(said) else 0.0
 
 
-def train(model: Model, texts: list[np.ndarray], rate: float) -> tuple[Model, int]:
+def train(model: Model, texts: Iterable[np.ndarray], rate: float, lanes: int = BATCH) -> tuple[Model, int]:
     """One pass of truncated backpropagation (Adam) over all windows of sequences of numbers, each with the token before it first.
 
-    Sequences run in ``BATCH`` lanes as in scoring: a lane's state goes on from window to window until its sequence ends.
+    Sequences are taken from the stream as lanes fall free, so no more than one a lane is held. As in scoring, a lane's state goes on from
+    window to window until its sequence ends.
     """
     moment = [np.zeros_like(v) for v in model.values()]
     square = [np.zeros_like(v) for v in model.values()]
-    step, seen = 0, 0
-    order = sorted(range(len(texts)), key=lambda k: -max(len(texts[k]), LONG))  # no long one is left alone at the end
-    lanes = max(1, min(BATCH, len(texts)))
-    doc, at, ahead = np.full(lanes, -1), np.zeros(lanes, np.int64), 0
-    state = np.zeros((lanes, HIDDEN), np.float32)
+    step, seen, coming = 0, 0, iter(texts)
+    held: list[np.ndarray] = []
+    at, state = np.zeros(0, np.int64), np.zeros((0, HIDDEN), np.float32)
     while True:
-        for k in range(len(doc)):
-            while (doc[k] < 0 or at[k] + 1 >= len(texts[doc[k]])) and ahead < len(order):
-                doc[k], at[k], state[k] = order[ahead], 0, 0
-                ahead += 1
-        live = np.array([d >= 0 and at[k] + 1 < len(texts[d]) for k, d in enumerate(doc)], bool)
-        if not live.any():
+        live = np.array([at[k] + 1 < len(x) for k, x in enumerate(held)], bool)
+        if not live.all():
+            held = [x for x, on in zip(held, live, strict=True) if on]
+            at, state = at[live], state[live]
+        new = [x for x in islice(coming, lanes - len(held)) if len(x) > 1] if len(held) < lanes else []
+        if new:
+            held += new
+            at, state = np.r_[at, np.zeros(len(new), np.int64)], np.concatenate((state, np.zeros((len(new), HIDDEN), np.float32)))
+        if not held:
             return model, seen
-        doc, at, state = doc[live], at[live], state[live]
-        ids, mask = np.zeros((STEPS + 1, len(doc)), np.int64), np.zeros((STEPS, len(doc)), bool)
-        for k, d in enumerate(doc):
-            piece = texts[d][at[k] : at[k] + STEPS + 1]
+        ids, mask = np.zeros((STEPS + 1, len(held)), np.int64), np.zeros((STEPS, len(held)), bool)
+        for k, (x, a) in enumerate(zip(held, at.tolist(), strict=True)):
+            piece = x[a : a + STEPS + 1]
             ids[: len(piece), k] = piece
             mask[: len(piece) - 1, k] = True
         at += STEPS
         grads, state, _ = model.gradients(state, ids[:-1], ids[1:], mask)  # the state goes on, the gradient does not
         state = state.copy()
         step += 1
-        seen += int(mask.sum())
+        real = int(mask.sum())
+        seen += real
+        pace = rate * real / mask.size * len(held) / lanes  # few lanes left, as at the end of a stream, learn slowly: a token counts alike
         for v, m1, m2, name in zip(model.values(), moment, square, model.NAMES, strict=True):
             g = np.clip(grads[name], -1, 1)
             m1 += 0.1 * (g - m1)
             m2 += 0.01 * (g * g - m2)
-            v -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
+            v -= pace * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
+        model.bounded()
 
 
 class Lexicon:
@@ -327,48 +343,64 @@ def score_texts(model: Model, texts: list[np.ndarray], first: int, lanes: int =
         total += np.bincount(np.tile(doc, steps)[real], said, minlength=len(texts))
 
 
-def _trained(docs: DataFrame, tokens: np.ndarray, tails: np.ndarray, total: int, model: Model, t: Tables) -> tuple[Model, int]:
-    """Rounds of training on shards of all ``total`` training tokens, and the tokens seen; each text is used in one round."""
-    if not total:
-        return model, 0
-    shards = -(-total // SHARD_TOKENS)
-    given = docs.sparkSession.sparkContext.broadcast((tokens, tails))
+def _numbered(docs: DataFrame, tokens: np.ndarray, logs: np.ndarray, tails: np.ndarray, tail_logs: np.ndarray) -> DataFrame:
+    """One row a text: its network numbers, its counts and base score as far as the table goes, and the hashes of its rare tokens.
 
-    def numbered(batches):
-        table, classes = given.value
+    ``ids`` has the end's number first, then the tokens with the end. ``round`` is null for texts that are kept from training.
+    """
+    given = docs.sparkSession.sparkContext.broadcast((tokens, logs, tails, tail_logs))
+    kinds = pa.schema([
+        ("doc_id", pa.int64()), ("round", pa.int32()), ("long", pa.bool_()), ("ids", pa.binary()), ("n_tokens", pa.int64()),
+        ("n_known", pa.int64()), ("base", pa.float64()), ("in_tail", pa.float64()), ("rare", pa.list_(pa.int64())),
+    ])
+
+    def run(batches):
+        table, log, classes, parts = given.value
+        classes = classes if len(classes) else np.zeros(1, np.int64)
+        log = log if len(log) else np.zeros(1)
         lexicon = Lexicon(table)
         end = lexicon.rank.get(END, -1 - END)
         words = Tokens(lexicon.number)
-        for b in small_batches(batches):
-            rounds, texts = [], []
+        for b in small_batches(batches, 128):
+            rows = []
             for doc, raw in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")), strict=True):
-                if not held_out(doc):
-                    n = inputs_of(words.of(raw, end), classes)
-                    rounds.append(zlib.crc32(f"{doc}:round".encode()) % ROUNDS)
-                    texts.append(np.r_[n[-1], n].astype("<i2").tobytes())
-            yield pa.RecordBatch.from_pydict({"round": pa.array(rounds, pa.int32()), "ids": pa.array(texts, pa.binary())})
+                n = words.of(raw, end)
+                ids = inputs_of(n, classes)
+                known, tail = n >= 0, ids >= HEAD
+                base = log[n[known]].sum()
+                in_tail = log[n[known & tail]].sum() - parts[ids[tail] - HEAD].sum()
+                number = None if held_out(doc) else zlib.crc32(f"{doc}:round".encode()) % ROUNDS
+                rows.append((doc, number, len(n) > LONG, np.r_[ids[-1], ids].astype("<i2").tobytes(), len(n), int(known.sum()), float(base), float(in_tail), -1 - n[~known]))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "doc_id long, round int, long boolean, ids binary, n_tokens long, n_known long, base double, in_tail double, rare array<long>"
+    )
+
 
-    texts = t.stored(docs.select("doc_id", "text").mapInArrow(numbered, "round int, ids binary"), "numbered")
+def _trained(texts: DataFrame, total: int, model: Model, t: Tables) -> tuple[Model, int]:
+    """Rounds of training on shards of all ``total`` training tokens, and the tokens seen; each text is used in one round."""
+    shards = min(MOST_SHARDS, -(-total // SHARD_TOKENS))
     seen = 0
-    for number in range(ROUNDS):
+    for number in range(ROUNDS if total else 0):
         now, rate = model, RATE * (1 - number / (ROUNDS + 1))
 
         def shard(batches, now=now, rate=rate):
-            own = [np.frombuffer(x, "<i2") for b in batches for x in b.column(0).to_pylist()]
-            if own:
-                got, weight = train(now, own, rate)
+            got, weight = train(now, (np.frombuffer(x.as_buffer(), "<i2") for b in batches for x in b.column("ids")), rate)
+            if weight:
                 yield pa.RecordBatch.from_pydict({"weight": pa.array([weight], pa.int64()), "model": pa.array([got.packed()], pa.binary())})
 
         def summed(batches):
             flat, weight = None, 0
             for b in batches:
-                for w, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    part = np.frombuffer(m, "<f4").astype(np.float64) * w
+                for w, m in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    part = np.frombuffer(m.as_buffer(), "<f4").astype(np.float64) * w
                     flat, weight = part if flat is None else flat + part, weight + w
             if flat is not None:
                 yield pa.RecordBatch.from_pydict({"weight": pa.array([weight], pa.int64()), "model": pa.array([flat.tobytes()], pa.binary())})
 
-        own = texts.where(f"round = {number}").select("ids").repartition(shards)
+        own = texts.where(f"round = {number}").select("ids", "long").repartition(shards).sortWithinPartitions(F.desc("long"), F.xxhash64("ids"))
         models = t.stored(own.mapInArrow(shard, "weight long, model binary"), "models")
         parts = models.coalesce(16).mapInArrow(summed, "weight long, model binary").collect()
         weight = sum(r.weight for r in parts)
@@ -376,15 +408,16 @@ def _trained(docs: DataFrame, tokens: np.ndarray, tails: np.ndarray, total: int,
             model.unpack(sum(np.frombuffer(bytes(r.model), np.float64) for r in parts) / weight)
         seen += weight
         t.drop(models)
-    t.drop(texts)
     return model, seen
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs(doc_id, text)``.
 
-    Null and empty texts are one end token. Repeated rows stay; other columns are ignored; an empty table gives an empty
-    table. Without training documents all counts are zero and the model is uniform over its classes.
+    Null and empty texts are one end token; a null doc_id is split as the empty string is. Repeated rows stay, each scored and counted; very long
+    texts are scored whole, window by window; other columns are ignored; an empty table gives an empty
+    table. Without training documents all counts are zero and the model is uniform over its classes. Tokens are told apart by 59 bits
+    of hash, so counts are exact but for tokens that collide.
     """
     lean(docs)
     spark = docs.sparkSession
@@ -402,58 +435,41 @@ def score_documents(docs: DataFrame) -> DataFrame:
     tail_n -= np.bincount(tails[:HEAD], c[:HEAD], TAIL)
     tail_v -= np.bincount(tails[:HEAD], minlength=TAIL)
     t.drop(got)
-    model, _ = _trained(docs, tokens, tails, sums.n, Model(c[:HEAD], tail_n), t)
-    share = np.log10(tail_n + tail_v + 1)
-    given = spark.sparkContext.broadcast((tokens, np.log10(c + 1.0), tails, model, share))
-    out = pa.schema(
-        [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))]
-    )
+    texts = _numbered(docs, tokens, np.log10(c + 1.0), tails, np.log10(tail_n + tail_v + 1)).withColumn("row", F.monotonically_increasing_id())
+    texts = t.stored(texts, "numbered")
+    model, _ = _trained(texts, sums.n, Model(c[:HEAD], tail_n), t)
+    given = spark.sparkContext.broadcast(model)
+    out = pa.schema([("row", pa.int64()), ("net", pa.float64())])
 
     def run(batches):
-        table, logs, classes, net, parts = given.value
-        lexicon = Lexicon(table)
-        end = lexicon.rank.get(END, -1 - END)
-        words = Tokens(lexicon.number)
-        first = int(inputs_of(np.array([end]), classes if len(classes) else np.zeros(1, np.int64))[0])
-        classes = classes if len(classes) else np.zeros(1, np.int64)
-        logs = logs if len(logs) else np.zeros(1)
-        rows, texts, size = [], [], 0
+        rows, held, size = [], [], 0
 
         def done():
-            said = score_texts(net, texts, first) / np.log(10)
-            columns = list(zip(*rows, strict=True))
-            score = np.array(columns[4]) + said
-            columns[4] = score
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, out, strict=True)], schema=out)
-
-        for b in small_batches(batches):
-            for doc, raw in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")), strict=True):
-                n = words.of(raw, end)
-                net_numbers = inputs_of(n, classes)
-                known = n >= 0
-                base = float(logs[n[known]].sum())
-                tail = net_numbers >= HEAD
-                in_tail = float(logs[n[known & tail]].sum()) - float(parts[net_numbers[tail] - HEAD].sum())
-                rows.append((doc, len(n), int(known.sum()), base, in_tail, -1 - n[~known]))
-                texts.append(net_numbers.astype(np.int16))
-                size += len(n)
+            said = score_texts(given.value, [x[1:] for x in held], int(held[0][0])) / np.log(10)
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(said, pa.float64())], schema=out)
+
+        for b in batches:
+            for row, ids in zip(b.column("row").to_pylist(), b.column("ids"), strict=True):
+                rows.append(row)
+                held.append(np.frombuffer(ids.as_buffer(), "<i2").copy())
+                size += len(held[-1])
                 if size > HOLD:
                     yield done()
-                    rows, texts, size = [], [], 0
+                    rows, held, size = [], [], 0
         if rows:
             yield done()
 
-    scored = t.stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>").withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("token")).join(counts, "token").groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("c") + 1.0)).alias("s"))
+    net = t.stored(texts.select("row", "ids").mapInArrow(run, "row long, net double"), "net")
+    rare = texts.select("row", F.explode("rare").alias("token")).join(counts, "token").groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("c") + 1.0)).alias("s"))
     every = log10(sums.n + sums.v + 1)
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    out = scored.join(rare, "row", "left").select(
+    out = texts.drop("ids", "rare").join(net, "row").join(rare, "row", "left").select(
         "doc_id",
         (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2).alias("held_out"),
         "n_tokens",
         plus("n_known", "n").alias("n_known"),
         F.lit(sums.n).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("s", F.lit(0.0)) - F.col("n_tokens") * every).alias("base_score"),
-        (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
+        (F.col("in_tail") + F.col("net") + F.coalesce("s", F.lit(0.0))).alias("score"),
     )
     return t.result(out, "scores")

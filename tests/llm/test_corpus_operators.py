@@ -347,11 +347,11 @@ def test_windows_carry_the_state():
 
 def test_training_raises_the_likelihood():
     r = np.random.RandomState(2)
-    segments = [np.tile(r.permutation(6)[:3] + 10, 30)[: lm.SEGMENT + 1].astype(np.int64) for _ in range(200)]
+    segments = [np.tile(r.permutation(6)[:3] + 10, 30)[: 64 + 1].astype(np.int64) for _ in range(200)]
     m = lm.Model(np.ones(lm.HEAD), np.ones(lm.TAIL))
     before = lm.score_texts(m, segments[:20], 0).sum()
     m, seen = lm.train(m, segments * 3, lm.RATE)
-    assert lm.score_texts(m, segments[:20], 0).sum() > 0.7 * before and seen == 600 * lm.SEGMENT
+    assert lm.score_texts(m, segments[:20], 0).sum() > 0.7 * before and seen == 600 * 64
 
 
 def test_training_sees_every_token_and_carries_the_state(spark, docs_of, prose, monkeypatch):
