@@ -16,8 +16,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import stored
-from gridweave.llm.spans import digits_of, find_spans, joined, luhn, overlaps
+from gridweave.llm.common import Tables
+from gridweave.llm.spans import clear_of, digits_of, find_spans, joined, luhn
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 25
@@ -67,7 +67,7 @@ def valid(kind: str, value: Column) -> Column:
         return F.forall(F.split(value, r"\."), lambda p: (F.length(bare(p)) <= 3) & (bare(p).try_cast("int") <= 255))
     if kind == "card":
         d = digits_of(value)
-        return F.length(d).between(16, 19) & luhn(d)
+        return F.when(F.length(d).between(16, 19), luhn(d)).otherwise(False)
     if kind == "phone":
         return F.length(digits_of(value)).between(8, 15)
     return F.lit(True)
@@ -79,14 +79,14 @@ def plausible(kind: str, value: Column) -> Column:
     return {
         "email": value.rlike(r"[A-Za-z]") & (F.length(value) <= 120),
         "ip": F.length(value) <= 39,
-        "card": F.length(d).between(13, 19) & luhn(d),
+        "card": F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False),
         "phone": F.length(d).between(10, 15),
     }[kind]
 
 
 def _base(text: Column, kind: str) -> Column:
     good = F.filter(find_spans(text, STRICT[kind]), lambda s: valid(kind, s["value"]))
-    return F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    return F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), *(s[n].alias(n) for n in ("start", "end", "value", "before", "around"))))
 
 
 def _votes(kind: str, value: Column, before: Column, around: Column, strict: Column) -> Column:
@@ -122,17 +122,13 @@ def _candidates(text: Column, kind: str, base: Column) -> Column:
     """Base spans and wide matches of a kind, with votes and features."""
 
     def described(s: Column, strict: Column) -> Column:
-        before = F.substr(text, F.greatest(s["start"] - 29, F.lit(1)).cast("int"), F.least(s["start"], F.lit(30)).cast("int"))
-        left = F.when(s["start"] > 0, F.substr(text, s["start"].cast("int"), F.lit(1))).otherwise("")
-        right = F.substr(text, (s["end"] + 1).cast("int"), F.lit(1))
-        around = F.concat(left, right)
         return F.struct(
             F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), strict.alias("strict"),
-            _votes(kind, s["value"], before, around, strict).alias("votes"),
-            _features(kind, s["value"], before, around).alias("features"),
+            _votes(kind, s["value"], s["before"], s["around"], strict).alias("votes"),
+            _features(kind, s["value"], s["before"], s["around"]).alias("features"),
         )
 
-    wide = F.filter(find_spans(text, WIDE[kind]), lambda s: ~overlaps(base, s))
+    wide = clear_of(base, find_spans(text, WIDE[kind]))
     wide = F.when(text.rlike(HINT[kind]), F.transform(wide, lambda s: described(s, F.lit(False))))
     own = F.transform(F.filter(base, lambda s: s["kind"] == kind), lambda s: described(s, F.lit(True)))
     return F.when(wide.isNotNull(), F.concat(own, wide)).otherwise(own)
@@ -217,14 +213,14 @@ def em_posteriors(votes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     )
 
 
-def span_classifier(found: DataFrame) -> dict[str, float]:
+def span_classifier(found: DataFrame, t: Tables) -> dict[str, float]:
     """Log-odds of each feature and, under 'kind', of each kind: the final classifier.
 
     Fitted on every candidate, each weighted by its posterior. The feature set is fixed, so the
     table that reaches the driver has a few hundred rows at any input size.
     """
     rows = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes", "c.features").agg(F.count("*").alias("n"))
-    rows = stored(rows, "votes")
+    rows = t.stored(rows, "votes")
     posterior = em_posteriors(rows.groupBy("kind", "votes").agg(F.sum("n").alias("n"))).select("kind", "votes", "posterior")
     soft = rows.join(F.broadcast(posterior), ["kind", "votes"])  # at most 4 * 3^5 rows
     per_kind = soft.groupBy("kind").agg(F.sum(F.col("n") * F.col("posterior")).alias("one"), F.sum(F.col("n") * (1 - F.col("posterior"))).alias("zero")).collect()
@@ -245,12 +241,13 @@ def span_classifier(found: DataFrame) -> dict[str, float]:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base and spans (arrays of kind, start, end).
 
-    Offsets are code points of the whole text. Null text counts as empty and has no spans; repeated
-    rows stay; other columns are ignored; an empty table gives an empty table. Spans are in order of
-    kind, then start; a candidate that overlaps a base span is never added.
+    Offsets are code points of the whole text. Null text counts as empty and has no spans; a null doc_id stays null; repeated
+    rows stay; other columns are ignored; an empty table gives an empty table. Very long texts with very many matches take time in
+    proportion to n log n. Spans are in order of kind, then start, then end; a candidate that overlaps a base span is never added.
     """
-    found = stored(candidate_spans(docs), "personal")
-    odds = span_classifier(found)
+    t = Tables()
+    found = t.stored(candidate_spans(docs), "personal")
+    odds = span_classifier(found, t)
     weights = F.create_map(*(F.lit(x) for kv in sorted(odds.items()) for x in kv)) if odds else F.lit(None).cast("map<string,double>")
     limit = log(ADD_FROM / (1 - ADD_FROM))
 
@@ -264,7 +261,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     added = F.transform(F.filter("candidates", lambda c: ~c["strict"] & (score(c) >= limit)), bare)
     place = lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     spans = F.array_sort(F.transform(F.concat("base", added), place))
-    return found.select("doc_id", *(f"n_{k}" for k in KINDS), "base", F.transform(spans, bare).alias("spans"))
+    return t.result(found.select("doc_id", *(f"n_{k}" for k in KINDS), "base", F.transform(spans, bare).alias("spans")), "personal-data")
 
 
 def personal_data_digests(docs: DataFrame) -> DataFrame:

@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import lean, stored, with_extra
-from gridweave.llm.spans import find_spans, joined, overlaps
+from gridweave.llm.common import Tables, lean, rewritten
+from gridweave.llm.spans import clear_of, find_spans, joined
 
 KINDS = ("assign", "access", "hex")
 #: Most distinct values of a kind (and of the background) that an automaton is learned from.
 SAMPLE = 400
+#: Lengths of the background's words, and how many a text may give.
+ORDINARY, WORDS = (12, 40), 4
 #: Confidence parameter of the compatibility test.
 ALPHA = 0.05
 #: Share of a kind's own labelled values that its score threshold must accept.
@@ -61,8 +63,11 @@ def candidate_secrets(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id", "text", F.concat(*(base(k) for k in KINDS)).alias("base")
     )
-    other = F.filter(find_spans(text, RUN), lambda s: ~overlaps(F.col("base"), s))
-    return found.select("doc_id", "base", other.alias("other"))
+    # the background's words: of each text those with the smallest hashes, so that the choice does not depend on how rows are laid out
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: F.length(w).between(*ORDINARY))
+    words = F.slice(F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct(F.xxhash64(w).alias("hash"), w.alias("word")))), 1, WORDS)
+    plain = F.transform(clear_of(F.col("base"), find_spans(text, RUN)), lambda s: F.struct(*(s[n].alias(n) for n in ("start", "end", "value"))))
+    return found.select("doc_id", "base", plain.alias("other"), F.transform(words, lambda w: w["word"]).alias("words"))
 
 
 def classes(value: str) -> str:
@@ -235,18 +240,17 @@ def _sampled(values: DataFrame) -> list[str]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end) of every row of ``docs(doc_id, text)``.
 
-    Offsets are code points of the whole text. Null and empty texts have no spans; repeated rows stay;
-    other columns are ignored; an empty table gives an empty table. Spans are in order of start, then
-    kind. Added spans never overlap base spans. With fewer than 20 labelled values of a kind no automaton is
+    Offsets are code points of the whole text. Null and empty texts have no spans; a null doc_id stays null; repeated rows stay;
+    other columns are ignored; an empty table gives an empty table; very long texts with very many matches take time in proportion to
+    n log n. Spans are in order of start, then kind. Added spans never overlap base spans. With fewer than 20 labelled values of a kind no automaton is
     learned for it and nothing is added.
     """
     lean(docs)
-    found = stored(candidate_secrets(docs), "secrets")
+    t = Tables()
+    found = t.stored(candidate_secrets(docs), "secrets")
     base = found.select(F.explode("base").alias("s")).select("s.kind", "s.value")
     labelled = {k: _sampled(base.where(F.col("kind") == k).select("value")) for k in KINDS}
-    share = min(1.0, SAMPLE / max(1, found.count()))
-    words = docs.sample(fraction=share, seed=11).select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("value"))
-    ordinary = _sampled(words.where("length(value) between 12 and 40"))
+    ordinary = _sampled(found.select(F.explode("words").alias("value")))
     detector = Detector(labelled, ordinary)
 
     def kinds_of(batches):
@@ -272,7 +276,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     scored = found.select("doc_id", F.transform("base", bare).alias("base"), "other").mapInArrow(kinds_of, f"doc_id long, base {spans}, added {spans}")
     place = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"))
     in_order = lambda c: F.transform(F.array_sort(F.transform(c, place)), bare)
-    return scored.select("doc_id", in_order(F.col("base")).alias("base"), in_order(F.concat("base", "added")).alias("spans"))
+    return t.result(scored.select("doc_id", in_order(F.col("base")).alias("base"), in_order(F.concat("base", "added")).alias("spans")), "secret-spans")
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
@@ -282,25 +286,24 @@ def secret_digests(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def blanked(text: str, spans: list) -> str:
+    """``text`` with each of the sorted spans, or what they cover together, as ``[secret]``."""
+    out, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], "[secret]"]
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret span of its texts replaced by ``[secret]``.
 
-    ``n_chars``, if there, follows the text. Rows without secrets are unchanged, null texts included. Repeated rows are
-    blanked alike; rows that share an id must share their text.
+    ``n_chars``, if there, follows the text. Rows without secrets are unchanged, null and empty texts included; so are rows
+    without doc_id. Repeated rows are blanked alike; rows that share an id must share their text; other columns pass through.
+    Blanking takes time in proportion to the text's length. An empty table gives an empty table.
     """
-    mark = "_gridweave_spans"
-    hit = find_secrets(docs).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias(mark)).dropDuplicates(["doc_id"])
-
-    def step(acc: Column, s: Column) -> Column:
-        start = F.greatest(s["start"], acc["at"])
-        piece = F.substr(acc["text"], (acc["at"] + 1).cast("int"), (start - acc["at"]).cast("int"))
-        new = F.when(s["end"] > acc["at"], F.concat(acc["out"], piece, F.when(s["start"] >= acc["at"], F.lit("[secret]")).otherwise(""))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"), acc["text"].alias("text"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"), F.col("text").alias("text"))
-    clean = F.aggregate(mark, start, step, lambda a: F.concat(a["out"], F.substr(a["text"], (a["at"] + 1).cast("int"))))
-    names = docs.columns
-    out = with_extra(docs, hit, mark).withColumn("text", F.when(F.col(mark).isNotNull(), clean).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col(mark).isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    mark, t = "_gridweave_spans", Tables()
+    found = t.kept(find_secrets(docs))
+    hit = found.where(F.size("spans") > 0).select("doc_id", F.col("spans").alias(mark)).dropDuplicates(["doc_id"])
+    return rewritten(docs, hit, mark, blanked, t)
