@@ -23,26 +23,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``. Where it is unset: the warehouse on a cluster, a temporary folder
-    in local mode."""
+    """The shared folder named by ``spark.checkpoint.dir`` or the context's checkpoint folder; where neither is set: a temporary folder
+    in local mode, an error on a cluster, whose machines share no other folder that is sure to exist."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = context._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
-    if not root and not spark.sparkContext.master.startswith("local"):
-        root = spark.conf.get("spark.sql.warehouse.dir")  # shared, too
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="gridweave-")
-        spark.sparkContext.setCheckpointDir(root)
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _LOCAL.get(context.applicationId)
+        if root is None:
+            root = _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="gridweave-")
+            _file_system(spark, root).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(root))
     return root.rstrip("/")
 
 
+#: Scratch folders of local sessions, by application.
+_LOCAL: dict[str, str] = {}
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to a table of the shared folder and reads it back: a cut of lineage that
-    survives the loss of any executor."""
+    survives the loss of any executor. What nobody dropped by then goes when the driver ends."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/gridweave/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
     out = spark.read.schema(df.schema).parquet(path)
     out._gridweave_path = path
     return out
@@ -65,9 +77,7 @@ def dropped(df: DataFrame) -> None:
     """Deletes a table made by ``stored`` once nothing reads it any more."""
     path = getattr(df, "_gridweave_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _file_system(df.sparkSession, path).delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 class Tables:
@@ -94,22 +104,55 @@ class Tables:
         return out
 
 
-def ids_of(df: DataFrame, label: str) -> DataFrame:
+def ids_of(df: DataFrame, label: str, t: Tables) -> DataFrame:
     """The doc_ids of ``df``, once each, as a table: small files whose size the planner knows when it chooses a join."""
-    return stored(df.select("doc_id").where("doc_id is not null").distinct().sortWithinPartitions("doc_id"), label)
+    return t.stored(df.select("doc_id").where("doc_id is not null").distinct().sortWithinPartitions("doc_id"), label)
+
+
+#: A key is hot from this share of all rows on, so there are at most so many hot keys the other way round.
+HOT_SHARE = 1000
 
 
-def with_extra(docs: DataFrame, extra: DataFrame, column: str) -> DataFrame:
-    """``docs`` with ``column`` of ``extra(doc_id, column)``, null where a row has none.
+def joined_on(rows: DataFrame, values: DataFrame, key: str, count: str, t: Tables) -> DataFrame:
+    """``rows`` left-joined on ``key`` to ``values``, which has one row a key and in ``count`` the key's rows.
 
-    Only rows that have it are joined: the others, found by their ids alone, keep their texts where they are as long as
-    the ids are few enough to broadcast; beyond that the planner shuffles.
+    Keys with more than one in ``HOT_SHARE`` of all rows, at most that many by counting, are broadcast with their values, so that
+    their rows stay where they are; the others are shuffled as usual.
     """
-    extra = stored(extra.select("doc_id", column), "extra")
-    ids = ids_of(extra, "extra-ids")
-    found = docs.join(ids, "doc_id", "left_semi").join(extra, "doc_id").select(*docs.columns, column)
-    rest = docs.join(ids, "doc_id", "left_anti").select(*docs.columns, F.lit(None).cast(extra.schema[column].dataType).alias(column))
-    return found.union(rest)
+    total = values.agg(F.sum(count)).first()[0] or 0
+    hot = t.stored(values.where(F.col(count) > max(1, total // HOT_SHARE)).drop(count), "hot-keys").coalesce(1)
+    rest = values.where(F.col(count) <= max(1, total // HOT_SHARE)).drop(count)
+    found = rows.join(F.broadcast(hot), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left")
+    return found.unionByName(cold.select(*found.columns))
+
+
+def rewritten(docs: DataFrame, extra: DataFrame, column: str, new_text, t: Tables) -> DataFrame:
+    """``docs`` with the texts that ``extra(doc_id, column)`` speaks of replaced by ``new_text(text, value)``; rows for which
+    that is None go. ``n_chars``, if there, follows the text.
+
+    Only those rows are joined and sent to Python: the others, found by their ids alone, keep their texts where they are as
+    long as the ids are few enough to broadcast; beyond that the planner shuffles.
+    """
+    names = docs.columns
+    extra = t.stored(extra.select("doc_id", column), "extra")
+    ids = ids_of(extra, "extra-ids", t)
+    found = docs.join(ids, "doc_id", "left_semi").join(extra, "doc_id").select(*names, column)
+    rest = docs.join(ids, "doc_id", "left_anti").select(*names)
+
+    def run(batches):
+        for b in small_batches(batches):
+            texts = b.column("text").to_pylist()
+            new = [None if x is None else new_text(x, v) for x, v in zip(texts, b.column(column).to_pylist(), strict=True)]
+            keep = pa.array([x is None or y is not None for x, y in zip(texts, new, strict=True)], pa.bool_())
+            columns = {n: b.column(n) for n in names}
+            columns["text"] = pa.array(new, pa.string())
+            if "n_chars" in names:
+                old = b.column("n_chars")
+                columns["n_chars"] = pa.array([o if y is None else len(y) for y, o in zip(new, old.to_pylist(), strict=True)], old.type)
+            yield pa.RecordBatch.from_pydict(columns).filter(keep)
+
+    return found.mapInArrow(run, docs.schema).union(rest)
 
 
 def most_frequent(counts: DataFrame, token: str, count: str, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,8 +255,10 @@ def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFra
     """(node, component) for every node of ``edges(a, b)``; component is the smallest reachable id.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join, over tables in
-    the shared folder, until a round changes nothing; more than ``rounds``, if given, are an error. Isolated nodes (a = b only) are dropped. The result is such a table.
+    the shared folder, until a round changes nothing; more than ``rounds``, if given, are an error. Isolated nodes (a = b only)
+    are dropped. The result is such a table.
     """
+
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 

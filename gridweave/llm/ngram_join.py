@@ -29,6 +29,7 @@ from gridweave.llm.common import (
     Tables,
     WordHashes,
     connected_components,
+    joined_on,
     lean,
     most_frequent,
     shingle_hashes,
@@ -428,9 +429,10 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     full = _whole_sets(texts, width)
     links = t.stored(linked_in_blocks(tiled.join(full, "doc_id").repartition(parts, "block"), "tokens", by_set).distinct(), "links")
     comps = t.kept(connected_components(links))
-    classes = base.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    keyed = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = base.join(keyed, "key", "left").select(
+    classes = base.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    keyed = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    keyed = t.stored(keyed.select("key", F.coalesce("component", "rep").alias("component"), "rows"), "classes")
+    out = joined_on(base.select("doc_id", "n", "key"), keyed, "key", "rows", t).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),

@@ -5,16 +5,18 @@ Two kinds of paragraphs are compared across documents:
 * lines of at least ``WINDOW`` words, by MinHash signatures of their five-word shingles. The
   bands are tuned so that a pair at the similarity threshold meets with at least ``RECALL`` probability;
   colliding lines are joined and verified by the exact Jaccard similarity of their shingles;
-* embedded paragraphs: runs of words, wherever lines end. The ``WINDOW`` words from each line or sentence start and from
-  places chosen by their content (winnowing) are hashed; any run of ``GUARANTEED`` words holds such a window. Windows with
-  equal hashes are compared word by word and grown in both directions as long as an earlier document has the same words.
+* embedded paragraphs: every run of ``GUARANTEED`` words, wherever lines end. Its signature is the smallest hash of its
+  ``WINDOW``-word shingles (a MinHash of one row, the same minimum for neighbouring runs). Paragraphs that collide are compared word by
+  word where the minimum lies and grown in both directions as long as an earlier document has the same words.
 
 Linked paragraphs form components; the first occurrence (smallest document, then place) stays and
-the other documents' occurrences are removals. Repeats within one document are left alone.
+the other documents' occurrences are removals. Repeats within one document are left alone. Embedded paragraphs inside lines that are
+removals already are not looked at again.
 """
 
 from __future__ import annotations
 
+import re
 from math import ceil, log
 
 import numpy as np
@@ -23,12 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Tables, WordHashes, connected_components, ids_of, lean, mixed, shingle_hashes, small_batches, text_bytes, with_extra
+from gridweave.llm.common import Tables, WordHashes, connected_components, ids_of, joined_on, lean, mixed, rewritten, shingle_hashes, small_batches, text_bytes
+from gridweave.llm.spans import let, running
 from gridweave.llm.ngram_join import blocks_of, linked_in_blocks, set_links
 
 #: Words of a hashed window and fewest words of a compared line.
 WINDOW = 24
-#: Any shared run of so many words holds a window, so past its outermost windows it goes on for less than ``REACH`` + 1 words.
+#: Words of an embedded paragraph. A shared one holds a window, so past its outermost windows a shared run goes on for less than ``REACH`` + 1 words.
 GUARANTEED = 50
 REACH = GUARANTEED - WINDOW
 SHINGLE = 5
@@ -49,17 +52,6 @@ def tuned_bands(percent: int = PERCENT, recall: float = RECALL, most: int = MOST
     return best
 
 
-class SentenceHashes(WordHashes):
-    """Word hashes whose lowest bit says that the word ends a sentence."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = super().__missing__(word)
-        value = (value | 1) if word[-1:] in (b".", b"!", b"?") else (value & ~1)
-        if word in self:
-            self[word] = value
-        return value
-
-
 def line_words(raw: bytes) -> tuple[list[bytes], np.ndarray]:
     """All words of a text, and the word index at which each line that has words begins, with the end."""
     words: list[bytes] = []
@@ -72,26 +64,41 @@ def line_words(raw: bytes) -> tuple[list[bytes], np.ndarray]:
     return words, np.array([*starts, len(words)], np.int64)
 
 
-def embedded(h: np.ndarray, starts: np.ndarray, window: int = WINDOW, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, hash) of the ``window`` words from each sentence or line start on, if so many follow, and of the
-    smallest hash of every ``reach`` + 1 windows in a row, the first of equal ones."""
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every ``width`` neighbours, by running minima from both ends of blocks of that width."""
+    n = len(x) - width + 1
+    blocks = np.full((-(-len(x) // width), width), np.iinfo(x.dtype).max, x.dtype)
+    blocks.reshape(-1)[: len(x)] = x
+    ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+
+
+_BASE = 0x9E3779B97F4A7C15
+_UNIT = pow(_BASE, -1, 1 << 64)
+
+
+def embedded(h: np.ndarray, window: int = WINDOW, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, hash) of the smallest window hash of every ``reach`` + 1 windows in a row. Of equal windows side by side, as in
+    one word said over and over, only the first counts."""
     n = len(h) - window + 1
-    if n <= 0:
+    if n <= reach:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    begin = np.zeros(len(h), bool)
-    begin[starts[:-1]] = True
-    begin[1:] |= (h[:-1] & np.uint64(1)).astype(bool)
-    powers = np.cumprod(np.full(window, 0x9E3779B97F4A7C15, np.uint64))
-    keys = np.zeros(n, np.uint64)
-    for k in range(window):
-        keys += h[k : k + n] * powers[k]
-    keys = mixed(keys)
-    if n > reach:
-        begin[np.arange(n - reach) + np.lib.stride_tricks.sliding_window_view(keys, reach + 1).argmin(axis=1)] = True
-    at = np.nonzero(begin[:n])[0]
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(len(h) - 1, _BASE, np.uint64)])
+    sums = np.r_[np.uint64(0), np.cumsum(h * powers)]
+    keys = mixed((sums[window:] - sums[:-window]) * np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _UNIT, np.uint64)]))
+    low = np.pad(sliding_min(keys, reach + 1), reach)
+    chosen = keys == ~sliding_min(~low, reach + 1)  # the largest of the minima that a window takes part in
+    chosen[1:] &= keys[1:] != keys[:-1]
+    at = np.nonzero(chosen)[0]
     return at, keys[at]
 
 
+def line_key(shingles: np.ndarray) -> np.ndarray:
+    """Key of one line's shingles, in order."""
+    return mixed(mixed(shingles + np.arange(len(shingles), dtype=np.uint64)).sum(dtype=np.uint64)[None] + np.uint64(len(shingles)))
+
+
 class Earlier:
     """Runs of words in order of their documents, as a tree that is unfolded only where runs part."""
 
@@ -139,13 +146,13 @@ def _paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=list(kind.value_type)))
 
     def run(batches):
-        hashes = SentenceHashes()
-        for b in small_batches(batches):
+        hashes = WordHashes()
+        for b in small_batches(batches, 256):
             w_at, w_key, l_at, l_words, parts, w_count, l_count = ([] for _ in range(7))
             for raw in text_bytes(b.column("text")):
                 words, starts = line_words(raw)
                 h = hashes.of(words)
-                at, keys = embedded(h, starts)
+                at, keys = embedded(h)
                 w_at.append(at)
                 w_key.append(keys)
                 w_count.append(len(at))
@@ -154,7 +161,7 @@ def _paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 a, size = starts[:-1][long], sizes[long]
                 l_count.append(len(a))
                 if len(a):
-                    s = shingle_hashes(h & ~np.uint64(1), SHINGLE)
+                    s = shingle_hashes(h, SHINGLE)
                     parts += [s[x : x + n - SHINGLE + 1] for x, n in zip(a.tolist(), size.tolist(), strict=True)]
                     l_at.append(a)
                     l_words.append(size)
@@ -189,23 +196,27 @@ def _paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     )
 
 
-def _line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(key, raw) of the lines at ``places(key, doc_id, at, words)``, one place for each key."""
+def _line_texts(docs: DataFrame, places: DataFrame, t: Tables) -> DataFrame:
+    """(key, raw) of the lines at ``places(key, doc_id, at, words)``, one place and one row for each key."""
     per_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "words")).alias("want"))
     # only the texts that hold such lines are moved
-    texts = docs.select("doc_id", "text").join(ids_of(places, "line-documents"), "doc_id", "left_semi").join(per_doc, "doc_id")
+    texts = docs.select("doc_id", "text").join(ids_of(places, "line-documents", t), "doc_id", "left_semi").join(per_doc, "doc_id")
 
     def run(batches):
+        hashes = WordHashes()
         for b in small_batches(batches):
             keys, raws = [], []
             for raw, want in zip(text_bytes(b.column("text")), b.column("want").to_pylist(), strict=True):
                 words = raw.split()
                 for x in want:
-                    keys.append(x["key"])
-                    raws.append(b" ".join(words[x["at"] : x["at"] + x["words"]]))
+                    line = words[x["at"] : x["at"] + x["words"]]
+                    # another text under the same id does not have the line there
+                    if len(line) == x["words"] and int(line_key(shingle_hashes(hashes.of(line), SHINGLE)).view(np.int64)[0]) == x["key"]:
+                        keys.append(x["key"])
+                        raws.append(b" ".join(line))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(raws, pa.binary())], names=["key", "raw"])
 
-    return texts.select("text", "want").mapInArrow(run, "key long, raw binary")
+    return texts.select("text", "want").mapInArrow(run, "key long, raw binary").dropDuplicates(["key"])
 
 
 def _short(word: bytes) -> bytes:
@@ -213,15 +224,76 @@ def _short(word: bytes) -> bytes:
     return word if len(word) <= 64 else b"\n" + xxhash.xxh3_128_digest(word).hex().encode()
 
 
-def grown_windows(docs: DataFrame, places: DataFrame) -> DataFrame:
+def uncovered(base: DataFrame, by_line: DataFrame) -> DataFrame:
+    """(doc_id, at, key) of the windows of ``base`` that do not lie in runs of words that ``by_line(doc_id, at, words)`` removes."""
+    runs = by_line.groupBy("doc_id").agg(F.collect_list(F.struct("at", "words")).alias("runs"))
+    kinds = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("key", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            parts = []
+            for doc, windows, gone in zip(b.column("doc_id").to_pylist(), b.column("windows"), b.column("runs"), strict=True):
+                w = windows.values
+                at = w.field("at").to_numpy()
+                keep = np.ones(len(at), bool)
+                if gone.is_valid:
+                    first, end = gone.values.field("at").to_numpy(), gone.values.field("words").to_numpy()
+                    order = np.argsort(first, kind="stable")
+                    first, end = first[order], np.maximum.accumulate((first + end)[order])
+                    cut = np.nonzero(np.r_[True, first[1:] > end[:-1]])[0]  # runs that touch are one
+                    first, end = first[cut], end[np.r_[cut[1:] - 1, len(end) - 1]]
+                    k = np.searchsorted(first, at, side="right") - 1
+                    keep = (k < 0) | (at + WINDOW > end[np.maximum(k, 0)])
+                parts.append((np.full(int(keep.sum()), doc, np.int64), at[keep], w.field("key").to_numpy()[keep]))
+            doc, at, key = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(key, pa.int64())], schema=kinds)
+
+    rows = base.where(F.size("windows") > 0).select("doc_id", "windows").join(runs, "doc_id", "left")
+    return rows.select("doc_id", "windows", "runs").mapInArrow(run, "doc_id long, at int, key long")
+
+
+def repeated(windows: DataFrame, parts: int) -> DataFrame:
+    """The rows of ``windows(doc_id, at, key)`` whose key several documents have: one shuffle, then one pass over sorted rows."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("key", pa.int64())])
+
+    def run(batches):
+        now, first, waiting, several = None, None, [], False  # of the last key so far
+        for b in batches:
+            doc, at, key = (b.column(k).to_numpy() for k in range(3))
+            if not len(key):
+                continue
+            edges = np.r_[0, np.nonzero(key[1:] != key[:-1])[0] + 1, len(key)]
+            lone = np.zeros(len(key), bool)
+            before = None  # what waits from batches before and turns out to be shared
+            for a, z in ((edges[0], edges[1]), (edges[-2], edges[-1])) if len(edges) > 2 else ((0, len(key)),):
+                if key[a] != now:
+                    now, first, waiting, several = key[a], doc[a], [], False
+                several = several or bool((doc[a:z] != first).any())
+                if several:
+                    before = (before or []) + waiting
+                    waiting = []
+                else:
+                    waiting.append((doc[a:z], at[a:z], key[a:z]))
+                    lone[a:z] = True
+            inner = edges[1:-1]  # keys that lie in this batch as a whole
+            if len(inner) > 1:
+                low, high = (f.reduceat(doc[: inner[-1]], inner[:-1]) for f in (np.minimum, np.maximum))
+                lone[inner[0] : inner[-1]] = np.repeat(low == high, np.diff(inner))
+            out = [*(before or []), (doc[~lone], at[~lone], key[~lone])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=kinds)
+
+    near = windows.select("doc_id", "at", "key").repartition(parts, "key").sortWithinPartitions("key", "doc_id", "at")
+    return near.mapInArrow(run, "doc_id long, at int, key long")
+
+
+def grown_windows(docs: DataFrame, places: DataFrame, parts: int, t: Tables) -> DataFrame:
     """Removals (doc_id, at, words, kept_in, component) by ``places(doc_id, at, key)`` of windows that several documents share.
 
     Each window comes with ``REACH`` words on both sides. In order of documents it is compared, word by word, with all
     earlier ones of its key, and grown on each side by what any of them shares.
     """
     per_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at")).alias("want"))
-    texts = docs.select("doc_id", "text").join(ids_of(places, "window-documents"), "doc_id", "left_semi").join(per_doc, "doc_id")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select("doc_id", "text").join(ids_of(places, "window-documents", t), "doc_id", "left_semi").join(per_doc, "doc_id")
     kinds = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("raw", pa.binary())])
 
     def around(batches):
@@ -268,16 +340,15 @@ def grown_windows(docs: DataFrame, places: DataFrame) -> DataFrame:
     return near.mapInArrow(grown, "doc_id long, at int, words int, kept_in long, component long").distinct()
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, percent: int, tile: int, t: Tables) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, percent: int, tile: int, parts: int, t: Tables) -> DataFrame:
     """(node, component) of line keys that are linked to another key: candidates by bands, verified exactly."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "at", "words", "n", "bands")).alias("p"))
     first = t.stored(first.select("key", "p.*"), "line-keys")
     index = first.select(F.explode("bands").alias("token"), F.col("key").alias("doc_id"), "n")
     blocks = t.stored(blocks_of(index, percent, tile, parts), "line-blocks")
     wanted = first.select("key", "doc_id", "at", "words", "n").join(blocks.select(F.col("doc_id").alias("key")), "key", "left_semi")
     wanted = t.stored(wanted, "line-places")
-    raws = _line_texts(docs, wanted)
+    raws = _line_texts(docs, wanted, t)
     payload = raws.join(wanted.select("key", "n"), "key").withColumnRenamed("key", "doc_id")
 
     def verified(sizes, raw_lines):
@@ -295,48 +366,52 @@ def paragraph_duplicates(docs: DataFrame, percent: int = PERCENT, tile: int = TI
     """Removals: doc_id, at, words (a run of the text's words, from 0), kept_in, component, kind.
 
     ``kept_in`` is the document that keeps the paragraph; ``component`` names the set of linked
-    paragraphs; kind is 'line' or 'embedded'. Null, empty and short texts have no removals; repeated texts
-    under other ids are removals but for the first; other columns are ignored; an empty table gives an empty table.
+    paragraphs; kind is 'line' or 'embedded'. Null, empty and short texts have no removals, nor have rows without doc_id, which nothing
+    can name; repeated texts under other ids are removals but for the first, which is also the one that stays of tied ones; repeated rows
+    count once; of rows that share an id with different texts each is looked at, and a removal may speak of any of them; very long texts
+    are cut at no length; other columns are ignored; an empty table gives an empty table.
     """
     lean(docs)
     bands, rows = tuned_bands(percent)
     t = Tables()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
     base = t.stored(_paragraphs(docs, bands, rows), "paragraphs")
     lines = base.select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.*")
-    near = near_lines(docs, lines, percent, tile, t)
+    near = near_lines(docs, lines, percent, tile, parts, t)
     # one id for each set of linked lines; unlinked keys stand for themselves
-    placed = lines.select("doc_id", "at", "words", "key").join(near.withColumnRenamed("node", "key"), "key", "left")
-    placed = placed.select("doc_id", "at", "words", F.coalesce("component", "key").alias("component"))
-    windows = base.select("doc_id", F.explode("windows").alias("x")).select("doc_id", "x.at", "x.key")
-
-    def shared(units: DataFrame, key: str) -> DataFrame:
-        sets = units.groupBy(key).agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last"))
-        return sets.where("kept_in <> last").drop("last")
-
-    by_line = placed.join(shared(placed, "component"), "component").where("doc_id <> kept_in")
-    by_line = by_line.select("doc_id", "at", "words", "kept_in", "component", F.lit("line").alias("kind"))
-    places = t.stored(windows.join(shared(windows, "key").select("key"), "key"), "window-places")
-    by_window = grown_windows(docs, places).withColumn("kind", F.lit("embedded"))
+    keys = lines.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    keys = keys.join(near.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    sets = keys.groupBy("component").agg(F.min("first").alias("kept_in"), F.max("last").alias("last")).where("kept_in <> last").drop("last")
+    keys = t.stored(keys.join(sets, "component").select("key", "n", "component", "kept_in"), "line-sets")
+    by_line = joined_on(lines.select("doc_id", "at", "words", "key"), keys, "key", "n", t).where("doc_id <> kept_in")
+    by_line = t.stored(by_line.select("doc_id", "at", "words", "kept_in", "component", F.lit("line").alias("kind")), "by-line")
+    places = t.stored(repeated(uncovered(base, by_line), parts), "window-places")
+    by_window = grown_windows(docs, places, parts, t).withColumn("kind", F.lit("embedded"))
     return t.result(by_line.union(by_window), "removals")
 
 
 def _merged(spans: Column) -> Column:
-    """Sorted (at, end) word runs with overlapping ones joined."""
-    empty = F.array().cast("array<struct<at:int,end:int>>")
+    """Sorted (at, end) word runs with overlapping ones joined: a run begins where none before reaches."""
+
+    def joined(sorted_spans: Column) -> Column:
+        reach = running(F.transform(sorted_spans, lambda s: s["end"]), F.greatest)
+
+        def begun(v: Column) -> Column:
+            new = lambda i: (i == 0) | (F.element_at(v["spans"], i + 1)["at"] > F.element_at(v["reach"], F.greatest(i, F.lit(1))))
+            last = lambda i: (i == F.size(v["spans"]) - 1) | new(F.least(i + 1, F.size(v["spans"]) - 1))
+            starts = F.filter(F.transform(v["spans"], lambda s, i: F.when(new(i), s["at"])), lambda x: x.isNotNull())
+            ends = F.filter(F.transform(v["reach"], lambda r, i: F.when(last(i), r)), lambda x: x.isNotNull())
+            return F.zip_with(starts, ends, lambda a, z: F.struct(a.alias("at"), z.alias("end")))
 
-    def add(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = last.isNotNull() & (s["at"] <= last["end"])
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["at"].alias("at"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when(fits, grown).otherwise(F.concat(acc, F.array(s)))
+        return let(F.struct(sorted_spans.alias("spans"), reach.alias("reach")), begun)
 
-    return F.aggregate(F.array_sort(spans), empty, add)
+    return let(F.array_sort(spans), joined)
 
 
-def removal_runs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def removal_runs(found: DataFrame) -> DataFrame:
     """doc_id, runs (word runs to remove, joined and in order), kept_in (documents that keep them): one row for
-    each document that has removals."""
-    found = paragraph_duplicates(docs, percent)
+    each document that has removals in ``found``."""
     one = found.groupBy("doc_id").agg(
         F.collect_set(F.struct("at", (F.col("at") + F.col("words")).alias("end"))).alias("spans"),
         F.array_sort(F.collect_set("kept_in")).alias("kept_in"),
@@ -344,45 +419,31 @@ def removal_runs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return one.select("doc_id", _merged(F.col("spans")).alias("runs"), "kept_in")
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+
+
+def without_runs(text: str, runs: list) -> str | None:
+    """``text`` without the words of the sorted ``runs``; None if no word is left."""
+    raw = text.encode()
+    places = [m.span() for m in _WORD.finditer(raw)]
+    out, at = [], 0
+    for s in runs:
+        if s["end"] > len(places):
+            break  # another text under the same id
+        out.append(raw[at : places[s["at"]][0]])
+        at = places[s["end"] - 1][1]
+    left = b"".join([*out, raw[at:]])
+    return left.decode() if left.split() else None
+
+
 def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with repeated paragraphs cut out of their texts; a text left without words goes.
 
     Other columns pass through but ``n_chars``, which follows the text. Texts without removals, null and
-    empty ones included, are unchanged. Repeated rows are cut alike; rows that share an id must share their text.
+    empty ones and those without doc_id included, are unchanged. Repeated rows are cut alike; rows that share an id must share their
+    text. An empty table gives an empty table.
     """
-    names = docs.columns
-    mark = "_gridweave_runs"
-    runs = removal_runs(docs, percent).select("doc_id", F.col("runs").alias(mark))
-    joined = with_extra(docs, runs, mark)
-
-    def run(batches):
-        import re
-
-        word = re.compile(rb"[^\x20\x09-\x0d]+")
-        for b in small_batches(batches):
-            cut, new = b.column(mark).to_pylist(), []
-            texts = b.column("text").to_pylist()
-            for text, spans in zip(texts, cut, strict=True):
-                if not spans:
-                    new.append(text)
-                    continue
-                raw = text.encode()
-                places = [m.span() for m in word.finditer(raw)]
-                out, at = [], 0
-                for s in spans:
-                    if s["end"] > len(places):
-                        break  # another text under the same id
-                    out.append(raw[at : places[s["at"]][0]])
-                    at = places[s["end"] - 1][1]
-                out.append(raw[at:])
-                left = b"".join(out)
-                new.append(left.decode() if left.split() else None)
-            keep = pa.array([not s or t is not None for s, t in zip(cut, new, strict=True)])
-            columns = {n: b.column(n) for n in names}
-            columns["text"] = pa.array(new, pa.string())
-            if "n_chars" in names:
-                old = b.column("n_chars").to_pylist()
-                columns["n_chars"] = pa.array([len(t) if s and t is not None else o for s, t, o in zip(cut, new, old, strict=True)], b.column("n_chars").type)
-            yield pa.RecordBatch.from_pydict(columns).filter(keep)
-
-    return joined.mapInArrow(run, docs.schema)
+    mark, t = "_gridweave_runs", Tables()
+    found = t.kept(paragraph_duplicates(docs, percent))
+    runs = removal_runs(found).select("doc_id", F.col("runs").alias(mark))
+    return rewritten(docs, runs, mark, without_runs, t)

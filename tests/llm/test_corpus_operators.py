@@ -204,7 +204,7 @@ def test_every_long_run_holds_a_window():
         keys = []
         for _ in range(2):
             a, b = (r.randint(0, 2**62, r.randint(1, 90), dtype=np.int64).astype(np.uint64) * np.uint64(2) for _ in range(2))
-            at, key = paragraphs.embedded(np.concatenate((a, run, b)), np.array([0, len(a) + len(run) + len(b)]))
+            at, key = paragraphs.embedded(np.concatenate((a, run, b)))
             keys.append({int(k) for x, k in zip(at, key, strict=True) if len(a) <= x <= len(a) + paragraphs.REACH})
         assert keys[0] & keys[1]
 
