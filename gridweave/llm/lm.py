@@ -44,7 +44,10 @@ HOLD = 2_000_000
 END = (1 << 62) | 3
 
 _CLASSES = HEAD // CLASS_WORDS
-_LETTERS = [bytes(range(256)).translate(None, keep) for keep in (b"\xa9\xa8\xaa\xa7\xa0\xb9\xae", b"\xb1\xad\xb3\xba\xa1", b"\xbc\xa4\xb6\x9f")]
+#: Second bytes of accented letters, in three groups.
+_LETTERS = (b"\xa9\xa8\xaa\xa7\xa0\xb9\xae", b"\xb1\xad\xb3\xba\xa1", b"\xbc\xa4\xb6\x9f")
+_GROUPS = bytes(next((k + 1 for k, letters in enumerate(_LETTERS) if c in letters), 0) for c in range(256))
+_MARKS = (b"\x01", b"\x02", b"\x03")
 
 
 def tail_class(word: bytes) -> int:
@@ -52,8 +55,9 @@ def tail_class(word: bytes) -> int:
     last = word[-1:]
     kind = 1 if last == b"," else 2 if last == b"." else 0 if last.isalpha() or last >= b"\x80" else 3
     if not word.isascii():
-        for k, drop in enumerate(_LETTERS):
-            if word.translate(None, drop):
+        groups = word.translate(_GROUPS)
+        for k, mark in enumerate(_MARKS):
+            if mark in groups:
                 return 4 * (k + 1) + kind
     return kind
 
@@ -70,7 +74,7 @@ def held_out(doc_id) -> bool:
 class Tokens(dict):
     """word -> number; bounded, so that what is kept never changes a value."""
 
-    def __init__(self, number, limit: int = 300_000):
+    def __init__(self, number, limit: int = 500_000):
         super().__init__()
         self.number, self.limit = number, limit
 
@@ -355,24 +359,41 @@ def _numbered(docs: DataFrame, tokens: np.ndarray, logs: np.ndarray, tails: np.n
     ])
 
     def run(batches):
-        table, log, classes, parts = given.value
+        table, log, classes, tail_logs_of = given.value
         classes = classes if len(classes) else np.zeros(1, np.int64)
         log = log if len(log) else np.zeros(1)
         lexicon = Lexicon(table)
         end = lexicon.rank.get(END, -1 - END)
         words = Tokens(lexicon.number)
         for b in small_batches(batches, 128):
-            rows = []
-            for doc, raw in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")), strict=True):
-                n = words.of(raw, end)
-                ids = inputs_of(n, classes)
-                known, tail = n >= 0, ids >= HEAD
-                base = log[n[known]].sum()
-                in_tail = log[n[known & tail]].sum() - parts[ids[tail] - HEAD].sum()
-                number = None if held_out(doc) else zlib.crc32(f"{doc}:round".encode()) % ROUNDS
-                rows.append((doc, number, len(n) > LONG, np.r_[ids[-1], ids].astype("<i2").tobytes(), len(n), int(known.sum()), float(base), float(in_tail), -1 - n[~known]))
-            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+            docs_in = b.column("doc_id").to_pylist()
+            parts = [words.of(raw, end) for raw in text_bytes(b.column("text"))]
+            if not parts:
+                continue
+            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            first = np.r_[0, np.cumsum(size)[:-1]]
+            n = np.concatenate(parts)
+            ids = inputs_of(n, classes)
+            known, tail = n >= 0, ids >= HEAD
+            own = np.where(known, log[np.maximum(n, 0)], 0.0)
+            in_tail = np.where(tail, np.where(known, own, 0.0) - tail_logs_of[np.maximum(ids - HEAD, 0)], 0.0)
+            held = np.concatenate([x for a, z in zip(first.tolist(), (first + size).tolist(), strict=True) for x in (ids[z - 1 : z], ids[a:z])]).astype("<i2").tobytes()
+            ends = np.cumsum(size + 1) * 2
+            rare = np.add.reduceat((~known).astype(np.int64), first)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(docs_in, pa.int64()),
+                    pa.array([None if held_out(d) else zlib.crc32(f"{d}:round".encode()) % ROUNDS for d in docs_in], pa.int32()),
+                    pa.array(size > LONG),
+                    pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32).tobytes()), pa.py_buffer(held)]),
+                    pa.array(size),
+                    pa.array(np.add.reduceat(known.astype(np.int64), first)),
+                    pa.array(np.add.reduceat(own, first)),
+                    pa.array(np.add.reduceat(in_tail, first)),
+                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rare)].astype(np.int32)), pa.array(-1 - n[~known])),
+                ],
+                schema=kinds,
+            )
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, round int, long boolean, ids binary, n_tokens long, n_known long, base double, in_tail double, rare array<long>"
