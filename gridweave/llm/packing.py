@@ -1,8 +1,8 @@
 """Best-two-fit packing of tokenised documents into sequences of bounded length.
 
 Texts are tokenised whole; only documents longer than a sequence are cut, the short remainder first.
-A full piece is a sequence by itself. The other pieces are dealt by a hash of their document into
-groups of some ten thousand and every group is packed on its own: sequences are filled greedily, then
+A full piece is a sequence by itself and is packed where it is. The other pieces are dealt by hash into
+groups of some ten thousand sequences and every group is packed on its own: sequences are filled greedily, then
 a sequence's smallest piece gives way to two unpacked pieces that fill the widened gap better. A
 group leaves at most one badly filled sequence, so the loss against one global packing is below one
 sequence in ``GROUP_SEQUENCES``.
@@ -21,16 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.bpe import byte_symbols
-from gridweave.llm.common import lean, small_batches, stored
+from gridweave.llm.common import Tables, lean, small_batches
 
 CAPACITY = 1024
 #: Sequences that a packing group should fill.
 GROUP_SEQUENCES = 16384
+#: Most pieces that a group should have.
+GROUP_PIECES = 1 << 19
 
 # The pre-split of byte-level BPE (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters whose class all Unicode versions agree on; other texts go to the library whole.
 PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e¡-ɏ]*+")
+#: Runs of white space that the fast encoder's backtracking can't hold.
+BLANK = re.compile(r"\s{10000}")
 
 
 class Encoder:
@@ -38,7 +42,7 @@ class Encoder:
 
     Equal to the library's encode without added special tokens. Ordinary texts take a faster encoder that is
     built from the same vocabulary (its ids are in merge order, so they are the ranks); a text
-    with a special token's string or unusual characters is encoded by the library.
+    with a special token's string, unusual characters or very long runs of white space is encoded by the library.
     """
 
     def __init__(self, file: str):
@@ -58,7 +62,7 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        if not PLAIN.fullmatch(text) or BLANK.search(text) or any(s in text for s in self.special):
             return self.slow(text)
         return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
@@ -103,7 +107,7 @@ def best_two_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
         while gap and (n := longest(gap)) > 0:
             held.append(take(n))
             gap -= n
-        if gap and there and len(held) > 1:
+        if gap and there:
             small = min(held, key=lambda k: (lengths[k], k))
             room, best, pair = gap + lengths[small], lengths[small], None
             a = longest(room - 1)
@@ -147,16 +151,20 @@ def tokenised_pieces(docs: DataFrame, file: str, end_id: int, capacity: int = CA
 def pack(docs: DataFrame, file: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
-    Null and empty texts are one piece of the end token; repeated rows are packed each; other columns
-    are ignored; an empty table gives an empty table. Equal lengths are taken in order of (doc_id, piece).
+    Null and empty texts are one piece of the end token; repeated rows are packed each, and so are rows without doc_id; very long texts
+    are cut only into pieces; other columns are ignored; an empty table gives an empty table. Equal lengths are taken in order of (doc_id, piece).
+    Sequences of one full piece have negative numbers.
     """
     lean(docs)
-    cut = stored(tokenised_pieces(docs, file, end_id, capacity).withColumn("piece", F.col("piece").cast("int")), "pieces")
-    total = cut.where(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-total // (capacity * GROUP_SEQUENCES)))
+    t = Tables()
+    cut = tokenised_pieces(docs, file, end_id, capacity).withColumn("piece", F.col("piece").cast("int"))
+    cut = t.stored(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    full, short = cut.where(F.col("length") == capacity), cut.where(F.col("length") < capacity)
+    tokens, rows = short.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    groups = max(1, -(-tokens // (capacity * GROUP_SEQUENCES)), -(-rows // GROUP_PIECES))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "piece", "row"], kind="stable").reset_index(drop=True)
         lengths = pdf["length"].tolist()
         sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
         first = int(pdf["group"].iloc[0]) << 32
@@ -169,8 +177,10 @@ def pack(docs: DataFrame, file: str, end_id: int, capacity: int = CAPACITY) -> D
             ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
         ]
 
-    return (
-        cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    packed = (
+        short.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
         .groupBy("group")
         .applyInPandas(one, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     )
+    alone = full.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    return t.result(packed.union(alone), "packed")
