@@ -16,11 +16,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gridweave.llm.common import lean, small_batches, text_bytes
 
-#: Most rows that the cost and selectivity sample holds.
+#: Rows, about, of the sample that costs and selectivities are measured on.
 SAMPLE_ROWS = 1000
 
 SYMBOLS = b"#*$%&|<>"
@@ -127,11 +128,24 @@ def ordered(stats: list[tuple[str, float, float]], rules: tuple[Rule, ...] = RUL
 
 
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[str, ...]:
-    """Names of the rules in the order that a bounded sample of ``docs`` suggests."""
-    total = docs.count()
-    share = min(1.0, sample_rows / max(1, total))
-    sample = docs.select("text").sample(fraction=share, seed=7).limit(sample_rows).collect()
-    stats = measured(((r.text or "").encode("utf-8") for r in sample), rules)
+    """Names of the rules in the order that a sample of ``docs`` of about ``sample_rows`` rows suggests.
+
+    Rules are measured where the sampled texts are; a few numbers a rule and task come to the driver.
+    """
+    share = min(1.0, sample_rows / max(1, docs.count()))
+
+    def run(batches):
+        total: dict[str, list] = {r.name: [0.0, 0, 0] for r in rules}
+        for b in small_batches(batches):
+            texts = text_bytes(b.column("text"))
+            for name, cost, hits in measured(texts, rules):
+                total[name] = [total[name][0] + cost * len(texts), total[name][1] + round(hits * len(texts)), total[name][2] + len(texts)]
+        rows = [(k, *v) for k, v in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["rule", "cost", "hits", "n"])
+
+    found = docs.select("text").sample(fraction=share, seed=7).mapInArrow(run, "rule string, cost double, hits long, n long")
+    said = {r.rule: r for r in found.groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("cost", "hits", "n"))).collect()}
+    stats = [(r.name, x.cost / max(1, x.n), x.hits / max(1, x.n)) if (x := said.get(r.name)) else (r.name, 0.0, 0.0) for r in rules]
     return tuple(r.name for r in ordered(stats, rules))
 
 
@@ -171,7 +185,8 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
     """Measures and verdict of each document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept.
 
-    Null or empty text has zero words, so base_failed. The measures are needed whole here, so only
+    Null or empty text has zero words, so base_failed; a null doc_id stays null; repeated rows each get a row; very long texts are measured whole; other
+    columns are ignored; an empty table gives an empty table. The measures are needed whole here, so only
     the rules beyond them are spared by the cascade.
     """
     lean(docs)

@@ -28,6 +28,8 @@ ODD = [
     (7, "x" * 120_000),
     (8, "7" * 120_000),
     (9, "word " * 30_000),
+    (900, " ".join(str(k % 1000) for k in range(250_000))),
+    (901, " " * 1_000_000 + "a"),
 ]
 
 

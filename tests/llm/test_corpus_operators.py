@@ -209,6 +209,78 @@ def test_every_long_run_holds_a_window():
         assert keys[0] & keys[1]
 
 
+def test_rows_without_id_hide_no_link(spark, docs_of, prose):
+    line = prose(800, 60)
+    near = line.split()
+    near[20] = "other"
+    rows = [(0, line), (1, " ".join(near))]
+    want = {tuple(r)[:4] for r in paragraphs.paragraph_duplicates(docs_of(rows)).collect()}
+    assert {r[0] for r in want} == {1}
+    assert {tuple(r)[:4] for r in paragraphs.paragraph_duplicates(docs_of([*rows, (None, line), (None, None)])).collect()} == want
+
+
+def test_every_removal_is_a_true_repeat(spark):
+    """Each removed run is, word for word or as a near copy, in the document that keeps it: none rests on a hash alone."""
+    rows = {r.doc_id: (r.text or "") for r in table(spark, SF, "documents").collect()}
+    words = {i: WORD.findall(t) for i, t in rows.items()}
+    found = Q.op5_paragraph_minhash(spark, SF).collect()
+    lines = {i: [WORD.findall(x) for x in t.split("\n")] for i, t in rows.items()}
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    linked = {}
+    for r in found:
+        run = words[r.doc_id][r.at : r.at + r.words]
+        if r.kind == "embedded":
+            assert f" {' '.join(run)} " in f" {' '.join(words[r.kept_in])} "
+        else:
+            linked.setdefault(r.component, []).append((r.doc_id, run, r.kept_in))
+    for members in linked.values():
+        kept = [w for w in lines[members[0][2]] if len(w) >= paragraphs.WINDOW]
+        known, rest = [grams(w) for w in kept], [grams(run) for _, run, _ in members]
+        moved = True
+        while rest and moved:  # links may lead over other members
+            near = [g for g in rest if any(100 * len(g & k) >= 80 * len(g | k) for k in known)]
+            known, rest, moved = known + near, [g for g in rest if g not in near], bool(near)
+        assert not rest
+
+
+def test_repeated_keys_are_found_over_batches(spark):
+    r = np.random.RandomState(5)
+    rows = [(int(d), int(a), int(k)) for d, a, k in zip(r.randint(0, 40, 3000), range(3000), r.choice([1, 2, 3, *range(10, 3000)], 3000), strict=True)]
+    rows += [(7, 5000 + k, -5) for k in range(1500)] + [(k, 9000 + k, -6) for k in range(1500)]
+    docs = {}
+    for d, _, k in rows:
+        docs.setdefault(k, set()).add(d)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, at int, key long"), 3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted((x.doc_id, x.at, x.key) for x in got) == sorted(x for x in rows if len(docs[x[2]]) > 1)
+
+
+def test_sliding_min():
+    r = np.random.RandomState(6)
+    for n, w in ((1, 1), (5, 5), (30, 7), (27, 27), (100, 27)):
+        x = r.randint(0, 50, n).astype(np.uint64)
+        assert list(paragraphs.sliding_min(x, w)) == [min(x[k : k + w]) for k in range(n - w + 1)]
+
+
+def test_scratch_tables_are_dropped(spark, docs_of, prose):
+    import os
+
+    from gridweave.llm.common import scratch_root
+
+    folder = scratch_root(spark).removeprefix("file:") + "/gridweave"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = [(k, prose(k % 3, 80)) for k in range(9)]
+    for run in (paragraphs.paragraph_duplicates, ngram_join.ngram_join, lm.score_documents):
+        run(docs_of(rows)).collect()
+        made = set(os.listdir(folder)) - before
+        before |= made
+        assert len(made) == 1, made  # the result itself
+
+
 def test_bands_reach_the_recall():
     bands, rows = paragraphs.tuned_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99 and bands <= paragraphs.MOST_BANDS
@@ -391,7 +463,7 @@ def test_pipeline_stages(spark):
     rows = {k: {r.doc_id: r for r in df.collect()} for k, df in seen.items() if k < 5}
     assert all(seen[k].columns == docs.columns for k in range(5))
     assert set(rows[1]) == {i for i, r in rows[0].items() if verdict(Features((r.text or "").encode()), RULES) is None}
-    comp, _ = brute_components([(i, r.text) for i, r in rows[1].items()])
+    comp, _ = brute_components([(i, r.text) for i, r in rows[1].items()], 80, 5)
     assert set(rows[2]) == set(comp.values())
     assert all(rows[3][i].text in rows[2][i].text or len(rows[3][i].text) < len(rows[2][i].text) for i in rows[3])
     for i, r in rows[3].items():
@@ -421,6 +493,11 @@ def test_near_duplicates_stage(spark, docs_of, prose):
     assert want != set(brute_components(rows)[0].values())
     got = corpus_pipeline.near_duplicates(spark, docs_of(rows, clash=False), SF)
     assert {r.doc_id for r in got.collect()} == want
+    copies = [(1, rows[0][1]), (1, rows[0][1]), (None, rows[0][1]), (None, rows[0][1]), (2, rows[0][1])]
+    copies += [(None, " ".join(words)), (None, " ".join(words)), (5, None), (6, ""), (None, None)]
+    got = corpus_pipeline.near_duplicates(spark, docs_of(copies, clash=False), SF).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted([copies[0], (None, " ".join(words)), *copies[-3:]], key=key)
     docs = table(spark, SF, "documents")
     comp, _ = brute_components([(r.doc_id, r.text) for r in docs.collect()], 80, 5)
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == set(comp.values())

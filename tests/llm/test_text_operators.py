@@ -196,6 +196,18 @@ def test_packing_odd_rows(spark, docs_of, odd):
     assert packing.pack(docs_of([]), BYTE_FILE, 2).count() == 0
 
 
+def test_full_pieces_stand_alone(spark, docs_of):
+    text = "the cat sat on the mat " * 3000
+    got = packing.pack(docs_of([(k, text) for k in range(5)] + [(None, text), (9, None)]), BYTE_FILE, 2).collect()
+    full = [r for r in got if r.length == packing.CAPACITY]
+    assert full and all(r.sequence_id < 0 and r.offset == 0 for r in full) and len({r.sequence_id for r in full}) == len(full)
+    assert all(r.sequence_id >= 0 for r in got if r.length < packing.CAPACITY)
+
+
+def test_one_piece_gives_way_to_two():
+    assert sorted(sorted(b) for b in packing.best_two_fit([7, 5, 5], 10)) == [[0], [1, 2]]
+
+
 def test_best_two_fit():
     r = random.Random(9)
     for n in (0, 1, 2, 50, 800):
