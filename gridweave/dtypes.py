@@ -50,17 +50,27 @@ def bf16_bits(x: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(np.asarray(x, np.float32)), quiet, up >> np.uint32(16)).astype(np.uint16)
 
 
+def to_odd(x) -> np.ndarray:
+    """float32 values of ``x``; one that is not exact is the neighbour with an odd last bit, so that rounding it once more is like rounding ``x`` once."""
+    x = np.asarray(x, np.float64)
+    near = x.astype(np.float32)
+    over = np.isfinite(x) & (np.abs(near.astype(np.float64)) > np.abs(x))
+    near = np.where(over, np.nextafter(near, np.float32(0)), near)
+    inexact = np.isfinite(near) & (near.astype(np.float64) != x)
+    return (near.view(np.uint32) | inexact.astype(np.uint32)).view(np.float32)
+
+
 def bf16_values(bits: np.ndarray) -> np.ndarray:
     return (np.asarray(bits, np.uint16).astype(np.uint32) << np.uint32(16)).view(np.float32)
 
 
 def rounded(x, dtype: DType) -> np.ndarray:
-    """float values as the dtype would hold them, in float32 (float64 for F64)."""
+    """float or int values as the dtype would hold them, rounded once, in float32 (float64 for F64)."""
     with np.errstate(over="ignore", invalid="ignore"):
         if dtype is F16:
             return np.asarray(x).astype(np.float16).astype(np.float32)
         if dtype is BF16:
-            return bf16_values(bf16_bits(np.atleast_1d(np.asarray(x).astype(np.float32)))).reshape(np.shape(x))
+            return bf16_values(bf16_bits(np.atleast_1d(to_odd(x)))).reshape(np.shape(x))
         return np.asarray(x).astype(np.float32 if dtype is F32 else np.float64)
 
 

@@ -5,8 +5,8 @@ A value of dtype U8 is a SMALLINT column; F16 and BF16 are FLOAT columns that ho
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,21 +45,39 @@ def int_to_int(x: Column, dtype: DType) -> Column:
 
 
 def to_float(x: Column, dtype: DType) -> Column:
-    """Lossy conversion to F32 or F64; never fails."""
-    return x.cast("double").cast(dtype.spark)
+    """Lossy conversion to F32 or F64, rounded once; never fails."""
+    return x.cast(dtype.spark)
 
 
-def to_half(x: Column, dtype: DType) -> Column:
-    """struct(value, error) of a conversion to F16 or BF16 from a wider type."""
-    x = x.cast("double")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Bits of the fraction and smallest exponent of the half precision types.
+FRACTION = {dt.F16: (10, -14), dt.BF16: (7, -126)}
 
-    @F.pandas_udf("float")
-    def near(s: pd.Series) -> pd.Series:
-        return pd.Series(dt.rounded(s.to_numpy(np.float64), dtype))
 
-    special = F.isnan(x) | (F.abs(x) == INF)
-    error = F.when(~special & (F.abs(x) > dtype.high), "Overflow")
-    return _flagged(near(x), error)
+def half_rounded(x: Column, dtype: DType) -> Column:
+    """A number as F16 or BF16 would hold it, rounded once to the nearest, ties to even; beyond the range infinite."""
+    bits, least = FRACTION[dtype]
+
+    def near(v: Column) -> Column:
+        size = F.abs(v)
+        exponent = F.floor(F.log2(size)).cast("double")
+        # just below a power of two the logarithm may say the power: that rounds to the power either way
+        step = F.pow(F.lit(2.0), F.greatest(exponent, F.lit(float(least))) - bits)
+        return let(F.rint(v / step) * step, lambda r: F.when(F.abs(r) > dtype.high, F.when(r > 0, INF).otherwise(-INF)).otherwise(r))
+
+    plain = lambda v: (v == 0) | F.isnan(v) | (F.abs(v) == INF)
+    return let(x.cast("double"), lambda v: F.when(plain(v), v).otherwise(near(v))).cast("float")
+
+
+def to_half(x: Column, dtype: DType) -> Column:
+    """struct(value, error) of a conversion to F16 or BF16 from a wider type."""
+    wide = x.cast("double")
+    error = F.when(~F.isnan(wide) & (F.abs(wide) != INF) & (F.abs(wide) > dtype.high), "Overflow")
+    return _flagged(half_rounded(x, dtype), error)
 
 
 def is_nan(x: Column, dtype: DType) -> Column:

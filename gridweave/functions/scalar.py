@@ -16,6 +16,11 @@ from gridweave.dtypes import DType
 from gridweave.errors import ConversionFractional, ConversionInvalid, ConversionOverflow
 
 
+def _number(s: "Scalar"):
+    """The value as numpy converts it: an integer goes to a float type in one step."""
+    return np.int64(s.value) if s.dtype.is_int else float(s.value)
+
+
 @dataclass(frozen=True, eq=False)
 class Scalar:
     """A number and its dtype; ``value`` is a Python int or float that the dtype can hold."""
@@ -60,13 +65,13 @@ class Scalar:
         if dtype in dt.HALVES and source not in dt.HALVES and not (not source.is_int and not math.isfinite(x)):
             if not dtype.low <= x <= dtype.high:
                 raise ConversionOverflow
-        return Scalar(float(dt.rounded(float(x), dtype)), dtype)
+        return Scalar(float(dt.rounded(_number(self), dtype)), dtype)
 
     def f64(self) -> float:
         return float(self.value)
 
     def f32(self) -> float:
-        return float(dt.rounded(float(self.value), dt.F32))
+        return float(dt.rounded(_number(self), dt.F32))
 
     @property
     def is_nan(self) -> bool:

@@ -12,14 +12,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from enum import Enum
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridweave import dtypes as dt
 from gridweave.dtypes import DType
 from gridweave.errors import ConversionFractional, ConversionOverflow, InvalidParameter, UnsupportedDtype
+from gridweave.functions.columns import half_rounded, let
 from gridweave.functions.scalar import Scalar, half_away
 
 Element = Callable[[Column], Column]
@@ -44,12 +43,10 @@ class IntRounding(Enum):
 
 @dataclass(frozen=True)
 class Resolved:
-    """``each`` maps an element (None: nothing to do); ``bad`` marks an element that must not occur;
-    ``half`` is the map for F16 and BF16 in numpy."""
+    """``each`` maps an element (None: nothing to do); ``bad`` marks an element that must not occur."""
 
     each: Element | None = None
     bad: Element | None = None
-    half: Callable[[np.ndarray], np.ndarray] | None = None
 
 
 class Transform:
@@ -61,11 +58,8 @@ class Transform:
     def apply(self, tensor: Column, dtype: DType, on_error: str = "raise") -> Column:
         """The transformed array column; with ``on_error='flag'`` struct(tensor, error), unchanged tensor on an error."""
         r = self.resolve(dtype)
-        if r.half is not None:
-            out, bad = half_map(r.half, dtype)(tensor), None
-        else:
-            out = tensor if r.each is None else F.transform(tensor, r.each)
-            bad = None if r.bad is None else F.exists(tensor, r.bad)
+        out = tensor if r.each is None else F.transform(tensor, r.each)
+        bad = None if r.bad is None else F.exists(tensor, r.bad)
         if on_error == "flag":
             error = F.lit(None).cast("string") if bad is None else F.when(bad, "Overflow")
             return F.struct((out if bad is None else F.when(bad, tensor).otherwise(out)).alias("tensor"), error.alias("error"))
@@ -73,29 +67,20 @@ class Transform:
 
     def element(self, x: Column, dtype: DType) -> Column:
         """The transform of a plain number column, for data in long form; a bad element raises. Not for F16 and BF16."""
-        r = self.resolve(dtype)
-        if r.half is not None:
+        if dtype in dt.HALVES:
             raise UnsupportedDtype
+        r = self.resolve(dtype)
         out = x if r.each is None else r.each(x)
         return out if r.bad is None else F.when(r.bad(x), F.raise_error("Overflow")).otherwise(out)
 
 
-def half_map(fn: Callable[[np.ndarray], np.ndarray], dtype: DType):
-    """Arrow-batched map of array<float> columns in a half precision type."""
-
-    @F.pandas_udf("array<float>")
-    def run(tensors: pd.Series) -> pd.Series:
-        return tensors.map(lambda t: None if t is None else fn(np.asarray(t, np.float32)).astype(np.float32))
-
-    return run
-
-
 def _lit(value, dtype: DType) -> Column:
     return F.lit(value).cast(dtype.spark)
 
 
-def _in_half(op: Callable[[np.ndarray], np.ndarray], dtype: DType) -> Resolved:
-    return Resolved(half=lambda x: dt.rounded(op(x), dtype))
+def _in_half(op: Element, dtype: DType) -> Resolved:
+    """``op`` works in single precision; its result is rounded to the dtype."""
+    return Resolved(lambda x: half_rounded(op(x.cast("float")).cast("float"), dtype))
 
 
 def _wrapped(x: Column, v: int, dtype: DType) -> Column:
@@ -126,7 +111,7 @@ class Add(Transform):
             return Resolved(lambda x: total(x).cast("smallint"), lambda x: ~total(x).between(0, 255))
         v = self.value.to(dtype).value
         if dtype in dt.HALVES:
-            return _in_half(lambda x: x + np.float32(v), dtype)
+            return _in_half(lambda x: x + _lit(v, dtype), dtype)
         if not dtype.is_int:
             return Resolved(lambda x: (x + _lit(v, dtype)).cast(dtype.spark))
         if self.overflow is AddOverflow.WRAP:
@@ -144,7 +129,7 @@ class Scale(Transform):
     def resolve(self, dtype: DType) -> Resolved:
         v = self.factor.to(dtype).value
         if dtype in dt.HALVES:
-            return _in_half(lambda x: x * np.float32(v), dtype)
+            return _in_half(lambda x: x * _lit(v, dtype), dtype)
         if not dtype.is_int:
             return Resolved(lambda x: (x * _lit(v, dtype)).cast(dtype.spark))
         if dtype is dt.U8:
@@ -189,24 +174,18 @@ class Clamp(Transform):
         low, high = self.bound(self.low, dtype), self.bound(self.high, dtype)
         if low is None and high is None:
             return Resolved()
-        if dtype in dt.HALVES:
-            return _in_half(lambda x: _np_clamp(x, low, high), dtype)
         lo = None if low is None else _lit(low, dtype)
         hi = None if high is None else _lit(high, dtype)
         if dtype.is_int:
             held = lambda x: x if hi is None else F.least(x, hi)
             return Resolved(lambda x: held(x) if lo is None else F.greatest(held(x), lo))
         if lo is None:  # the smaller of NaN and a bound is the bound
-            return Resolved(lambda x: F.least(x, hi))
-        if hi is None:
-            return Resolved(lambda x: F.when(F.isnan(x), lo).otherwise(F.greatest(x, lo)))
-        return Resolved(lambda x: F.when(F.isnan(x), x).otherwise(F.greatest(F.least(x, hi), lo)))
-
-
-def _np_clamp(x: np.ndarray, low, high) -> np.ndarray:
-    if low is not None and high is not None:
-        return np.clip(x, np.float32(low), np.float32(high))
-    return np.fmax(x, np.float32(low)) if low is not None else np.fmin(x, np.float32(high))
+            held = lambda x: F.least(x, hi)
+        elif hi is None:
+            held = lambda x: F.when(F.isnan(x), lo).otherwise(F.greatest(x, lo))
+        else:
+            held = lambda x: F.when(F.isnan(x), x).otherwise(F.greatest(F.least(x, hi), lo))
+        return _in_half(held, dtype) if dtype in dt.HALVES else Resolved(held)
 
 
 class Standardize(Transform):
@@ -225,12 +204,15 @@ class Standardize(Transform):
             raise InvalidParameter("std is zero in the dtype")
         m, s = mean.value, std.value
         if dtype in dt.HALVES:
-            return _in_half(lambda x: dt.rounded(x - np.float32(m), dtype) / np.float32(s), dtype)
+            return _in_half(lambda x: half_rounded((x - _lit(m, dtype)).cast("float"), dtype) / _lit(s, dtype), dtype)
         return Resolved(lambda x: ((x - _lit(m, dtype)).cast(dtype.spark) / _lit(s, dtype)).cast(dtype.spark))
 
 
 class Custom(Transform):
-    """A user's transform: ``each`` maps an element column, ``bad`` marks elements that are errors."""
+    """A user's transform: ``each`` maps an element column, ``bad`` marks elements that are errors.
+
+    Results are rounded to F16 and BF16 like those of the other transforms; integers that the dtype can't hold are errors.
+    """
 
     def __init__(self, each: Element, bad: Element | None = None, dtypes: Sequence[DType] = dt.ALL):
         self.each, self.bad, self.dtypes = each, bad, tuple(dtypes)
@@ -238,7 +220,13 @@ class Custom(Transform):
     def resolve(self, dtype: DType) -> Resolved:
         if dtype not in self.dtypes:
             raise UnsupportedDtype
-        return Resolved(lambda x: self.each(x).cast(dtype.spark), self.bad)
+        if not dtype.is_int:
+            if dtype in dt.HALVES:
+                return Resolved(lambda x: half_rounded(self.each(x), dtype), self.bad)
+            return Resolved(lambda x: self.each(x).cast(dtype.spark), self.bad)
+        beyond = lambda y: (y < F.lit(dtype.low)) | (y > F.lit(dtype.high))
+        bad = lambda x: F.coalesce(let(self.each(x), beyond), F.lit(False)) | (F.lit(False) if self.bad is None else self.bad(x))
+        return Resolved(lambda x: let(self.each(x), lambda y: F.when(~beyond(y), y)).cast(dtype.spark), bad)
 
 
 def _then(f, g):
@@ -255,11 +243,9 @@ class Chain(Transform):
         out: list[Resolved] = []
         for step in self.steps:
             r = step.resolve(dtype)
-            if r.each is None and r.half is None:
+            if r.each is None:
                 continue
-            if out and out[-1].half is not None and r.half is not None:
-                out[-1] = Resolved(half=_then(out[-1].half, r.half))
-            elif out and out[-1].bad is None and r.bad is None and out[-1].each is not None and r.each is not None:
+            if out and dtype not in dt.HALVES and out[-1].bad is None and r.bad is None:
                 out[-1] = Resolved(_then(out[-1].each, r.each))
             else:
                 out.append(r)

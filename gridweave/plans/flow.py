@@ -1,34 +1,35 @@
 """The batch dataflow: index, epochs, shuffle, batches, layout, padding, collation.
 
-Numbering never brings a whole epoch into one task: rows are ranked inside buckets (ranges of the key, or prefixes of
-the shuffle's hash), and the buckets' row counts, a small table, give each bucket its first number.
+Numbering never brings a whole epoch into one task: rows are ranked inside buckets (quantiles of the key, or prefixes of
+the shuffle's hash), and the buckets' row counts, a small table, give each bucket its first number. Only ids and dimensions are numbered and
+laid out; the tensors are joined to their places once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of a numbering: ranges of a key, and hexadecimal digits of the shuffle's hash.
-KEY_BUCKETS, HASH_DIGITS = 1024, 3
+#: Rows that a bucket of a key should have, most buckets, and hexadecimal digits of the shuffle's hash that name a bucket.
+BUCKET_ROWS, MOST_BUCKETS, HASH_DIGITS = 50_000, 1 << 13, 4
 
 
 @dataclass(frozen=True)
 class StreamOptions:
     """Options of a batch stream. ``max_steps`` counts the batches of all epochs together; without a ``seed`` a
-    shuffled stream draws one when its plan is built."""
+    shuffled stream draws one when its plan is built. ``epochs`` None never ends: for iteration only."""
 
     batch_size: int
-    epochs: int = 1
+    epochs: int | None = 1
     shuffle: bool = False
     seed: int | None = None
     max_steps: int | None = None
 
     def __post_init__(self):
-        if self.batch_size < 0 or self.epochs < 0 or (self.max_steps is not None and self.max_steps < 0):
+        if self.batch_size < 0 or (self.epochs is not None and self.epochs < 0) or (self.max_steps is not None and self.max_steps < 0):
             raise ValueError("options can't be negative")
 
 
@@ -47,13 +48,30 @@ def numbered(df: DataFrame, name: str, within: Sequence[str], bucket: Column, or
     return out.withColumn(name, (F.col("_first") + F.col("_place") - 1).cast("bigint")).drop("_bucket", "_place", "_first")
 
 
+def quantile_bucket(key: Column, cuts: Sequence[int]) -> Column:
+    """How many of the sorted ``cuts`` are at most ``key``, by halving."""
+    if not cuts:
+        return F.lit(0)
+    bounds = F.array(*(F.lit(c).cast("bigint") for c in cuts))
+
+    def halve(low: Column, k: Column) -> Column:
+        at = low + F.pow(F.lit(2), k).cast("int")
+        return F.when((at <= len(cuts)) & (F.try_element_at(bounds, at) <= key), at).otherwise(low)
+
+    steps = F.sequence(F.lit(len(cuts).bit_length() - 1), F.lit(0))
+    return F.aggregate(steps, F.lit(0), halve)
+
+
 def with_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
-    """Adds a dense index 0..n-1 in order of a unique integer key."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    width = (int(high) - int(low)) // KEY_BUCKETS + 1
-    return numbered(df, name, [], F.floor((F.col(key) - F.lit(low)) / width), [F.col(key)])
+    """Adds a dense index 0..n-1 in order of a unique integer key. Buckets are quantiles, so no outlier fills one."""
+    keys = df.select(F.col(key))
+    rows, cuts = keys.agg(F.count("*"), F.percentile_approx(key, [k / 64 for k in range(1, 64)], 10_000)).first()
+    buckets = min(MOST_BUCKETS, -(-rows // BUCKET_ROWS))
+    if buckets > 64:  # finer quantiles where 64 buckets would be too full
+        cuts = keys.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 4 * buckets)).first()[0]
+    cuts = sorted(set(cuts or ())) if buckets > 1 else []
+    places = numbered(keys, name, [], quantile_bucket(F.col(key).cast("bigint"), cuts), [F.col(key)])
+    return places if df.columns == [key] else df.join(places, key).select(*df.columns, name)
 
 
 def with_epochs(df: DataFrame, epochs: int) -> DataFrame:
@@ -98,31 +116,109 @@ def steps_per_epoch(count: Column, batch_size: int) -> Column:
     return F.ceil(count / batch_size).cast("bigint")
 
 
-def batches(items: DataFrame, options: StreamOptions) -> DataFrame:
-    """epoch, step, global_step, pos, pos_in_batch for every item of the stream (``items`` has idx 0..n-1).
-
-    An empty dataset or batch size 0 gives an empty stream. ``max_steps`` emits that many steps in all.
-    """
+def placed(ids: DataFrame, options: StreamOptions) -> DataFrame:
+    """epoch, step, global_step, pos, pos_in_batch for every row of ``ids`` (idx 0..n-1 and what else should come along)."""
+    if options.epochs is None:
+        raise ValueError("an endless stream has no plan: iterate over it")
     if options.batch_size == 0:
-        out = with_batches(with_positions(with_epochs(items, options.epochs), False), 1).where("false")
+        out = with_batches(with_positions(with_epochs(ids, options.epochs), False), 1).where("false")
         return out.withColumn("global_step", F.lit(0).cast("bigint"))
-    out = with_batches(with_positions(with_epochs(items, options.epochs), options.shuffle, options.seed), options.batch_size)
+    out = with_batches(with_positions(with_epochs(ids, options.epochs), options.shuffle, options.seed), options.batch_size)
     if options.max_steps is None and options.epochs <= 1:
         return out.withColumn("global_step", F.col("step"))
-    steps = -(-items.count() // options.batch_size)
+    steps = -(-ids.count() // options.batch_size)
     out = out.withColumn("global_step", (F.col("epoch") - 1) * F.lit(steps).cast("bigint") + F.col("step"))
     return out if options.max_steps is None else out.where(F.col("global_step") < options.max_steps)
 
 
+def batches(items: DataFrame, options: StreamOptions, dims: Sequence[str] = ()) -> DataFrame:
+    """epoch, step, global_step, pos, pos_in_batch and, for the columns ``dims``, ``max_<dim>`` of its batch for every item of the
+    stream (``items`` has idx 0..n-1).
+
+    An empty dataset or batch size 0 gives an empty stream. ``max_steps`` emits that many steps in all.
+    """
+    ids = items.select("idx", *dims)
+    out = placed(ids, options)
+    if dims:
+        out = with_layout(out, dims)
+    rest = [c for c in items.columns if c not in ids.columns]
+    return out.join(items.select("idx", *rest), "idx") if rest else out
+
+
 def batch_layout(df: DataFrame, dims: Sequence[str], by: Sequence[str] = ("epoch", "step")) -> DataFrame:
     """One row a batch: n items and, for each dimension, the batch's largest (``max_<dim>``)."""
     return df.groupBy(*by).agg(F.count("*").alias("n"), *(F.max(d).alias(f"max_{d}") for d in dims))
 
 
 def with_layout(df: DataFrame, dims: Sequence[str], by: Sequence[str] = ("epoch", "step")) -> DataFrame:
-    """Adds ``max_<dim>`` of its batch to each item."""
+    """Adds ``max_<dim>`` of its batch to each item; array columns (shapes) are compared place by place."""
     w = Window.partitionBy(*by)
-    return df.withColumns({f"max_{d}": F.max(d).over(w) for d in dims})
+
+    def largest(name: str) -> Column:
+        if df.schema[name].dataType.typeName() != "array":
+            return F.max(name).over(w)
+        return F.aggregate(
+            F.collect_list(name).over(w), F.array().cast(df.schema[name].dataType),
+            lambda a, x: F.zip_with(a, x, lambda p, q: F.greatest(p, q)),
+        )
+
+    return df.withColumns({f"max_{d}": largest(d) for d in dims})
+
+
+def with_user_layout(df: DataFrame, layout: Callable[[Sequence[int]], Sequence[int]], by: Sequence[str] = ("epoch", "step")) -> DataFrame:
+    """Adds ``max_shape``, the item shape that ``layout(indices)`` gives for the batch, its indices in order of position."""
+
+    @F.udf("array<bigint>")
+    def shape(indices):
+        return [int(d) for d in layout(indices)]
+
+    per = df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos_in_batch", "idx"))), lambda r: r["idx"]).alias("indices"))
+    return df.join(per.select(*by, shape("indices").alias("max_shape")), list(by))
+
+
+def padded(flat: Column, shape: Column, target: Column, zero: Column) -> Column:
+    """A row-major array of ``shape`` in the first corner of ``target`` (a shape of the same rank, no smaller anywhere) filled up with zeros.
+
+    Whole rows of the last dimension are copied; an array that has the target's shape already stays as it is. Raises 'Shape' for
+    another rank or a target that is too small.
+    """
+    longs = lambda x: x.cast("array<bigint>")
+    shape, target = longs(shape), longs(target)
+    one = F.array(F.lit(1).cast("bigint"))
+    fits = (F.size(shape) == F.size(target)) & F.forall(F.zip_with(shape, target, lambda a, b: a <= b), lambda x: x)
+
+    def rows(v: Column) -> Column:
+        lead = F.slice(F.arrays_zip(v["s"].alias("s"), v["t"].alias("t")), F.lit(1), F.size(v["s"]) - 1)
+        count = F.aggregate(lead, F.lit(1).cast("bigint"), lambda a, d: a * d["t"])
+        width, wide = F.element_at(v["s"], -1), F.element_at(v["t"], -1)
+
+        def place(k: Column) -> Column:
+            """Number of the source row for row ``k`` of the target, or null outside."""
+
+            def step(a: Column, d: Column) -> Column:
+                c = F.pmod(a["rest"], d["t"])
+                return F.struct(
+                    F.floor(a["rest"] / d["t"]).alias("rest"), (a["row"] + c * a["unit"]).alias("row"), (a["unit"] * d["s"]).alias("unit"), (a["inside"] & (c < d["s"])).alias("inside")
+                )
+
+            zero_long, one_long = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+            start = F.struct(k.alias("rest"), zero_long.alias("row"), one_long.alias("unit"), F.lit(True).alias("inside"))
+            return F.aggregate(F.reverse(lead), start, step, lambda a: F.when(a["inside"], a["row"]))
+
+        gap = F.array_repeat(zero, (wide - width).cast("int"))
+        blank = F.array_repeat(zero, wide.cast("int"))
+
+        def row(k: Column) -> Column:
+            at = place(k)
+            return F.when(at.isNull(), blank).otherwise(F.concat(F.slice(v["flat"], (F.coalesce(at, F.lit(0)) * width + 1).cast("int"), width.cast("int")), gap))
+
+        empty = F.slice(v["flat"], 1, 0)
+        return F.when(count * wide == 0, empty).otherwise(F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(count - 1, F.lit(0).cast("bigint"))), row)))
+
+    full = lambda x: F.when(F.size(x) == 0, one).otherwise(x)
+    value = F.struct(flat.alias("flat"), full(shape).alias("s"), full(target).alias("t"))
+    filled = F.element_at(F.transform(F.array(value), rows), 1)
+    return F.when(~fits, F.raise_error("Shape")).when(shape == target, flat).otherwise(filled)
 
 
 def padded_1d(flat: Column, width: Column, zero: Column) -> Column:
@@ -132,13 +228,7 @@ def padded_1d(flat: Column, width: Column, zero: Column) -> Column:
 
 def padded_2d(flat: Column, h: Column, w: Column, max_h: Column, max_w: Column, zero: Column) -> Column:
     """A row-major h x w array in the upper left of max_h x max_w zeros."""
-    cells = F.sequence(F.lit(0), F.greatest((max_h * max_w).cast("int") - 1, F.lit(0)))
-
-    def cell(k: Column) -> Column:
-        r, c = F.floor(k / max_w), k % max_w
-        return F.when((r < h) & (c < w), F.try_element_at(flat, (r * w + c + 1).cast("int"))).otherwise(zero)
-
-    return F.when(max_h * max_w > 0, F.transform(cells, cell)).otherwise(F.slice(flat, 1, 0))
+    return padded(flat, F.array(h, w), F.array(max_h, max_w), zero)
 
 
 def collated(df: DataFrame, column: str, by: Sequence[str] = ("epoch", "step")) -> DataFrame:

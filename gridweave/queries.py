@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave import dtypes as dt
 from gridweave.functions import columns as C
+from gridweave.functions.scalar import Scalar
 from gridweave.operators import layout as L
 from gridweave.operators.transforms import Add, AddOverflow, Chain, Clamp, ClampOverflow, IntRounding, Scale, Standardize, Transform
 from gridweave.plans import flow
 from gridweave.plans.flow import StreamOptions
 from gridweave.sources import codec
 from gridweave.sources.dataset import tensor_table
+from gridweave.streaming.batches import packed_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,10 +216,10 @@ def order_tensors(spark, sf_dir) -> DataFrame:
     """idx, h, w (4) and the ragged row-major tensor of each order, its lines in order of all columns."""
     lines = table(spark, sf_dir, "lineitem")
     row = F.struct(*REST)
-    df = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    df = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.count("*").alias("h"))
     df = flow.with_index(df, "l_orderkey")
     flat = F.flatten(F.transform("rows", lambda r: F.array(*(r[c] for c in ITEM_COLUMNS))))
-    return df.select("idx", F.size("rows").cast("bigint").alias("h"), F.lit(4).cast("bigint").alias("w"), dt.tagged(flat, "tensor", dt.F64))
+    return df.select("idx", "h", F.lit(4).cast("bigint").alias("w"), dt.tagged(flat, "tensor", dt.F64))
 
 
 ORDER_ITEMS = "SELECT row_number() OVER (ORDER BY l_orderkey) - 1 AS idx, l_orderkey, count(*) AS h FROM lineitem GROUP BY l_orderkey"
@@ -265,8 +269,7 @@ def conversation_batches(spark, sf_dir) -> DataFrame:
     df = table(spark, sf_dir, "conversations").groupBy("conv_id")
     df = df.agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("rows"))
     items = flow.with_index(df, "conv_id").select("idx", dt.tagged(F.transform("rows", lambda r: r["n"]), "tensor", dt.I32))
-    out = flow.batches(items, StreamOptions(16, shuffle=True, seed=13)).withColumn("w", F.size("tensor"))
-    out = flow.with_layout(out, ["w"])
+    out = flow.batches(items.withColumn("w", F.size("tensor")), StreamOptions(16, shuffle=True, seed=13), ["w"])
     return out.withColumn("tensor", flow.padded_1d(F.col("tensor"), F.col("max_w"), F.lit(0)))
 
 
@@ -291,7 +294,7 @@ def padded_orders(spark, sf_dir, seed: int, transform: Transform | None = None)
     items = order_tensors(spark, sf_dir)
     if transform is not None:
         items = items.withColumn("tensor", transform.apply(F.col("tensor"), dt.F64))
-    out = flow.with_layout(flow.batches(items, StreamOptions(32, shuffle=True, seed=seed)), ["h", "w"])
+    out = flow.batches(items, StreamOptions(32, shuffle=True, seed=seed), ["h", "w"])
     padded = flow.padded_2d(F.col("tensor"), F.col("h"), F.col("w"), F.col("max_h"), F.col("max_w"), F.lit(0.0))
     out = out.select("epoch", "step", "pos_in_batch", "idx", padded.alias("tensor"))
     cells = long(out, "epoch", "step", "pos_in_batch", "idx")
@@ -311,6 +314,65 @@ def flow_pad_2d(spark, sf_dir):
     return padded_orders(spark, sf_dir, 17)
 
 
+EVENT_SHAPES = "SELECT event_id AS idx, value, 1 + user_id % 3 AS a, 1 + event_id % 4 AS b, 1 + (user_id + event_id) % 2 AS c FROM events"
+
+
+def event_cubes(spark, sf_dir) -> DataFrame:
+    """Ragged a x b x c tensors of the events: idx, shape and tensor, whose element k is value + k."""
+    ev = table(spark, sf_dir, "events")
+    dims = (1 + F.col("user_id") % 3, 1 + F.col("event_id") % 4, 1 + (F.col("user_id") + F.col("event_id")) % 2)
+    df = ev.select(F.col("event_id").alias("idx"), "value", F.array(*dims).alias("shape"))
+    cells = F.transform(F.sequence(F.lit(0).cast("bigint"), L.total_elements(F.col("shape")) - 1), lambda k: F.col("value") + k)
+    return df.select("idx", "shape", dt.tagged(cells, "tensor", dt.F64))
+
+
+@query(
+    "flow_pad_3d",
+    f"SELECT step, pos_in_batch, idx, x * mb * mc + y * mc + z AS pos, CASE WHEN x < a AND y < b AND z < c THEN value + (x * b * c + y * c + z) ELSE 0.0 END AS val "
+    f"FROM (SELECT *, unnest(range(mc)) AS z FROM (SELECT *, unnest(range(mb)) AS y FROM (SELECT *, unnest(range(ma)) AS x FROM "
+    f"(SELECT e.*, pos // 64 AS step, pos % 64 AS pos_in_batch, max(a) OVER (PARTITION BY pos // 64) AS ma, max(b) OVER (PARTITION BY pos // 64) AS mb, "
+    f"max(c) OVER (PARTITION BY pos // 64) AS mc FROM ({shuffled_sql(EVENTS, 1, 31)}) JOIN ({EVENT_SHAPES}) e USING (idx)))))",
+)
+def flow_pad_3d(spark, sf_dir):
+    out = flow.batches(event_cubes(spark, sf_dir), StreamOptions(64, shuffle=True, seed=31), ["shape"])
+    tensor = flow.padded(F.col("tensor"), F.col("shape"), F.col("max_shape"), F.lit(0.0))
+    return long(out.select("step", "pos_in_batch", "idx", tensor.alias("tensor")), "step", "pos_in_batch", "idx")
+
+
+def width_by_indices(indices) -> list[int]:
+    """A batch layout of a user: wide enough for any vector, and dependent on the batch's first and last index."""
+    return [64 + (3 * indices[0] + indices[-1]) % 5]
+
+
+@query(
+    "flow_layout_user",
+    f"SELECT step, pos_in_batch, idx, k AS pos, coalesce(embedding[k + 1], 0::FLOAT) AS val FROM (SELECT *, unnest(range(64 + (3 * first_idx + last_idx) % 5)) AS k FROM "
+    f"(SELECT s.idx, embedding, pos // 48 AS step, pos % 48 AS pos_in_batch, arg_min(s.idx, pos) OVER (PARTITION BY pos // 48) AS first_idx, "
+    f"arg_max(s.idx, pos) OVER (PARTITION BY pos // 48) AS last_idx FROM ({shuffled_sql(VECTORS, 1, 23)}) s JOIN embeddings ON vec_id = s.idx))",
+)
+def flow_layout_user(spark, sf_dir):
+    items = vectors(spark, sf_dir)
+    out = flow.with_user_layout(flow.batches(items.select("idx"), StreamOptions(48, shuffle=True, seed=23)), width_by_indices).join(items, "idx")
+    tensor = flow.padded(F.col("tensor"), F.array(F.size("tensor")), F.col("max_shape"), F.lit(0).cast("float"))
+    return long(out.select("step", "pos_in_batch", "idx", tensor.alias("tensor")), "step", "pos_in_batch", "idx")
+
+
+@query(
+    "flow_packed_batches",
+    f"SELECT step, n, unnest(range(n * 64)) AS pos, unnest(flatten(v)) AS val FROM (SELECT pos // 32 AS step, count(*) AS n, list(embedding ORDER BY pos) AS v "
+    f"FROM ({shuffled_sql(VECTORS, 1, 29)}) s JOIN embeddings ON vec_id = s.idx GROUP BY pos // 32)",
+)
+def flow_packed_batches(spark, sf_dir):
+    """What the iterator fetches, batches packed as bytes, spelled out again on the executors."""
+    packed = packed_batches(vectors(spark, sf_dir), StreamOptions(32, shuffle=True, seed=29))
+
+    @F.pandas_udf("array<float>")
+    def numbers(data: pd.Series) -> pd.Series:
+        return data.map(lambda x: np.frombuffer(x, "<f4"))
+
+    return long(packed.select("step", "n", numbers("data").alias("tensor")), "step", "n")
+
+
 FLAGSHIP = Chain(Standardize(25.5, 14.4), Clamp(-3.0, 100.0))
 
 
@@ -460,9 +522,34 @@ transform_query(
     "xf_chain_f32", Chain(Standardize(0.1, 0.3), Scale(2.0), Add(1), Clamp(-1.0, 2.0)), dt.F32, vectors,
     per_vector("greatest(least(((x - 0.1::FLOAT) / 0.3::FLOAT)::FLOAT * 2.0::FLOAT + 1.0::FLOAT, 2.0::FLOAT), -1.0::FLOAT)"),
 )
+
+
+def half_sql(x: str, kind: dt.DType) -> str:
+    """A finite number rounded to a half precision type: a multiple of the last place of its power of two, ties to even."""
+    bits, least = C.FRACTION[kind]
+    step = f"pow(2.0::DOUBLE, greatest(floor(log2(abs({x}))), {least}) - {bits})"
+    near = f"round_even({x} / {step}, 0) * {step}"
+    return f"CASE WHEN {x} = 0 THEN {x} WHEN abs({near}) > {kind.high!r}::DOUBLE THEN sign({x}) * 'Infinity'::DOUBLE ELSE {near} END"
+
+
+def half_transform_sql(op: str, kind: dt.DType) -> str:
+    said = Scalar.of(0.1).to(kind).value, Scalar.of(0.3).to(kind).value
+    if op == "clamp":
+        body = f"greatest(least(x, {said[0]!r}::FLOAT), {-said[0]!r}::FLOAT)"
+    elif op == "standardize":
+        first = half_sql("d", kind)
+        return (
+            f"SELECT idx, pos, ({half_sql('q', kind)})::FLOAT AS val FROM (SELECT idx, pos, ((({first})::FLOAT / {said[1]!r}::FLOAT)::FLOAT)::DOUBLE AS q "
+            f"FROM (SELECT idx, pos, ((x - {said[0]!r}::FLOAT)::FLOAT)::DOUBLE AS d FROM ({V_LONG})))"
+        )
+    else:
+        body = {"add": "(x + 0.5::FLOAT)::FLOAT", "scale": "(x * 1.5::FLOAT)::FLOAT"}[op]
+    return f"SELECT idx, pos, ({half_sql('y', kind)})::FLOAT AS val FROM (SELECT idx, pos, ({body})::DOUBLE AS y FROM ({V_LONG}))"
+
+
 for _half in dt.HALVES:
     for _name, _xf in (("add", Add(0.5)), ("scale", Scale(1.5)), ("clamp", Clamp(-0.1, 0.1)), ("standardize", Standardize(0.1, 0.3))):
-        transform_query(f"xf_{_name}_{_half.name}", _xf, _half, vectors, None)
+        transform_query(f"xf_{_name}_{_half.name}", _xf, _half, vectors, half_transform_sql(_name, _half))
 
 
 # --- scalar functions ------------------------------------------------------------------------------------------
@@ -509,15 +596,21 @@ def sc_int_to_i8(spark, sf_dir):
     return df.select("p_partkey", "v.value", "v.error")
 
 
-@query("sc_to_f32", "SELECT o_orderkey, (o_totalprice * 1.1::DOUBLE)::FLOAT AS value FROM orders")
+@query(
+    "sc_to_f32",
+    "SELECT o_orderkey, (o_totalprice * 1.1::DOUBLE)::FLOAT AS value, ((9007199791611905 + o_orderkey * 1000000007)::BIGINT)::FLOAT AS of_i64 FROM orders",
+)
 def sc_to_f32(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", C.to_float(F.col("o_totalprice") * F.lit(1.1), dt.F32).alias("value"))
+    whole = F.lit(9007199791611905).cast("bigint") + F.col("o_orderkey") * F.lit(1000000007).cast("bigint")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", C.to_float(F.col("o_totalprice") * F.lit(1.1), dt.F32).alias("value"), C.to_float(whole, dt.F32).alias("of_i64")
+    )
 
 
 @query("sc_lossy", "SELECT o_orderkey, (o_orderkey * 1000000007)::FLOAT AS f32, (o_orderkey * 1000000007)::DOUBLE AS f64 FROM orders")
 def sc_lossy(spark, sf_dir):
     v = F.col("o_orderkey") * F.lit(1000000007).cast("bigint")
-    return table(spark, sf_dir, "orders").select("o_orderkey", v.cast("float").alias("f32"), v.cast("double").alias("f64"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.to_float(v, dt.F32).alias("f32"), C.to_float(v, dt.F64).alias("f64"))
 
 
 @query(
@@ -632,21 +725,34 @@ def sc_is_zero(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", C.is_zero(F.col("p_size") - 25).alias("int_zero"), C.is_zero(minus).alias("negative_zero"))
 
 
+def to_half_sql(kind: dt.DType) -> str:
+    special = "isnan(x) OR isinf(x)"
+    return (
+        f"SELECT {', '.join(LINE)}, isnan(x) AS is_nan, CASE WHEN isinf(x) THEN x WHEN isnan(x) OR abs(x) > {kind.high!r}::DOUBLE THEN NULL ELSE {half_sql('x', kind)} END::FLOAT AS value, "
+        f"CASE WHEN NOT ({special}) AND abs(x) > {kind.high!r}::DOUBLE THEN 'Overflow' END AS error FROM (SELECT {', '.join(LINE)}, ({MIXED_SQL})::DOUBLE AS x FROM lineitem)"
+    )
+
+
 for _half in dt.HALVES:
 
-    @query(f"sc_to_{_half.name}")
+    @query(f"sc_to_{_half.name}", to_half_sql(_half))
     def sc_to_half(spark, sf_dir, kind=_half):
-        df = mixed_lines(spark, sf_dir).select(*LINE, C.to_half(F.col("x"), kind).alias("v"))
-        return df.select(*LINE, "v.value", "v.error")
+        df = mixed_lines(spark, sf_dir).select(*LINE, F.isnan("x").alias("is_nan"), C.to_half(F.col("x"), kind).alias("v"))
+        return df.select(*LINE, "is_nan", F.when(~F.isnan("v.value"), F.col("v.value")).alias("value"), "v.error")
 
 
-@query("codec_roundtrip")
+@query(
+    "codec_roundtrip",
+    "SELECT vec_id AS idx, 'f32' AS dtype, 2 AS ndims, 40 AS data_offset, 256::BIGINT AS data_size, substr(h, 1, 80) AS head, unnest(range(64)) AS pos, unnest(embedding) AS val "
+    "FROM embeddings, (SELECT '0102010000000000' || '0800000000000000' || '0800000000000000' || '0800000000000000' || '0100000000000000' AS h)",
+)
 def codec_roundtrip(spark, sf_dir):
-    """Encoded and decoded again: idx, dtype, ndims, data_offset, data_size and whether the data is the same."""
+    """Encoded and decoded again: the header's fields, its bytes, and the values of the data in long form."""
     shape, strides = L.long_array([8, 8]), L.long_array([8, 1])
-    df = vectors(spark, sf_dir).select("idx", "tensor", codec.encoder(dt.F32)("tensor", shape, strides).alias("raw"))
-    df = df.select("idx", "tensor", codec.header_parser()("raw").alias("h"), codec.decoder(dt.F32)("raw").alias("back"))
-    return df.select("idx", "h.dtype", "h.ndims", "h.data_offset", "h.data_size", (F.col("back") == F.col("tensor")).alias("same"))
+    df = vectors(spark, sf_dir).select("idx", codec.encoder(dt.F32)("tensor", shape, strides).alias("raw"))
+    df = df.select("idx", F.lower(F.hex(F.substring("raw", 1, 40))).alias("head"), codec.header_parser()("raw").alias("h"), codec.decoder(dt.F32)("raw").alias("back"))
+    fields = df.select("idx", "h.dtype", "h.ndims", "h.data_offset", "h.data_size", "head", "back")
+    return long(fields, "idx", "dtype", "ndims", "data_offset", "data_size", "head", column="back")
 
 
 def queries() -> dict[str, Query]:

@@ -2,66 +2,117 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import random
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridweave import dtypes as dt
+from gridweave.dtypes import DType
 from gridweave.plans import flow
 from gridweave.plans.flow import StreamOptions
 
+Layout = Callable[[Sequence[int]], Sequence[int]]
+
 
 @dataclass(frozen=True)
 class Batch:
+    """``values`` has the items' type in numpy (bfloat16, which numpy lacks, as float32) and shape (items, *largest item)."""
+
     epoch: int
     step: int
     values: np.ndarray
     indices: np.ndarray
 
 
-def collated_batches(items: DataFrame, options: StreamOptions, dims: int | None = None) -> DataFrame:
-    """epoch, step, n, shape, indices, tensor: one row a batch, items padded to the batch's largest shape.
+def numpy_type(dtype: DType) -> np.dtype:
+    return np.dtype("<f4" if dtype is dt.BF16 else dtype.numpy)
+
+
+def shaped_items(items: DataFrame) -> DataFrame:
+    """idx, shape and tensor; without a shape column tensors have one dimension."""
+    shape = F.col("shape").cast("array<bigint>") if "shape" in items.columns else F.array(F.size("tensor").cast("bigint"))
+    return items.select("idx", shape.alias("shape"), "tensor")
 
-    ``items`` has idx, tensor and, unless all tensors are one-dimensional, shape (of ``dims`` 1 or 2 dimensions).
+
+def packed_batches(items: DataFrame, options: StreamOptions, layout: Layout | None = None) -> DataFrame:
+    """epoch, step, n, shape (of the batch), indices and data: one row a batch, its items as bytes, one after another.
+
+    ``items`` has idx, tensor and, unless all tensors are one-dimensional, shape. Items are padded with zeros to the batch's largest shape or to
+    what ``layout(indices)`` says; ranks must not differ in a batch. Tensors are joined to their places and moved to their batch, each once;
+    a task fills one batch at a time. Partitions are in order of (epoch, step), and so are their rows.
     """
-    rows = flow.batches(items, options)
-    zero = F.lit(0).cast(items.schema["tensor"].dataType.elementType)
-    if dims == 2:
-        rows = rows.withColumn("h", F.element_at("shape", 1)).withColumn("w", F.element_at("shape", 2))
-        rows = flow.with_layout(rows, ["h", "w"])
-        rows = rows.withColumn("tensor", flow.padded_2d(F.col("tensor"), F.col("h"), F.col("w"), F.col("max_h"), F.col("max_w"), zero))
-        shape = F.array(F.first("max_h"), F.first("max_w"))
-    else:
-        rows = flow.with_layout(rows.withColumn("w", F.size("tensor").cast("bigint")), ["w"])
-        rows = rows.withColumn("tensor", flow.padded_1d(F.col("tensor"), F.col("max_w"), zero))
-        shape = F.array(F.first("max_w"))
-    packed = F.array_sort(F.collect_list(F.struct("pos_in_batch", "idx", "tensor")))
-    return (
-        rows.groupBy("epoch", "step").agg(F.count("*").alias("n"), shape.alias("item"), packed.alias("rows"))
-        .select(
-            "epoch", "step", "n", F.concat(F.array("n"), "item").alias("shape"),
-            F.transform("rows", lambda r: r["idx"]).alias("indices"), F.flatten(F.transform("rows", lambda r: r["tensor"])).alias("tensor"),
-        )
-    )
+    dtype = dt.dtype_of(items, "tensor")
+    kind = numpy_type(dtype)
+    items = shaped_items(items)
+    places = flow.placed(items.select("idx", "shape") if layout is None else items.select("idx"), options)
+    places = flow.with_layout(places, ["shape"]).drop("shape") if layout is None else flow.with_user_layout(places, layout)
+    spark = items.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    last = places.agg(F.max("global_step")).first()[0]
+    part = F.floor(F.col("global_step") * parts / ((last or 0) + 1)).cast("int")
+    rows = places.join(items, "idx").select("global_step", "epoch", "step", "pos_in_batch", "idx", "shape", "max_shape", "tensor")
+    rows = rows.repartitionById(parts, part).sortWithinPartitions("global_step", "pos_in_batch")
+    schema = pa.schema([
+        ("epoch", pa.int32()), ("step", pa.int64()), ("n", pa.int64()), ("shape", pa.list_(pa.int64())), ("indices", pa.list_(pa.int64())), ("data", pa.binary()),
+    ])
+
+    def filled(held: list) -> pa.RecordBatch:
+        target = tuple(held[0][5])
+        out = np.zeros((len(held), *target), kind)
+        for k, (_, _, _, _, shape, _, flat) in enumerate(held):
+            if len(shape) != len(target) or any(a > b for a, b in zip(shape, target, strict=True)):
+                raise ValueError(f"Shape: item {held[k][3]} of shape {shape} does not fit {list(target)}")
+            out[(k, *map(slice, shape))] = flat.reshape(shape)
+        columns = [[held[0][1]], [held[0][2]], [len(held)], [[len(held), *target]], [[h[3] for h in held]], [out.tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def run(batches):
+        held: list = []
+        for b in batches:
+            names = ("global_step", "epoch", "step", "idx", "shape", "max_shape")
+            for row, tensor in zip(zip(*(b.column(n).to_pylist() for n in names), strict=True), b.column("tensor"), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield filled(held)
+                    held = []
+                held.append((*row, tensor.values.to_numpy(zero_copy_only=False).astype(kind)))
+        if held:
+            yield filled(held)
+
+    return rows.mapInArrow(run, "epoch int, step long, n long, shape array<long>, indices array<long>, data binary")
 
 
 class BatchStream:
-    """Iterates over a stream epoch by epoch; each iteration over the object is the next epoch."""
+    """Iterates over a stream epoch by epoch; each iteration over the object is the next epoch, without end where ``epochs`` is None.
+
+    ``items`` has idx, tensor and, unless all tensors are one-dimensional, shape, of any rank; ``layout(indices)`` may give the item
+    shape of a batch. Every epoch has a plan of its own; the seed of an unseeded shuffle is drawn once.
+    """
 
-    def __init__(self, items: DataFrame, options: StreamOptions, dims: int | None = None):
-        self.items, self.options, self.dims, self.epoch = items, options, dims, 0
+    def __init__(self, items: DataFrame, options: StreamOptions, dims: int | None = None, layout: Layout | None = None):
+        self.items, self.options, self.layout, self.epoch, self.steps = items, options, layout, 0, 0
+        self.dtype = dt.dtype_of(items, "tensor")
+        if dims is not None and dims > 1 and "shape" not in items.columns:
+            raise ValueError("tensors of several dimensions need a shape")
+        self.seed = random.SystemRandom().getrandbits(62) if options.shuffle and options.seed is None else options.seed
 
     def epoch_batches(self, epoch: int) -> Iterator[Batch]:
         """The batches of one epoch in order; partitions are fetched one ahead."""
-        df = collated_batches(self.items, self.options, self.dims).where(F.col("epoch") == epoch)
-        for r in df.orderBy("step").toLocalIterator(prefetchPartitions=True):
-            yield Batch(r.epoch, r.step, np.array(r.tensor).reshape(r.shape), np.array(r.indices))
+        seed = None if self.seed is None else (self.seed + epoch - 1 + 2**63) % 2**64 - 2**63
+        plan = packed_batches(self.items, StreamOptions(self.options.batch_size, 1, self.options.shuffle, seed), self.layout)
+        for r in plan.toLocalIterator(prefetchPartitions=True):
+            if self.options.max_steps is not None and self.steps >= self.options.max_steps:
+                return
+            self.steps += 1
+            yield Batch(epoch, r.step, np.frombuffer(bytes(r.data), numpy_type(self.dtype)).reshape(r.shape), np.array(r.indices, np.int64))
 
     def __iter__(self) -> Iterator[Batch]:
         self.epoch += 1
-        if self.epoch > self.options.epochs:
+        if self.options.epochs is not None and self.epoch > self.options.epochs:
             return iter(())
         return self.epoch_batches(self.epoch)
 

@@ -107,6 +107,68 @@ def test_padding_1d(spark):
     assert b.values.tolist() == [[1, 0, 0], [1, 2, 3], [0, 0, 0]]
 
 
+def test_padding_of_any_rank(spark):
+    rng = np.random.RandomState(5)
+    rows, want = [], []
+    for k, (shape, target) in enumerate((((2, 3, 4), (2, 3, 4)), ((1, 2, 2), (3, 2, 4)), ((2, 1, 3, 2), (2, 4, 3, 5)), ((4,), (7,)), ((), ()), ((2, 0), (3, 2)))):
+        x = rng.randint(1, 99, shape).astype(np.float64)
+        full = np.zeros(target)
+        full[tuple(map(slice, shape))] = x
+        rows.append((k, x.reshape(-1).tolist(), list(shape), list(target)))
+        want.append(full.reshape(-1).tolist())
+    df = spark.createDataFrame(rows, "k int, t array<double>, s array<bigint>, m array<bigint>")
+    got = df.select("k", flow.padded(F.col("t"), F.col("s"), F.col("m"), F.lit(0.0)).alias("p")).orderBy("k").collect()
+    assert [r.p for r in got] == want
+    for bad in ([1], [2, 1]):
+        with pytest.raises(Exception, match="Shape"):
+            df.where("k = 1").select(flow.padded(F.col("t"), F.col("s"), L.long_array(bad), F.lit(0.0))).collect()
+
+
+def test_index_with_an_outlier(spark, monkeypatch):
+    monkeypatch.setattr(flow, "BUCKET_ROWS", 100)
+    df = spark.range(5000).selectExpr("id * 7 AS k").union(spark.range(1).selectExpr(f"{2**60} AS k")).withColumn("other", F.lit("x"))
+    got = sorted((r.k, r.idx) for r in flow.with_index(df, "k").collect())
+    assert [i for _, i in got] == list(range(5001)) and got == sorted(got)
+    counts = df.groupBy(flow.quantile_bucket(F.col("k"), [100 * j for j in range(1, 64)]).alias("b")).count().collect()
+    assert len(counts) == 64
+    cuts = df.agg(F.percentile_approx("k", [j / 51 for j in range(1, 51)], 10_000)).first()[0]
+    assert max(r["count"] for r in df.groupBy(flow.quantile_bucket(F.col("k"), cuts).alias("b")).count().collect()) < 300
+
+
+@pytest.mark.parametrize("dtype", dt.ALL, ids=lambda d: d.name)
+def test_batches_have_the_items_type(spark, dtype):
+    rows = [(k, [1, 2, 2], [k + j for j in range(4)]) for k in range(5)]
+    kind = "double" if not dtype.is_int else "bigint"
+    df = spark.createDataFrame([(k, s, list(map(float, t)) if not dtype.is_int else t) for k, s, t in rows], f"idx long, shape array<long>, tensor array<{kind}>")
+    df = df.select("idx", "shape", dt.tagged(F.col("tensor"), "tensor", dtype))
+    got = list(BatchStream(df, StreamOptions(3)))
+    assert [b.values.shape for b in got] == [(3, 1, 2, 2), (2, 1, 2, 2)]
+    assert all(b.values.dtype == np.dtype("<f4" if dtype is dt.BF16 else dtype.numpy) for b in got)
+    assert np.concatenate([b.values for b in got]).reshape(5, 4).tolist() == [t for _, _, t in rows]
+
+
+def test_batch_layout_of_a_user(spark):
+    df = read_dataset(spark, Squares(), "laid_squares", 2)
+    own = Squares()
+    got = list(BatchStream(df, StreamOptions(3, shuffle=True, seed=6), layout=lambda items: [d + 1 for d in own.layout(items)]))
+    for b in got:
+        h, w = (d + 1 for d in own.layout(b.indices.tolist()))
+        assert b.values.shape == (len(b.indices), h, w) and b.values.dtype == np.int32
+        for x, i in zip(b.values, b.indices, strict=True):
+            assert (x[:2, : i + 1] == i * i).all() and x.sum() == 2 * (i + 1) * i * i
+    with pytest.raises(Exception, match="Shape"):
+        list(BatchStream(df, StreamOptions(3), layout=lambda items: [2, 1]))
+
+
+def test_endless_stream(spark):
+    stream = BatchStream(items(spark, 10), StreamOptions(4, epochs=None, shuffle=True, seed=9, max_steps=8))
+    seen = [[b.indices.tolist() for b in stream] for _ in range(4)]
+    assert [len(x) for x in seen] == [3, 3, 2, 0]
+    assert [sorted(sum(x, [])) for x in seen[:2]] == [list(range(10))] * 2 and seen[0] != seen[1]
+    fixed = order(spark, 10, epochs=2, seed=9)
+    assert [sum(x, []) for x in seen[:2]] == [fixed[1], fixed[2]]
+
+
 class Squares(Dataset):
     dtype = dt.I32
 

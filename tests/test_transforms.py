@@ -132,3 +132,31 @@ def test_elements_in_long_form(spark):
         df.select(Add(100).element(F.col("x"), dt.I8)).collect()
     with pytest.raises(UnsupportedDtype):
         Add(1).element(F.col("x"), dt.F16)
+
+
+def test_custom_holds_to_the_dtype(spark):
+    assert run(spark, [1.0], dt.F16, Custom(lambda x: x + F.lit(0.1))) == [float(dt.rounded(1.1, dt.F16))]
+    assert run(spark, [1.0], dt.BF16, Custom(lambda x: x + F.lit(0.1))) == [float(dt.rounded(1.1, dt.BF16))]
+    assert run(spark, [200, 3], dt.U8, Custom(lambda x: x.cast("int") * 2), "flag").error == "Overflow"
+    assert run(spark, [100, 3], dt.U8, Custom(lambda x: x.cast("int") * 2), "flag").tensor == [200, 6]
+
+
+@pytest.mark.parametrize("dtype", dt.HALVES, ids=lambda d: d.name)
+def test_halves_match_numpy(spark, dtype):
+    rng = np.random.RandomState(7)
+    x = np.concatenate((rng.standard_normal(300) * 10.0 ** rng.randint(-9, 6, 300), 2.0 ** np.arange(-30, 16), [0.0, -0.0, 65504.0, 65519.9, 65520.0, 1e300, -1e300, 3.39e38]))
+    x = np.concatenate((x, np.nextafter(x, np.inf), x * (1 + 2.0**-9), x * (1 + 2.0**-8), x * (1 + 2.0**-11), x * (1 + 2.0**-12 + 2.0**-40)))
+    from gridweave.functions.columns import half_rounded
+
+    got = [r.y for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(half_rounded(F.col("x"), dtype).alias("y")).collect()]
+    want = dt.rounded(x, dtype)
+    assert [repr(float(a)) for a in got] == [repr(float(b)) for b in want]
+
+
+def test_one_rounding():
+    from gridweave.functions.scalar import Scalar
+
+    n = 2**53 + 2**29 + 1
+    assert Scalar.of(n).to(dt.F32).value == Scalar.of(n).f32() == 9007200328482816.0
+    assert float(dt.rounded(1 + 2.0**-8 + 2.0**-40, dt.BF16)) == 1 + 2.0**-7
+    assert float(dt.rounded(1 + 2.0**-8, dt.BF16)) == 1.0
