@@ -1,13 +1,17 @@
 """BPE encoding by a tokenization automaton, and decoding by its arc labels.
 
-The automaton starts with one state that loops on every base symbol. The merge rules are applied to
+The automaton over tokens starts with one state that loops on every base symbol. The merge rules are applied to
 it in order; the gadget for a rule ``u v -> t`` makes, behind every arc ``u`` whose target has an
 arc ``v``, a copy of that target without the arc ``v``, and adds an arc ``t`` past both. A state therefore
-is decided by the last token, and the tokens it lacks are those that some gadget removed, directly
-or because the arc that a later arc is made of was gone. States are kept as what gadgets removed from them
-(one entry for each rule and a link to the state they were copied from), so the table grows with the rules, not with
-states times tokens; looked-up transitions are kept in a table. The paths of the automaton are
+is decided by the last token, and the arcs it lacks are those that some gadget removed, directly
+or because the arc that a later arc is made of was gone. States are kept as what their gadget changed: the state they were copied
+from and the arcs removed since, one entry for each rule. The paths of this automaton are
 exactly the token sequences that BPE gives, and every word is spelled by exactly one of them.
+
+For encoding it is determinised over symbols. A state of the symbol automaton has the arcs that are under way, each as its place
+in the tree of token spellings and the state that it left, and the label of the arc that ends here. As every beginning of a word
+is spelled by one path too, one arc at most ends anywhere. States and their transitions are tabulated when a word first
+needs them (all of them would be too many), and a word is encoded by one table look-up a symbol; the labels passed give its tokens from the end on.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from gridweave.llm.common import lean, small_batches
 
-#: Words and transitions that a worker keeps.
-CACHE = 200_000
+#: Words and compared arcs that a worker keeps, and states of the symbol automaton before the table is begun anew.
+CACHE, STATES = 200_000, 50_000
 
 # Pre-split pattern of the vocabulary (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -49,10 +53,8 @@ def byte_symbols() -> list[str]:
 class Automaton:
     """States, arcs and labels compiled from a vocabulary and its ordered merges."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], states: int = STATES):
         self.labels = {i: t for t, i in vocab.items()}
-        self.ids = {t[: -len(END)] + END_SYMBOL if t.endswith(END) else t: i for t, i in vocab.items()}
-        self.longest = max(map(len, self.ids), default=0)
         n = max(vocab.values(), default=-1) + 1
         #: what the gadgets removed from the state behind a token: {token: step}
         self.removed: list[dict[int, int]] = [{} for _ in range(n)]
@@ -63,6 +65,32 @@ class Automaton:
         self.width = n
         for step, (u, v) in enumerate(merges):
             self.gadget(vocab[u], vocab[v], vocab[u + v], step)
+        #: tree of spellings: {node << 16 | symbol: node}, the token that ends at a node, nodes with children
+        self.tree: dict[int, int] = {}
+        self.token: list[int] = [-1]
+        self.inner: set[int] = set()
+        self.size = [0] * n
+        for t, i in vocab.items():
+            self.add(t[: -len(END)] + END_SYMBOL if t.endswith(END) else t, i)
+        self.most = states
+        self.clear()
+
+    def add(self, symbols: str, token: int) -> None:
+        node = 0
+        for c in symbols:
+            key = node << 16 | ord(c)
+            self.inner.add(node)
+            node = self.tree.setdefault(key, len(self.token))
+            if node == len(self.token):
+                self.token.append(-1)
+        self.token[node], self.size[token] = token, len(symbols)
+
+    def clear(self) -> None:
+        """Begins the table anew with the start state."""
+        self.moves: list[dict[str, int]] = [{}]
+        self.ends: list[int] = [-1]
+        self.open: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
+        self.number = {(-1, self.open[0]): 0}
 
     def gadget(self, u: int, v: int, t: int, step: int) -> None:
         """Applies the merge gadget of rule ``u v -> t``."""
@@ -99,33 +127,48 @@ class Automaton:
                 return True
             state, before = up
 
+    def move(self, state: int, symbol: str) -> int:
+        """The transition of ``state`` under ``symbol``, made and tabulated."""
+        going, ended = [], -1
+        for node, last in self.open[state]:
+            to = self.tree.get(node << 16 | ord(symbol))
+            if to is None:
+                continue
+            token = self.token[to]
+            if token >= 0 and ended < 0 and (last < 0 or self.has_arc(last, token)):  # one arc ends here at most, mostly the longest
+                ended = token
+            if to in self.inner:
+                going.append((to, last))
+        if ended >= 0:
+            going.append((0, ended))  # what follows leaves the state behind the token
+        if not going and ended < 0:
+            raise ValueError("no path spells the word")
+        key = (ended, tuple(going))
+        new = self.number.setdefault(key, len(self.moves))
+        if new == len(self.moves):
+            self.moves.append({})
+            self.ends.append(ended)
+            self.open.append(key[1])
+        self.moves[state][symbol] = new
+        return new
+
     def spell(self, symbols: str) -> list[int]:
         """Ids on the one path that spells ``symbols`` (a word's byte symbols and its end mark)."""
-        n, ids = len(symbols), self.ids
-        path: list[int] = []
-        ends: list[int] = [0]
-        tries: list[int] = [min(n, self.longest)]
-        dead: set[tuple[int, int]] = set()
-        while ends[-1] < n:
-            at, size = ends[-1], tries[-1]
-            last = path[-1] if path else -1
-            while size > 0:
-                token = ids.get(symbols[at : at + size])
-                if token is not None and (last < 0 or self.has_arc(last, token)) and (at + size, token) not in dead:
-                    break
-                size -= 1
-            if size:
-                tries[-1] = size - 1
-                path.append(token)
-                ends.append(at + size)
-                tries.append(min(n - at - size, self.longest))
-            else:  # no arc leads on from here
-                if not path:
-                    raise ValueError("no path spells the word")
-                dead.add((at, path.pop()))
-                ends.pop()
-                tries.pop()
-        return path
+        if len(self.moves) > self.most:
+            self.clear()
+        moves, state, passed = self.moves, 0, []
+        for c in symbols:
+            to = moves[state].get(c)
+            state = self.move(state, c) if to is None else to
+            passed.append(state)
+        at, ids, ends = len(symbols), [], self.ends
+        while at:
+            token = ends[passed[at - 1]]
+            if token < 0:
+                raise ValueError("no path spells the word")
+            ids.append(token)
+            at -= self.size[token]
+        return ids[::-1]
 
 
 class Codec:
@@ -221,8 +264,8 @@ def encode_documents(docs: DataFrame, file: str) -> DataFrame:
 def encode_digests(docs: DataFrame, file: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs(doc_id, text)``.
 
-    Null and empty texts have no tokens and the digests of the empty string. Repeated rows stay;
-    other columns are ignored; an empty table gives an empty table.
+    Null and empty texts have no tokens and the digests of the empty string. Repeated rows and null ids stay; very long texts and words are
+    encoded whole, in time in proportion to their length; other columns are ignored; an empty table gives an empty table.
     """
     lean(docs)
     kinds = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -135,6 +135,28 @@ def test_automaton_on_tiny_merges():
         auto.spell("c")
 
 
+def test_table_can_begin_anew(strings):
+    codec, small = bpe.Codec(WORD_FILE), bpe.Codec(WORD_FILE)
+    small.automaton.most = 40
+    for t in strings[:600]:
+        assert small.encode(t) == codec.encode(t)
+    assert len(codec.automaton.moves) > 400
+    long = codec.ids("ab" * 100_000)
+    assert codec.decode(long).replace(" ", "") == "ab" * 100_000 + "</w>"
+
+
+def test_table_is_deterministic_and_reused():
+    vocab = {"a": 0, "b": 1, "aa": 2, "aab": 3, "ba": 4}
+    auto = bpe.Automaton(vocab, [("a", "a"), ("aa", "b"), ("b", "a")])
+    for n in range(1, 12):
+        for k in range(1 << n):
+            auto.spell("".join("ab"[k >> j & 1] for j in range(n)))
+    states = len(auto.moves)
+    assert states < 20  # all words of two letters go through a handful of states
+    auto.spell("abba" * 500 + "aab" * 77)
+    assert len(auto.moves) == states
+
+
 def test_bpe_query(spark):
     library = Tokenizer.from_file(WORD_FILE)
     rows = texts(spark)
