@@ -8,19 +8,21 @@
    table): passages that many documents share then bring no documents together.
 3. Documents that share a hash form a block. Blocks are searched with signature trees: leaves
    hold token bitmaps and sizes, inner nodes their OR and size range; a dual traversal from the root pair
-   drops node pairs whose largest possible overlap is too small. Large blocks are cut into
-   tiles, searched pair by pair, so that no task holds a whole hot block's bitmaps. What is
-   left is a spanning forest of pairs that may be similar.
+   drops node pairs whose largest possible overlap is too small. What is left is a spanning forest of pairs that may be similar.
    Its components are searched once more, each document once, with bitmaps as wide as large sets need.
-4. The components that remain get the documents' full sets and are verified exactly; a component with more
-   than ``SET_TOKENS`` shingles is again cut into tile pairs.
+4. The components that remain get the documents' full sets and are verified exactly.
 5. Verified links give the final components.
+
+No task holds a whole hot group, and no group is searched pair by pair. A large one is cut into tiles; first each tile is searched with the
+next. In a group of near copies that makes one component of all. Only members outside the group's largest component, whose links could
+still be in other tiles, are then searched against all tiles. Pairs within one component need no search, as they add nothing to it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +41,12 @@ from gridweave.llm.common import (
 
 BITS = 2048
 #: Documents of a block's bitmaps that a task holds at once, and shingles of a component's sets.
-TILE = 2048
+TILE = 1024
 SET_TOKENS = 1_000_000
 #: A token is common from so many indexed documents on; most common tokens that the order puts last.
 COMMON_FROM, COMMON_TOKENS = 3, 500_000
+#: Index rows for each partition that blocks are made in, beyond the session's number of partitions.
+PART_ROWS = 4_000_000
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -214,13 +218,6 @@ def set_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def tiles_of(n: int, low: np.ndarray, tile: int, percent: int) -> list[tuple[int, int]]:
-    """Pairs of tiles (of ``tile`` documents in size order) whose sizes can link."""
-    k = -(-n // tile)
-    high = [low[min(n, (t + 1) * tile) - 1] for t in range(k)]
-    return [(a, b) for a in range(k) for b in range(a, k) if 100 * high[a] >= percent * low[b * tile]]
-
-
 def in_order(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     """A sorted set's tokens in index order: by hash, common ones (sorted array) last."""
     if not len(common):
@@ -249,8 +246,6 @@ def _mapped(docs: DataFrame, width: int, schema: str, kinds: list, row) -> DataF
 
 def _key(s: np.ndarray) -> tuple[bytes, int]:
     """A set's key of 16 bytes, and half of it as a number."""
-    import xxhash
-
     key = xxhash.xxh3_128_digest(s.tobytes())
     return key, int.from_bytes(key[:8], "little", signed=True)
 
@@ -287,20 +282,15 @@ def _whole_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def blocks_of(rows: DataFrame, percent: int, tile: int, parts: int) -> DataFrame:
-    """(block, doc_id) of blocks that hold two or more documents of compatible size.
+    """(block, doc_id, big) of blocks that hold two or more documents of compatible size.
 
     ``rows`` has token, doc_id, n and, optionally, half: of equal sets, which share all their tokens, only the smallest
-    doc_id goes on. A partition has all rows of its tokens. Equal member lists become one block; a block larger than ``tile``
-    becomes one block for each pair of tiles.
+    doc_id goes on. Equal member lists become one block mostly; a block of more than two tiles becomes one block for each tile and the
+    next, in size order, and ``big`` then names it, once for each member. Partitions are sorted and go by in pieces.
     """
+    empty = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("big", pa.int64())])
 
-    def run(batches):
-        import xxhash
-
-        columns = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if not columns:
-            return
-        token, doc, size, *half = (np.concatenate(c) for c in zip(*columns, strict=True))
+    def made(token, doc, size, half, seen):
         if half:
             order = np.lexsort((doc, half[0], size, token))
             token, doc, size, half = token[order], doc[order], size[order], half[0][order]
@@ -314,34 +304,85 @@ def blocks_of(rows: DataFrame, percent: int, tile: int, parts: int) -> DataFrame
         near = same & (100 * size[:-1] >= percent * size[1:])
         keep = np.r_[near, False] | np.r_[False, near]
         cut = np.r_[True, ~near][keep]  # a gap in sizes parts a block for good
-        doc, size = doc[keep], size[keep]
+        doc = doc[keep]
         starts = np.r_[np.nonzero(cut)[0], len(doc)]
-        seen, ids, out = set(), [], []
+        ids, docs, bigs = [], [], []
         for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             members = doc[a:z]
             key = xxhash.xxh3_64_intdigest(members.tobytes())
             if key in seen:
                 continue
             seen.add(key)
-            if z - a <= tile:
-                pieces = [(key, members)]
+            cuts = [members[k : k + tile] for k in range(0, z - a, tile)]
+            if len(cuts) <= 2:
+                pieces = [(key, members, np.zeros(len(members), bool))]
             else:
-                pairs = tiles_of(z - a, size[a:z], tile, percent)
-                cutm = [members[k : k + tile] for k in range(0, z - a, tile)]
                 pieces = [
-                    (xxhash.xxh3_64_intdigest(f"{key}:{p}:{q}"), cutm[p] if p == q else np.concatenate((cutm[p], cutm[q])))
-                    for p, q in pairs
+                    (xxhash.xxh3_64_intdigest(f"{key}:{k}"), np.concatenate((x, y)), np.r_[np.full(len(x), k == 0), np.ones(len(y), bool)])
+                    for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
                 ]
-            for k, m in pieces:
+            for k, m, own in pieces:
                 ids.append(np.full(len(m), np.uint64(k)).view(np.int64))
-                out.append(m)
-            if len(out) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(out))], names=["block", "doc_id"])
-                ids, out = [], []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(out))], names=["block", "doc_id"])
+                docs.append(m)
+                bigs.append(pa.array(np.full(len(m), np.uint64(key)).view(np.int64), mask=~own))
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(docs)), pa.concat_arrays(bigs)], schema=empty)
 
-    return rows.repartition(parts, "token").mapInArrow(run, "block long, doc_id long")
+    def run(batches):
+        held, count, seen = [], 0, set()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append([c.to_numpy() for c in b.columns])
+            count += b.num_rows
+            if count >= 200_000 and held[-1][0][0] != held[-1][0][-1]:  # the last token may go on in the next batch
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                end = int(np.searchsorted(columns[0], columns[0][-1]))
+                yield from made(*(c[:end] for c in columns[:3]), [c[:end] for c in columns[3:]], seen)
+                held, count = [[c[end:] for c in columns]], len(columns[0]) - end
+                if len(seen) > 500_000:
+                    seen.clear()
+        if held:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            yield from made(*columns[:3], columns[3:], seen)
+
+    return rows.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, "block long, doc_id long, big long")
+
+
+def stray_blocks(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(block, doc_id) that bring the members of big groups outside their group's largest component together with all of the group.
+
+    ``members`` has big, doc_id and weight; ``labels(node, component)`` the components so far. Tiles have a weight of about ``most``.
+    """
+    m = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
+    per = m.groupBy("big", "label").agg(F.sum("weight").alias("w"))
+    top = per.groupBy("big").agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("all"))
+    top = top.select("big", F.col("top.label").alias("main"), F.ceil(F.col("all") / most).alias("tiles"), F.ceil((F.col("all") - F.col("top.w")) / most).alias("strays"))
+    m = m.join(top.where("strays > 0"), "big")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    spot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    stray = m.where("label <> main").select("big", "doc_id", spot("strays").alias("a"), upto("tiles").alias("b"))
+    every = m.select("big", "doc_id", spot("tiles").alias("b"), upto("strays").alias("a"))
+    return stray.unionByName(every).select(F.xxhash64("big", "a", "b").alias("block"), "doc_id").distinct()
+
+
+def searched(blocks: DataFrame, payload: DataFrame, column: str, links, most: int, weight, parts: int, label: str, t: Tables) -> DataFrame:
+    """(a, b): a forest of the pairs that ``links`` finds in ``blocks(block, doc_id, big)``, a stored table, and in whole big groups.
+
+    ``payload`` has doc_id, n and ``column``; ``weight`` is what a member weighs against ``most``.
+    """
+
+    def run(some: DataFrame, name: str) -> DataFrame:
+        met = some.select("block", "doc_id").join(payload, "doc_id").repartition(parts, "block")
+        return t.stored(linked_in_blocks(met, column, links).distinct(), name)
+
+    first = run(blocks, label)
+    big = blocks.where("big is not null").select("big", "doc_id")
+    if big.isEmpty():
+        return first
+    labels = t.kept(connected_components(first))
+    members = big.join(payload.select("doc_id", weight.alias("weight")), "doc_id")
+    return first.union(run(t.stored(stray_blocks(members, labels, most), f"{label}-strays"), f"{label}-more"))
 
 
 def linked_in_blocks(rows: DataFrame, payload: str, links) -> DataFrame:
@@ -388,8 +429,9 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     """doc_id, n_shingles, component_id for every row of ``docs(doc_id, text)``.
 
     Links: 100 |A & B| >= percent |A | B|. Null, empty and blank texts have no shingles and link with
-    nothing; repeated texts (and equal sets) link; a null doc_id has a null component; other columns
-    are ignored; an empty table gives an empty table.
+    nothing; repeated texts (and equal sets) link; rows that share an id are one document of all their texts' links; a row without
+    doc_id has the component of the texts equal to its own, or null; very long texts are compared whole; other columns are ignored;
+    an empty table gives an empty table.
     """
     lean(docs)
     spark, t = docs.sparkSession, Tables()
@@ -401,33 +443,33 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     often = t.stored(often.where((F.col("df") >= COMMON_FROM) & (F.col("a") != F.col("z"))).select("token", "df"), "often")
     common = spark.sparkContext.broadcast(np.sort(most_frequent(often, "token", "df", COMMON_TOKENS)[0].view(np.uint64)))
     index = t.stored(_index(docs, width, percent, common).where("n > 0 and doc_id is not null"), "index")
+    parts = max(parts, -(-(index.agg(F.sum(F.size("prefix"))).first()[0] or 0) // PART_ROWS))
+    one = F.lit(1)
     blocks = t.stored(blocks_of(index.select(F.explode("prefix").alias("token"), "doc_id", "n", "half"), percent, tile, parts), "blocks")
 
     def by_bitmap(sizes, raws):
         return tree_links(sizes, np.frombuffer(b"".join(raws), np.uint64).reshape(len(raws), -1), percent)
 
-    maybe = linked_in_blocks(
-        blocks.join(index.select("doc_id", "n", "bits"), "doc_id").repartition(parts, "block"), "bits", by_bitmap
-    )
-    rough = t.kept(connected_components(t.stored(maybe.distinct(), "maybe")))
-    t.drop(blocks)
+    maybe = searched(blocks, index.select("doc_id", "n", "bits"), "bits", by_bitmap, tile, one, parts, "maybe", t)
+    rough = t.kept(connected_components(maybe))
     # large sets crowd the blocks' bitmaps: what they brought together is searched again with bitmaps of their size
     wider = index.select("doc_id", "n", F.coalesce("wide", "bits").alias("wide"))
-    again = _tiled(rough, index, SET_TOKENS).join(wider, "doc_id").repartition(parts, "block")
 
     def by_wide_bitmap(sizes, raws):
         words = min(map(len, raws)) // 8
         return tree_links(sizes, np.stack([folded(r, words) for r in raws]), percent)
 
-    groups = t.kept(connected_components(t.stored(linked_in_blocks(again, "wide", by_wide_bitmap).distinct(), "likely")))
+    again = t.stored(_tiled(rough, index, SET_TOKENS), "rough-blocks")
+    likely = searched(again, wider, "wide", by_wide_bitmap, SET_TOKENS, F.col("n"), parts, "likely", t)
+    groups = t.kept(connected_components(likely))
 
     def by_set(sizes, raws):
         return set_links([np.frombuffer(r, np.uint64) for r in raws], percent)
 
-    tiled = _tiled(groups, base, SET_TOKENS)
     texts = docs.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    full = _whole_sets(texts, width)
-    links = t.stored(linked_in_blocks(tiled.join(full, "doc_id").repartition(parts, "block"), "tokens", by_set).distinct(), "links")
+    full = t.stored(_whole_sets(texts, width), "whole-sets")
+    tiled = t.stored(_tiled(groups, index, SET_TOKENS), "group-blocks")
+    links = searched(tiled, full, "tokens", by_set, SET_TOKENS, F.col("n"), parts, "links", t)
     comps = t.kept(connected_components(links))
     classes = base.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     keyed = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
@@ -441,20 +483,21 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
 
 
 def _tiled(groups: DataFrame, base: DataFrame, most: int) -> DataFrame:
-    """(block, doc_id): small groups whole, larger ones as pairs of tiles.
+    """(block, doc_id, big): groups of up to two tiles whole, larger ones as each tile and the next, in a ring.
 
-    A group with more than ``most`` shingles is dealt to tiles by hash; a document goes to every pair of tiles
-    that its own is part of, so any two documents of a group meet in a block.
+    A group with more than ``most`` shingles is dealt to tiles by hash. ``big`` names a group of more than two tiles, once for each member.
     """
-    sized = groups.join(base.select(F.col("doc_id").alias("node"), "n"), "node")
+    sized = groups.join(base.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
     tiles = sized.groupBy("component").agg(F.ceil(F.sum("n") / most).alias("k"))
     mine = F.pmod(F.xxhash64("node"), F.col("k"))
+    pairs = F.when(F.col("k") <= 2, F.array(F.lit(0).cast("bigint"))).otherwise(F.array("mine", F.pmod(F.col("mine") + F.col("k") - 1, F.col("k"))))
     return (
         sized.join(tiles, "component")
         .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        .withColumn("pair", F.explode(pairs))
         .select(
-            F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"),
+            F.xxhash64("component", "pair").alias("block"),
             F.col("node").alias("doc_id"),
+            F.when((F.col("k") > 2) & (F.col("pair") == F.col("mine")), F.col("component")).alias("big"),
         )
     )

@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import Tables, WordHashes, connected_components, ids_of, joined_on, lean, mixed, rewritten, shingle_hashes, small_batches, text_bytes
+from gridweave.llm.ngram_join import PART_ROWS, blocks_of, searched, set_links
 from gridweave.llm.spans import let, running
-from gridweave.llm.ngram_join import blocks_of, linked_in_blocks, set_links
 
 #: Words of a hashed window and fewest words of a compared line.
 WINDOW = 24
@@ -38,7 +38,7 @@ SHINGLE = 5
 PERCENT = 80
 RECALL = 0.99
 MOST_BANDS = 10
-TILE = 2048
+TILE = 512
 
 
 def tuned_bands(percent: int = PERCENT, recall: float = RECALL, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -345,21 +345,20 @@ def near_lines(docs: DataFrame, lines: DataFrame, percent: int, tile: int, parts
     first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "at", "words", "n", "bands")).alias("p"))
     first = t.stored(first.select("key", "p.*"), "line-keys")
     index = first.select(F.explode("bands").alias("token"), F.col("key").alias("doc_id"), "n")
+    parts = max(parts, -(-first.count() * MOST_BANDS // PART_ROWS))
     blocks = t.stored(blocks_of(index, percent, tile, parts), "line-blocks")
     wanted = first.select("key", "doc_id", "at", "words", "n").join(blocks.select(F.col("doc_id").alias("key")), "key", "left_semi")
     wanted = t.stored(wanted, "line-places")
-    raws = _line_texts(docs, wanted, t)
-    payload = raws.join(wanted.select("key", "n"), "key").withColumnRenamed("key", "doc_id")
+    payload = _line_texts(docs, wanted, t).join(wanted.select("key", "n"), "key").withColumnRenamed("key", "doc_id")
+    payload = t.stored(payload.select("doc_id", "n", "raw"), "line-texts")
 
     def verified(sizes, raw_lines):
         hashes = WordHashes()
         sets = [np.unique(shingle_hashes(hashes.of(r.split()), SHINGLE)) for r in raw_lines]
         return set_links(sets, percent)
 
-    links = linked_in_blocks(blocks.join(payload, "doc_id").repartition(parts, "block"), "raw", verified)
-    near = t.kept(connected_components(t.stored(links.distinct(), "line-links")))
-    t.drop(first, blocks, wanted)
-    return near
+    links = searched(blocks, payload, "raw", verified, tile, F.lit(1), parts, "line-links", t)
+    return t.kept(connected_components(links.distinct()))
 
 
 def paragraph_duplicates(docs: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:

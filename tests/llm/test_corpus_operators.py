@@ -79,6 +79,30 @@ def test_ngram_join_empty_and_repeated(spark, docs_of, odd):
     assert [(r.doc_id, r.component_id) for r in got] == [(6, 6), (6, 6)]
 
 
+@pytest.mark.parametrize("kinds", [1, 2, 7])
+def test_big_groups_are_searched_whole(spark, kinds):
+    """Members of any kind meet, though no task sees more than two tiles of the group and tiles meet in turn only."""
+    from gridweave.llm.common import Tables
+
+    r = random.Random(kinds)
+    rows = [(k, 10, str(r.randrange(kinds) if r.random() < 0.6 else 0)) for k in range(150)]
+
+    def links(sizes, kinds_held):
+        assert len(kinds_held) <= 40
+        first = {}
+        return [(first[x], k) for k, x in enumerate(kinds_held) if first.setdefault(x, k) != k]
+
+    t = Tables()
+    index = spark.createDataFrame([(9, d, n) for d, n, _ in rows], "token long, doc_id long, n long")
+    blocks = t.stored(ngram_join.blocks_of(index, 90, 8, 3), "test-blocks")
+    payload = spark.createDataFrame(rows, "doc_id long, n long, kind string")
+    found = ngram_join.searched(blocks, payload, "kind", links, 8, ngram_join.F.lit(1), 3, "test-links", t)
+    comp = {x.node: x.component for x in connected_components(found).collect()}
+    for d, _, kind in rows:
+        assert comp.get(d, d) == min(i for i, _, x in rows if x == kind)
+    t.drop()
+
+
 def test_signature_tree_loses_nothing():
     r = np.random.RandomState(3)
     sets = []
