@@ -402,6 +402,50 @@ def test_notices_beside_other_marked_words():
             assert said(f"Lorem ipsum dolor sit amet. {text} Lorem ipsum.") == [(name, 1.0)]
 
 
+def brute_notices(text):
+    """(dice, licence, first, end) in bigrams of every window that is near enough to a template, by plain sets."""
+    split = lambda t: re.sub(r"[^a-z0-9\x80-\U0010ffff]", " ", re.sub("[A-Z]", lambda m: m.group().lower(), t)).split()
+    pairs = lambda w: list(zip(w[:-1], w[1:], strict=True))
+    own, out = pairs(split(text)), []
+    for name, texts_of in licenses.ALL.items():
+        for t in texts_of:
+            g = set(pairs(split(t)))
+            hits = [k for k, x in enumerate(own) if x in g]
+            for a in hits:
+                for z in hits:
+                    if a <= z and z + 1 - a <= 3 * len(g) and 2 * len(g) <= 3 * (z + 1 - a):
+                        w = set(own[a : z + 1])
+                        if 2 * len(w & g) >= 0.8 * (len(w) + len(g)):
+                            out.append((2 * len(w & g) / (len(w) + len(g)), name, a, z + 1))
+    rate = lambda name, a, z: [2 * len(set(own[a:z]) & g) / (len(set(own[a:z])) + len(g)) for g in (set(pairs(split(t))) for t in licenses.ALL[name])]
+    return out, rate
+
+
+def test_licence_query_against_brute_force(spark, docs_of, prose):
+    r = random.Random(12)
+    short = [(n, t) for n, ts in licenses.ALL.items() for t in ts if len(t) < 700]
+    rows = []
+    for k in range(40):
+        parts = [prose(300 + k, 12)]
+        for n, t in r.sample(short, 3):
+            words = t.split()
+            if r.random() < 0.5:
+                words[r.randrange(len(words))] = "other"
+            parts += [" ".join(words), prose(400 + k, r.randrange(6))]
+        rows.append((k, r.choice([" ", "\n"]).join(parts)))
+    found = {}
+    for x in licenses.license_notices(docs_of(rows)).collect():
+        found.setdefault(x.doc_id, []).append(x)
+    for i, t in rows:
+        windows, rate = brute_notices(t)
+        mine = sorted((x.at, x.at + x.words - 1, x) for x in found.get(i, []))
+        assert all(a[1] <= b[0] for a, b in zip(mine, mine[1:]))
+        for a, z, x in mine:  # what is said is true of that very window
+            assert x.dice >= 0.8 and any(abs(d - x.dice) < 1e-9 for d in rate(x.license, a, z)), (i, x)
+        for d, n, p, q in windows:  # and nothing near enough is passed over
+            assert any(a < q and p < z for a, z, _ in mine), (i, n, p, q)
+
+
 def test_size_bounds_prune_nothing_that_matches():
     match = licenses.Matcher()
     r = random.Random(8)
