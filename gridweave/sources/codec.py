@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridweave import dtypes as dt
 from gridweave.dtypes import DType
-from gridweave.errors import InvalidShape, MalformedMessage
+from gridweave.errors import InvalidShape, MalformedMessage, ProtocolError
 
 DECODED = "dtype string, ndims int, shape array<bigint>, strides array<bigint>, data_offset int, data_size bigint, ready boolean"
 
@@ -51,12 +51,29 @@ def parse(raw: bytes) -> tuple:
     return dtype.name, n, shape, strides, at, int(np.prod(shape, dtype=np.int64)) * dtype.size, bool(raw[2])
 
 
+def _flat(lists: pd.Series, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a column of arrays, end to end, and where each row's begin and the last ends."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    values = np.concatenate(lists.to_list()) if len(lists) else np.zeros(0)
+    return values.astype(kind, copy=False), np.r_[0, np.cumsum(sizes)]
+
+
 def encoder(dtype: DType):
     """Column function (tensor, shape, strides) -> binary."""
 
     @F.pandas_udf("binary")
     def run(tensor: pd.Series, shape: pd.Series, strides: pd.Series) -> pd.Series:
-        return pd.Series([encode(t, s, r, dtype) for t, s, r in zip(tensor, shape, strides, strict=True)])
+        values, at = _flat(tensor, None)
+        data = memoryview(to_bytes(values, dtype))  # one conversion for all rows
+        heads: dict[tuple, bytes] = {}
+        out = []
+        for k, (s, r) in enumerate(zip(shape, strides, strict=True)):
+            layout = (tuple(s), tuple(r))
+            head = heads.get(layout)
+            if head is None:
+                head = heads[layout] = encode([], s, r, dtype)
+            out.append(head + data[at[k] * dtype.size : at[k + 1] * dtype.size])
+        return pd.Series(out)
 
     return run
 
@@ -77,18 +94,49 @@ def decoder(dtype: DType):
 
     @F.pandas_udf(dtype.array())
     def run(raw: pd.Series) -> pd.Series:
-        out = []
+        parts = []
         for x in raw:
-            x = bytes(x)
-            name, _, _, _, at, size, _ = parse(x)
+            name, _, _, _, at, size, _ = parse(bytes(x))
             if name != dtype.name:
                 raise MalformedMessage(f"{name} where {dtype.name} was said")
-            out.append(from_bytes(x[at : at + size], dtype))
-        return pd.Series(out)
+            parts.append(x[at : at + size])
+        values = from_bytes(b"".join(parts), dtype)  # one conversion for all rows
+        ends = np.cumsum([len(x) // dtype.size for x in parts])
+        return pd.Series(np.split(values, ends[:-1]) if len(parts) else [])
 
     return run
 
 
+#: Fields of the header as a handshake announces them.
+HEADER = {
+    "header_size": 8, "dt_offset": 0, "dt_size": 1, "ndims_offset": 1, "ndims_size": 1, "is_ready_offset": 2, "is_ready_size": 1, "shape_type_size": 8,
+}
+
+
+def handshake_line(version: str, fields: dict[str, int] | None = None) -> str:
+    """'ZT <version> key=value ...': the line that announces the encoding to a consumer."""
+    return " ".join(["ZT", version, *(f"{k}={v}" for k, v in (HEADER | (fields or {})).items())]) + "\n"
+
+
+def parse_handshake(line: str, version: str, needed=tuple(HEADER)) -> dict[str, int]:
+    """The numbers of a handshake line; raises for another protocol or version, a value that is no number, or a missing field."""
+    parts = line.split()
+    if len(parts) < 2 or parts[0] != "ZT":
+        raise ProtocolError(f"no handshake: {line!r}")
+    if parts[1] != version:
+        raise ProtocolError(f"version {parts[1]} where {version} is spoken")
+    out = {}
+    for key, mark, value in (p.partition("=") for p in parts[2:]):
+        if mark:
+            try:
+                out[key] = int(value)
+            except ValueError as e:
+                raise MalformedMessage(f"{key} is no number: {value}") from e
+    if gone := [k for k in needed if k not in out]:
+        raise ProtocolError(f"missing in the handshake: {', '.join(gone)}")
+    return out
+
+
 def handshake_fields(line):
     """Column: key=value pairs of a handshake line as a map."""
     return F.str_to_map(line, F.lit(" "), F.lit("="))

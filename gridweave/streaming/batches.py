@@ -118,16 +118,47 @@ class BatchStream:
 
 
 def stream_batches(
-    spark: SparkSession, path: str, schema, batch_size: int, sink: Callable[[DataFrame, int], None], checkpoint: str, key: str = "idx", files: int = 1
-):
+    spark: SparkSession, path: str, schema, batch_size: int, sink: Callable[[DataFrame, int], None], checkpoint: str, key: str = "idx", files: int = 1,
+    across: bool = False,
+):
     """Starts a query that numbers and batches the new files' rows and gives each micro-batch to ``sink``.
 
-    Backpressure is ``files`` a trigger; the checkpoint folder makes restarts go on where the query stopped.
+    Backpressure is ``files`` a trigger; the checkpoint folder makes restarts go on where the query stopped. Each micro-batch is an epoch of its
+    own, whose last batch may be short; with ``across``, its rows that fill no whole batch wait for the next one, in a folder beside the
+    checkpoint's: ``epoch`` is 0 throughout, steps count on, and what waits at the end is given by ``waiting_rows``.
     """
 
-    def each(df: DataFrame, number: int) -> None:
+    def numbered(df: DataFrame, first: int) -> DataFrame:
         rows = flow.with_index(df, key, "pos") if not df.isEmpty() else df.withColumn("pos", F.lit(0).cast("bigint"))
-        sink(flow.with_batches(rows.withColumn("epoch", F.lit(number)), batch_size), number)
+        return rows.withColumn("pos", F.col("pos") + first)
+
+    def each(df: DataFrame, number: int) -> None:
+        sink(flow.with_batches(numbered(df, 0).withColumn("epoch", F.lit(number)), batch_size), number)
+
+    def each_across(df: DataFrame, number: int) -> None:
+        before, first = None, 0
+        if number > 0:
+            before = spark.read.parquet(f"{checkpoint}-waiting/{number - 1}")
+            first = (before.agg(F.max("pos")).first()[0] if not before.isEmpty() else -1) + 1
+        start = first // batch_size * batch_size
+        rows = numbered(df, first)
+        if before is not None:
+            rows = before.where(F.col("pos") >= start).unionByName(rows)
+        last = rows.agg(F.max("pos")).first()[0]
+        total = first if last is None else last + 1
+        end = total // batch_size * batch_size
+        sink(flow.with_batches(rows.where(F.col("pos") < end).withColumn("epoch", F.lit(0)), batch_size), number)
+        # the last row given stays, too, where nothing waits, so that positions go on
+        kept = rows if before is None else before.where(F.col("pos") < start).unionByName(rows)
+        kept.where(F.col("pos") >= end - 1).write.mode("overwrite").parquet(f"{checkpoint}-waiting/{number}")
 
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
-    return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    done = each_across if across else each
+    return source.writeStream.foreachBatch(done).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def waiting_rows(spark: SparkSession, checkpoint: str, number: int, batch_size: int) -> DataFrame:
+    """The rows, with their positions, that fill no whole batch after micro-batch ``number`` of a stream ``across`` micro-batches."""
+    rows = spark.read.parquet(f"{checkpoint}-waiting/{number}")
+    last = rows.agg(F.max("pos")).first()[0]
+    return rows.where(F.col("pos") >= (0 if last is None else (last + 1) // batch_size * batch_size))

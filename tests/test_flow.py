@@ -3,13 +3,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridweave import dtypes as dt
-from gridweave.errors import BufferOverflow, InvalidShape, InvalidSlot, MalformedMessage
+from gridweave.errors import BufferOverflow, InvalidShape, InvalidSlot, MalformedMessage, ProtocolError
 from gridweave.operators import layout as L
 from gridweave.plans import flow
 from gridweave.plans.flow import StreamOptions
 from gridweave.sources import codec
 from gridweave.sources.dataset import Dataset, check_dense, check_values, is_empty, length, read_dataset
-from gridweave.streaming.batches import BatchStream, stream_batches
+from gridweave.streaming.batches import BatchStream, stream_batches, waiting_rows
 
 
 def items(spark, n):
@@ -223,6 +223,42 @@ def test_handshake(spark):
     assert got["slots"] == "2" and got["shape_type_size"] == "8"
 
 
+def test_handshake_is_said_and_understood():
+    line = codec.handshake_line("0.1", {"cb_size": 192})
+    assert line.startswith("ZT 0.1 ") and codec.parse_handshake(line, "0.1")["cb_size"] == 192
+    assert codec.parse_handshake(line, "0.1")["shape_type_size"] == 8
+    for bad, error in ((line.replace("ZT", "XX"), ProtocolError), (line.replace("0.1", "0.2"), ProtocolError), ("ZT 0.1 dt_offset=0", ProtocolError), (line.replace("=192", "=x"), MalformedMessage)):
+        with pytest.raises(error):
+            codec.parse_handshake(bad, "0.1")
+
+
+@pytest.mark.parametrize("dtype", dt.ALL, ids=lambda d: d.name)
+def test_codec_columns(spark, dtype):
+    rows = [(0, [1, 2, 3, 4, 5, 6], [2, 3], [3, 1]), (1, [7], [1], [1]), (2, [8, 9], [2], [1])]
+    df = spark.createDataFrame(rows, "idx int, t array<int>, s array<bigint>, r array<bigint>").withColumn("t", F.col("t").cast(dtype.array()))
+    got = df.select("idx", "s", codec.encoder(dtype)("t", "s", "r").alias("raw")).select("idx", "s", codec.header_parser()("raw").alias("h"), codec.decoder(dtype)("raw").alias("t"))
+    for r, (_, t, s, strides) in zip(got.orderBy("idx").collect(), rows, strict=True):
+        assert r.t == t and r.h.shape == s and r.h.strides == strides and r.h.data_size == len(t) * dtype.size
+    assert df.where("false").select(codec.encoder(dtype)("t", "s", "r")).count() == 0
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_stream_across_micro_batches(spark, tmp_path, size):
+    source, check = str(tmp_path / "in"), str(tmp_path / "check")
+    for k in range(3):
+        items(spark, 10).withColumn("idx", F.col("idx") + 10 * k).coalesce(1).write.mode("append").parquet(source)
+    seen = []
+
+    def sink(df, number):
+        seen.extend((r.step, r.pos_in_batch, r.idx) for r in df.collect())
+
+    stream_batches(spark, source, "idx long, tensor array<float>", size, sink, check, across=True).awaitTermination()
+    whole = 30 // size * size
+    assert len(seen) == len(set(seen)) == whole and sorted((s, p) for s, p, _ in seen) == [(k // size, k % size) for k in range(whole)]
+    rest = [r.idx for r in waiting_rows(spark, check, 2, size).collect()]
+    assert sorted([i for _, _, i in seen] + rest) == list(range(30)) and len(rest) == 30 - whole
+
+
 def test_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     for k in range(3):
