@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-#: Rows of an Arrow batch: whole texts are long, and both sides hold a batch or two.
+#: Rows of an Arrow batch while a table is stored: whole texts are long, and both sides hold a batch or two. (Spark bounds its bytes in any case.)
 BATCH_ROWS = 512
 
 
@@ -53,7 +53,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     survives the loss of any executor. What nobody dropped by then goes when the driver ends."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/gridweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
     out = spark.read.schema(df.schema).parquet(path)
     out._gridweave_path = path
@@ -61,15 +68,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """Bounds the Arrow batches that Python operators on ``df`` get, and lets workers import this package."""
+    """Lets the Python workers of operators on ``df`` import this package."""
     env = df.sparkSession.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if HOME not in paths:
         env["PYTHONPATH"] = os.pathsep.join([HOME, *paths])
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
     return df
 
 
