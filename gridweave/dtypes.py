@@ -23,6 +23,13 @@ class DType:
     def array(self) -> str:
         return f"array<{self.spark}>"
 
+    def __reduce__(self):
+        return named, (self.name,)  # there is one of each, in workers too
+
+
+def named(name: str) -> DType:
+    return BY_NAME[name]
+
 
 # Wire codes, widths and ranges (fixed values).
 F16 = DType("f16", 0, 2, "float", "<f2", -65504.0, 65504.0, False)
@@ -79,6 +86,11 @@ def tagged(column, name: str, dtype: DType):
     return column.cast(dtype.array()).alias(name, metadata={METADATA: dtype.name})
 
 
+def tagged_bytes(column, name: str, dtype: DType):
+    """A binary column of little-endian tensors under ``name`` with their dtype in the metadata."""
+    return column.cast("binary").alias(name, metadata={METADATA: dtype.name})
+
+
 def dtype_of(df, name: str) -> DType:
     """A column's dtype from its metadata, else from its element type (never u8, f16 or bf16)."""
     field = df.schema[name]

@@ -33,22 +33,24 @@ def numpy_type(dtype: DType) -> np.dtype:
     return np.dtype("<f4" if dtype is dt.BF16 else dtype.numpy)
 
 
-def shaped_items(items: DataFrame) -> DataFrame:
+def shaped_items(items: DataFrame, dtype: DType) -> DataFrame:
     """idx, shape and tensor; without a shape column tensors have one dimension."""
-    shape = F.col("shape").cast("array<bigint>") if "shape" in items.columns else F.array(F.size("tensor").cast("bigint"))
+    size = F.size("tensor") if items.schema["tensor"].dataType.typeName() == "array" else F.length("tensor") / dtype.size
+    shape = F.col("shape").cast("array<bigint>") if "shape" in items.columns else F.array(size.cast("bigint"))
     return items.select("idx", shape.alias("shape"), "tensor")
 
 
 def packed_batches(items: DataFrame, options: StreamOptions, layout: Layout | None = None) -> DataFrame:
     """epoch, step, n, shape (of the batch), indices and data: one row a batch, its items as bytes, one after another.
 
-    ``items`` has idx, tensor and, unless all tensors are one-dimensional, shape. Items are padded with zeros to the batch's largest shape or to
+    ``items`` has idx, tensor (an array, or little-endian bytes, which are not unpacked on the way and suit large tensors) and, unless all tensors
+    are one-dimensional, shape. Items are padded with zeros to the batch's largest shape or to
     what ``layout(indices)`` says; ranks must not differ in a batch. Tensors are joined to their places and moved to their batch, each once;
     a task fills one batch at a time. Partitions are in order of (epoch, step), and so are their rows.
     """
     dtype = dt.dtype_of(items, "tensor")
     kind = numpy_type(dtype)
-    items = shaped_items(items)
+    items = shaped_items(items, dtype)
     places = flow.placed(items.select("idx", "shape") if layout is None else items.select("idx"), options)
     places = flow.with_layout(places, ["shape"]).drop("shape") if layout is None else flow.with_user_layout(places, layout)
     spark = items.sparkSession
@@ -71,6 +73,12 @@ def packed_batches(items: DataFrame, options: StreamOptions, layout: Layout | No
         columns = [[held[0][1]], [held[0][2]], [len(held)], [[len(held), *target]], [[h[3] for h in held]], [out.tobytes()]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
+    def numbers(tensor: pa.Scalar) -> np.ndarray:
+        if isinstance(tensor, pa.ListScalar):
+            return tensor.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
+        x = np.frombuffer(tensor.as_buffer(), dtype.numpy)
+        return dt.bf16_values(x) if dtype is dt.BF16 else x
+
     def run(batches):
         held: list = []
         for b in batches:
@@ -79,7 +87,7 @@ def packed_batches(items: DataFrame, options: StreamOptions, layout: Layout | No
                 if held and held[0][0] != row[0]:
                     yield filled(held)
                     held = []
-                held.append((*row, tensor.values.to_numpy(zero_copy_only=False).astype(kind)))
+                held.append((*row, numbers(tensor)))
         if held:
             yield filled(held)
 

@@ -145,6 +145,12 @@ def test_batches_have_the_items_type(spark, dtype):
     assert [b.values.shape for b in got] == [(3, 1, 2, 2), (2, 1, 2, 2)]
     assert all(b.values.dtype == np.dtype("<f4" if dtype is dt.BF16 else dtype.numpy) for b in got)
     assert np.concatenate([b.values for b in got]).reshape(5, 4).tolist() == [t for _, _, t in rows]
+    raw = spark.createDataFrame([(k, s, codec.to_bytes(t, dtype)) for k, s, t in rows], "idx long, shape array<long>, tensor binary")
+    raw = raw.select("idx", "shape", dt.tagged_bytes(F.col("tensor"), "tensor", dtype))
+    for source in (raw, raw.drop("shape")):
+        back = list(BatchStream(source, StreamOptions(3)))
+        assert all(b.values.dtype == got[0].values.dtype for b in back)
+        assert np.concatenate([b.values for b in back]).reshape(5, 4).tolist() == [t for _, _, t in rows]
 
 
 def test_batch_layout_of_a_user(spark):
@@ -240,6 +246,8 @@ def test_codec_columns(spark, dtype):
     for r, (_, t, s, strides) in zip(got.orderBy("idx").collect(), rows, strict=True):
         assert r.t == t and r.h.shape == s and r.h.strides == strides and r.h.data_size == len(t) * dtype.size
     assert df.where("false").select(codec.encoder(dtype)("t", "s", "r")).count() == 0
+    for r in df.select("idx", codec.encoder(dtype)("t", "s", "r").alias("raw")).collect():
+        assert bytes(r.raw) == codec.encode(rows[r.idx][1], rows[r.idx][2], rows[r.idx][3], dtype)
 
 
 @pytest.mark.parametrize("size", [4, 5])
