@@ -30,9 +30,9 @@ from gridweave.llm.common import Tables, lean, most_frequent, small_batches, tex
 
 #: Most frequent tokens (about so many) whose counts every worker has.
 TABLE = 1 << 18
-HEAD, CLASS_WORDS, TAIL, HIDDEN = 1024, 32, 16, 16
-#: Tokens of a window of backpropagation; lanes that texts run in, in training and in scoring.
-STEPS, BATCH, LANES = 32, 128, 256
+HEAD, CLASS_WORDS, TAIL, HIDDEN = 1024, 64, 16, 16
+#: Tokens of a window of backpropagation and of one in scoring; lanes that texts run in, in training and in scoring.
+STEPS, SCORE_STEPS, BATCH, LANES = 16, 32, 256, 512
 ROUNDS, RATE = 3, 0.02
 #: Training tokens of a shard (over all rounds), as long as there are no more than ``MOST_SHARDS``: beyond that shards grow, not their number.
 #: Texts of more than ``LONG`` tokens train first.
@@ -160,19 +160,24 @@ class Model:
         """States after each step (steps, lanes, hidden) from ``state`` on; ``keep`` gets what backward needs."""
         h = HIDDEN
         out = np.empty((*inputs.shape, h), np.float32)
+        given = self.x[inputs]
         for t in range(len(inputs)):
-            x = self.x[inputs[t]]
+            x = given[t]
             hu = state @ self.u
-            gates = x[:, : 2 * h] + hu[:, : 2 * h]
-            np.negative(gates, out=gates)
-            np.exp(np.minimum(gates, 30, out=gates), out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
+            gates = x[:, : 2 * h] + hu[:, : 2 * h]  # the logistic function by tanh
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
             z, r = gates[:, :h], gates[:, h:]
-            new = np.tanh(x[:, 2 * h :] + r * hu[:, 2 * h :])
+            new = r * hu[:, 2 * h :]
+            new += x[:, 2 * h :]
+            np.tanh(new, out=new)
             if keep is not None:
                 keep.append((state, z, r, new, hu[:, 2 * h :]))
-            state = new + z * (state - new)
+            state = state - new
+            state *= z
+            state += new
             out[t] = state
         return out
 
@@ -235,17 +240,24 @@ class Model:
         outer[real] = back
         outer = outer.reshape(states.shape)
         dx = np.empty((*inputs.shape, 3 * h), np.float32)
+        du = np.empty((*inputs.shape, 3 * h), np.float32)
         dh = np.zeros_like(state)
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, new, hun = keep[t]
-            dh = dh + outer[t]
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dn * hun * r * (1 - r)
-            du = np.concatenate((dz, dr, dn * r), axis=1)
-            dx[t] = np.concatenate((dz, dr, dn), axis=1)
-            grads["u"] += before.T @ du
-            dh = dh * z + du @ self.u.T
+            dh += outer[t]
+            d, own = dx[t], du[t]
+            rest = 1 - z
+            dn = dh * rest
+            dn *= 1 - new * new
+            d[:, :h] = dh * (before - new) * z * rest
+            d[:, h : 2 * h] = dn * hun * r * (1 - r)
+            d[:, 2 * h :] = dn
+            own[:, : 2 * h] = d[:, : 2 * h]
+            own[:, 2 * h :] = dn * r
+            dh *= z
+            dh += own @ self.u.T
+        earlier = np.concatenate((state[None], states[:-1])).reshape(-1, h)
+        grads["u"] += earlier.T @ du.reshape(-1, 3 * h)
         flat = inputs.reshape(-1)
         order = np.argsort(flat, kind="stable")
         rows, first = np.unique(flat[order], return_index=True)
@@ -313,7 +325,7 @@ def inputs_of(numbers: np.ndarray, tails: np.ndarray) -> np.ndarray:
     return np.where((numbers >= 0) & (numbers < HEAD), numbers, HEAD + cls)
 
 
-def score_texts(model: Model, texts: list[np.ndarray], first: int, lanes: int = LANES, steps: int = STEPS) -> np.ndarray:
+def score_texts(model: Model, texts: list[np.ndarray], first: int, lanes: int = LANES, steps: int = SCORE_STEPS) -> np.ndarray:
     """Natural log-probability of each text (network numbers, its end included), without the tail's counts."""
     total = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
