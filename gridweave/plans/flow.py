@@ -69,8 +69,7 @@ def with_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     buckets = min(MOST_BUCKETS, -(-rows // BUCKET_ROWS))
     if buckets > 64:  # finer quantiles where 64 buckets would be too full
         cuts = keys.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 4 * buckets)).first()[0]
-    cuts = sorted(set(cuts or ())) if buckets > 1 else []
-    places = numbered(keys, name, [], quantile_bucket(F.col(key).cast("bigint"), cuts), [F.col(key)])
+    places = numbered(keys, name, [], quantile_bucket(F.col(key).cast("bigint"), sorted(set(cuts or ()))), [F.col(key)])
     return places if df.columns == [key] else df.join(places, key).select(*df.columns, name)
 
 
