@@ -80,7 +80,9 @@ def dropped(df: DataFrame) -> None:
     """Deletes a table made by ``stored`` once nothing reads it any more."""
     path = getattr(df, "_gridweave_path", None)
     if path:
-        _file_system(df.sparkSession, path).delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path), True)
+        files, at = _file_system(df.sparkSession, path), df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        files.delete(at, True)
+        files.cancelDeleteOnExit(at)
 
 
 class Tables:

@@ -155,6 +155,35 @@ def test_components_never_end_unsettled(spark):
     assert {r.component for r in connected_components(edges).collect()} == {0}
 
 
+def test_joins_on_hot_keys(spark):
+    from gridweave.llm.common import Tables, joined_on
+
+    t = Tables()
+    rows = [(k, 1 if k % 3 == 0 else k) for k in range(6000)] + [(9000, None), (9001, 7_777)]
+    count = Counter(key for _, key in rows if key is not None and key != 7_777)
+    values = [(key, n, f"v{key}") for key, n in count.items()]
+    df = spark.createDataFrame(rows, "id long, key long")
+    got = joined_on(df, spark.createDataFrame(values, "key long, n long, value string"), "key", "n", t)
+    assert set(got.columns) == {"id", "key", "value"}
+    assert sorted((r.id, r.key, r.value) for r in got.where("key is not null").collect()) == sorted((i, k, None if k == 7_777 else f"v{k}") for i, k in rows if k is not None)
+    assert got.where("key is null").count() == 1
+    t.drop()
+
+
+def test_local_sessions_need_no_folder(spark):
+    from types import SimpleNamespace as Some
+
+    from gridweave.llm import common
+
+    unset = Some(isDefined=lambda: False)
+    context = Some(applicationId="other", master="spark://host:7077", _jsc=Some(sc=lambda: Some(getCheckpointDir=lambda: unset)))
+    session = Some(conf=Some(get=lambda key, other: other), sparkContext=context, _jvm=spark._jvm, _jsc=spark._jsc)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.scratch_root(session)
+    context.master = "local[2]"
+    assert common.scratch_root(session) == common.scratch_root(session)
+
+
 def test_most_frequent(spark):
     df = spark.createDataFrame([(k, 10_000 // (k + 1)) for k in range(2000)], "token long, c long")
     tokens, n = most_frequent(df, "token", "c", 100)
