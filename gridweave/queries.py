@@ -17,7 +17,7 @@ from gridweave.operators.transforms import Add, AddOverflow, Chain, Clamp, Clamp
 from gridweave.plans import flow
 from gridweave.plans.flow import StreamOptions
 from gridweave.sources import codec
-from gridweave.sources.dataset import tensor_table
+from gridweave.sources.dataset import is_empty, length, tensor_table
 from gridweave.streaming.batches import packed_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,7 +61,8 @@ def src_dataset_scan(spark, sf_dir):
 
 @query("src_len", "SELECT count(*) AS n, count(*) = 0 AS is_empty FROM embeddings")
 def src_len(spark, sf_dir):
-    return vectors(spark, sf_dir).agg(F.count("*").alias("n")).select("n", (F.col("n") == 0).alias("is_empty"))
+    items = vectors(spark, sf_dir)
+    return spark.createDataFrame([(length(items), is_empty(items))], "n long, is_empty boolean")
 
 
 # --- layouts ---------------------------------------------------------------------------------------------------

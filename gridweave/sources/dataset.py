@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -69,8 +70,31 @@ class _Range(InputPartition):
         self.start, self.end = start, end
 
 
+#: Elements and items of an Arrow batch that a reader gives at once (but always a whole item).
+BATCH_ELEMENTS, BATCH_ITEMS = 1 << 20, 1024
+_ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
+
+
+def _item(dataset: Dataset, idx: int) -> np.ndarray:
+    """An item as its column holds it; every error names the item."""
+    try:
+        item = np.asarray(dataset.write(idx))
+    except Exception as e:
+        raise DatasetError(str(e), idx) from e
+    if item.size == 0:
+        raise DatasetError("an item can't be empty", idx)
+    dtype = dataset.dtype
+    if not dtype.is_int:
+        return dt.rounded(item, dtype)
+    if item.dtype.kind not in "iub" or item.min() < dtype.low or item.max() > dtype.high:
+        raise DatasetError(f"an item is not of {dtype.name}", idx)
+    return item
+
+
 def _source(dataset: Dataset, name: str, partitions: int) -> type[DataSource]:
     schema = f"idx bigint, shape array<bigint>, tensor {dataset.dtype.array()}"
+    element = _ARROW[dataset.dtype.spark]
+    arrow = pa.schema([("idx", pa.int64()), ("shape", pa.list_(pa.int64())), ("tensor", pa.list_(element))])
 
     class Reader(DataSourceReader):
         def partitions(self):
@@ -79,14 +103,24 @@ def _source(dataset: Dataset, name: str, partitions: int) -> type[DataSource]:
             return [_Range(n * i // k, n * (i + 1) // k) for i in range(k)]
 
         def read(self, partition):
+            held: list[np.ndarray] = []
+            size, first = 0, partition.start
+
+            def batch():
+                ends = np.r_[0, np.cumsum([x.size for x in held])].astype(np.int32)
+                flat = np.concatenate([x.reshape(-1) for x in held]).astype(element.to_pandas_dtype())
+                tensors = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, element))
+                shapes = pa.array([list(x.shape) for x in held], pa.list_(pa.int64()))
+                return pa.RecordBatch.from_arrays([pa.array(range(first, first + len(held)), pa.int64()), shapes, tensors], schema=arrow)
+
             for idx in range(partition.start, partition.end):
-                try:
-                    item = np.asarray(dataset.write(idx))
-                except Exception as e:
-                    raise DatasetError(str(e), idx) from e
-                if item.size == 0:
-                    raise DatasetError("an item can't be empty", idx)
-                yield idx, [int(d) for d in item.shape], item.reshape(-1).tolist()
+                held.append(_item(dataset, idx))
+                size += held[-1].size
+                if size >= BATCH_ELEMENTS or len(held) >= BATCH_ITEMS:
+                    yield batch()
+                    held, size, first = [], 0, idx + 1
+            if held:
+                yield batch()
 
     class Source(DataSource):
         @classmethod

@@ -202,6 +202,26 @@ def test_python_dataset(spark):
         read_dataset(spark, bad, "bad_squares", 2).collect()
 
 
+class Ramp(Dataset):
+    def __init__(self, dtype, top=3):
+        self.dtype, self.top = dtype, top
+
+    def __len__(self):
+        return 2500
+
+    def write(self, idx):
+        return np.arange(self.top) + (idx % 2)
+
+
+@pytest.mark.parametrize("dtype", dt.ALL, ids=lambda d: d.name)
+def test_python_dataset_of_each_type(spark, dtype):
+    rows = {r.idx: r.tensor for r in read_dataset(spark, Ramp(dtype), f"ramp_{dtype.name}", 2).collect()}
+    assert len(rows) == 2500 and all(t == [j + i % 2 for j in range(3)] for i, t in rows.items())
+    if dtype in (dt.I8, dt.U8):
+        with pytest.raises(Exception, match=f"is not of {dtype.name}"):
+            read_dataset(spark, Ramp(dtype, 300), f"far_{dtype.name}", 2).collect()
+
+
 def test_null_items_are_named(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [None])], "idx long, tensor array<float>")
     with pytest.raises(Exception, match="item 1"):
