@@ -2,16 +2,16 @@
 
 Two kinds of paragraphs are compared across documents:
 
-* lines of at least ``WINDOW`` words, by MinHash signatures of their five-word shingles. The
-  bands are tuned so that a pair at the similarity threshold meets with at least ``RECALL`` probability;
-  colliding lines are joined and verified by the exact Jaccard similarity of their shingles;
+* paragraphs of at least ``WINDOW`` words, by MinHash signatures of their five-word shingles: long lines, or short lines that follow each
+  other up to a blank one. The bands are tuned so that a pair at the similarity threshold meets with at least ``RECALL`` probability;
+  colliding ones are joined and verified by the exact Jaccard similarity of their shingles ('line' in names below);
 * embedded paragraphs: every run of ``GUARANTEED`` words, wherever lines end. Its signature is the smallest hash of its
   ``WINDOW``-word shingles (a MinHash of one row, the same minimum for neighbouring runs). Paragraphs that collide are compared word by
   word where the minimum lies and grown in both directions as long as an earlier document has the same words.
 
 Linked paragraphs form components; the first occurrence (smallest document, then place) stays and
 the other documents' occurrences are removals. Repeats within one document are left alone. Embedded paragraphs inside lines that are
-removals already are not looked at again.
+removals already are not looked at again. Shorter paragraphs (headings, notices, list items) are never compared by themselves.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from gridweave.llm.common import Tables, WordHashes, connected_components, ids_o
 from gridweave.llm.ngram_join import PART_ROWS, blocks_of, searched, set_links
 from gridweave.llm.spans import let, running
 
-#: Words of a hashed window and fewest words of a compared line.
+#: Words of a hashed window and fewest words of a compared paragraph.
 WINDOW = 24
 #: Words of an embedded paragraph. A shared one holds a window, so past its outermost windows a shared run goes on for less than ``REACH`` + 1 words.
 GUARANTEED = 50
@@ -52,15 +52,25 @@ def tuned_bands(percent: int = PERCENT, recall: float = RECALL, most: int = MOST
     return best
 
 
-def line_words(raw: bytes) -> tuple[list[bytes], np.ndarray]:
-    """All words of a text, and the word index at which each line that has words begins, with the end."""
+def line_words(raw: bytes, least: int = WINDOW) -> tuple[list[bytes], np.ndarray]:
+    """All words of a text, and the word index at which each paragraph begins, with the end.
+
+    A line of ``least`` words or more is a paragraph; shorter ones that follow each other without a blank line between, as in
+    text with hard line breaks, make one together.
+    """
     words: list[bytes] = []
-    starts = []
+    starts: list[int] = []
+    joins = False  # whether a short line goes on with the paragraph before
     for line in raw.split(b"\n"):
         found = line.split()
-        if found:
+        if not found:
+            joins = False
+            continue
+        long = len(found) >= least
+        if long or not joins:
             starts.append(len(words))
-            words += found
+        joins = not long
+        words += found
     return words, np.array([*starts, len(words)], np.int64)
 
 

@@ -277,7 +277,16 @@ def test_every_removal_is_a_true_repeat(spark):
     rows = {r.doc_id: (r.text or "") for r in table(spark, SF, "documents").collect()}
     words = {i: WORD.findall(t) for i, t in rows.items()}
     found = Q.op5_paragraph_minhash(spark, SF).collect()
-    lines = {i: [WORD.findall(x) for x in t.split("\n")] for i, t in rows.items()}
+    lines = {}
+    for i, t in rows.items():
+        units = lines.setdefault(i, [])
+        joins = False
+        for w in map(WORD.findall, t.split("\n")):
+            if w and len(w) < paragraphs.WINDOW and joins:
+                units[-1] += w
+            elif w:
+                units.append(w)
+            joins = 0 < len(w) < paragraphs.WINDOW
     grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
     linked = {}
     for r in found:
@@ -296,6 +305,17 @@ def test_every_removal_is_a_true_repeat(spark):
         assert not rest
 
 
+def test_hard_wrapped_near_copies_are_cut(spark, docs_of, prose):
+    words = prose(900, 70).split()
+    other = [*words[:33], "changed", *words[34:]]
+    wrapped = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    rows = [(1, f"{prose(901, 9)}\n\n{wrapped(words, 12)}\n\n{prose(902, 8)}"), (2, f"{prose(903, 7)}\n\n{wrapped(other, 11)}\n\n{prose(904, 9)}")]
+    by = {r.doc_id: r.text for r in paragraphs.without_duplicates(docs_of(rows)).collect()}
+    assert by[1] == rows[0][1] and by[2].split() == prose(903, 7).split() + prose(904, 9).split()
+    found, starts = paragraphs.line_words(b"a b\nc\n \nd\n" + b"w " * 24 + b"\ne\nf g")
+    assert len(found) == 31 and starts.tolist() == [0, 3, 4, 28, 31]
+
+
 def test_repeated_keys_are_found_over_batches(spark):
     r = np.random.RandomState(5)
     rows = [(int(d), int(a), int(k)) for d, a, k in zip(r.randint(0, 40, 3000), range(3000), r.choice([1, 2, 3, *range(10, 3000)], 3000), strict=True)]
