@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import lru_cache
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -27,7 +29,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from gridweave.llm.common import lean, small_batches
 
 #: Words and compared arcs that a worker keeps, and states of the symbol automaton before the table is begun anew.
-CACHE, STATES = 200_000, 50_000
+CACHE, STATES = 400_000, 100_000
 
 # Pre-split pattern of the vocabulary (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -129,15 +131,16 @@ class Automaton:
 
     def move(self, state: int, symbol: str) -> int:
         """The transition of ``state`` under ``symbol``, made and tabulated."""
-        going, ended = [], -1
+        going, ended, code = [], -1, ord(symbol)
+        tree, tokens, inner = self.tree, self.token, self.inner
         for node, last in self.open[state]:
-            to = self.tree.get(node << 16 | ord(symbol))
+            to = tree.get(node << 16 | code)
             if to is None:
                 continue
-            token = self.token[to]
+            token = tokens[to]
             if token >= 0 and ended < 0 and (last < 0 or self.has_arc(last, token)):  # one arc ends here at most, mostly the longest
                 ended = token
-            if to in self.inner:
+            if to in inner:
                 going.append((to, last))
         if ended >= 0:
             going.append((0, ended))  # what follows leaves the state behind the token
@@ -171,6 +174,21 @@ class Automaton:
         return ids[::-1]
 
 
+class Kept(dict):
+    """word -> (number of ids, the ids in decimal, the decoded text); bounded, so that what is kept never changes a value."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, word: str) -> tuple[int, str, str]:
+        got = self.codec.ids(word)
+        value = (len(got), " ".join(map(str, got)), self.codec.decode(got))
+        if len(self) < CACHE:  # common words come early
+            self[word] = value
+        return value
+
+
 class Codec:
     """Encodes and decodes texts like the library does with this vocabulary file."""
 
@@ -186,7 +204,7 @@ class Codec:
         self.find = regex.compile(SPLIT).findall
         self.library = Tokenizer.from_file(file)
         self.symbols = byte_symbols()
-        self.kept: dict[str, tuple[int, str, str]] = {}
+        self.kept = Kept(self)
 
     def words(self, text: str) -> list[str]:
         """Normalised, pre-split words. Unusual characters are normalised and split by the library's own steps."""
@@ -229,19 +247,19 @@ class Codec:
                 ids.append(str(self.special[part]))
                 labels.append(part)
                 continue
-            for word in self.words(part):
-                known = kept.get(word)
-                if known is None:
-                    got = self.ids(word)
-                    known = (len(got), " ".join(map(str, got)), self.decode(got))
-                    if len(kept) < CACHE:  # common words come early
-                        kept[word] = known
-                n += known[0]
-                ids.append(known[1])
-                labels.append(known[2])
+            got = list(map(kept.__getitem__, self.words(part)))
+            n += sum(map(itemgetter(0), got))
+            ids += map(itemgetter(1), got)
+            labels += map(itemgetter(2), got)
         return n, " ".join(ids), " ".join(labels)
 
 
+@lru_cache(maxsize=1)
+def codec_of(file: str) -> Codec:
+    """A worker's codec, kept with its tables for the next task."""
+    return Codec(file)
+
+
 def encode_documents(docs: DataFrame, file: str) -> DataFrame:
     """Adds ``ids`` (array of int) and ``decoded`` to ``docs(text, ...)``; null text counts as empty
     and gives no ids and empty decoded text. Columns called so before are replaced."""
@@ -250,7 +268,7 @@ def encode_documents(docs: DataFrame, file: str) -> DataFrame:
     schema = StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType())).add("decoded", StringType())
 
     def run(batches):
-        codec = Codec(file)
+        codec = codec_of(file)
         for b in small_batches(batches):
             ids = [codec.encode(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -271,7 +289,7 @@ def encode_digests(docs: DataFrame, file: str) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
-        codec = Codec(file)
+        codec = codec_of(file)
         for b in small_batches(batches):
             rows = [codec.digest(t or "") for t in b.column("text").to_pylist()]
             hexed = lambda k: pa.array([hashlib.sha256(r[k].encode("utf-8", "surrogateescape")).hexdigest() for r in rows], pa.string())
