@@ -15,6 +15,7 @@ Tokens are 63-bit hashes whose lowest four bits are the tail class.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterable
 from itertools import islice
@@ -92,6 +93,17 @@ class Tokens(dict):
         return out
 
 
+_KEPT: dict[str, tuple] = {}
+
+
+def kept(key: str, make) -> tuple:
+    """What ``make()`` gives, kept by a worker for its next tasks until another key is asked for."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def _gathered(docs: DataFrame) -> DataFrame:
     """Rows (token, n) with counts of a part of the training texts."""
     out = pa.schema([("token", pa.int64()), ("n", pa.int64())])
@@ -101,7 +113,7 @@ def _gathered(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n)], schema=out)
 
     def run(batches):
-        tokens, held, size = Tokens(token_hash), [], 0
+        (tokens,), held, size = kept("hashes", lambda: (Tokens(token_hash),)), [], 0
         for b in small_batches(batches):
             for doc, raw in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")), strict=True):
                 if held_out(doc):
@@ -364,7 +376,7 @@ def _numbered(docs: DataFrame, tokens: np.ndarray, logs: np.ndarray, tails: np.n
 
     ``ids`` has the end's number first, then the tokens with the end. ``round`` is null for texts that are kept from training.
     """
-    given = docs.sparkSession.sparkContext.broadcast((tokens, logs, tails, tail_logs))
+    given, name = docs.sparkSession.sparkContext.broadcast((tokens, logs, tails, tail_logs)), uuid.uuid4().hex
     kinds = pa.schema([
         ("doc_id", pa.int64()), ("round", pa.int32()), ("long", pa.bool_()), ("ids", pa.binary()), ("n_tokens", pa.int64()),
         ("n_known", pa.int64()), ("base", pa.float64()), ("in_tail", pa.float64()), ("rare", pa.list_(pa.int64())),
@@ -374,9 +386,8 @@ def _numbered(docs: DataFrame, tokens: np.ndarray, logs: np.ndarray, tails: np.n
         table, log, classes, tail_logs_of = given.value
         classes = classes if len(classes) else np.zeros(1, np.int64)
         log = log if len(log) else np.zeros(1)
-        lexicon = Lexicon(table)
+        lexicon, words = kept(name, lambda: (made := Lexicon(table), Tokens(made.number)))
         end = lexicon.rank.get(END, -1 - END)
-        words = Tokens(lexicon.number)
         for b in small_batches(batches, 128):
             docs_in = b.column("doc_id").to_pylist()
             parts = [words.of(raw, end) for raw in text_bytes(b.column("text"))]
@@ -420,6 +431,7 @@ def _trained(texts: DataFrame, total: int, model: Model, t: Tables) -> tuple[Mod
         now, rate = model, RATE * (1 - number / (ROUNDS + 1))
 
         def shard(batches, now=now, rate=rate):
+            kept("", tuple)
             got, weight = train(now, (np.frombuffer(x.as_buffer(), "<i2") for b in batches for x in b.column("ids")), rate)
             if weight:
                 yield pa.RecordBatch.from_pydict({"weight": pa.array([weight], pa.int64()), "model": pa.array([got.packed()], pa.binary())})
