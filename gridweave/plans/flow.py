@@ -178,7 +178,8 @@ def with_user_layout(df: DataFrame, layout: Callable[[Sequence[int]], Sequence[i
 def padded(flat: Column, shape: Column, target: Column, zero: Column) -> Column:
     """A row-major array of ``shape`` in the first corner of ``target`` (a shape of the same rank, no smaller anywhere) filled up with zeros.
 
-    Whole rows of the last dimension are copied; an array that has the target's shape already stays as it is. Raises 'Shape' for
+    Whole rows of the last dimension are copied; an array that has the target's shape already stays as it is, and one that is short in the first
+    dimension only gets its zeros behind it. Raises 'Shape' for
     another rank or a target that is too small.
     """
     longs = lambda x: x.cast("array<bigint>")
@@ -217,7 +218,10 @@ def padded(flat: Column, shape: Column, target: Column, zero: Column) -> Column:
     full = lambda x: F.when(F.size(x) == 0, one).otherwise(x)
     value = F.struct(flat.alias("flat"), full(shape).alias("s"), full(target).alias("t"))
     filled = F.element_at(F.transform(F.array(value), rows), 1)
-    return F.when(~fits, F.raise_error("Shape")).when(shape == target, flat).otherwise(filled)
+    inner = lambda x: F.slice(x, F.lit(2), F.size(x))
+    total = F.aggregate(target, F.lit(1).cast("bigint"), lambda a, d: a * d)
+    behind = F.concat(flat, F.array_repeat(zero, (total - F.size(flat)).cast("int")))
+    return F.when(~fits, F.raise_error("Shape")).when(shape == target, flat).when(inner(shape) == inner(target), behind).otherwise(filled)
 
 
 def padded_1d(flat: Column, width: Column, zero: Column) -> Column:
