@@ -65,7 +65,7 @@ def quantile_bucket(key: Column, cuts: Sequence[int]) -> Column:
 def with_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """Adds a dense index 0..n-1 in order of a unique integer key. Buckets are quantiles, so no outlier fills one."""
     keys = df.select(F.col(key))
-    rows, cuts = keys.agg(F.count("*"), F.percentile_approx(key, [k / 64 for k in range(1, 64)], 10_000)).first()
+    rows, cuts = keys.agg(F.count("*"), F.percentile_approx(key, [k / 64 for k in range(1, 64)], 1_000)).first()
     buckets = min(MOST_BUCKETS, -(-rows // BUCKET_ROWS))
     if buckets > 64:  # finer quantiles where 64 buckets would be too full
         cuts = keys.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 4 * buckets)).first()[0]
