@@ -8,6 +8,7 @@ Two kinds of paragraphs are compared across documents:
 * embedded paragraphs: every run of ``GUARANTEED`` words, wherever lines end. Its signature is the smallest hash of its
   ``WINDOW``-word shingles (a MinHash of one row, the same minimum for neighbouring runs). Paragraphs that collide are compared word by
   word where the minimum lies and grown in both directions as long as an earlier document has the same words.
+  Where a text says the same words over and over, the windows that return make one stretch: a row, however often they return.
 
 Linked paragraphs form components; the first occurrence (smallest document, then place) stays and
 the other documents' occurrences are removals. Repeats within one document are left alone. Embedded paragraphs inside lines that are
@@ -89,8 +90,7 @@ _UNIT = pow(_BASE, -1, 1 << 64)
 
 
 def embedded(h: np.ndarray, window: int = WINDOW, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, hash) of the smallest window hash of every ``reach`` + 1 windows in a row. Of equal windows side by side, as in
-    one word said over and over, only the first counts."""
+    """(word index, hash) of the smallest window hash of every ``reach`` + 1 windows in a row."""
     n = len(h) - window + 1
     if n <= reach:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -99,11 +99,23 @@ def embedded(h: np.ndarray, window: int = WINDOW, reach: int = REACH) -> tuple[n
     keys = mixed((sums[window:] - sums[:-window]) * np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _UNIT, np.uint64)]))
     low = np.pad(sliding_min(keys, reach + 1), reach)
     chosen = keys == ~sliding_min(~low, reach + 1)  # the largest of the minima that a window takes part in
-    chosen[1:] &= keys[1:] != keys[:-1]
     at = np.nonzero(chosen)[0]
     return at, keys[at]
 
 
+def stretches(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word index, hash, step, windows): windows of one hash that overlap or touch, at equal steps, as one stretch."""
+    if not len(at):
+        return at, keys, at, at
+    gap = np.diff(at)
+    goes_on = (keys[1:] == keys[:-1]) & (gap <= WINDOW)
+    goes_on[1:] &= ~goes_on[:-1] | (gap[1:] == gap[:-1])
+    first = np.nonzero(np.r_[True, ~goes_on])[0]
+    n = np.diff(np.r_[first, len(at)])
+    step = np.where(n > 1, np.r_[gap, 1][first], 1)
+    return at[first], keys[first], step, n
+
+
 def line_key(shingles: np.ndarray) -> np.ndarray:
     """Key of one line's shingles, in order."""
     return mixed(mixed(shingles + np.arange(len(shingles), dtype=np.uint64)).sum(dtype=np.uint64)[None] + np.uint64(len(shingles)))
@@ -146,8 +158,8 @@ def minhash_bands(shingles: np.ndarray, cuts: np.ndarray, bands: int, rows: int)
 
 
 def _paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, windows (word index, key) and lines (first word, words, key, shingles, bands) of each text."""
-    window = pa.list_(pa.struct([("at", pa.int32()), ("key", pa.int64())]))
+    """doc_id, windows (stretches of them: first word, key, step, windows) and lines (first word, words, key, shingles, bands) of each text."""
+    window = pa.list_(pa.struct([("at", pa.int32()), ("key", pa.int64()), ("step", pa.int32()), ("n", pa.int32())]))
     line = pa.list_(pa.struct([("at", pa.int32()), ("words", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))]))
     kinds = pa.schema([("doc_id", pa.int64()), ("windows", window), ("lines", line)])
 
@@ -158,13 +170,15 @@ def _paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for b in small_batches(batches, 256):
-            w_at, w_key, l_at, l_words, parts, w_count, l_count = ([] for _ in range(7))
+            w_at, w_key, w_step, w_n, l_at, l_words, parts, w_count, l_count = ([] for _ in range(9))
             for raw in text_bytes(b.column("text")):
                 words, starts = line_words(raw)
                 h = hashes.of(words)
-                at, keys = embedded(h)
+                at, keys, step, n = stretches(*embedded(h))
                 w_at.append(at)
                 w_key.append(keys)
+                w_step.append(step)
+                w_n.append(n)
                 w_count.append(len(at))
                 sizes = np.diff(starts)
                 long = sizes >= WINDOW
@@ -193,7 +207,7 @@ def _paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id").cast(pa.int64()),
-                    nested(window, w_count, pa.array(cat(w_at, np.int32)), as_long(w_key)),
+                    nested(window, w_count, pa.array(cat(w_at, np.int32)), as_long(w_key), pa.array(cat(w_step, np.int32)), pa.array(cat(w_n, np.int32))),
                     nested(line, l_count, pa.array(cat(l_at, np.int32)), pa.array(cat(l_words, np.int32)), as_long(l_key), pa.array(cat(l_n, np.int64)), band_lists),
                 ],
                 schema=kinds,
@@ -201,7 +215,7 @@ def _paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     return docs.select("doc_id", "text").mapInArrow(
         run,
-        "doc_id long, windows array<struct<at:int,key:bigint>>, "
+        "doc_id long, windows array<struct<at:int,key:bigint,step:int,n:int>>, "
         "lines array<struct<at:int,words:int,key:bigint,n:bigint,bands:array<bigint>>>",
     )
 
@@ -235,41 +249,43 @@ def _short(word: bytes) -> bytes:
 
 
 def uncovered(base: DataFrame, by_line: DataFrame) -> DataFrame:
-    """(doc_id, at, key) of the windows of ``base`` that do not lie in runs of words that ``by_line(doc_id, at, words)`` removes."""
+    """(doc_id, at, key, step, n) of the windows of ``base`` that do not lie in runs of words that ``by_line(doc_id, at, words)`` removes."""
     runs = by_line.groupBy("doc_id").agg(F.collect_list(F.struct("at", "words")).alias("runs"))
-    kinds = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("key", pa.int64())])
+    kinds = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("key", pa.int64()), ("step", pa.int32()), ("n", pa.int32())])
 
     def run(batches):
         for b in batches:
             parts = []
             for doc, windows, gone in zip(b.column("doc_id").to_pylist(), b.column("windows"), b.column("runs"), strict=True):
                 w = windows.values
-                at = w.field("at").to_numpy()
-                keep = np.ones(len(at), bool)
+                at, key, step, n = (w.field(x).to_numpy() for x in ("at", "key", "step", "n"))
                 if gone.is_valid:
                     first, end = gone.values.field("at").to_numpy(), gone.values.field("words").to_numpy()
                     order = np.argsort(first, kind="stable")
                     first, end = first[order], np.maximum.accumulate((first + end)[order])
                     cut = np.nonzero(np.r_[True, first[1:] > end[:-1]])[0]  # runs that touch are one
                     first, end = first[cut], end[np.r_[cut[1:] - 1, len(end) - 1]]
+                    each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)  # of its stretch
+                    at, key = np.repeat(at, n) + each * np.repeat(step, n), np.repeat(key, n)
                     k = np.searchsorted(first, at, side="right") - 1
                     keep = (k < 0) | (at + WINDOW > end[np.maximum(k, 0)])
-                parts.append((np.full(int(keep.sum()), doc, np.int64), at[keep], w.field("key").to_numpy()[keep]))
-            doc, at, key = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(key, pa.int64())], schema=kinds)
+                    at, key, step, n = stretches(at[keep], key[keep])
+                parts.append((np.full(len(at), doc, np.int64), at, key, step, n))
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     rows = base.where(F.size("windows") > 0).select("doc_id", "windows").join(runs, "doc_id", "left")
-    return rows.select("doc_id", "windows", "runs").mapInArrow(run, "doc_id long, at int, key long")
+    return rows.select("doc_id", "windows", "runs").mapInArrow(run, "doc_id long, at int, key long, step int, n int")
 
 
 def repeated(windows: DataFrame, parts: int) -> DataFrame:
-    """The rows of ``windows(doc_id, at, key)`` whose key several documents have: one shuffle, then one pass over sorted rows."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("key", pa.int64())])
+    """The rows of ``windows(doc_id, at, key, ...)`` whose key several documents have: one shuffle, then one pass over sorted rows."""
 
     def run(batches):
         now, first, waiting, several = None, None, [], False  # of the last key so far
         for b in batches:
-            doc, at, key = (b.column(k).to_numpy() for k in range(3))
+            columns = [c.to_numpy() for c in b.columns]
+            doc, key = columns[0], columns[2]
             if not len(key):
                 continue
             edges = np.r_[0, np.nonzero(key[1:] != key[:-1])[0] + 1, len(key)]
@@ -283,28 +299,53 @@ def repeated(windows: DataFrame, parts: int) -> DataFrame:
                     before = (before or []) + waiting
                     waiting = []
                 else:
-                    waiting.append((doc[a:z], at[a:z], key[a:z]))
+                    waiting.append([c[a:z] for c in columns])
                     lone[a:z] = True
             inner = edges[1:-1]  # keys that lie in this batch as a whole
             if len(inner) > 1:
                 low, high = (f.reduceat(doc[: inner[-1]], inner[:-1]) for f in (np.minimum, np.maximum))
                 lone[inner[0] : inner[-1]] = np.repeat(low == high, np.diff(inner))
-            out = [*(before or []), (doc[~lone], at[~lone], key[~lone])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=kinds)
+            out = [*(before or []), [c[~lone] for c in columns]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=b.schema)
+
+    near = windows.select("doc_id", "at", "key", *windows.columns[3:])
+    return near.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "at").mapInArrow(run, near.schema)
+
+
+def surroundings(words: list[bytes], at: int, step: int, n: int) -> list[tuple[int, int]]:
+    """(first word index, windows) of the parts of a stretch: windows with the same ``REACH`` words on both sides, those inside, are one."""
+    low = -(-REACH // step)
+    high = n - 1 - low
+    end = at + (n - 1) * step + WINDOW
+    if low < high and words[at : end - step] == words[at + step : end]:
+        return [*((at + j * step, 1) for j in range(low)), (at + low * step, high - low + 1), *((at + j * step, 1) for j in range(high + 1, n))]
+    return [(at + j * step, 1) for j in range(n)]
+
 
-    near = windows.select("doc_id", "at", "key").repartition(parts, "key").sortWithinPartitions("key", "doc_id", "at")
-    return near.mapInArrow(run, "doc_id long, at int, key long")
+def covering(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The fewest of ``runs`` (first word, end, ...) that cover the words of all."""
+    out, reach, best = [], -1, None
+    for run in sorted(runs):
+        if best and run[0] > reach:
+            out.append(best)
+            reach, best = best[1], None
+        reach = max(reach, run[0])
+        if run[1] > (best[1] if best else reach):
+            best = run
+    return [*out, best] if best else out
 
 
 def grown_windows(docs: DataFrame, places: DataFrame, parts: int, t: Tables) -> DataFrame:
-    """Removals (doc_id, at, words, kept_in, component) by ``places(doc_id, at, key)`` of windows that several documents share.
+    """Removals (doc_id, at, words, kept_in, component) by ``places(doc_id, at, key, step, n)`` of windows that several documents share.
 
-    Each window comes with ``REACH`` words on both sides. In order of documents it is compared, word by word, with all
-    earlier ones of its key, and grown on each side by what any of them shares.
+    Each window comes with ``REACH`` words on both sides; those of a stretch that have the same ones come once. In order of documents it
+    is compared, word by word, with all earlier ones of its key, and grown on each side by what any of them shares. Of a document's
+    removals by one key only as many are given as cover all their words.
     """
-    per_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at")).alias("want"))
+    per_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "step", "n")).alias("want"))
     texts = docs.select("doc_id", "text").join(ids_of(places, "window-documents", t), "doc_id", "left_semi").join(per_doc, "doc_id")
-    kinds = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("raw", pa.binary())])
+    kinds = [("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("step", pa.int32()), ("n", pa.int32()), ("lead", pa.int32())]
+    kinds = pa.schema([*kinds, ("raw", pa.binary())])
 
     def around(batches):
         for b in small_batches(batches, 16):
@@ -312,39 +353,60 @@ def grown_windows(docs: DataFrame, places: DataFrame, parts: int, t: Tables) ->
             for doc, raw, want in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")), b.column("want").to_pylist(), strict=True):
                 words = list(map(_short, raw.split()))
                 for x in want:
-                    at = x["at"]
-                    first = max(0, at - REACH)
-                    rows.append((x["key"], doc, at, at - first, b" ".join(words[first : at + WINDOW + REACH])))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
+                    for at, n in surroundings(words, x["at"], x["step"], x["n"]):
+                        first = max(0, at - REACH)
+                        rows.append((x["key"], doc, at, x["step"], n, at - first, b" ".join(words[first : at + WINDOW + REACH])))
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
-    near = texts.select("doc_id", "text", "want").mapInArrow(around, "key long, doc_id long, at int, lead int, raw binary")
+    near = texts.select("doc_id", "text", "want").mapInArrow(around, "key long, doc_id long, at int, step int, n int, lead int, raw binary")
     found = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("words", pa.int32()), ("kept_in", pa.int64()), ("component", pa.int64())])
 
     def grown(batches):
-        now, same = None, {}
+        now, same, runs = (None, None), {}, []  # runs: removals of the document that the key is at
+
+        def ended():
+            key, doc = now
+            return [(doc, at, end - at, kept_in, key) for at, end, kept_in in (covering(runs) if len(runs) > 1 else runs)]
+
+        def batch(rows):
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, found, strict=True)], schema=found)
+
         for b in batches:
             rows = []
-            for key, doc, at, lead, raw in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if key != now:
-                    now, same = key, {}
+            for key, doc, at, step, n, lead, raw in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                if (key, doc) != now:
+                    rows += ended()
+                    runs = []
+                    if key != now[0]:
+                        same = {}
+                    now = key, doc
                 words = raw.split(b" ")
                 window = b" ".join(words[lead : lead + WINDOW])
                 if window not in same:
-                    same[window] = (doc, Earlier(), Earlier())
-                first, before, after = same[window]
+                    same[window] = (doc, Earlier(), Earlier(), {}, set())
+                first, before, after, last, twice = same[window]  # twice: documents that have the window in several places
+                if n > 1 or last.get(doc, (at, raw)) != (at, raw):
+                    twice.add(doc)
+                if doc not in last:
+                    last.clear()
+                    last[doc] = at, raw
                 left, left_in = before.longest(words[:lead][::-1], doc)
                 right, right_in = after.longest(words[lead + WINDOW :], doc)
                 if first == doc:
                     continue
-                if not left or not right or left_in == right_in:
-                    kept_in = left_in if left else right_in if right else first
-                    rows.append((doc, at - left, left + WINDOW + right, kept_in, key))
+                # both sides make one run only if they are those of one place
+                if not left or not right or (left_in == right_in and left_in not in twice):
+                    grew = [(left, right, left_in if left else right_in if right else first)]
                 else:
-                    rows.append((doc, at - left, left + WINDOW, left_in, key))
-                    rows.append((doc, at, WINDOW + right, right_in, key))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, found, strict=True)], schema=found)
+                    grew = [(left, 0, left_in), (0, right, right_in)]
+                for left, right, kept_in in grew:
+                    # of windows at equal steps, as many as leave no gap
+                    places = {*range(0, n, max(1, (left + WINDOW + right) // step)), n - 1}
+                    runs += [(at + k * step - left, at + k * step + WINDOW + right, kept_in) for k in places]
+            yield batch(rows)
+        yield batch(ended())
 
     near = near.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "at")
     return near.mapInArrow(grown, "doc_id long, at int, words int, kept_in long, component long").distinct()

@@ -332,6 +332,73 @@ def test_repeated_keys_are_found_over_batches(spark):
     assert sorted((x.doc_id, x.at, x.key) for x in got) == sorted(x for x in rows if len(docs[x[2]]) > 1)
 
 
+@pytest.mark.parametrize("line", ["Is onhe.", "again", "one two three four five"])
+def test_words_said_over_and_over_go_in_few_rows(spark, docs_of, prose, line):
+    plain = lambda seed, n: prose(seed, n).replace(".", "")
+    step, count = len(line.split()), {}
+    for times in (80, 320):
+        rows = [(k, f"{plain(1000 + k, 40)} {' '.join([line] * (times + k))} {plain(1100 + k, 40)}") for k in range(12)]
+        words = {k: t.split() for k, t in rows}
+        found = paragraphs.paragraph_duplicates(docs_of(rows)).collect()
+        gone = {k: set() for k in words}
+        for r in found:
+            run = words[r.doc_id][r.at : r.at + r.words]
+            assert r.kept_in < r.doc_id and f" {' '.join(run)} " in f" {' '.join(words[r.kept_in])} "
+            gone[r.doc_id] |= set(range(r.at, r.at + r.words))
+        assert not gone[0] and all(gone[k] >= set(range(40, 40 + step * (times + k))) for k in range(1, 12))
+        assert all(len(gone[k]) <= step * (times + k) + 4 for k in range(1, 12))
+        # a row for some 50 words, not one for each return
+        assert all(sum(r.doc_id == k for r in found) <= step * (times + k) // 30 + 4 for k in range(1, 12))
+
+
+def test_sides_of_two_places_make_no_run(spark, docs_of, prose):
+    plain = lambda seed, n: prose(seed, n).replace(".", "")
+    left, window, right = plain(1200, 40), plain(1201, 24), plain(1202, 40)
+    rows = [(1, f"{left} {window} {plain(1203, 40)} {plain(1204, 40)} {window} {right}"), (2, f"{plain(1205, 40)} {left} {window} {right} {plain(1206, 40)}")]
+    rows += [(3, " ".join(["be"] * 60)), (4, f"{plain(1207, 40)} {' '.join(['be'] * 300)} {plain(1208, 40)}")]
+    rows += [(5, " ".join(["so", "on"] * 30)), (6, f"{plain(1209, 40)} {' '.join(['so', 'on'] * 150)} {plain(1210, 40)}")]
+    words = {k: t.split() for k, t in rows}
+    found = paragraphs.paragraph_duplicates(docs_of(rows)).collect()
+    assert {r.doc_id for r in found} == {2, 4, 6}
+    for r in found:
+        assert f" {' '.join(words[r.doc_id][r.at : r.at + r.words])} " in f" {' '.join(words[r.kept_in])} "
+
+
+def test_stretches_hold_all_windows():
+    r = np.random.RandomState(8)
+    for _ in range(50):
+        at = np.cumsum(r.choice([1, 2, 2, 2, 2, 24, 25, 40], r.randint(0, 60)))
+        keys = r.choice([5, 5, 5, 9], len(at)).astype(np.uint64)
+        first, key, step, n = paragraphs.stretches(at, keys)
+        each = [(a + k * s, x) for a, x, s, m in zip(first, key, step, n, strict=True) for k in range(m)]
+        assert each == list(zip(at, keys, strict=True)) and (step[n > 1] <= paragraphs.WINDOW).all()
+    assert [x.tolist() for x in paragraphs.stretches(np.arange(3, 900, 2), np.full(449, 7, np.uint64))] == [[3], [7], [2], [449]]
+
+
+def test_parts_of_a_stretch_have_the_same_surroundings():
+    reach, window = paragraphs.REACH, paragraphs.WINDOW
+    for step, n in ((1, 200), (2, 90), (5, 30), (24, 9), (2, 5), (7, 1)):
+        period = [b"%d" % k for k in range(step)]
+        words = [b"x", b"y"] * 20 + (period * (n + window))[: (n - 1) * step + window] + [b"z"] * 30
+        around = lambda at: (at - max(0, at - reach), words[max(0, at - reach) : at + window + reach])  # noqa: B023, E731
+        parts = paragraphs.surroundings(words, 40, step, n)
+        assert [a + k * step for a, m in parts for k in range(m)] == [40 + k * step for k in range(n)]
+        assert all(around(a + k * step) == around(a) for a, m in parts for k in range(m)) and len(parts) <= 2 * -(-reach // step) + 1
+        words[40 + (n - 1) * step // 2 + 3] = b"other"  # another text under the same id: each window by itself
+        parts = paragraphs.surroundings(words, 40, step, n)
+        assert all(around(a + k * step) == around(a) for a, m in parts for k in range(m)) and sum(m for _, m in parts) == n
+
+
+def test_covering_keeps_all_words():
+    r = np.random.RandomState(9)
+    for _ in range(300):
+        runs = [(int(a), int(a + w), int(k)) for a, w, k in zip(r.randint(0, 60, 9), r.randint(1, 25, 9), r.randint(0, 3, 9), strict=True)][: r.randint(0, 10)]
+        words = lambda some: {k for a, z, _ in some for k in range(a, z)}
+        out = paragraphs.covering(runs)
+        assert words(out) == words(runs) and set(out) <= set(runs)
+        assert all(words([x for x in out if x is not y]) != words(runs) for y in out)
+
+
 def test_sliding_min():
     r = np.random.RandomState(6)
     for n, w in ((1, 1), (5, 5), (30, 7), (27, 27), (100, 27)):
