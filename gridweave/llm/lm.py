@@ -15,19 +15,19 @@ Tokens are 63-bit hashes whose lowest four bits are the tail class.
 
 from __future__ import annotations
 
-import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from itertools import islice
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Tables, lean, most_frequent, small_batches, text_bytes
+from gridweave.llm.common import Tables, lean, most_frequent, small_batches
 
 #: Most frequent tokens (about so many) whose counts every worker has.
 TABLE = 1 << 18
@@ -45,26 +45,32 @@ HOLD = 2_000_000
 END = (1 << 62) | 3
 
 _CLASSES = HEAD // CLASS_WORDS
-#: Second bytes of accented letters, in three groups.
+#: Second bytes of accented letters, in three groups; by byte, the bit of its group; by the bits of a word, its lowest group.
 _LETTERS = (b"\xa9\xa8\xaa\xa7\xa0\xb9\xae", b"\xb1\xad\xb3\xba\xa1", b"\xbc\xa4\xb6\x9f")
-_GROUPS = bytes(next((k + 1 for k, letters in enumerate(_LETTERS) if c in letters), 0) for c in range(256))
-_MARKS = (b"\x01", b"\x02", b"\x03")
+_BITS = np.array([sum(1 << k for k, letters in enumerate(_LETTERS) if c in letters) for c in range(256)], np.uint8)
+_GROUP = np.array([0, 1, 2, 1, 3, 1, 2, 1])
+#: By last byte: letter, comma, full stop, anything else.
+_KIND = np.array([1 if c == 44 else 2 if c == 46 else 0 if bytes([c]).isalpha() or c >= 128 else 3 for c in range(256)])
 
 
-def tail_class(word: bytes) -> int:
-    """Class of a rare token: its accented letters and its last character."""
-    last = word[-1:]
-    kind = 1 if last == b"," else 2 if last == b"." else 0 if last.isalpha() or last >= b"\x80" else 3
-    if not word.isascii():
-        groups = word.translate(_GROUPS)
-        for k, mark in enumerate(_MARKS):
-            if mark in groups:
-                return 4 * (k + 1) + kind
-    return kind
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """Class of each word (none empty) as a rare token: its accented letters and its last character."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    cuts = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    groups = _GROUP[np.bitwise_or.reduceat(_BITS[data[: cuts[-1]]], cuts[:-1])]
+    return 4 * groups + _KIND[data[cuts[1:] - 1]]
 
 
-def token_hash(word: bytes) -> int:
-    return ((xxhash.xxh64_intdigest(word) >> 1) & ~15) | tail_class(word)
+def token_hashes(words: pa.Array) -> np.ndarray:
+    """Hash of each word (bytes, none empty), with its tail class in the lowest four bits."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    said = pc.binary_join(whole, b" ")[0].as_py().split(b" ")  # far faster than a list of Arrow's values
+    h = np.fromiter(map(xxhash.xxh64_intdigest, said), np.uint64, len(said))
+    return ((h >> np.uint64(1)).view(np.int64) & ~15) | tail_classes(words)
 
 
 def held_out(doc_id) -> bool:
@@ -72,36 +78,25 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-class Tokens(dict):
-    """word -> number; bounded, so that what is kept never changes a value."""
+def tokens_of(texts: pa.Array, number: Callable[[pa.Array], np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the tokens of all ``texts`` (null: empty), ``end`` behind each text's words, and each text's number of tokens.
 
-    def __init__(self, number, limit: int = 500_000):
-        super().__init__()
-        self.number, self.limit = number, limit
-
-    def __missing__(self, word: bytes) -> int:
-        value = self.number(word)
-        if len(self) < self.limit:
-            self[word] = value
-        return value
-
-    def of(self, raw: bytes, end: int) -> np.ndarray:
-        words = raw.lower().split()
-        out = np.empty(len(words) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        out[-1] = end
-        return out
-
-
-_KEPT: dict[str, tuple] = {}
-
-
-def kept(key: str, make) -> tuple:
-    """What ``make()`` gives, kept by a worker for its next tasks until another key is asked for."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = make()
-    return _KEPT[key]
+    Arrow splits, and tells words apart: ``number`` gets each different word of ``texts`` once.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).view(pa.string()).fill_null("")))
+    size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    words = lists.flatten().view(pa.binary())
+    real = pc.binary_length(words).to_numpy() > 0  # white space on a text's edge and empty texts give empty words
+    if not real.all():
+        size = np.diff(np.r_[0, np.cumsum(real)][np.r_[0, np.cumsum(size)]])
+        words = words.filter(pa.array(real))
+    said = words.dictionary_encode()
+    ends = np.cumsum(size + 1) - 1
+    out, inner = np.empty(len(words) + len(size), np.int64), np.ones(len(words) + len(size), bool)
+    inner[ends] = False
+    out[inner] = number(said.dictionary)[said.indices.to_numpy()]
+    out[ends] = end
+    return out, size + 1
 
 
 def _gathered(docs: DataFrame) -> DataFrame:
@@ -113,12 +108,11 @@ def _gathered(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n)], schema=out)
 
     def run(batches):
-        (tokens,), held, size = kept("hashes", lambda: (Tokens(token_hash),)), [], 0
+        held, size = [], 0
         for b in small_batches(batches):
-            for doc, raw in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")), strict=True):
-                if held_out(doc):
-                    continue
-                t = tokens.of(raw, END)
+            training = pa.array([not held_out(doc) for doc in b.column("doc_id").to_pylist()], pa.bool_())
+            t, _ = tokens_of(b.column("text").filter(training), token_hashes, END)
+            if len(t):
                 held.append(t)
                 size += len(t)
             if size > 4_000_000:
@@ -323,11 +317,14 @@ class Lexicon:
     """Numbers of the tokens in the table: their rank; for others minus one minus the hash."""
 
     def __init__(self, tokens: np.ndarray):
-        self.rank = {int(t): k for k, t in enumerate(tokens)}
+        self.rank = np.argsort(tokens)
+        self.hashes = tokens[self.rank]
 
-    def number(self, word: bytes) -> int:
-        h = token_hash(word)
-        return self.rank.get(h, -1 - h)
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return -1 - hashes
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.rank[at], -1 - hashes)
 
 
 def inputs_of(numbers: np.ndarray, tails: np.ndarray) -> np.ndarray:
@@ -376,7 +373,7 @@ def _numbered(docs: DataFrame, tokens: np.ndarray, logs: np.ndarray, tails: np.n
 
     ``ids`` has the end's number first, then the tokens with the end. ``round`` is null for texts that are kept from training.
     """
-    given, name = docs.sparkSession.sparkContext.broadcast((tokens, logs, tails, tail_logs)), uuid.uuid4().hex
+    given = docs.sparkSession.sparkContext.broadcast((tokens, logs, tails, tail_logs))
     kinds = pa.schema([
         ("doc_id", pa.int64()), ("round", pa.int32()), ("long", pa.bool_()), ("ids", pa.binary()), ("n_tokens", pa.int64()),
         ("n_known", pa.int64()), ("base", pa.float64()), ("in_tail", pa.float64()), ("rare", pa.list_(pa.int64())),
@@ -386,16 +383,14 @@ def _numbered(docs: DataFrame, tokens: np.ndarray, logs: np.ndarray, tails: np.n
         table, log, classes, tail_logs_of = given.value
         classes = classes if len(classes) else np.zeros(1, np.int64)
         log = log if len(log) else np.zeros(1)
-        lexicon, words = kept(name, lambda: (made := Lexicon(table), Tokens(made.number)))
-        end = lexicon.rank.get(END, -1 - END)
+        lexicon = Lexicon(table)
+        (end,) = lexicon.of(np.array([END])).tolist()
         for b in small_batches(batches, 128):
             docs_in = b.column("doc_id").to_pylist()
-            parts = [words.of(raw, end) for raw in text_bytes(b.column("text"))]
-            if not parts:
+            if not docs_in:
                 continue
-            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            n, size = tokens_of(b.column("text"), lambda words: lexicon.of(token_hashes(words)), end)
             first = np.r_[0, np.cumsum(size)[:-1]]
-            n = np.concatenate(parts)
             ids = inputs_of(n, classes)
             known, tail = n >= 0, ids >= HEAD
             own = np.where(known, log[np.maximum(n, 0)], 0.0)
@@ -408,7 +403,7 @@ def _numbered(docs: DataFrame, tokens: np.ndarray, logs: np.ndarray, tails: np.n
                     pa.array(docs_in, pa.int64()),
                     pa.array([None if held_out(d) else zlib.crc32(f"{d}:round".encode()) % ROUNDS for d in docs_in], pa.int32()),
                     pa.array(size > LONG),
-                    pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32).tobytes()), pa.py_buffer(held)]),
+                    pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32).tobytes()), pa.py_buffer(held)]),
                     pa.array(size),
                     pa.array(np.add.reduceat(known.astype(np.int64), first)),
                     pa.array(np.add.reduceat(own, first)),
@@ -431,7 +426,6 @@ def _trained(texts: DataFrame, total: int, model: Model, t: Tables) -> tuple[Mod
         now, rate = model, RATE * (1 - number / (ROUNDS + 1))
 
         def shard(batches, now=now, rate=rate):
-            kept("", tuple)
             got, weight = train(now, (np.frombuffer(x.as_buffer(), "<i2") for b in batches for x in b.column("ids")), rate)
             if weight:
                 yield pa.RecordBatch.from_pydict({"weight": pa.array([weight], pa.int64()), "model": pa.array([got.packed()], pa.binary())})

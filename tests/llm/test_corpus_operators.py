@@ -7,7 +7,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from gridweave.llm import ann, lm, ngram_join, paragraphs
 from gridweave.llm import queries as Q
@@ -584,6 +586,32 @@ def test_training_sees_every_token_and_carries_the_state(spark, docs_of, prose,
     assert trained[0][1] == total > 20_000
 
 
+def test_tokens_of_a_batch_are_looked_up_once(odd):
+    """Against words one by one; each different word of a batch is numbered once, however often it is there."""
+
+    def one(w):
+        group = next((k + 1 for k, letters in enumerate(lm._LETTERS) if set(letters) & set(w)), 0)
+        last = w[-1:]
+        kind = 1 if last == b"," else 2 if last == b"." else 0 if last.isalpha() or last >= b"\x80" else 3
+        return (xxhash.xxh64_intdigest(w) >> 1) // 16 * 16 + 4 * group + kind
+
+    rng = random.Random(4)
+    texts = [t for _, t in odd] + [None, "", " ", "\x1c\x85 \u00a0x\n"]
+    texts += ["".join(rng.choice("aZé ñü,.\t\n\x0b\x1f0") for _ in range(rng.randrange(12))) for _ in range(800)]
+    whole = pa.array(texts, pa.string())
+    table = np.array([lm.END, *{one(w.encode()) for t in texts[::3] for w in WORD.findall(folded(t))}])
+    rank = {h: k for k, h in enumerate(table.tolist())}
+    for a, b in ((0, len(texts)), (0, 0), (5, 6), (7, 300)):
+        words = [[w.encode() for w in WORD.findall(folded(t))] for t in texts[a:b]]
+        seen = []
+        got, size = lm.tokens_of(whole.slice(a, b - a), lambda w: seen.extend(w.to_pylist()) or lm.token_hashes(w), lm.END)
+        assert size.tolist() == [len(w) + 1 for w in words]
+        assert got.tolist() == [h for ws in words for h in (*map(one, ws), lm.END)]
+        assert sorted(seen) == sorted({w for ws in words for w in ws})
+        assert lm.Lexicon(table).of(got).tolist() == [rank.get(h, -1 - h) for h in got.tolist()]
+        assert lm.Lexicon(table[:0]).of(got).tolist() == [-1 - h for h in got.tolist()]
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------
 
 
