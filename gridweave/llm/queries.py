@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridweave.llm.ann import nearest
 from gridweave.llm.bpe import encode_digests
 from gridweave.llm.common import table
+from gridweave.llm.filter_audit import filter_audit
 from gridweave.llm.licenses import license_notices
 from gridweave.llm.lm import score_documents
 from gridweave.llm.ngram_join import ngram_join
@@ -60,6 +61,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in REGISTERED}
 
@@ -75,6 +80,7 @@ REGISTERED = (
     op8_license_dice,
     op9_best_fit_packing,
     op10_ngram_jaccard,
+    op12_filter_audit,
 )
 
 
@@ -111,6 +117,30 @@ c AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT c.doc_id, e.b F
 SELECT c.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM c LEFT JOIN n USING (doc_id) GROUP BY c.doc_id"""
 
 
+AUDIT_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, {TEXT} AS t, {WORDS.format(text=TEXT)} AS w FROM documents),
+m AS (
+  SELECT doc_id, part, (len(w) < 50)::INTEGER + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INTEGER
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INTEGER + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER
+    + 16 * coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)::INTEGER AS m FROM d),
+l AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+h AS (
+  SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, m),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+s AS (SELECT filter_order, k::INTEGER AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0)::INTEGER AS before FROM (SELECT *, unnest(range(1, 6)) AS k FROM o)),
+r AS (
+  SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (m & (before | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (m & before = 0 AND m & bit <> 0), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (m & before <> 0 AND m & bit <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (m = bit), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (m & before = 0 AND m & bit <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (m & before = 0 AND m & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM h, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; the others are tested against brute force."""
-    return {"op7_quality_rules": QUALITY_SQL, "op10_ngram_jaccard": JOIN_SQL}
+    return {"op7_quality_rules": QUALITY_SQL, "op10_ngram_jaccard": JOIN_SQL, "op12_filter_audit": AUDIT_SQL}
