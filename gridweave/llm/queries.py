@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridweave.llm.ann import nearest
 from gridweave.llm.bpe import encode_digests
 from gridweave.llm.common import table
+from gridweave.llm.conversations import conversation_report
 from gridweave.llm.filter_audit import filter_audit
 from gridweave.llm.licenses import license_notices
 from gridweave.llm.lm import score_documents
@@ -65,6 +66,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in REGISTERED}
 
@@ -81,6 +86,7 @@ REGISTERED = (
     op9_best_fit_packing,
     op10_ngram_jaccard,
     op12_filter_audit,
+    op13_conversation_repair,
 )
 
 
