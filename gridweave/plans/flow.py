@@ -7,12 +7,15 @@ laid out; the tensors are joined to their places once.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.plans.permute import Permutation
+
 #: Rows that a bucket of a key should have, most buckets, and hexadecimal digits of the shuffle's hash that name a bucket.
 BUCKET_ROWS, MOST_BUCKETS, HASH_DIGITS = 50_000, 1 << 13, 4
 
@@ -27,6 +30,7 @@ class StreamOptions:
     shuffle: bool = False
     seed: int | None = None
     max_steps: int | None = None
+    arithmetic: bool = False
 
     def __post_init__(self):
         if self.batch_size < 0 or (self.epochs is not None and self.epochs < 0) or (self.max_steps is not None and self.max_steps < 0):
@@ -73,11 +77,11 @@ def with_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     return places if df.columns == [key] else df.join(places, key).select(*df.columns, name)
 
 
-def with_epochs(df: DataFrame, epochs: int) -> DataFrame:
-    """Each row once for each epoch 1..epochs."""
+def with_epochs(df: DataFrame, epochs: int, first: int = 1) -> DataFrame:
+    """Each row once for each of ``epochs`` epochs from ``first`` on."""
     if epochs < 1:
         return df.withColumn("epoch", F.lit(1)).where("false")
-    return df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    return df.withColumn("epoch", F.explode(F.sequence(F.lit(first), F.lit(first + epochs - 1))))
 
 
 def shuffle_key(seed: int, epoch: Column, idx: Column) -> Column:
@@ -96,11 +100,7 @@ def with_positions(df: DataFrame, shuffle: bool, seed: int | None = None, name:
     """
     if not shuffle:
         return df.withColumn(name, F.col("idx").cast("bigint"))
-    if seed is None:
-        import random
-
-        seed = random.SystemRandom().getrandbits(62)
-    keyed = df.withColumn("_key", shuffle_key(seed, F.col("epoch"), F.col("idx")))
+    keyed = df.withColumn("_key", shuffle_key(drawn_seed(seed), F.col("epoch"), F.col("idx")))
     bucket = F.substr("_key", F.lit(1), F.lit(HASH_DIGITS))
     return numbered(keyed, name, ["epoch"], bucket, [F.col("_key"), F.col("idx")]).drop("_key")
 
@@ -115,18 +115,40 @@ def steps_per_epoch(count: Column, batch_size: int) -> Column:
     return F.ceil(count / batch_size).cast("bigint")
 
 
-def placed(ids: DataFrame, options: StreamOptions) -> DataFrame:
-    """epoch, step, global_step, pos, pos_in_batch for every row of ``ids`` (idx 0..n-1 and what else should come along)."""
+def drawn_seed(seed: int | None) -> int:
+    return random.SystemRandom().getrandbits(62) if seed is None else seed
+
+
+def total_steps(n: int, options: StreamOptions) -> int:
+    """Steps of all epochs together, with the limit on them."""
+    if options.batch_size == 0 or options.epochs is None:
+        return 0
+    steps = -(-n // options.batch_size) * options.epochs
+    return steps if options.max_steps is None else min(steps, options.max_steps)
+
+
+def placed(ids: DataFrame, options: StreamOptions, n: int | None = None, first: int = 1) -> DataFrame:
+    """epoch, step, global_step, pos, pos_in_batch for every row of ``ids`` (idx 0..n-1 and what else should come along).
+
+    ``n``, if known, spares a count; epochs are numbered from ``first`` on, global steps from 0.
+    """
     if options.epochs is None:
         raise ValueError("an endless stream has no plan: iterate over it")
+    every = with_epochs(ids, options.epochs, first)
     if options.batch_size == 0:
-        out = with_batches(with_positions(with_epochs(ids, options.epochs), False), 1).where("false")
-        return out.withColumn("global_step", F.lit(0).cast("bigint"))
-    out = with_batches(with_positions(with_epochs(ids, options.epochs), options.shuffle, options.seed), options.batch_size)
-    if options.max_steps is None and options.epochs <= 1:
+        return with_batches(with_positions(every, False), 1).where("false").withColumn("global_step", F.lit(0).cast("bigint"))
+    several = options.max_steps is not None or options.epochs > 1
+    if n is None and (several or (options.shuffle and options.arithmetic)):
+        n = ids.count()
+    if options.shuffle and options.arithmetic:
+        out = Permutation(n, drawn_seed(options.seed)).with_positions(every, range(first, first + options.epochs))
+    else:
+        out = with_positions(every, options.shuffle, options.seed)
+    out = with_batches(out, options.batch_size)
+    if not several:
         return out.withColumn("global_step", F.col("step"))
-    steps = -(-ids.count() // options.batch_size)
-    out = out.withColumn("global_step", (F.col("epoch") - 1) * F.lit(steps).cast("bigint") + F.col("step"))
+    steps = -(-n // options.batch_size)
+    out = out.withColumn("global_step", (F.col("epoch") - first) * F.lit(steps).cast("bigint") + F.col("step"))
     return out if options.max_steps is None else out.where(F.col("global_step") < options.max_steps)
 
 
@@ -150,18 +172,19 @@ def batch_layout(df: DataFrame, dims: Sequence[str], by: Sequence[str] = ("epoch
 
 
 def with_layout(df: DataFrame, dims: Sequence[str], by: Sequence[str] = ("epoch", "step")) -> DataFrame:
-    """Adds ``max_<dim>`` of its batch to each item; array columns (shapes) are compared place by place."""
-    w = Window.partitionBy(*by)
-
-    def largest(name: str) -> Column:
-        if df.schema[name].dataType.typeName() != "array":
-            return F.max(name).over(w)
-        return F.aggregate(
-            F.collect_list(name).over(w), F.array().cast(df.schema[name].dataType),
-            lambda a, x: F.zip_with(a, x, lambda p, q: F.greatest(p, q)),
-        )
+    """Adds ``max_<dim>`` of its batch to each item; array columns (shapes) are compared place by place.
 
-    return df.withColumns({f"max_{d}": largest(d) for d in dims})
+    A batch's largest shape is found by grouped maxima, a row a batch and dimension, and joined to its items.
+    """
+    w = Window.partitionBy(*by)
+    arrays = [d for d in dims if df.schema[d].dataType.typeName() == "array"]
+    out = df.withColumns({f"max_{d}": F.max(d).over(w) for d in dims if d not in arrays})
+    for d in arrays:
+        sizes = df.select(*by, F.posexplode(d).alias("_place", "_size")).groupBy(*by, "_place").agg(F.max("_size").alias("_size"))
+        shapes = sizes.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_size"))), lambda r: r["_size"]).alias("_largest"))
+        none = F.array().cast(df.schema[d].dataType)
+        out = out.join(shapes, list(by), "left").withColumn(f"max_{d}", F.coalesce("_largest", none)).drop("_largest")
+    return out
 
 
 def with_user_layout(df: DataFrame, layout: Callable[[Sequence[int]], Sequence[int]], by: Sequence[str] = ("epoch", "step")) -> DataFrame:
@@ -194,7 +217,13 @@ def padded(flat: Column, shape: Column, target: Column, zero: Column) -> Column:
 
         def place(k: Column) -> Column:
             """Number of the source row for row ``k`` of the target, or null outside."""
+            return F.when(F.size(v["s"]) <= 2, F.when(k < v["s"][0], k)).when(F.size(v["s"]) == 3, place_of_3(k)).otherwise(place_of_any(k))
+
+        def place_of_3(k: Column) -> Column:
+            x, y = (k / v["t"][1]).cast("bigint"), k % v["t"][1]
+            return F.when((x < v["s"][0]) & (y < v["s"][1]), x * v["s"][1] + y)
 
+        def place_of_any(k: Column) -> Column:
             def step(a: Column, d: Column) -> Column:
                 c = F.pmod(a["rest"], d["t"])
                 return F.struct(

@@ -75,7 +75,7 @@ BATCH_ELEMENTS, BATCH_ITEMS = 1 << 20, 1024
 _ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
 
 
-def _item(dataset: Dataset, idx: int) -> np.ndarray:
+def item_of(dataset: Dataset, idx: int) -> np.ndarray:
     """An item as its column holds it; every error names the item."""
     try:
         item = np.asarray(dataset.write(idx))
@@ -114,7 +114,7 @@ def _source(dataset: Dataset, name: str, partitions: int) -> type[DataSource]:
                 return pa.RecordBatch.from_arrays([pa.array(range(first, first + len(held)), pa.int64()), shapes, tensors], schema=arrow)
 
             for idx in range(partition.start, partition.end):
-                held.append(_item(dataset, idx))
+                held.append(item_of(dataset, idx))
                 size += held[-1].size
                 if size >= BATCH_ELEMENTS or len(held) >= BATCH_ITEMS:
                     yield batch()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -15,6 +14,7 @@ from gridweave import dtypes as dt
 from gridweave.dtypes import DType
 from gridweave.plans import flow
 from gridweave.plans.flow import StreamOptions
+from gridweave.streaming.epochs import SCHEMA, batch_row, numpy_type, packed
 
 Layout = Callable[[Sequence[int]], Sequence[int]]
 
@@ -29,10 +29,6 @@ class Batch:
     indices: np.ndarray
 
 
-def numpy_type(dtype: DType) -> np.dtype:
-    return np.dtype("<f4" if dtype is dt.BF16 else dtype.numpy)
-
-
 def shaped_items(items: DataFrame, dtype: DType) -> DataFrame:
     """idx, shape and tensor; without a shape column tensors have one dimension."""
     size = F.size("tensor") if items.schema["tensor"].dataType.typeName() == "array" else F.length("tensor") / dtype.size
@@ -40,38 +36,38 @@ def shaped_items(items: DataFrame, dtype: DType) -> DataFrame:
     return items.select("idx", shape.alias("shape"), "tensor")
 
 
-def packed_batches(items: DataFrame, options: StreamOptions, layout: Layout | None = None) -> DataFrame:
+def packed_batches(items: DataFrame, options: StreamOptions, layout: Layout | None = None, first: int = 1) -> DataFrame:
     """epoch, step, n, shape (of the batch), indices and data: one row a batch, its items as bytes, one after another.
 
     ``items`` has idx, tensor (an array, or little-endian bytes, which are not unpacked on the way and suit large tensors) and, unless all tensors
     are one-dimensional, shape. Items are padded with zeros to the batch's largest shape or to
     what ``layout(indices)`` says; ranks must not differ in a batch. Tensors are joined to their places and moved to their batch, each once;
-    a task fills one batch at a time. Partitions are in order of (epoch, step), and so are their rows.
+    a task fills one batch at a time. Partitions are in order of (epoch, step), and so are their rows. Epochs are numbered from ``first`` on.
     """
-    dtype = dt.dtype_of(items, "tensor")
-    kind = numpy_type(dtype)
-    items = shaped_items(items, dtype)
-    places = flow.placed(items.select("idx", "shape") if layout is None else items.select("idx"), options)
+    n = items.count()
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = max(1, flow.total_steps(n, options))
+    part = F.floor(F.col("global_step") * parts / steps).cast("int")
+    rows = placed_items(items, options, layout, n, first).repartitionById(parts, part).sortWithinPartitions("global_step", "pos_in_batch")
+    return rows.mapInArrow(packer(dt.dtype_of(items, "tensor")), SCHEMA)
+
+
+def placed_items(items: DataFrame, options: StreamOptions, layout: Layout | None, n: int, first: int = 1) -> DataFrame:
+    """global_step, epoch, step, pos_in_batch, idx, shape, max_shape and tensor of every item of a stream."""
+    items = shaped_items(items, dt.dtype_of(items, "tensor"))
+    places = flow.placed(items.select("idx", "shape") if layout is None else items.select("idx"), options, n, first)
     places = flow.with_layout(places, ["shape"]).drop("shape") if layout is None else flow.with_user_layout(places, layout)
-    spark = items.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    last = places.agg(F.max("global_step")).first()[0]
-    part = F.floor(F.col("global_step") * parts / ((last or 0) + 1)).cast("int")
-    rows = places.join(items, "idx").select("global_step", "epoch", "step", "pos_in_batch", "idx", "shape", "max_shape", "tensor")
-    rows = rows.repartitionById(parts, part).sortWithinPartitions("global_step", "pos_in_batch")
-    schema = pa.schema([
-        ("epoch", pa.int32()), ("step", pa.int64()), ("n", pa.int64()), ("shape", pa.list_(pa.int64())), ("indices", pa.list_(pa.int64())), ("data", pa.binary()),
-    ])
+    return places.join(items, "idx").select("global_step", "epoch", "step", "pos_in_batch", "idx", "shape", "max_shape", "tensor")
+
+
+def packer(dtype: DType):
+    """A function for ``mapInArrow`` over placed items, in order of their steps: batches of ``SCHEMA``."""
+    kind = numpy_type(dtype)
 
     def filled(held: list) -> pa.RecordBatch:
-        target = tuple(held[0][5])
-        out = np.zeros((len(held), *target), kind)
-        for k, (_, _, _, _, shape, _, flat) in enumerate(held):
-            if len(shape) != len(target) or any(a > b for a, b in zip(shape, target, strict=True)):
-                raise ValueError(f"Shape: item {held[k][3]} of shape {shape} does not fit {list(target)}")
-            out[(k, *map(slice, shape))] = flat.reshape(shape)
-        columns = [[held[0][1]], [held[0][2]], [len(held)], [[len(held), *target]], [[h[3] for h in held]], [out.tobytes()]]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        _, epoch, step, _, _, target, _ = held[0]
+        indices = [h[3] for h in held]
+        return batch_row(epoch, step, packed([h[6].reshape(h[4]) for h in held], indices, tuple(target), kind), indices)
 
     def numbers(tensor: pa.Scalar) -> np.ndarray:
         if isinstance(tensor, pa.ListScalar):
@@ -91,7 +87,7 @@ def packed_batches(items: DataFrame, options: StreamOptions, layout: Layout | No
         if held:
             yield filled(held)
 
-    return rows.mapInArrow(run, "epoch int, step long, n long, shape array<long>, indices array<long>, data binary")
+    return run
 
 
 class BatchStream:
@@ -106,12 +102,12 @@ class BatchStream:
         self.dtype = dt.dtype_of(items, "tensor")
         if dims is not None and dims > 1 and "shape" not in items.columns:
             raise ValueError("tensors of several dimensions need a shape")
-        self.seed = random.SystemRandom().getrandbits(62) if options.shuffle and options.seed is None else options.seed
+        self.seed = flow.drawn_seed(options.seed) if options.shuffle else None
 
     def epoch_batches(self, epoch: int) -> Iterator[Batch]:
         """The batches of one epoch in order; partitions are fetched one ahead."""
-        seed = None if self.seed is None else (self.seed + epoch - 1 + 2**63) % 2**64 - 2**63
-        plan = packed_batches(self.items, StreamOptions(self.options.batch_size, 1, self.options.shuffle, seed), self.layout)
+        once = StreamOptions(self.options.batch_size, 1, self.options.shuffle, self.seed, arithmetic=self.options.arithmetic)
+        plan = packed_batches(self.items, once, self.layout, epoch)
         for r in plan.toLocalIterator(prefetchPartitions=True):
             if self.options.max_steps is not None and self.steps >= self.options.max_steps:
                 return
