@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +19,12 @@ from gridweave.operators import layout as L
 from gridweave.operators.transforms import Add, AddOverflow, Chain, Clamp, ClampOverflow, IntRounding, Scale, Standardize, Transform
 from gridweave.plans import flow
 from gridweave.plans.flow import StreamOptions
+from gridweave.plans.permute import PRIMES, Permutation
 from gridweave.sources import codec
 from gridweave.sources.dataset import is_empty, length, tensor_table
+from gridweave.sources.tensor_files import read_tensors, write_tensors
 from gridweave.streaming.batches import packed_batches
+from gridweave.streaming.ranks import sharded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -374,6 +380,82 @@ def flow_packed_batches(spark, sf_dir):
     return long(packed.select("step", "n", numbers("data").alias("tensor")), "step", "n")
 
 
+def step_checksums(rank: int, batches):
+    """rank, step, n and a checksum of a rank's batches, in which every value and its place count."""
+    for b in batches:
+        cells = np.floor(b.values.reshape(len(b.indices), -1).astype(np.float64) * 1e6).astype(np.int64).sum(axis=1)
+        total = int(((cells + b.indices) * np.arange(1, len(b.indices) + 1)).sum())
+        yield pa.RecordBatch.from_pydict({
+            "rank": pa.array([rank], pa.int32()), "epoch": pa.array([b.epoch], pa.int32()), "step": pa.array([b.step]), "n": pa.array([len(b.indices)]), "checksum": pa.array([total])
+        })
+
+
+@query(
+    "flow_sharded_epoch",
+    f"SELECT ((epoch - 1) * s + pos // 32)::INTEGER % 4 AS rank, epoch, pos // 32 AS step, count(*) AS n, sum((pos % 32 + 1) * (idx + cells))::BIGINT AS checksum FROM "
+    f"(SELECT x.*, (SELECT ceil(count(*) / 32.0)::BIGINT FROM embeddings) AS s, list_sum(list_transform(embedding, lambda v: floor(v::DOUBLE * 1e6)::BIGINT))::BIGINT AS cells "
+    f"FROM ({shuffled_sql(VECTORS, 2, 41)}) x JOIN embeddings ON vec_id = idx) GROUP BY epoch, pos // 32, s",
+)
+def flow_sharded_epoch(spark, sf_dir):
+    """Two epochs consumed by four ranks of one barrier stage."""
+    options = StreamOptions(32, 2, shuffle=True, seed=41)
+    return sharded(vectors(spark, sf_dir), options, 4, step_checksums, "rank int, epoch int, step long, n long, checksum long")
+
+
+def permuted_sql(items: str, n: str, epochs: int, seed: int) -> str:
+    """SQL for epoch, idx, pos of ``items(idx)`` shuffled by integer arithmetic: the network again and again until a number is inside."""
+    keys = Permutation(2, seed).keys  # they depend on the seed only
+    p, q, r = PRIMES
+    body = "SELECT *, x % low AS l0, x // low AS r0 FROM step"
+    for k, (add, slope, first, second) in enumerate(keys):
+        mine, other, size = (("l", "r", "low"), ("r", "l", "high"))[k % 2]
+        hashed = f"xor(xor(((({other}{k} + ({add} + epoch::BIGINT % {p} * {slope}) % {p}) % {p}) * {first}) % {q}, {slope}) * {second} % {r}, {add})"
+        body = f"SELECT *, ({mine}{k} + {hashed} % {size}) % {size} AS {mine}{k + 1}, {other}{k} AS {other}{k + 1} FROM ({body})"
+    return (
+        f"WITH RECURSIVE base AS (SELECT idx, ({n})::BIGINT AS n FROM ({items})), root AS (SELECT floor(sqrt(max(n) - 1))::BIGINT + 1 AS r, max(n) AS n FROM base), "
+        f"size AS (SELECT n, low, (n + low - 1) // low AS high FROM (SELECT n, arg_min(a, ((a - n % a) % a) * 10000000 + a) AS low FROM "
+        f"(SELECT n, r, unnest(range(r, r + least(4096, 1 + r // 2))) AS a FROM root) GROUP BY n)), "
+        f"step AS (SELECT epoch, idx, idx AS x, false AS moved, low, high, size.n AS n FROM base, size, (SELECT unnest(range(1, {epochs + 1}))::INTEGER AS epoch) "
+        f"UNION ALL SELECT epoch, idx, r{len(keys)} * low + l{len(keys)}, true, low, high, n FROM ({body}) WHERE NOT moved OR x >= n) "
+        f"SELECT epoch, idx, x AS pos FROM step WHERE moved AND x < n"
+    )
+
+
+@query("flow_permute_feistel", permuted_sql(EVENTS, "SELECT count(*) FROM events", 3, 43))
+def flow_permute_feistel(spark, sf_dir):
+    """Places in three shuffled epochs by arithmetic alone."""
+    ids = event_items(spark, sf_dir).select("idx")
+    return Permutation(ids.count(), 43).with_positions(flow.with_epochs(ids, 3), range(1, 4)).select("epoch", "idx", "pos")
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, which a cluster must set, else a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="gridweave-")
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+@query(
+    "src_slot_scan",
+    f"SELECT step, n, unnest(range(n * 64)) AS pos, unnest(flatten(v)) AS val FROM (SELECT pos // 32 AS step, count(*) AS n, list(embedding ORDER BY pos) AS v "
+    f"FROM ({shuffled_sql(VECTORS, 2, 47)}) s JOIN embeddings ON vec_id = s.idx WHERE epoch = 2 GROUP BY pos // 32)",
+)
+def src_slot_scan(spark, sf_dir):
+    """Two epochs of batches written as tensor files, the second one read by its byte ranges."""
+    batches = packed_batches(vectors(spark, sf_dir), StreamOptions(32, 2, shuffle=True, seed=47))
+    value = codec.framer(dt.F32)("data", "shape", L.row_major_strides(F.col("shape")))
+    path = scratch_folder(spark, "slots")
+    write_tensors(batches.select("epoch", "step", F.lit(None).alias("idx"), value.alias("value")), path)
+    read = read_tensors(spark, path).where("epoch = 2")
+    return long(read.select("step", F.col("shape")[0].alias("n"), codec.decoder(dt.F32)("value").alias("tensor")), "step", "n")
+
+
 FLAGSHIP = Chain(Standardize(25.5, 14.4), Clamp(-3.0, 100.0))
 
 

@@ -60,14 +60,14 @@ def placed_items(items: DataFrame, options: StreamOptions, layout: Layout | None
     return places.join(items, "idx").select("global_step", "epoch", "step", "pos_in_batch", "idx", "shape", "max_shape", "tensor")
 
 
-def packer(dtype: DType):
-    """A function for ``mapInArrow`` over placed items, in order of their steps: batches of ``SCHEMA``."""
+def filler(dtype: DType):
+    """A function from Arrow batches of placed items, in order of their steps, to ``Batch`` after ``Batch``."""
     kind = numpy_type(dtype)
 
-    def filled(held: list) -> pa.RecordBatch:
+    def filled(held: list) -> Batch:
         _, epoch, step, _, _, target, _ = held[0]
         indices = [h[3] for h in held]
-        return batch_row(epoch, step, packed([h[6].reshape(h[4]) for h in held], indices, tuple(target), kind), indices)
+        return Batch(epoch, step, packed([h[6].reshape(h[4]) for h in held], indices, tuple(target), kind), np.array(indices, np.int64))
 
     def numbers(tensor: pa.Scalar) -> np.ndarray:
         if isinstance(tensor, pa.ListScalar):
@@ -90,6 +90,17 @@ def packer(dtype: DType):
     return run
 
 
+def packer(dtype: DType):
+    """The same for ``mapInArrow``: rows of ``SCHEMA``."""
+    fill = filler(dtype)
+
+    def run(batches):
+        for b in fill(batches):
+            yield batch_row(b.epoch, b.step, b.values, b.indices.tolist())
+
+    return run
+
+
 class BatchStream:
     """Iterates over a stream epoch by epoch; each iteration over the object is the next epoch, without end where ``epochs`` is None.
 

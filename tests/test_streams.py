@@ -4,6 +4,7 @@ import os
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from gridweave.sources import tensor_files as tf
 from gridweave.sources.dataset import Dataset
 from gridweave.streaming.batches import BatchStream, packed_batches
 from gridweave.streaming.epochs import epoch_stream
+from gridweave.streaming.ranks import sharded
 
 
 def ragged(spark, n, kind="float"):
@@ -312,3 +314,48 @@ def test_a_stream_from_files(spark, tmp_path):
     rows = sorted(r for batch in seen.values() for r in batch)
     want = list(BatchStream(ragged(spark, 40), StreamOptions(8, 1, True, 2, arithmetic=True)))
     assert [(s, list(i), d) for _, s, i, d in rows] == [(b.step, b.indices.tolist(), b.values.tobytes()) for b in want]
+
+
+# --- ranks ---
+
+STEP = "rank int, epoch int, step long, indices array<long>, total double"
+
+
+def every_step(rank, batches):
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({"rank": pa.array([rank], pa.int32()), "epoch": pa.array([b.epoch], pa.int32()), "step": [b.step], "indices": [b.indices.tolist()], "total": [float(b.values.sum())]})
+
+
+def test_ranks_share_all_steps(spark):
+    items, options = ragged(spark, 45), StreamOptions(4, 2, True, 8)
+    rows = sharded(items, options, 3, every_step, STEP).collect()
+    want = list(BatchStream(items, options)) + list(BatchStream(items, StreamOptions(4, 2, True, 8)).epoch_batches(2))
+    got = {(r.epoch, r.step): r for r in rows}
+    assert len(rows) == len(got) == len(want) == 24
+    for b in want:
+        r = got[b.epoch, b.step]
+        assert r.indices == b.indices.tolist() and r.total == b.values.sum() and r.rank == ((b.epoch - 1) * 12 + b.step) % 3
+    for rank in range(3):
+        mine = [(r.epoch, r.step) for r in rows if r.rank == rank]
+        assert mine == sorted(mine)
+
+
+def test_ranks_without_steps_and_ranks_that_stop(spark):
+    few = sharded(ragged(spark, 5), StreamOptions(4, 3), 4, every_step, STEP).collect()
+    assert sorted((r.epoch, r.step, r.rank) for r in few) == [(1, 0, 0), (1, 1, 1), (2, 0, 2), (2, 1, 3), (3, 0, 0), (3, 1, 1)]
+    assert sharded(ragged(spark, 0), StreamOptions(4, 2), 2, every_step, STEP).collect() == []
+
+    def first_only(rank, batches):
+        for b in batches:
+            yield from every_step(rank, [b])
+            return
+
+    assert len(sharded(ragged(spark, 40), StreamOptions(4, 2, max_steps=15), 2, first_only, STEP).collect()) == 2
+
+    def fails(rank, batches):
+        if rank == 1:
+            raise ValueError("rank 1 fails")
+        yield from every_step(rank, batches)
+
+    with pytest.raises(Exception, match="rank 1 fails"):
+        sharded(ragged(spark, 40), StreamOptions(4), 2, fails, STEP).collect()
