@@ -91,6 +91,11 @@ def tagged_bytes(column, name: str, dtype: DType):
     return column.cast("binary").alias(name, metadata={METADATA: dtype.name})
 
 
+def tagged_halves(column, name: str, dtype: DType):
+    """An array<smallint> column of two-byte patterns (``functions.columns.packed_halves``) under ``name`` with its dtype in the metadata."""
+    return column.cast("array<smallint>").alias(name, metadata={METADATA: dtype.name})
+
+
 def dtype_of(df, name: str) -> DType:
     """A column's dtype from its metadata, else from its element type (never u8, f16 or bf16)."""
     field = df.schema[name]

@@ -80,6 +80,54 @@ def to_half(x: Column, dtype: DType) -> Column:
     return _flagged(half_rounded(x, dtype), error)
 
 
+def half_bits(x: Column, dtype: DType) -> Column:
+    """The two bytes of a number as F16 or BF16, rounded to nearest even, as a SMALLINT; every NaN has the same."""
+    bits, least = FRACTION[dtype]
+    top = 1 << bits
+
+    def finite(size: Column) -> Column:
+        # halves are far enough below a power of two for the logarithm's error, and a little more, to be told apart from it
+        exponent = F.greatest(F.floor(F.log2(size) + 1e-6), F.lit(least))
+        whole = lambda e: (size / F.pow(F.lit(2.0), e - bits)).cast("int")
+        number = lambda e: let(whole(e), lambda m: F.when(m < top, m).otherwise((e - least + 1).cast("int") * top + m - top))
+        return let(exponent, number)
+
+    all_ones = (1 << 15) - top  # the exponent of infinity and NaN
+
+    def pattern(v: Column) -> Column:
+        size = F.abs(v)
+        number = F.when(F.isnan(v), all_ones + top // 2).when(size == INF, all_ones).when(size == 0, 0).otherwise(finite(F.when((size > 0) & (size < INF), size).otherwise(1.0)))
+        minus = F.when(v == 0, v.cast("string").startswith("-")).otherwise((v < 0) & ~F.isnan(v))
+        return F.when(minus, number - (1 << 15)).otherwise(number).cast("smallint")
+
+    return let(half_rounded(x, dtype).cast("double"), pattern)
+
+
+def half_value(pattern: Column, dtype: DType) -> Column:
+    """The FLOAT that two bytes (a SMALLINT) of F16 or BF16 stand for."""
+    bits, least = FRACTION[dtype]
+    top = 1 << bits
+
+    def value(b: Column) -> Column:
+        exponent, fraction = F.shiftright(b, bits).bitwiseAND((1 << (15 - bits)) - 1), b.bitwiseAND(top - 1)
+        normal = (fraction + top) * F.pow(F.lit(2.0), (exponent + (least - bits - 1)).cast("double"))
+        special = F.when(fraction == 0, F.lit(INF)).otherwise(F.lit(float("nan")))
+        size = F.when(exponent == (1 << (15 - bits)) - 1, special).when(exponent == 0, fraction * F.lit(2.0 ** (least - bits))).otherwise(normal)
+        return F.when(b.bitwiseAND(1 << 15) != 0, -size).otherwise(size).cast("float")
+
+    return let(pattern.cast("int"), value)
+
+
+def packed_halves(tensor: Column, dtype: DType) -> Column:
+    """An array of F16 or BF16 numbers at its size: array<smallint> of their two bytes."""
+    return F.transform(tensor, lambda x: half_bits(x, dtype))
+
+
+def unpacked_halves(tensor: Column, dtype: DType) -> Column:
+    """The array<float> of what ``packed_halves`` gives."""
+    return F.transform(tensor, lambda x: half_value(x, dtype))
+
+
 def is_nan(x: Column, dtype: DType) -> Column:
     return F.lit(False) if dtype.is_int else F.isnan(x)
 

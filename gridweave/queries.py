@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from gridweave import dtypes as dt
 from gridweave.functions import columns as C
 from gridweave.functions.scalar import Scalar
+from gridweave.functions.sql import register as register_functions
 from gridweave.operators import layout as L
+from gridweave.operators.blocked import apply_blocked, in_blocks
 from gridweave.operators.transforms import Add, AddOverflow, Chain, Clamp, ClampOverflow, IntRounding, Scale, Standardize, Transform
 from gridweave.plans import flow
 from gridweave.plans.flow import StreamOptions
@@ -24,6 +26,7 @@ from gridweave.sources import codec
 from gridweave.sources.dataset import is_empty, length, tensor_table
 from gridweave.sources.tensor_files import read_tensors, write_tensors
 from gridweave.streaming.batches import packed_batches
+from gridweave.streaming.layout_function import register_layout
 from gridweave.streaming.ranks import sharded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -456,6 +459,24 @@ def src_slot_scan(spark, sf_dir):
     return long(read.select("step", F.col("shape")[0].alias("n"), codec.decoder(dt.F32)("value").alias("tensor")), "step", "n")
 
 
+@query(
+    "flow_layout_udtf",
+    f"SELECT step, pos_in_batch, idx, k AS pos, coalesce(embedding[k + 1], 0::FLOAT) AS val FROM (SELECT *, unnest(range(64 + (3 * first_idx + last_idx) % 5)) AS k FROM "
+    f"(SELECT s.idx, embedding, pos // 48 AS step, pos % 48 AS pos_in_batch, arg_min(s.idx, pos) OVER (PARTITION BY pos // 48) AS first_idx, "
+    f"arg_max(s.idx, pos) OVER (PARTITION BY pos // 48) AS last_idx FROM ({shuffled_sql(VECTORS, 1, 53)}) s JOIN embeddings ON vec_id = s.idx))",
+)
+def flow_layout_udtf(spark, sf_dir):
+    """A user's layout called from SQL text, a partition a batch."""
+    register_layout(spark, "width_by_indices", width_by_indices)
+    placed = flow.batches(vectors(spark, sf_dir), StreamOptions(48, shuffle=True, seed=53))
+    shape = F.array(F.size("tensor").cast("bigint")).alias("shape")
+    placed.select("epoch", "step", "pos_in_batch", "idx", shape, "tensor").createOrReplaceTempView("gridweave_placed")
+    return spark.sql(
+        "SELECT step, pos_in_batch, idx, cast(pos AS BIGINT) AS pos, val FROM width_by_indices(TABLE(gridweave_placed) PARTITION BY (epoch, step) ORDER BY pos_in_batch) "
+        "LATERAL VIEW posexplode(tensor) AS pos, val"
+    )
+
+
 FLAGSHIP = Chain(Standardize(25.5, 14.4), Clamp(-3.0, 100.0))
 
 
@@ -635,6 +656,61 @@ for _half in dt.HALVES:
         transform_query(f"xf_{_name}_{_half.name}", _xf, _half, vectors, half_transform_sql(_name, _half))
 
 
+def blocked_items(spark, sf_dir) -> DataFrame:
+    """The parts' sizes as U8 items of 64 elements: idx, tensor."""
+    rows = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 64).alias("idx"), F.col("p_partkey").alias("k"), F.col("p_size").cast("smallint").alias("v"))
+    packed = rows.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("rows"))
+    return packed.select("idx", dt.tagged(F.transform("rows", lambda r: r["v"]), "tensor", dt.U8))
+
+
+@query(
+    "xf_blocked_scale",
+    "SELECT idx, block, pos, CASE WHEN bad THEN x ELSE x * 5 END::SMALLINT AS val, CASE WHEN bad THEN 'Overflow' END AS error, blocks_bad FROM (SELECT *, "
+    "max(x * 5 > 255) OVER (PARTITION BY idx) AS bad, (count(DISTINCT CASE WHEN x * 5 > 255 THEN block END) OVER (PARTITION BY idx))::BIGINT AS blocks_bad FROM "
+    "(SELECT idx, (r // 8)::BIGINT AS block, (r % 8)::BIGINT AS pos, x FROM (SELECT p_partkey // 64 AS idx, row_number() OVER (PARTITION BY p_partkey // 64 ORDER BY p_partkey) - 1 AS r, "
+    "CASE WHEN p_size > 49 THEN 52 ELSE p_size END AS x FROM part)))",
+)
+def xf_blocked_scale(spark, sf_dir):
+    """Items in blocks of 8: where one block overflows, all of the item's stay as they were."""
+    items = blocked_items(spark, sf_dir)
+    sizes = F.transform("tensor", lambda x: F.when(x > 49, 52).otherwise(x).cast("smallint"))
+    blocks = in_blocks(items.withColumn("tensor", sizes.alias("tensor", metadata=items.schema["tensor"].metadata)), 8)
+    done = apply_blocked(blocks, Scale(5), dt.U8, "flag")
+    hit = blocks.groupBy("idx").agg(F.sum(F.exists("tensor", lambda x: x * 5 > 255).cast("bigint")).alias("blocks_bad"))
+    return long(done.join(hit, "idx"), "idx", "block", "error", "blocks_bad")
+
+
+# --- from SQL text ---------------------------------------------------------------------------------------------
+
+
+def text_query(name: str, like: str, source: Callable, text: str) -> None:
+    """Registers SQL text over a source's tensors (view ``items``) that gives what the query ``like`` gives."""
+
+    @query(name, SQL[like])
+    def run(spark, sf_dir):
+        register_functions(spark)
+        source(spark, sf_dir).createOrReplaceTempView(f"{name}_items")
+        return spark.sql(text.format(items=f"{name}_items"))
+
+
+VALUES, EACH = "SELECT idx, cast(pos AS BIGINT) AS pos, val", "LATERAL VIEW posexplode(tensor) e AS pos, val"
+
+
+def called(function: str) -> str:
+    """SQL text that calls a function on the tensors of a view and gives the elements."""
+    return f"{VALUES} FROM (SELECT idx, {function} AS tensor FROM {{items}}) {EACH}"
+
+
+text_query("sql_add_f32", "xf_add_f32", vectors, called("tensor_add_f32(tensor, 0.75F)"))
+text_query("sql_standardize_f64", "xf_standardize_f64", _from(*PRICES, dt.F64), called("tensor_standardize_f64(tensor, 150000D, 88000.5D)"))
+text_query("sql_clamp_f64", "xf_clamp_f64_both", _from(*PRICES, dt.F64), called("tensor_clamp_f64(tensor, 1000D, 150000D)"))
+text_query("sql_add_i64_wrap", "xf_add_i64_wrap", _from("part", "p_partkey", "p_size", dt.I64), called("tensor_add_wrap_i64(tensor, 9223372036854775800)"))
+text_query(
+    "sql_scale_overflow_flag", "xf_scale_overflow_flag", _from(*SIZES, dt.U8),
+    f"{VALUES}, error FROM (SELECT idx, r.tensor AS tensor, r.error AS error FROM (SELECT idx, try_tensor_scale_u8(tensor, 6) AS r FROM {{items}})) {EACH}",
+)
+
+
 # --- scalar functions ------------------------------------------------------------------------------------------
 
 MIXED = (
@@ -824,6 +900,34 @@ for _half in dt.HALVES:
         return df.select(*LINE, "is_nan", F.when(~F.isnan("v.value"), F.col("v.value")).alias("value"), "v.error")
 
 
+text_query("sql_to_i8", "sc_to_i8", mixed_lines, f"SELECT {', '.join(LINE)}, r.value AS value, r.error AS error FROM (SELECT *, to_i8(x) AS r FROM {{items}})")
+
+
+def half_bits_sql(kind: dt.DType) -> str:
+    """The two bytes of v, a finite number that the type holds."""
+    bits, least = C.FRACTION[kind]
+    exponent = f"greatest(floor(log2(abs(v)) + 1e-6), {least})::BIGINT"
+    whole = f"(abs(v) / pow(2.0::DOUBLE, {exponent} - {bits}))::BIGINT"
+    return f"CASE WHEN v = 0 THEN 0 ELSE {whole} + CASE WHEN {whole} < {1 << bits} THEN 0 ELSE ({exponent} - {least}) * {1 << bits} END END + CASE WHEN v < 0 THEN -32768 ELSE 0 END"
+
+
+@query(
+    "codec_half_bits",
+    " UNION ALL ".join(
+        f"SELECT '{k.name}' AS kind, idx, pos, ({half_bits_sql(k)})::SMALLINT AS bits, v::FLOAT AS back FROM (SELECT idx, pos, {half_sql('x::DOUBLE', k)} AS v FROM ({V_LONG}))" for k in dt.HALVES
+    ),
+)
+def codec_half_bits(spark, sf_dir):
+    """Vectors as two-byte numbers of both half types, and back."""
+    items = vectors(spark, sf_dir)
+    parts = []
+    for kind in dt.HALVES:
+        packed = items.select("idx", C.packed_halves(F.col("tensor"), kind).alias("packed"))
+        both = packed.select("idx", F.posexplode(F.arrays_zip("packed", C.unpacked_halves(F.col("packed"), kind).alias("back"))).alias("pos", "x"))
+        parts.append(both.select(F.lit(kind.name).alias("kind"), "idx", F.col("pos").cast("bigint").alias("pos"), F.col("x.packed").alias("bits"), F.col("x.back").alias("back")))
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "codec_roundtrip",
     "SELECT vec_id AS idx, 'f32' AS dtype, 2 AS ndims, 40 AS data_offset, 256::BIGINT AS data_size, substr(h, 1, 80) AS head, unnest(range(64)) AS pos, unnest(embedding) AS val "

@@ -70,6 +70,9 @@ def filler(dtype: DType):
         return Batch(epoch, step, packed([h[6].reshape(h[4]) for h in held], indices, tuple(target), kind), np.array(indices, np.int64))
 
     def numbers(tensor: pa.Scalar) -> np.ndarray:
+        if isinstance(tensor, pa.ListScalar) and dtype in dt.HALVES and pa.types.is_int16(tensor.type.value_type):  # packed_halves
+            raw = tensor.values.to_numpy(zero_copy_only=False).view(np.uint16)
+            return dt.bf16_values(raw) if dtype is dt.BF16 else raw.view("<f2")
         if isinstance(tensor, pa.ListScalar):
             return tensor.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
         x = np.frombuffer(tensor.as_buffer(), dtype.numpy)
