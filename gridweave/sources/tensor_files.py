@@ -1,6 +1,6 @@
 """Files of encoded tensors: a sink that commits, and readers by byte range.
 
-A file holds encoded tensors, each at a multiple of ``ALIGNED`` bytes, and behind them an index: epoch, step, idx, place, size and header of every
+A file holds encoded tensors, the data of each at a multiple of ``ALIGNED`` bytes, and behind them an index: epoch, step, idx, place, size and header of every
 tensor. Nothing refers to a file but a manifest, which is written, in one move, when all tasks of a job are done; files of tasks and jobs that failed
 are therefore never seen. Readers skip files by the manifest's bounds and tensors by the index; shapes alone are read from the index only.
 """
@@ -50,6 +50,54 @@ def store_of(path: str) -> tuple[fs.FileSystem, str]:
 # --- writing ---
 
 
+def write_file(path: str, batches: Iterator[pa.RecordBatch]) -> list[tuple]:
+    """Writes ``batches(epoch, step, idx, value)`` to a new file of a folder and gives its row for the manifest; none without tensors."""
+    files, root = store_of(path)
+    name = f"{uuid.uuid4().hex}.tensors"
+    files.create_dir(root, recursive=True)
+    index: list[pa.RecordBatch] = []
+    at = len(MAGIC)
+    try:
+        with files.open_output_stream(f"{root}/{name}") as out:
+            out.write(MAGIC)
+            for b in batches:
+                places, sizes, heads = [], [], []
+                for v in b.column("value"):
+                    raw = v.as_buffer()
+                    if raw is None:
+                        raise MalformedMessage("a tensor can't be null")
+                    head = codec.header_size(memoryview(raw))
+                    # the data, not the header, begins at a multiple
+                    gap = -(at + head) % ALIGNED
+                    out.write(bytes(gap))
+                    out.write(raw)
+                    places.append(at + gap)
+                    sizes.append(raw.size)
+                    heads.append(raw[:head].to_pybytes())
+                    at += gap + raw.size
+                keys = [b.column(k).cast(_INDEX.field(k).type) for k in KEYS]
+                index.append(pa.RecordBatch.from_arrays([*keys, pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary())], schema=_INDEX))
+            table = pa.Table.from_batches(index, _INDEX)
+            if not table.num_rows:
+                raise _Nothing
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _INDEX) as stream:
+                stream.write_table(table)
+            footer = sink.getvalue()
+            out.write(footer)
+            out.write(MAGIC)
+    except BaseException as e:
+        files.delete_file(f"{root}/{name}")
+        if isinstance(e, _Nothing):
+            return []
+        raise
+    bounds = []
+    for k in KEYS:
+        ends = pc.min_max(table[k]).as_py()
+        bounds += [ends["min"], ends["max"]]
+    return [(name, table.num_rows, at, at, footer.size, *bounds)]
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     rows: list[tuple]
@@ -60,50 +108,7 @@ class _Writer(DataSourceArrowWriter):
         self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        files, root = store_of(self.path)
-        name = f"{uuid.uuid4().hex}.tensors"
-        files.create_dir(root, recursive=True)
-        index: list[pa.RecordBatch] = []
-        at = len(MAGIC)
-        try:
-            with files.open_output_stream(f"{root}/{name}") as out:
-                out.write(MAGIC)
-                for b in iterator:
-                    values = b.column("value")
-                    places, sizes, heads = [], [], []
-                    for v in values:
-                        raw = v.as_buffer()
-                        if raw is None:
-                            raise MalformedMessage("a tensor can't be null")
-                        head = codec.header_size(memoryview(raw))
-                        gap = -at % ALIGNED
-                        out.write(bytes(gap))
-                        out.write(raw)
-                        places.append(at + gap)
-                        sizes.append(raw.size)
-                        heads.append(raw[:head].to_pybytes())
-                        at += gap + raw.size
-                    keys = [b.column(k).cast(_INDEX.field(k).type) for k in KEYS]
-                    index.append(pa.RecordBatch.from_arrays([*keys, pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary())], schema=_INDEX))
-                table = pa.Table.from_batches(index, _INDEX)
-                if not table.num_rows:
-                    raise _Nothing
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, _INDEX) as stream:
-                    stream.write_table(table)
-                footer = sink.getvalue()
-                out.write(footer)
-                out.write(MAGIC)
-        except BaseException as e:
-            files.delete_file(f"{root}/{name}")
-            if isinstance(e, _Nothing):
-                return _Written([])
-            raise
-        bounds = []
-        for k in KEYS:
-            ends = pc.min_max(table[k]).as_py()
-            bounds += [ends["min"], ends["max"]]
-        return _Written([(name, table.num_rows, at, at, footer.size, *bounds)])
+        return _Written(write_file(self.path, iterator))
 
     def commit(self, messages) -> None:
         files, root = store_of(self.path)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import LocalFileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from gridweave import dtypes as dt
 from gridweave.dtypes import DType
 from gridweave.plans import flow
 from gridweave.plans.flow import StreamOptions
+from gridweave.sources import codec
+from gridweave.sources.tensor_files import store_of, write_file
 from gridweave.streaming.epochs import SCHEMA, batch_row, numpy_type, packed
 
 Layout = Callable[[Sequence[int]], Sequence[int]]
@@ -104,14 +108,68 @@ def packer(dtype: DType):
     return run
 
 
+def written_batches(items: DataFrame, options: StreamOptions, folder: str, layout: Layout | None = None, first: int = 1) -> list[tuple[str, int, int]]:
+    """Packs batches like ``packed_batches``, straight into tensor files of a shared ``folder``: (file, place and size of its index), in order of steps.
+
+    A batch is two tensors: its values (idx 0) and its items' numbers (idx -1). A task writes one file; what failed attempts leave is not in the list.
+    """
+    dtype, n = dt.dtype_of(items, "tensor"), items.count()
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.col("global_step") * parts / max(1, flow.total_steps(n, options))).cast("int")
+    rows = placed_items(items, options, layout, n, first).repartitionById(parts, part).sortWithinPartitions("global_step", "pos_in_batch")
+    fill = filler(dtype)
+    stored = dt.F32 if dtype is dt.BF16 else dtype
+
+    def encoded(batches):
+        for b in fill(batches):
+            both = []
+            for x, kind in ((b.values, stored), (b.indices, dt.I64)):
+                strides = [int(np.prod(x.shape[k + 1 :], dtype=np.int64)) for k in range(x.ndim)]
+                both.append(codec.encode([], x.shape, strides, kind) + x.tobytes())
+            yield pa.RecordBatch.from_pydict({"epoch": pa.array([b.epoch] * 2, pa.int32()), "step": pa.array([b.step] * 2), "idx": pa.array([0, -1]), "value": pa.array(both, pa.binary())})
+
+    def run(batches):
+        for name, _, _, at, size, *_ in write_file(folder, encoded(batches)):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name], "at": pa.array([at]), "size": pa.array([size])})
+
+    found = rows.mapInArrow(run, "part int, file string, at long, size long").collect()
+    return [(r.file, r["at"], r["size"]) for r in sorted(found, key=lambda r: r.part)]
+
+
+def mapped_batches(folder: str, files: list[tuple[str, int, int]]) -> Iterator[Batch]:
+    """The batches of ``written_batches``, mapped into memory, not read, where the folder is on a local disk; a file goes when its batches are given."""
+    store, root = store_of(folder)
+    for name, at, size in files:
+        path = f"{root}/{name}"
+        if isinstance(store, LocalFileSystem):
+            with pa.memory_map(path) as f:
+                raw = f.read_buffer()
+        else:
+            with store.open_input_file(path) as f:
+                raw = f.read_buffer()
+        with pa.ipc.open_stream(raw.slice(at, size)) as stream:
+            index = stream.read_all().to_pylist()
+        store.delete_file(path)  # what is mapped stays
+        for values, ids in zip(index[::2], index[1::2], strict=True):
+            arrays = []
+            for r in (values, ids):
+                kind, _, shape, _, start, data, _ = codec.parse(r["head"])
+                arrays.append(np.frombuffer(raw, dt.BY_NAME[kind].numpy, data // dt.BY_NAME[kind].size, r["at"] + start).reshape(shape))
+            yield Batch(values["epoch"], values["step"], *arrays)
+
+
 class BatchStream:
     """Iterates over a stream epoch by epoch; each iteration over the object is the next epoch, without end where ``epochs`` is None.
 
     ``items`` has idx, tensor and, unless all tensors are one-dimensional, shape, of any rank; ``layout(indices)`` may give the item
     shape of a batch. Every epoch has a plan of its own; the seed of an unseeded shuffle is drawn once.
+
+    With a ``folder`` that the driver and all executors share, an epoch's batches are written there by the executors and mapped into the driver's
+    memory: they go through no socket and are not copied. The folder then needs room for an epoch. Otherwise rows are fetched, a partition ahead.
     """
 
-    def __init__(self, items: DataFrame, options: StreamOptions, dims: int | None = None, layout: Layout | None = None):
+    def __init__(self, items: DataFrame, options: StreamOptions, dims: int | None = None, layout: Layout | None = None, folder: str | None = None):
+        self.folder = folder
         self.items, self.options, self.layout, self.epoch, self.steps = items, options, layout, 0, 0
         self.dtype = dt.dtype_of(items, "tensor")
         if dims is not None and dims > 1 and "shape" not in items.columns:
@@ -119,8 +177,15 @@ class BatchStream:
         self.seed = flow.drawn_seed(options.seed) if options.shuffle else None
 
     def epoch_batches(self, epoch: int) -> Iterator[Batch]:
-        """The batches of one epoch in order; partitions are fetched one ahead."""
+        """The batches of one epoch in order."""
         once = StreamOptions(self.options.batch_size, 1, self.options.shuffle, self.seed, arithmetic=self.options.arithmetic)
+        if self.folder is not None:
+            for b in mapped_batches(self.folder, written_batches(self.items, once, self.folder, self.layout, epoch)):
+                if self.options.max_steps is not None and self.steps >= self.options.max_steps:
+                    return
+                self.steps += 1
+                yield b
+            return
         plan = packed_batches(self.items, once, self.layout, epoch)
         for r in plan.toLocalIterator(prefetchPartitions=True):
             if self.options.max_steps is not None and self.steps >= self.options.max_steps:

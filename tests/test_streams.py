@@ -359,3 +359,17 @@ def test_ranks_without_steps_and_ranks_that_stop(spark):
 
     with pytest.raises(Exception, match="rank 1 fails"):
         sharded(ragged(spark, 40), StreamOptions(4), 2, fails, STEP).collect()
+
+
+@pytest.mark.parametrize("dtype", [dt.F32, dt.BF16, dt.U8, dt.I64], ids=lambda d: d.name)
+def test_mapped_batches(spark, tmp_path, dtype):
+    items = ragged(spark, 21, "int").select("idx", "shape", dt.tagged(F.transform("tensor", lambda x: x % 100), "tensor", dtype))
+    options = StreamOptions(4, 2, True, 3, max_steps=9)
+    mapped = BatchStream(items, options, folder=str(tmp_path / "m"))
+    fetched = BatchStream(items, options)
+    for _ in range(2):
+        for a, b in zip(mapped, fetched, strict=True):
+            assert (a.epoch, a.step) == (b.epoch, b.step) and a.indices.tolist() == b.indices.tolist()
+            assert a.values.dtype == b.values.dtype and np.array_equal(a.values, b.values)
+            assert a.values.ctypes.data % 64 == 0
+    assert len(os.listdir(tmp_path / "m")) <= 2  # of the epoch that max_steps cut off
