@@ -33,15 +33,16 @@ STRICT = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Wide patterns for candidates that the strict ones do not take.
+#: Wide patterns for candidates that the strict ones do not take: other ways of writing, and what only looks like them (times, numbers without a
+#: right checksum), so that the classifier sees both.
 WIDE = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20?(?:\(at\)|\[at\]|@)\x20?{_LABEL}{{1,63}}+(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?{_LABEL}{{2,63}}+){{1,4}}+",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9-])[0-9]{4}[\x20.-]?[0-9]{6}[\x20.-]?[0-9]{5}+(?![0-9])",
-    "phone": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}+(?![0-9.-])",
+    "ip": r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}+(?::[0-9A-Fa-f]{0,4}){2,7}+(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9-])[0-9](?:[\x20.-]?[0-9]){12,18}+(?![0-9])",
+    "phone": r"(?<![0-9+(.-])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}+|00[1-9][0-9]?(?:[\x20.-]?[0-9]{2,4}){3,5}+)(?![0-9.-])",
 }
 #: A cheap test that every wide match passes (a regular expression).
-HINT = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "card": r"[0-9]{4}[\x20.-]?[0-9]{6}", "phone": r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"}
+HINT = {"email": r"@|\(at\)|\[at\]", "ip": r":[0-9A-Fa-f]{0,4}:", "card": r"[0-9](?:[\x20.-]?[0-9]){12}", "phone": r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|00[1-9][0-9\x20.-]{6}"}
 # Gazetteers (fixed values): top-level domains, network prefixes, issuer prefixes, calling codes.
 GAZETTEER = {
     "email": r"(?i)(?:\.|dot[)\]]\x20?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|it|nl|eu|us|ch|at|be)$",
@@ -78,9 +79,9 @@ def plausible(kind: str, value: Column) -> Column:
     d = digits_of(value)
     return {
         "email": value.rlike(r"[A-Za-z]") & (F.length(value) <= 120),
-        "ip": F.length(value) <= 39,
+        "ip": value.rlike(r"^[0-9.]+$|^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$") | (value.rlike(r"^(?!.*::.*::)(?!.*:::).*::") & value.rlike("(?:[0-9A-Fa-f]:*){5}")),
         "card": F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False),
-        "phone": F.length(d).between(10, 15),
+        "phone": F.length(F.regexp_replace(d, "^00", "")).between(10, 15),
     }[kind]
 
 
@@ -113,6 +114,8 @@ def _features(kind: str, value: Column, before: Column, around: Column) -> Colum
             F.concat(F.lit("cue="), before.rlike(CUES[kind]).cast("string")),
             F.concat(F.lit("against="), before.rlike(AGAINST).cast("string")),
             F.concat(F.lit("around="), around.rlike(r"^\W*$").cast("string")),
+            F.concat(F.lit("check="), plausible(kind, value).cast("string")),
+            F.concat(F.lit("known="), value.rlike(GAZETTEER[kind]).cast("string")),
         ),
         lambda x: F.concat(F.lit(f"{kind}|"), x),
     )
@@ -223,18 +226,43 @@ def span_classifier(found: DataFrame, t: Tables) -> dict[str, float]:
     rows = t.stored(rows, "votes")
     posterior = em_posteriors(rows.groupBy("kind", "votes").agg(F.sum("n").alias("n"))).select("kind", "votes", "posterior")
     soft = rows.join(F.broadcast(posterior), ["kind", "votes"])  # at most 4 * 3^5 rows
-    per_kind = soft.groupBy("kind").agg(F.sum(F.col("n") * F.col("posterior")).alias("one"), F.sum(F.col("n") * (1 - F.col("posterior"))).alias("zero")).collect()
-    totals = {r.kind: (r.one + 1.0, r.zero + 1.0) for r in per_kind}
-    per_feature = (
-        soft.select("kind", "n", "posterior", F.explode("features").alias("feature"))
-        .groupBy("kind", "feature")
-        .agg(F.sum(F.col("n") * F.col("posterior")).alias("one"), F.sum(F.col("n") * (1 - F.col("posterior"))).alias("zero"))
-        .collect()
-    )
-    out = {k: log(one / zero) for k, (one, zero) in totals.items()}
-    for r in per_feature:
-        one, zero = totals[r.kind]
-        out[r.feature] = log(((r.one + 0.5) / (one + 1)) / ((r.zero + 0.5) / (zero + 1)))
+    one, zero = F.sum(F.col("n") * F.col("posterior")).alias("one"), F.sum(F.col("n") * (1 - F.col("posterior"))).alias("zero")
+    totals = {r.kind: (r.one, r.zero) for r in soft.groupBy("kind").agg(one, zero).collect()}
+    loose = {r.kind: (r.one, r.zero) for r in soft.where(F.element_at("votes", 1) == 0).groupBy("kind").agg(one, zero).collect()}
+    per_feature = soft.select("kind", "n", "posterior", F.explode("features").alias("feature")).groupBy("kind", "feature").agg(one, zero).collect()
+    seen = {r.feature: (r.kind, r.one, r.zero) for r in per_feature}
+    return feature_odds(totals, loose, seen)
+
+
+#: Features that say what labelers say, the value that speaks for personal data, and whether the other value speaks against it or for nothing.
+TELLING = {"cue": ("true", False), "against": ("false", True), "around": ("true", True), "check": ("true", True), "known": ("true", False)}
+#: Candidates of either class that have the features all candidates have, beside those seen.
+POOL = 20.0
+
+
+def feature_odds(totals: dict[str, tuple[float, float]], loose: dict[str, tuple[float, float]], seen: dict[str, tuple[str, float, float]]) -> dict[str, float]:
+    """Log-odds by feature and kind from soft counts (one, zero): of kinds in ``totals``, of their candidates that no strict pattern takes in ``loose``,
+    of features, with their kind, in ``seen``.
+
+    The kind's own odds are those of loose candidates, the only ones decided on. A class with few candidates is filled up: with ``PRIOR`` for what
+    labelers say, right in either class, as in the EM; else with ``POOL`` candidates that are like all of the kind, so that a value which is rare speaks
+    neither for nor against as long as one class only has been seen. A labeler that abstains says nothing.
+    """
+    out = {}
+    for kind, (one, zero) in totals.items():
+        yes, no = loose.get(kind, (0.0, 0.0))
+        out[kind] = log((yes + PRIOR) / (no + PRIOR))
+        for name, (right, counts_against) in TELLING.items():
+            for value in ("true", "false"):
+                _, a, b = seen.get(f"{kind}|{name}={value}", (kind, 0.0, 0.0))
+                for_, against = (PRIOR, 0.0) if value == right else (0.0, PRIOR)
+                odds = log((a + for_ + 1) / (one + PRIOR + 2)) - log((b + against + 1) / (zero + PRIOR + 2))
+                silent = value == "false" and name in ("cue", "against", "known")
+                out[f"{kind}|{name}={value}"] = 0.0 if silent else odds if counts_against else max(odds, 0.0)
+    for feature, (kind, a, b) in seen.items():
+        if feature not in out:
+            (one, zero), share = totals[kind], (a + b) / sum(totals[kind])
+            out[feature] = log((a + POOL * share) / (one + POOL)) - log((b + POOL * share) / (zero + POOL))
     return out
 
 

@@ -282,6 +282,35 @@ def test_personal_data(spark, docs_of, odd):
     assert found[2000].base == [] and found[2001].base == []
 
 
+PLANTED = [
+    ("write to {} today", "email", "jane.roe (at) example (dot) com"),
+    ("mail {} please", "email", "bob [at] uni [dot] edu"),
+    ("the server {} is down", "ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"),
+    ("host {} said so", "ip", "2001:db8::1"),
+    ("call {} now", "phone", "(212) 555-0187"),
+    ("phone {} or write", "phone", "0049 30 1234567"),
+    ("card {} was used", "card", "378282246310005"),
+    ("credit card {} too", "card", "4222222222222"),
+]
+ORDINARY = [
+    "order 4929348385146307 shipped", "at 12:30:45 we met", "version 1234567890123456 of it", "device aa:bb:cc:dd:ee:ff here", "a ratio of 3::4 is fine",
+    "isbn 9780306406157 is a book", "section 12.30.45 and 1:2:3", "serial 60029170161913404 found", "x::y and std::vector::size", "pay 100 at (dot) or so",
+]
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_personal_data_that_strict_patterns_miss(spark, sf):
+    """What the method adds, through the query's own operator: all that is planted, and nothing in ordinary texts."""
+    docs = table(spark, f"/root/testdata/sf{sf}", "documents").select("doc_id", "text")
+    rows = [(10**9 + k, t.format(v)) for k, (t, _, v) in enumerate(PLANTED)] + [(2 * 10**9 + k, t) for k, t in enumerate(ORDINARY)]
+    found = pii.find_personal_data(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id >= 1000000000").collect()
+    spans = {r.doc_id: [tuple(s) for s in r.spans if s not in r.base] for r in found}
+    for k, (t, kind, v) in enumerate(PLANTED):
+        at = t.index("{}")
+        assert spans[10**9 + k] == [(kind, at, at + len(v))], (t, v)
+    assert [t for k, t in enumerate(ORDINARY) if spans[2 * 10**9 + k]] == []
+
+
 def test_personal_data_digest(spark, docs_of):
     r = pii.personal_data_digests(docs_of([(1, "x a@b.cc y 1.2.3.4"), (2, None)])).orderBy("doc_id").collect()
     assert r[0].base_sha256 == hashlib.sha256(b"email:2:8,ip:11:18").hexdigest() and r[0].spans.startswith("email:2:8")
