@@ -2,14 +2,16 @@
 
 Plain patterns give the base spans of every whole text and all long runs of token characters give the other
 candidates. The base values are labelled credentials: of each kind a bounded number of distinct values
-(by hash, so in no order of the input) is written as strings of character classes, put into a prefix tree with
-counts, and the tree's states are merged where a Hoeffding test finds their futures compatible. The
-probabilistic automata score every candidate by its log-likelihood against a background of ordinary
-long words; candidates that look like a kind are added to the base spans.
+(by hash, so in no order of the input), together with made-up ones of well-known formats, is written as strings of character classes, put into a prefix
+tree with counts, and the tree's states are merged where a Hoeffding test finds their futures compatible. The
+probabilistic automata score every candidate by its log-likelihood a character against a background of ordinary
+long words. What a candidate must reach is what values of its kind that were held out of learning reach; those that do are added to the base spans.
 """
 
 from __future__ import annotations
 
+import hashlib
+import string
 from collections import Counter
 from math import log, sqrt
 
@@ -25,10 +27,31 @@ KINDS = ("assign", "access", "hex")
 SAMPLE = 400
 #: Lengths of the background's words, and how many a text may give.
 ORDINARY, WORDS = (12, 40), 4
+#: Passages of a state that are taken to follow the classes' shares in all strings; classes there are about.
+BACK_OFF, CLASSES = 4.0, 12
 #: Confidence parameter of the compatibility test.
 ALPHA = 0.05
-#: Share of a kind's own labelled values that its score threshold must accept.
-ACCEPTED = 0.98
+#: Share of a kind's held-out values that its threshold must accept; one value in so many is held out.
+ACCEPTED, HELD_OUT = 0.98, 4
+#: Share of held-out ordinary forms that it must refuse.
+REFUSED = 0.99
+#: How much likelier than the background a candidate must be at least.
+LIKELIER = log(1000)
+_MIXED, _URL = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "_-"
+#: Well-known formats (fixed values): kind, what the credential begins with, the characters behind it, and how many, from and to.
+FORMATS = (
+    ("assign", "", _MIXED, 20, 44),
+    ("assign", "", _MIXED + "+/", 28, 64),
+    ("assign", "ghp_", _MIXED, 36, 36),
+    ("assign", "sk-", _MIXED, 32, 48),
+    ("assign", "eyJ", _URL, 17, 80),
+    ("assign", "", _URL, 24, 64),
+    ("access", "AKIA", string.ascii_uppercase + "234567", 16, 16),
+    ("hex", "", "0123456789abcdef", 32, 32),
+    ("hex", "", "0123456789abcdef", 40, 64),
+)
+#: Made-up values of each format.
+MADE = 60
 
 PATTERNS = {
     "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
@@ -89,6 +112,11 @@ def classes(value: str) -> str:
     return "".join(out)
 
 
+def coarse(value: str) -> str:
+    """The same with all small letters and all capitals alike."""
+    return classes(value).replace("z", "a").replace("Z", "A")
+
+
 class Grammar:
     """A probabilistic automaton learned by state merging from strings with counts."""
 
@@ -168,16 +196,16 @@ class Grammar:
         self.states = red
 
     def score(self, s: str) -> float:
-        """Log-likelihood of a string; unseen steps cost a smoothed probability."""
+        """Log-likelihood of a string. A state's arcs are mixed with the classes' shares in all strings, which also stand in where there is no arc."""
         at: int | None = 0
         total = 0.0
         for c in s:
+            share = self.share.get(c, self.rare)
             if at is None:
-                total += log(0.01 / self.symbols)
+                total += log(share)
                 continue
-            n, to = self.seen[at], self.next[at].get(c)
-            total += log(((self.seen_arc(at, c)) + 0.1) / (n + 0.1 * self.symbols))
-            at = to
+            total += log((self.seen_arc(at, c) + BACK_OFF * share) / (self.seen[at] + BACK_OFF))
+            at = self.next[at].get(c)
         if at is None:
             return total + log(0.01)
         return total + log((self.ends[at] + 0.1) / (self.seen[at] + 0.1 * self.symbols))
@@ -200,36 +228,90 @@ class Grammar:
                 at = self.next[at][c]
             self.seen[at] += n
             self.ends[at] += n
+        classes_seen = Counter()
+        for s, n in strings.items():
+            for c in s:
+                classes_seen[c] += n
+        total = sum(classes_seen.values()) + 0.5 * CLASSES
+        self.rare = 0.5 / total
+        self.share = {c: (n + 0.5) / total for c, n in classes_seen.items()}
         return self
 
 
-def learned(strings: list[str]) -> Grammar:
-    counts = Counter(map(classes, strings))
+def learned(strings: list[str], view=classes) -> Grammar:
+    counts = Counter(map(view, strings))
     return Grammar(counts).trained(counts)
 
 
+def made_up(kind: str) -> list[str]:
+    """Values of the kind's well-known formats, always the same: what is learned from where a table labels few or none."""
+    out = []
+    for _, start, characters, low, high in (f for f in FORMATS if f[0] == kind):
+        for k in range(MADE):
+            drawn = hashlib.shake_128(f"{start} {characters} {k}".encode()).digest(2 * high + 2)
+            n = low + int.from_bytes(drawn[:2], "little") % (high - low + 1)
+            out.append(start + "".join(characters[int.from_bytes(drawn[2 * i : 2 * i + 2], "little") % len(characters)] for i in range(1, n + 1)))
+    return out
+
+
+def ordinary_forms(words: list[str]) -> list[str]:
+    """What long runs of token characters are made of when they are no secret: words as they are, in capitals, with a number, in rows joined in the usual
+    ways; numbers and dates; lines of one mark."""
+    out = []
+    for i, w in enumerate(words):
+        other = words[(7 * i + 3) % len(words)][: 4 + i % 9]
+        number = str(int.from_bytes(hashlib.shake_128(f"number {i}".encode()).digest(6), "little"))
+        joined_by = "-_/"[i % 3]
+        out += [w, w.upper(), w.title(), w.lower() + other.title(), f"{w}{joined_by}{other}", f"{w.upper()}{joined_by}{other.upper()}"]
+        out += [f"{w}{joined_by if i % 2 else ''}{number[: 1 + i % 4]}", number[: 12 + i % 3]]
+        out += [joined_by.join(x for x in (w[:4], other[:5], w[4:9], other[5:], w[9:]) if x)]
+        out += [f"{1900 + i % 200}{joined_by}{1 + i % 12:02d}{joined_by}{1 + i % 31:02d}{joined_by}{other}"]
+    return out + [mark * (12 + 3 * k) for mark in "-_=/+" for k in range(8)]
+
+
+class View:
+    """Automata of the kinds and of the background over one kind of classes, with a threshold for each kind: above what values held out reach at
+    least, and above what nearly all ordinary forms held out reach at most."""
+
+    def __init__(self, view, values: dict[str, list[str]], plain: list[str]):
+        self.view = view
+        self.background = learned([x for i, x in enumerate(plain) if i % HELD_OUT], view)
+        self.kinds, self.least = {}, {}
+        for k in KINDS:
+            self.kinds[k] = learned([x for i, x in enumerate(values[k]) if i % HELD_OUT], view)
+            reached = sorted(self.gain(k, x) for x in values[k][::HELD_OUT])
+            others = sorted(self.gain(k, x) for x in plain[::HELD_OUT])
+            self.least[k] = max(reached[int((1 - ACCEPTED) * len(reached))], others[int(REFUSED * (len(others) - 1))])
+
+    def gain(self, kind: str, value: str) -> float:
+        """How much likelier than the background a value is, in logarithms a character."""
+        s = self.view(value)
+        return (self.kinds[kind].score(s) - self.background.score(s)) / (len(s) + 1)
+
+    def best(self, value: str) -> tuple[float, str] | None:
+        """How far above its threshold the best kind is, and which it is."""
+        s = self.view(value)
+        plain, best = self.background.score(s), None
+        for k, g in self.kinds.items():
+            x = g.score(s) - plain
+            over = x / (len(s) + 1) - self.least[k]
+            if over >= 0 and x > LIKELIER and (best is None or over > best[0]):
+                best = (over, k)
+        return best
+
+
 class Detector:
-    """Automata of the kinds and of the background, with a threshold for each kind."""
+    """A value is a credential of the kind that either view finds it likely of."""
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
-        self.kinds = {k: learned(v) for k, v in labelled.items() if len(v) >= 20}
-        self.background = learned(ordinary) if ordinary else None
-        self.least = {}
-        for k, g in self.kinds.items():
-            scores = sorted(g.score(classes(x)) / (len(x) + 1) for x in labelled[k])
-            self.least[k] = scores[int((1 - ACCEPTED) * len(scores))]
+        plain = ordinary_forms([w for w in ordinary if w])
+        values = {k: labelled.get(k, []) + made_up(k) for k in KINDS}
+        self.views = [View(v, values, plain) for v in (classes, coarse)]
 
     def __call__(self, value: str) -> str | None:
         """The kind that a candidate's format is likely of, or None."""
-        s = classes(value)
-        best = None
-        plain = self.background.score(s) if self.background else -len(s) * log(20)
-        for k in KINDS:
-            if g := self.kinds.get(k):
-                x = g.score(s)
-                if x / (len(s) + 1) >= self.least[k] and x > plain + log(100) and (best is None or x > best[0]):
-                    best = (x, k)
-        return best[1] if best else None
+        found = [b for v in self.views if (b := v.best(value))]
+        return max(found)[1] if found else None
 
 
 def _sampled(values: DataFrame) -> list[str]:
@@ -242,8 +324,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Offsets are code points of the whole text. Null and empty texts have no spans; a null doc_id stays null; repeated rows stay;
     other columns are ignored; an empty table gives an empty table; very long texts with very many matches take time in proportion to
-    n log n. Spans are in order of start, then kind. Added spans never overlap base spans. With fewer than 20 labelled values of a kind no automaton is
-    learned for it and nothing is added.
+    n log n. Spans are in order of start, then kind. Added spans never overlap base spans. A table that labels no values has the automata of
+    well-known formats.
     """
     lean(docs)
     t = Tables()
