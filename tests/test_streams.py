@@ -19,6 +19,7 @@ from gridweave.sources.dataset import Dataset
 from gridweave.streaming.batches import BatchStream, packed_batches
 from gridweave.streaming.epochs import epoch_stream
 from gridweave.streaming.ranks import sharded
+from gridweave.streaming.stateful import batched_across
 
 
 def ragged(spark, n, kind="float"):
@@ -373,3 +374,37 @@ def test_mapped_batches(spark, tmp_path, dtype):
             assert a.values.dtype == b.values.dtype and np.array_equal(a.values, b.values)
             assert a.values.ctypes.data % 64 == 0
     assert len(os.listdir(tmp_path / "m")) <= 2  # of the epoch that max_steps cut off
+
+
+# --- state ---
+
+
+def test_waiting_rows_are_state(spark, tmp_path):
+    """Batches go on across micro-batches and restarts; what waits lies in the checkpoint."""
+    source, check, sizes = str(tmp_path / "in"), str(tmp_path / "c"), (10, 3, 1, 15, 6)
+    seen: dict = {}
+
+    def sink(df, number):
+        seen[number] = [(r.lane, r.step, r.pos_in_batch, r.idx, r.tensor) for r in df.collect()]
+
+    def run():
+        stream = spark.readStream.schema("idx long, tensor array<float>").option("maxFilesPerTrigger", 1).parquet(source)
+        q = batched_across(stream, 4, lanes=2).writeStream.foreachBatch(sink).option("checkpointLocation", check).trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
+
+    first = 0
+    for k, n in enumerate(sizes):
+        part = spark.range(first, first + n).select(F.col("id").alias("idx"), F.array(F.col("id").cast("float")).alias("tensor"))
+        part.coalesce(1).write.mode("append").parquet(source)
+        first += n
+        if k in (1, 4):
+            run()
+    rows = [r for number in sorted(seen) for r in seen[number]]
+    assert all(t == [float(i)] for *_, i, t in rows) and len({r[3] for r in rows}) == len(rows)
+    for lane in (0, 1):
+        mine = [(s, p, i) for x, s, p, i, _ in rows if x == lane]
+        assert [(s, p) for s, p, _ in mine] == [(k // 4, k % 4) for k in range(len(mine))]
+        assert [i for *_, i in mine] == sorted(i for *_, i in mine)  # files came in order of idx
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").option("flattenCollectionTypes", "true").load(check).count()
+    assert len(rows) + waiting == sum(sizes) and waiting < 8
+    assert sorted(os.listdir(tmp_path)) == ["c", "in"]
