@@ -129,7 +129,8 @@ def unpacked_halves(tensor: Column, dtype: DType) -> Column:
 
 
 def is_nan(x: Column, dtype: DType) -> Column:
-    return F.lit(False) if dtype.is_int else F.isnan(x)
+    """Whether a number is NaN; of null, as in SQL, that is not known."""
+    return F.lit(False) if dtype.is_int else F.when(x.isNotNull(), F.isnan(x))
 
 
 def is_infinite(x: Column, dtype: DType) -> Column:

@@ -72,6 +72,15 @@ def test_halves_of_tiny_numbers_like_sql(spark, tmp_path):
     assert (got.bits, got.none) == (-32768, None)  # the conversion itself keeps the sign
 
 
+@pytest.mark.parametrize("name", ["sc_to_f16", "sc_to_bf16", "sc_float_class"])
+def test_null_numbers_like_sql(spark, tmp_path, name):
+    rows = [(1, k, 1, 1, q, p) for k in range(1, 8) for q, p in ((None, None), (3.0, -0.0), (3.0, 65519.9), (3.0, -1e-9))]
+    names = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(rows, names).coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "lineitem.parquet")
+    compare(spark, str(tmp_path), name, tensors.queries(), tensors.oracle_sql())
+
+
 # --- SQL text ---
 
 
