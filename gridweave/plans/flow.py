@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from gridweave.plans.permute import Permutation
 
@@ -63,7 +64,8 @@ def quantile_bucket(key: Column, cuts: Sequence[int]) -> Column:
         return F.when((at <= len(cuts)) & (F.try_element_at(bounds, at) <= key), at).otherwise(low)
 
     steps = F.sequence(F.lit(len(cuts).bit_length() - 1), F.lit(0))
-    return F.aggregate(steps, F.lit(0), halve)
+    # never null, and said so: else the join of the counts tests each row of the source for it, by computing the bucket there
+    return F.coalesce(F.aggregate(steps, F.lit(0), halve), F.lit(0))
 
 
 def with_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
@@ -73,8 +75,10 @@ def with_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     buckets = min(MOST_BUCKETS, -(-rows // BUCKET_ROWS))
     if buckets > 64:  # finer quantiles where 64 buckets would be too full
         cuts = keys.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 4 * buckets)).first()[0]
-    places = numbered(keys, name, [], quantile_bucket(F.col(key).cast("bigint"), sorted(set(cuts or ()))), [F.col(key)])
-    return places if df.columns == [key] else df.join(places, key).select(*df.columns, name)
+    bucket = quantile_bucket(F.col(key).cast("bigint"), sorted(set(cuts or ())))
+    if not any(isinstance(f.dataType, (ArrayType, BinaryType, MapType, StringType, StructType)) for f in df.schema):
+        return numbered(df, name, [], bucket, [F.col(key)])  # narrow rows are ranked as they are
+    return df.join(numbered(keys, name, [], bucket, [F.col(key)]), key).select(*df.columns, name)
 
 
 def with_epochs(df: DataFrame, epochs: int, first: int = 1) -> DataFrame:

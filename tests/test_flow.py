@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridweave import dtypes as dt
+from gridweave import queries as tensors
 from gridweave.errors import BufferOverflow, InvalidShape, InvalidSlot, MalformedMessage, ProtocolError
 from gridweave.operators import layout as L
 from gridweave.plans import flow
@@ -51,6 +52,24 @@ def test_index(spark):
     assert flow.with_index(df.where("false"), "k").count() == 0
 
 
+def test_index_beside_other_columns(spark):
+    """Narrow rows are ranked as they are, wide ones joined to their numbers; no bucket is computed again to filter the source."""
+    df = spark.createDataFrame([(k, 2 * k) for k in (10**12, -5, 7, 3 * 10**12, 8)], "k long, twice long")
+    for more in (df, df.withColumn("name", F.col("twice").cast("string"))):
+        out = flow.with_index(more, "k")
+        assert out.columns == [*more.columns, "idx"]
+        assert [(r.k, r.twice, r.idx) for r in out.orderBy("k").collect()] == [(k, 2 * k, n) for n, k in enumerate((-5, 7, 8, 10**12, 3 * 10**12))]
+    out = flow.with_index(spark.range(1000).select((F.col("id") % 500).alias("k")).distinct(), "k")
+    assert "isnotnull(aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["flow_pad_2d", "flow_flagship"])
+def test_padded_orders_read_the_lines_once_for_their_tensors(spark, name):
+    df = tensors.queries()[name](spark, "/root/testdata/sf0.001")
+    scans = df._jdf.queryExecution().executedPlan().toString().split("FileScan parquet")[1:]
+    assert sum("lineitem.parquet" in x for x in scans) == 1
+
+
 VIEWS = [([4], [1], range(4)), ([2, 3], [3, 1], range(6)), ([2, 2], [3, 1], [0, 1, 3, 4]), ([2, 3, 4], [12, 4, 1], range(24)), ([2, 3, 2, 2], [12, 4, 2, 1], range(24)), ([], [], [0])]
 
 
